@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,9 @@ from latentcf.session import scratch_path
 # Bytes per parameter row estimate: key + k doubles + row overhead.
 ROW_OVERHEAD_BYTES = 48
 DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
+# Bucketed layout (user table too large to broadcast): pair rows per bucket, bucket cap.
+ROWS_PER_BUCKET = 8_000_000
+MAX_BUCKETS = 100_000
 
 TRACE_SCHEMA = T.StructType(
     [
@@ -76,20 +80,23 @@ def initial_responsibilities(pairs: DataFrame, k: int, seed: int) -> DataFrame:
     )
 
 
-def responsibilities(pairs: DataFrame, users: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """E-step in wide form: pairs columns + (q0..q{k-1}, evidence).
+def responsibilities(pairs: DataFrame, users: DataFrame, items: DataFrame, k: int,
+                     user_keys: list[str] | None = None) -> DataFrame:
+    """E-step in wide form: pairs columns + (q0..q{k-1}, evidence, lnev).
 
     ``users`` carries pu0.., ``items`` ps0..; evidence = sum_z pu_z ps_z is
     p(s|u) under the current parameters, floored to avoid log(0) / 0-division.
+    ``user_keys`` is ["u"] normally, ["u", "salt"] on the bucketed layout.
     """
     keep = pairs.columns
-    joined = pairs.join(users, "u").join(items, "s")
+    joined = pairs.join(users, user_keys or ["u"]).join(items, "s")
     w = joined.select(
         *keep,
         *[(F.col(f"pu{z}") * F.col(f"ps{z}")).alias(f"w{z}") for z in range(k)],
     )
     ev = w.select("*", F.greatest(row_sum([f"w{z}" for z in range(k)]), F.lit(EVIDENCE_FLOOR)).alias("evidence"))
-    return ev.select(*keep, *[(F.col(f"w{z}") / F.col("evidence")).alias(f"q{z}") for z in range(k)], "evidence")
+    return ev.select(*keep, *[(F.col(f"w{z}") / F.col("evidence")).alias(f"q{z}") for z in range(k)],
+                     "evidence", F.log("evidence").alias("lnev"))
 
 
 # ---------------------------------------------------------------- M-step
@@ -105,8 +112,8 @@ def m_aggregate(resp: DataFrame, k: int, weight_col: str | None = None) -> DataF
     w = _w(weight_col)
     qs = [(F.col(f"q{z}") * w) if w is not None else F.col(f"q{z}") for z in range(k)]
     aggs = [F.sum(q).alias(f"m{z}") for z, q in enumerate(qs)]
-    if "evidence" in resp.columns:
-        ll = F.log(F.col("evidence")) * w if w is not None else F.log(F.col("evidence"))
+    if "lnev" in resp.columns:
+        ll = F.col("lnev") * w if w is not None else F.col("lnev")
         aggs.append(F.sum(ll).alias("ll"))
     else:
         aggs.append(F.lit(None).cast("double").alias("ll"))
@@ -124,6 +131,7 @@ class StateStats:
     class_totals: list
     ll_sum: float | None
     w_sum: float
+    n_pairs: int = 0
 
     @property
     def loglik(self) -> float | None:
@@ -149,11 +157,13 @@ def load_state(spark: SparkSession, path: str, k: int) -> tuple[DataFrame, DataF
             F.sum(F.when(F.col("side") == "u", F.col("wsum"))).alias("wsum"),
             F.sum(F.when(F.col("side") == "u", 1).otherwise(0)).alias("nu"),
             F.sum(F.when(F.col("side") == "s", 1).otherwise(0)).alias("ns"),
+            F.sum(F.when(F.col("side") == "u", F.col("n"))).alias("np"),
         ]
     )
     r = st.agg(*aggs).first()
     totals = [r[c] for c in m]
-    stats = StateStats(int(r["nu"] or 0), int(r["ns"] or 0), totals, r["ll"], float(r["wsum"] or 0.0))
+    stats = StateStats(int(r["nu"] or 0), int(r["ns"] or 0), totals, r["ll"], float(r["wsum"] or 0.0),
+                       int(r["np"] or 0))
     urows = st.where(F.col("side") == "u")
     users = urows.select(
         "u", *[(F.col(f"m{z}") / row_sum(m)).alias(f"pu{z}") for z in range(k)]
@@ -170,6 +180,62 @@ def m_step(spark: SparkSession, resp: DataFrame, k: int, weight_col: str | None
     return load_state(spark, path, k)
 
 
+# ---------------------------------------------------------------- bucketed layout
+
+
+@dataclass
+class BucketedPairs:
+    """Pairs written once as a table bucketed on (u, salt).
+
+    Used when p(z|u) is too large to broadcast: each pass writes p(z|u)
+    bucketed the same way, so the user join reads matching buckets side by
+    side with no exchange of the pair table. Users holding more than one
+    bucket's fair share of pairs ("heavy", fewer than n_buckets of them by
+    construction, so their list is broadcast with a proven bound) have their
+    pairs spread over several salts, and their parameter row is replicated
+    once per salt; every other user has salt 0.
+    """
+
+    df: DataFrame
+    n_buckets: int
+    heavy: DataFrame  # (u, n_salt)
+
+
+def _table_name(tag: str) -> str:
+    return f"latentcf_{tag}_{uuid.uuid4().hex[:12]}"
+
+
+def _write_bucketed(df: DataFrame, n_buckets: int, tag: str) -> DataFrame:
+    spark = df.sparkSession
+    name = _table_name(tag)
+    (df.repartition(n_buckets, "u", "salt").write.bucketBy(n_buckets, "u", "salt")
+     .option("path", scratch_path(spark, tag)).saveAsTable(name))
+    return spark.table(name)
+
+
+def bucketed_layout(P: DataFrame, n_pairs: int) -> BucketedPairs:
+    spark = P.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    n_b = min(MAX_BUCKETS, max(base, math.ceil(n_pairs / ROWS_PER_BUCKET)))
+    cap = max(1, math.ceil(n_pairs / n_b))
+    heavy_path = scratch_path(spark, "heavy-users")
+    (P.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > F.lit(cap))
+     .select("u", F.ceil(F.col("c") / F.lit(cap)).cast("int").alias("n_salt")).write.parquet(heavy_path))
+    heavy = spark.read.parquet(heavy_path)
+    salt = F.when(F.col("n_salt").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("s"), F.col("n_salt"))).cast("int")
+    salted = P.join(F.broadcast(heavy), "u", "left").select(*P.columns, salt.alias("salt"))
+    return BucketedPairs(_write_bucketed(salted, n_b, "pairs_b"), n_b, heavy)
+
+
+def salted_users(users: DataFrame, layout: BucketedPairs) -> DataFrame:
+    """p(z|u) replicated per salt of heavy users, bucketed like the pairs."""
+    pu = [c for c in users.columns if c != "u"]
+    n = F.coalesce(F.col("n_salt"), F.lit(1))
+    x = users.join(F.broadcast(layout.heavy), "u", "left").select(
+        "u", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"), *pu)
+    return _write_bucketed(x, layout.n_buckets, "users_b").hint("shuffle_hash")
+
+
 # ---------------------------------------------------------------- fit
 
 
@@ -209,20 +275,23 @@ def fit(
     limit = broadcast_bytes if broadcast_bytes is not None else broadcast_limit(spark)
     P = pairs if prepared else prepare_pairs(pairs, weight_col)
     users, items, stats = m_step(spark, initial_responsibilities(P, k, seed), k, weight_col, "em-init")
+    layout = bucketed_layout(P, stats.n_pairs) if param_bytes(stats.n_users, k) > limit else None
     logliks: list[float] = []
     seconds: list[float] = []
     for t in range(1, max_iter + 1):
         t0 = time.time()
-        U = maybe_broadcast(users, stats.n_users, k, limit)
         S = maybe_broadcast(items, stats.n_items, k, limit)
-        resp = responsibilities(P, U, S, k)
+        if layout is None:
+            resp = responsibilities(P, F.broadcast(users), S, k)
+        else:
+            resp = responsibilities(layout.df, salted_users(users, layout), S, k, ["u", "salt"])
         nxt = None
         if t < max_iter:
             nxt = m_step(spark, resp, k, weight_col, f"em-pass{t}")
             ll = nxt[2].loglik
         else:
             w = _w(weight_col)
-            lg = F.log(F.col("evidence"))
+            lg = F.col("lnev")
             r = resp.agg(F.sum(lg * w if w is not None else lg).alias("ll"),
                          F.sum(w if w is not None else F.lit(1.0)).alias("ws")).first()
             ll = (r["ll"] / r["ws"]) if r["ws"] else None
