@@ -58,6 +58,27 @@ def exclude_seen(scores: DataFrame, seen: DataFrame) -> DataFrame:
     return scores.join(seen.select("u", "s"), ["u", "s"], "left_anti")
 
 
+def predicted_pairs(model: LatentClassModel, threshold: float, inclusive: bool = True,
+                    seen: DataFrame | None = None, broadcast_bytes: int | None = None) -> DataFrame:
+    """(u, s, score) for every pair predicted positive (the rest are negatives).
+
+    The positive side of the prediction over all user x item pairs, emitted
+    straight from the scoring tasks; ``seen`` pairs are removed (anti join)."""
+    utype = model.users.schema["u"].dataType
+    stype = model.items.schema["s"].dataType
+    schema = T.StructType([T.StructField("u", utype), T.StructField("s", stype),
+                           T.StructField("score", T.DoubleType())])
+    t = float(threshold)
+
+    def red(pdf, sc, ids):
+        hit = (sc >= t) if inclusive else (sc > t)
+        r, c = np.nonzero(hit)
+        return pd.DataFrame({"u": pdf["u"].to_numpy()[r], "s": ids[c], "score": sc[r, c]})
+
+    out = _union_all([_run_blocks(model.users, model.k, ch, red, schema) for ch in item_chunks(model, broadcast_bytes)])
+    return exclude_seen(out, seen) if seen is not None else out
+
+
 # ---------------------------------------------------------------- block path
 
 
@@ -65,6 +86,14 @@ def exclude_seen(scores: DataFrame, seen: DataFrame) -> DataFrame:
 class ItemChunk:
     ids: np.ndarray  # sorted item ids
     mat: np.ndarray  # len(ids) x k, p(s|z)
+    index: int = 0
+    count: int = 1
+
+    def member(self, col: str = "s"):
+        """Predicate selecting this chunk's items in another table."""
+        if self.count == 1:
+            return F.lit(True)
+        return F.pmod(F.xxhash64(col), F.lit(self.count)) == F.lit(self.index)
 
 
 def item_chunks(model: LatentClassModel, broadcast_bytes: int | None = None) -> Iterator[ItemChunk]:
@@ -90,7 +119,7 @@ def item_chunks(model: LatentClassModel, broadcast_bytes: int | None = None) ->
         if ids.dtype == object:
             ids = ids.astype(str)
         mat = pdf[[f"ps{z}" for z in range(model.k)]].to_numpy(dtype=np.float64)
-        yield ItemChunk(ids, mat)
+        yield ItemChunk(ids, mat, c, n_chunks)
 
 
 def block_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -181,11 +210,15 @@ def positive_counts(model: LatentClassModel, thresholds: list[float], inclusive:
     return _union_all(parts).groupBy(*keys).agg(F.sum("n_pos").cast("bigint").alias("n_pos"))
 
 
-def _seen_lists(model: LatentClassModel, seen: DataFrame | None) -> DataFrame:
-    """users + the user's seen items as an array (bounded by the item vocabulary)."""
+def _seen_lists(model: LatentClassModel, seen: DataFrame | None, chunk: ItemChunk) -> DataFrame:
+    """users + the user's seen items *of this chunk* as an array.
+
+    Pairs are distinct, so a list never exceeds the chunk's item count,
+    which the broadcast check already bounds (even for a user holding a
+    third of all pairs)."""
     if seen is None:
         return model.users.withColumn("seen", F.array().cast(T.ArrayType(model.items.schema["s"].dataType)))
-    lists = seen.groupBy("u").agg(F.collect_list("s").alias("seen"))
+    lists = seen.where(chunk.member("s")).groupBy("u").agg(F.collect_list("s").alias("seen"))
     return model.users.join(lists, "u", "left")
 
 
@@ -196,8 +229,6 @@ def recommend(model: LatentClassModel, n: int = 5, seen: DataFrame | None = None
     stype = model.items.schema["s"].dataType
     schema = T.StructType([T.StructField("u", utype), T.StructField("rank", T.IntegerType()),
                            T.StructField("s", stype), T.StructField("score", T.DoubleType())])
-    users = _seen_lists(model, seen)
-
     def red(pdf, sc, ids):
         us, ranks, ss, scores = [], [], [], []
         seen_col = pdf["seen"].to_numpy()
@@ -224,7 +255,8 @@ def recommend(model: LatentClassModel, n: int = 5, seen: DataFrame | None = None
             scores.extend(row[order].tolist())
         return pd.DataFrame({"u": us, "rank": np.asarray(ranks, dtype=np.int32), "s": ss, "score": scores})
 
-    parts = [_run_blocks(users, model.k, ch, red, schema) for ch in item_chunks(model, broadcast_bytes)]
+    parts = [_run_blocks(_seen_lists(model, seen, ch), model.k, ch, red, schema)
+             for ch in item_chunks(model, broadcast_bytes)]
     if len(parts) == 1:
         return parts[0]
     allc = _union_all(parts)
@@ -232,20 +264,35 @@ def recommend(model: LatentClassModel, n: int = 5, seen: DataFrame | None = None
     return allc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+class _Positives:
+    """Sorted positive scores as (unique values, multiplicities, #below)."""
+
+    def __init__(self, pos: np.ndarray):
+        self.uniq, self.counts = np.unique(np.asarray(pos, dtype=np.float64), return_counts=True)
+        self.below = np.concatenate([[0], np.cumsum(self.counts)])
+        self.total = int(self.below[-1])
+
+    def sums(self, x: np.ndarray) -> tuple[int, int]:
+        """(sum over x of #(pos > x), sum over x of #(pos == x))."""
+        if len(x) == 0 or self.total == 0:
+            return 0, 0
+        i = np.searchsorted(self.uniq, x, side="left")
+        j = np.minimum(i, len(self.uniq) - 1)
+        eq = np.where(self.uniq[j] == x, self.counts[j], 0)
+        lt = self.below[i]
+        gt = self.total * len(x) - int(lt.sum()) - int(eq.sum())
+        return int(gt), int(eq.sum())
+
+
 def rank_sums(model: LatentClassModel, positives_sorted: np.ndarray, broadcast_bytes: int | None = None) -> DataFrame:
     """Over all (u, s) pairs x: sum #(pos > x) and sum #(pos == x) -> one row (gt, eq)."""
     spark = model.users.sparkSession
-    pbc = spark.sparkContext.broadcast(np.asarray(positives_sorted, dtype=np.float64))
+    pbc = spark.sparkContext.broadcast(_Positives(positives_sorted))
     schema = T.StructType([T.StructField("gt", T.LongType()), T.StructField("eq", T.LongType())])
 
     def red(pdf, sc, ids):
-        pos = pbc.value
-        flat = sc.ravel()
-        right = np.searchsorted(pos, flat, side="right")
-        left = np.searchsorted(pos, flat, side="left")
-        gt = np.int64((len(pos) - right).sum())
-        eq = np.int64((right - left).sum())
-        return pd.DataFrame({"gt": [gt], "eq": [eq]})
+        gt, eq = pbc.value.sums(sc.ravel())
+        return pd.DataFrame({"gt": [np.int64(gt)], "eq": [np.int64(eq)]})
 
     parts = [_run_blocks(model.users, model.k, ch, red, schema) for ch in item_chunks(model, broadcast_bytes)]
     return _union_all(parts).agg(F.sum("gt").cast("bigint").alias("gt"), F.sum("eq").cast("bigint").alias("eq"))
@@ -254,18 +301,15 @@ def rank_sums(model: LatentClassModel, positives_sorted: np.ndarray, broadcast_b
 def rank_sums_of(scores: DataFrame, positives_sorted: np.ndarray) -> DataFrame:
     """Same sums as :func:`rank_sums` for the scores of a given pair set."""
     spark = scores.sparkSession
-    pbc = spark.sparkContext.broadcast(np.asarray(positives_sorted, dtype=np.float64))
+    pbc = spark.sparkContext.broadcast(_Positives(positives_sorted))
     schema = T.StructType([T.StructField("gt", T.LongType()), T.StructField("eq", T.LongType())])
 
     def fn(it):
-        pos = pbc.value
         gt = eq = 0
         for pdf in it:
-            x = pdf["score"].to_numpy(dtype=np.float64)
-            right = np.searchsorted(pos, x, side="right")
-            left = np.searchsorted(pos, x, side="left")
-            gt += int((len(pos) - right).sum())
-            eq += int((right - left).sum())
+            g, e = pbc.value.sums(pdf["score"].to_numpy(dtype=np.float64))
+            gt += g
+            eq += e
         yield pd.DataFrame({"gt": [gt], "eq": [eq]})
 
     return scores.select("score").mapInPandas(fn, schema).agg(

@@ -1,0 +1,78 @@
+"""Streaming adapters and end-to-end jobs."""
+
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from latentcf.operators import em, scoring
+from latentcf.plans import pipeline
+from latentcf.streaming import append_pairs, dedup_pairs, read_ratings_stream, score_stream
+from tests.fixtures import fx6_model, planted_blocks
+
+HEADER = "userId,movieId,rating,timestamp\n"
+
+
+def _write(dirpath, name, rows):
+    os.makedirs(dirpath, exist_ok=True)
+    with open(os.path.join(dirpath, name), "w") as f:
+        f.write(HEADER + "".join(f"{u},{s},4.0,{ts}\n" for u, s, ts in rows))
+
+
+def test_score_stream_matches_batch(spark, tmpdir_path):
+    m = fx6_model(spark)
+    src = os.path.join(tmpdir_path, "in")
+    _write(src, "a.csv", [(1, 10, 100), (1, 20, 110), (9, 10, 120)])
+    _write(src, "b.csv", [(2, 30, 130), (2, 10, 140)])
+    got = []
+    q = (score_stream(m, read_ratings_stream(spark, src), threshold=0.5).writeStream
+         .foreachBatch(lambda df, _: got.extend(df.collect())).trigger(availableNow=True)
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck")).start())
+    q.awaitTermination(120)
+    res = {(r.u, r.s): (round(r.score, 12), r.pred) for r in got}
+    assert res == {(1, 10): (0.9, True), (1, 20): (0.5, True), (2, 30): (0.1, False), (2, 10): (0.6, True)}
+
+
+def test_dedup_and_append(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "in")
+    _write(src, "a.csv", [(1, 10, 100), (1, 10, 105), (1, 20, 110)])
+    _write(src, "b.csv", [(2, 30, 130), (1, 20, 131)])
+    out = os.path.join(tmpdir_path, "pairs")
+    q = append_pairs(dedup_pairs(read_ratings_stream(spark, src), "1 hour"), out,
+                     checkpoint=os.path.join(tmpdir_path, "ck"))
+    q.awaitTermination(120)
+    rows = sorted((r.u, r.s) for r in spark.read.parquet(out).collect())
+    assert rows == [(1, 10), (1, 20), (2, 30)]
+
+
+def test_predicted_pairs(spark):
+    m = fx6_model(spark)
+    got = sorted((r.u, r.s) for r in scoring.predicted_pairs(m, 0.5).collect())
+    assert got == [(1, 10), (1, 20), (2, 10)]
+    seen = spark.createDataFrame([(1, 10)], "u long, s long")
+    got = sorted((r.u, r.s) for r in scoring.predicted_pairs(m, 0.5, inclusive=False, seen=seen).collect())
+    assert got == [(2, 10)]
+
+
+def test_cluster_job_and_notebook_run(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "ratings")
+    rows = [(r.u, r.s, 1) for r in planted_blocks(spark).collect()]
+    _write(src, "r.csv", rows)
+    out = os.path.join(tmpdir_path, "out")
+    meta = os.path.join(tmpdir_path, "meta")
+    m = pipeline.cluster_em_job(spark, src, out, meta, k=3, passes=3, top_n=5, threshold=0.05)
+    assert spark.read.parquet(f"{out}/p_z_given_u").count() == 60
+    assert spark.read.parquet(f"{out}/p_s_given_z").count() == 60
+    assert spark.read.parquet(f"{out}/top_5").count() == 300
+    assert spark.read.parquet(f"{out}/p_s_u_above").where(F.col("score") < 0.05).count() == 0
+    rec = json.loads(spark.read.text(meta).first().value)
+    assert rec["iterations"] == 3 and len(rec["logliks"]) == 3
+    run = pipeline.notebook_run(spark, src, k=3, passes=10, thresholds=[0.05, 0.02])
+    assert run["sweep"].count() == 2 and run["auc"].first()["auc"] > 0.7
+
+
+def test_lda_run(spark, tmpdir_path):
+    run = pipeline.lda_run(spark, planted_blocks(spark), k=3, max_iter=5, threshold=1e-5)
+    r = run["metrics"].first()
+    assert r["tp"] + r["fn"] > 0 and r["threshold"] == 1e-5
