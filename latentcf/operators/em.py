@@ -180,25 +180,30 @@ def m_step(spark: SparkSession, resp: DataFrame, k: int, weight_col: str | None
     return load_state(spark, path, k)
 
 
-# ---------------------------------------------------------------- bucketed layout
+# ---------------------------------------------------------------- pair layout
 
 
 @dataclass
-class BucketedPairs:
-    """Pairs written once as a table bucketed on (u, salt).
-
-    Used when p(z|u) is too large to broadcast: each pass writes p(z|u)
-    bucketed the same way, so the user join reads matching buckets side by
-    side with no exchange of the pair table. Users holding more than one
-    bucket's fair share of pairs ("heavy", fewer than n_buckets of them by
-    construction, so their list is broadcast with a proven bound) have their
-    pairs spread over several salts, and their parameter row is replicated
-    once per salt; every other user has salt 0.
+class PairLayout:
+    """The distinct pair table, written once, bucketed and clustered on (u, salt).
+
+    * Each bucket holds whole users, so the per-pass user-side aggregation
+      emits about one row per user per bucket before its shuffle (instead of
+      one row per pair when pairs are spread by (u, s)).
+    * When p(z|u) is too large to broadcast, each pass writes it bucketed the
+      same way and the user join reads matching buckets side by side: no
+      exchange of the pair table.
+    * Users holding more than one bucket's fair share of pairs ("heavy";
+      fewer than n_buckets of them by construction, so their list is
+      broadcast with a proven bound) are spread over several salts, and their
+      parameter row is replicated once per salt; every other user has salt 0.
     """
 
-    df: DataFrame
+    df: DataFrame  # u, s, [w], salt
     n_buckets: int
     heavy: DataFrame  # (u, n_salt)
+    n_pairs: int
+    n_users: int
 
 
 def _table_name(tag: str) -> str:
@@ -213,21 +218,27 @@ def _write_bucketed(df: DataFrame, n_buckets: int, tag: str) -> DataFrame:
     return spark.table(name)
 
 
-def bucketed_layout(P: DataFrame, n_pairs: int) -> BucketedPairs:
+def layout_pairs(P: DataFrame) -> PairLayout:
+    """Bucketed (u, salt) layout of an already written pair table (two jobs)."""
     spark = P.sparkSession
+    counts_path = scratch_path(spark, "user-counts")
+    P.groupBy("u").agg(F.count(F.lit(1)).alias("c")).write.parquet(counts_path)
+    counts = spark.read.parquet(counts_path)
+    r = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("nu")).first()
+    n_pairs, n_users = int(r["n"] or 0), int(r["nu"] or 0)
     base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     n_b = min(MAX_BUCKETS, max(base, math.ceil(n_pairs / ROWS_PER_BUCKET)))
     cap = max(1, math.ceil(n_pairs / n_b))
     heavy_path = scratch_path(spark, "heavy-users")
-    (P.groupBy("u").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > F.lit(cap))
+    (counts.where(F.col("c") > F.lit(cap))
      .select("u", F.ceil(F.col("c") / F.lit(cap)).cast("int").alias("n_salt")).write.parquet(heavy_path))
     heavy = spark.read.parquet(heavy_path)
     salt = F.when(F.col("n_salt").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("s"), F.col("n_salt"))).cast("int")
     salted = P.join(F.broadcast(heavy), "u", "left").select(*P.columns, salt.alias("salt"))
-    return BucketedPairs(_write_bucketed(salted, n_b, "pairs_b"), n_b, heavy)
+    return PairLayout(_write_bucketed(salted, n_b, "pairs_b"), n_b, heavy, n_pairs, n_users)
 
 
-def salted_users(users: DataFrame, layout: BucketedPairs) -> DataFrame:
+def salted_users(users: DataFrame, layout: PairLayout) -> DataFrame:
     """p(z|u) replicated per salt of heavy users, bucketed like the pairs."""
     pu = [c for c in users.columns if c != "u"]
     n = F.coalesce(F.col("n_salt"), F.lit(1))
@@ -240,11 +251,11 @@ def salted_users(users: DataFrame, layout: BucketedPairs) -> DataFrame:
 
 
 def prepare_pairs(pairs: DataFrame, weight_col: str | None = None) -> DataFrame:
-    """Write the distinct pair table once to the shared folder and read it back.
+    """Write a pair table once to the shared folder and read it back.
 
-    Each pass rescans this table; writing it cuts the source lineage (the
-    orders ⋈ lineitem join and the distinct) and makes a lost executor cost a
-    re-read, not a recompute from the raw logs.
+    Writing cuts the source lineage (the orders ⋈ lineitem join and the
+    distinct) and makes a lost executor cost a re-read, not a recompute
+    from the raw logs.
     """
     spark = pairs.sparkSession
     cols = ["u", "s"] + ([weight_col] if weight_col else [])
@@ -253,8 +264,13 @@ def prepare_pairs(pairs: DataFrame, weight_col: str | None = None) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def prepare_layout(pairs: DataFrame, weight_col: str | None = None, prepared: bool = False) -> PairLayout:
+    """Written + bucketed pair table, reusable across several fits (k sweeps)."""
+    return layout_pairs(pairs if prepared else prepare_pairs(pairs, weight_col))
+
+
 def fit(
-    pairs: DataFrame,
+    pairs: "DataFrame | PairLayout",
     k: int = 3,
     max_iter: int = 30,
     seed: int = 42,
@@ -271,20 +287,21 @@ def fit(
     """
     if k < 1 or max_iter < 1:
         raise ValueError("k and max_iter must be >= 1")
-    spark = pairs.sparkSession
+    layout = pairs if isinstance(pairs, PairLayout) else prepare_layout(pairs, weight_col, prepared)
+    P = layout.df
+    spark = P.sparkSession
     limit = broadcast_bytes if broadcast_bytes is not None else broadcast_limit(spark)
-    P = pairs if prepared else prepare_pairs(pairs, weight_col)
     users, items, stats = m_step(spark, initial_responsibilities(P, k, seed), k, weight_col, "em-init")
-    layout = bucketed_layout(P, stats.n_pairs) if param_bytes(stats.n_users, k) > limit else None
+    co_located = param_bytes(stats.n_users, k) > limit
     logliks: list[float] = []
     seconds: list[float] = []
     for t in range(1, max_iter + 1):
         t0 = time.time()
         S = maybe_broadcast(items, stats.n_items, k, limit)
-        if layout is None:
+        if not co_located:
             resp = responsibilities(P, F.broadcast(users), S, k)
         else:
-            resp = responsibilities(layout.df, salted_users(users, layout), S, k, ["u", "salt"])
+            resp = responsibilities(P, salted_users(users, layout), S, k, ["u", "salt"])
         nxt = None
         if t < max_iter:
             nxt = m_step(spark, resp, k, weight_col, f"em-pass{t}")

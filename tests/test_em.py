@@ -103,8 +103,7 @@ def test_bucketed_layout_with_hot_user_equals_broadcast(spark):
     bi = b.items.select("s", F.col("ps0").alias("b0"), F.col("ps1").alias("b1"))
     d = a.items.join(bi, "s").agg(F.max(F.abs(F.col("ps0") - F.col("b0"))), F.max(F.abs(F.col("ps1") - F.col("b1"))))
     assert max(d.first()) < 1e-12
-    P = em.prepare_pairs(pairs)
-    lay = em.bucketed_layout(P, P.count())
+    lay = em.prepare_layout(pairs)
     heavy = {r["u"]: r["n_salt"] for r in lay.heavy.collect()}
     assert 7 in heavy and heavy[7] > 1
     # the hot user's pairs are spread over several buckets
