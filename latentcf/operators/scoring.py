@@ -264,34 +264,46 @@ def recommend(model: LatentClassModel, n: int = 5, seen: DataFrame | None = None
     return allc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-class _Positives:
-    """Sorted positive scores as (unique values, multiplicities, #below)."""
-
-    def __init__(self, pos: np.ndarray):
-        self.uniq, self.counts = np.unique(np.asarray(pos, dtype=np.float64), return_counts=True)
-        self.below = np.concatenate([[0], np.cumsum(self.counts)])
-        self.total = int(self.below[-1])
-
-    def sums(self, x: np.ndarray) -> tuple[int, int]:
-        """(sum over x of #(pos > x), sum over x of #(pos == x))."""
-        if len(x) == 0 or self.total == 0:
-            return 0, 0
-        i = np.searchsorted(self.uniq, x, side="left")
-        j = np.minimum(i, len(self.uniq) - 1)
-        eq = np.where(self.uniq[j] == x, self.counts[j], 0)
-        lt = self.below[i]
-        gt = self.total * len(x) - int(lt.sum()) - int(eq.sum())
-        return int(gt), int(eq.sum())
+def _positive_table(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted positive scores as (unique values, multiplicities, #below each value).
+
+    Plain arrays, so the broadcast needs nothing but numpy on the executors."""
+    uniq, counts = np.unique(np.asarray(pos, dtype=np.float64), return_counts=True)
+    return uniq, counts, np.concatenate([[0], np.cumsum(counts)])
+
+
+def _pos_sums(table, x: np.ndarray) -> tuple[int, int]:
+    """(sum over x of #(pos > x), sum over x of #(pos == x)).
+
+    For a block larger than the positive table, sort the block and search the
+    positive values into it (n log n once, instead of a binary search per
+    element); otherwise search each x into the positives."""
+    uniq, counts, below = table
+    total = int(below[-1])
+    if len(x) == 0 or total == 0:
+        return 0, 0
+    if len(x) > 4 * len(uniq):
+        xs = np.sort(x, kind="quicksort")
+        lo = np.searchsorted(xs, uniq, side="left")
+        hi = np.searchsorted(xs, uniq, side="right")
+        gt = int((counts * lo).sum())  # each positive v beats the lo block values below it
+        eq = int((counts * (hi - lo)).sum())
+        return gt, eq
+    i = np.searchsorted(uniq, x, side="left")
+    j = np.minimum(i, len(uniq) - 1)
+    eq = int(np.where(uniq[j] == x, counts[j], 0).sum())
+    gt = total * len(x) - int(below[i].sum()) - eq
+    return int(gt), eq
 
 
 def rank_sums(model: LatentClassModel, positives_sorted: np.ndarray, broadcast_bytes: int | None = None) -> DataFrame:
     """Over all (u, s) pairs x: sum #(pos > x) and sum #(pos == x) -> one row (gt, eq)."""
     spark = model.users.sparkSession
-    pbc = spark.sparkContext.broadcast(_Positives(positives_sorted))
+    pbc = spark.sparkContext.broadcast(_positive_table(positives_sorted))
     schema = T.StructType([T.StructField("gt", T.LongType()), T.StructField("eq", T.LongType())])
 
     def red(pdf, sc, ids):
-        gt, eq = pbc.value.sums(sc.ravel())
+        gt, eq = _pos_sums(pbc.value, sc.ravel())
         return pd.DataFrame({"gt": [np.int64(gt)], "eq": [np.int64(eq)]})
 
     parts = [_run_blocks(model.users, model.k, ch, red, schema) for ch in item_chunks(model, broadcast_bytes)]
@@ -301,13 +313,13 @@ def rank_sums(model: LatentClassModel, positives_sorted: np.ndarray, broadcast_b
 def rank_sums_of(scores: DataFrame, positives_sorted: np.ndarray) -> DataFrame:
     """Same sums as :func:`rank_sums` for the scores of a given pair set."""
     spark = scores.sparkSession
-    pbc = spark.sparkContext.broadcast(_Positives(positives_sorted))
+    pbc = spark.sparkContext.broadcast(_positive_table(positives_sorted))
     schema = T.StructType([T.StructField("gt", T.LongType()), T.StructField("eq", T.LongType())])
 
     def fn(it):
         gt = eq = 0
         for pdf in it:
-            g, e = pbc.value.sums(pdf["score"].to_numpy(dtype=np.float64))
+            g, e = _pos_sums(pbc.value, pdf["score"].to_numpy(dtype=np.float64))
             gt += g
             eq += e
         yield pd.DataFrame({"gt": [gt], "eq": [eq]})
