@@ -12,8 +12,8 @@ One pass is one Spark job::
          plus sum ln(evidence) and sum weight on the user rows (log-likelihood)
       -> written to the checkpoint folder (cuts lineage, survives executor loss)
 
-The driver then reads k+4 scalars (class totals N(z), log-likelihood sums,
-row counts) from that small table. The last pass only needs the
+The k+5 scalars the driver needs (class totals N(z), log-likelihood sums,
+row counts) are observed during that same write (``DataFrame.observe``). The last pass only needs the
 log-likelihood, so it runs a global aggregate instead of the M-step.
 """
 
@@ -24,7 +24,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,32 +140,44 @@ class StateStats:
         return self.ll_sum / self.w_sum
 
 
-def write_state(spark: SparkSession, state: DataFrame, tag: str) -> str:
+def _state_metrics(k: int) -> list:
+    """Scalars every pass needs, as aggregates over the state rows."""
+    side_u, side_s = F.col("side") == "u", F.col("side") == "s"
+    return (
+        [F.sum(F.when(side_s, F.col(f"m{z}"))).alias(f"m{z}") for z in range(k)]
+        + [
+            F.sum(F.when(side_u, F.col("ll"))).alias("ll"),
+            F.sum(F.when(side_u, F.col("wsum"))).alias("wsum"),
+            F.sum(F.when(side_u, 1).otherwise(0)).alias("nu"),
+            F.sum(F.when(side_s, 1).otherwise(0)).alias("ns"),
+            F.sum(F.when(side_u, F.col("n"))).alias("np"),
+        ]
+    )
+
+
+def _stats_from(r, k: int) -> StateStats:
+    totals = [r[f"m{z}"] for z in range(k)]
+    return StateStats(int(r["nu"] or 0), int(r["ns"] or 0), totals, r["ll"], float(r["wsum"] or 0.0),
+                      int(r["np"] or 0))
+
+
+def write_state(spark: SparkSession, state: DataFrame, tag: str, k: int) -> tuple[str, StateStats]:
+    """Write the state and collect its scalars in the same job (``observe``)."""
     path = scratch_path(spark, tag)
-    state.write.partitionBy("side").parquet(path)
-    return path
+    obs = Observation(f"latentcf_{uuid.uuid4().hex[:8]}")
+    state.observe(obs, *_state_metrics(k)).write.partitionBy("side").parquet(path)
+    return path, _stats_from(obs.get, k)
 
 
-def load_state(spark: SparkSession, path: str, k: int) -> tuple[DataFrame, DataFrame, StateStats]:
+def load_state(spark: SparkSession, path: str, k: int,
+               stats: StateStats | None = None) -> tuple[DataFrame, DataFrame, StateStats]:
     """Read a written state back as normalised parameter tables + scalars."""
     st = spark.read.parquet(path)
     m = [f"m{z}" for z in range(k)]
-    aggs = (
-        [F.sum(F.when(F.col("side") == "s", F.col(c))).alias(c) for c in m]
-        + [
-            F.sum(F.when(F.col("side") == "u", F.col("ll"))).alias("ll"),
-            F.sum(F.when(F.col("side") == "u", F.col("wsum"))).alias("wsum"),
-            F.sum(F.when(F.col("side") == "u", 1).otherwise(0)).alias("nu"),
-            F.sum(F.when(F.col("side") == "s", 1).otherwise(0)).alias("ns"),
-            F.sum(F.when(F.col("side") == "u", F.col("n"))).alias("np"),
-        ]
-    )
-    r = st.agg(*aggs).first()
-    totals = [r[c] for c in m]
-    stats = StateStats(int(r["nu"] or 0), int(r["ns"] or 0), totals, r["ll"], float(r["wsum"] or 0.0),
-                       int(r["np"] or 0))
-    urows = st.where(F.col("side") == "u")
-    users = urows.select(
+    if stats is None:
+        stats = _stats_from(st.agg(*_state_metrics(k)).first(), k)
+    totals = stats.class_totals
+    users = st.where(F.col("side") == "u").select(
         "u", *[(F.col(f"m{z}") / row_sum(m)).alias(f"pu{z}") for z in range(k)]
     )
     items = st.where(F.col("side") == "s").select(
@@ -176,8 +188,8 @@ def load_state(spark: SparkSession, path: str, k: int) -> tuple[DataFrame, DataF
 
 def m_step(spark: SparkSession, resp: DataFrame, k: int, weight_col: str | None = None, tag: str = "em-state"):
     """Run one M-step to a written state and return (users, items, stats)."""
-    path = write_state(spark, m_aggregate(resp, k, weight_col), tag)
-    return load_state(spark, path, k)
+    path, stats = write_state(spark, m_aggregate(resp, k, weight_col), tag, k)
+    return load_state(spark, path, k, stats)
 
 
 # ---------------------------------------------------------------- pair layout
@@ -226,7 +238,8 @@ def layout_pairs(P: DataFrame) -> PairLayout:
     counts = spark.read.parquet(counts_path)
     r = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("nu")).first()
     n_pairs, n_users = int(r["n"] or 0), int(r["nu"] or 0)
-    base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    # at least one bucket per core, at most ROWS_PER_BUCKET pairs per bucket
+    base = max(1, int(spark.sparkContext.defaultParallelism))
     n_b = min(MAX_BUCKETS, max(base, math.ceil(n_pairs / ROWS_PER_BUCKET)))
     cap = max(1, math.ceil(n_pairs / n_b))
     heavy_path = scratch_path(spark, "heavy-users")
