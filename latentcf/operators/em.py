@@ -81,15 +81,16 @@ def initial_responsibilities(pairs: DataFrame, k: int, seed: int) -> DataFrame:
 
 
 def responsibilities(pairs: DataFrame, users: DataFrame, items: DataFrame, k: int,
-                     user_keys: list[str] | None = None) -> DataFrame:
+                     user_keys: list[str] | None = None, item_keys: list[str] | None = None) -> DataFrame:
     """E-step in wide form: pairs columns + (q0..q{k-1}, evidence, lnev).
 
     ``users`` carries pu0.., ``items`` ps0..; evidence = sum_z pu_z ps_z is
     p(s|u) under the current parameters, floored to avoid log(0) / 0-division.
-    ``user_keys`` is ["u"] normally, ["u", "salt"] on the bucketed layout.
+    ``user_keys`` / ``item_keys`` are ["u"] / ["s"] for broadcast tables and
+    ["b", "u", "salt"] / ["b", "s"] for tables brought to the pair buckets.
     """
     keep = pairs.columns
-    joined = pairs.join(users, user_keys or ["u"]).join(items, "s")
+    joined = pairs.join(users, user_keys or ["u"]).join(items, item_keys or ["s"])
     w = joined.select(
         *keep,
         *[(F.col(f"pu{z}") * F.col(f"ps{z}")).alias(f"w{z}") for z in range(k)],
@@ -197,41 +198,49 @@ def m_step(spark: SparkSession, resp: DataFrame, k: int, weight_col: str | None
 
 @dataclass
 class PairLayout:
-    """The distinct pair table, written once, bucketed and clustered on (u, salt).
-
-    * Each bucket holds whole users, so the per-pass user-side aggregation
-      emits about one row per user per bucket before its shuffle (instead of
-      one row per pair when pairs are spread by (u, s)).
-    * When p(z|u) is too large to broadcast, each pass writes it bucketed the
-      same way and the user join reads matching buckets side by side: no
-      exchange of the pair table.
-    * Users holding more than one bucket's fair share of pairs ("heavy";
+    """The distinct pair table, written once as a table bucketed on ``b``.
+
+    ``b = pmod(xxhash64(u, salt), n_buckets)``:
+
+    * each bucket holds whole users (salt 0), so the per-pass user-side
+      aggregation emits about one row per user per bucket before its shuffle;
+    * users holding more than one bucket's fair share of pairs ("heavy" —
       fewer than n_buckets of them by construction, so their list is
-      broadcast with a proven bound) are spread over several salts, and their
-      parameter row is replicated once per salt; every other user has salt 0.
+      broadcast with a proven bound) get ``salt = xxhash64(s) mod n_salt`` and
+      spread over several buckets;
+    * parameter tables too large to broadcast are brought *to* the buckets:
+      p(z|u) rows (replicated per salt of heavy users) are shuffled by ``b``,
+      and each item's p(s|z) row is shipped once to every bucket that holds
+      the item (``items_per_bucket``). The pair table itself never moves.
     """
 
-    df: DataFrame  # u, s, [w], salt
+    df: DataFrame  # u, s, [w], salt, b
     n_buckets: int
     heavy: DataFrame  # (u, n_salt)
     n_pairs: int
     n_users: int
+    _items_per_bucket: DataFrame | None = None
+
+    def items_per_bucket(self) -> DataFrame:
+        """Distinct (b, s), written once: where each item's parameters must go."""
+        if self._items_per_bucket is None:
+            spark = self.df.sparkSession
+            path = scratch_path(spark, "items-per-bucket")
+            self.df.select("b", "s").distinct().write.parquet(path)
+            self._items_per_bucket = spark.read.parquet(path)
+        return self._items_per_bucket
 
 
 def _table_name(tag: str) -> str:
     return f"latentcf_{tag}_{uuid.uuid4().hex[:12]}"
 
 
-def _write_bucketed(df: DataFrame, n_buckets: int, tag: str) -> DataFrame:
-    spark = df.sparkSession
-    name = _table_name(tag)
-    (df.repartition(n_buckets, "u", "salt").write.bucketBy(n_buckets, "u", "salt")
-     .option("path", scratch_path(spark, tag)).saveAsTable(name))
-    return spark.table(name)
+def _bucket(n_buckets: int):
+    return F.pmod(F.xxhash64("u", "salt"), F.lit(n_buckets)).cast("int")
 
 
 def layout_pairs(P: DataFrame) -> PairLayout:
-    """Bucketed (u, salt) layout of an already written pair table (two jobs)."""
+    """Bucketed layout of an already written pair table (two jobs)."""
     spark = P.sparkSession
     counts_path = scratch_path(spark, "user-counts")
     P.groupBy("u").agg(F.count(F.lit(1)).alias("c")).write.parquet(counts_path)
@@ -248,16 +257,60 @@ def layout_pairs(P: DataFrame) -> PairLayout:
     heavy = spark.read.parquet(heavy_path)
     salt = F.when(F.col("n_salt").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("s"), F.col("n_salt"))).cast("int")
     salted = P.join(F.broadcast(heavy), "u", "left").select(*P.columns, salt.alias("salt"))
-    return PairLayout(_write_bucketed(salted, n_b, "pairs_b"), n_b, heavy, n_pairs, n_users)
+    salted = salted.withColumn("b", _bucket(n_b))
+    name = _table_name("pairs_b")
+    (salted.repartition(n_b, "b").write.bucketBy(n_b, "b")
+     .option("path", scratch_path(spark, "pairs_b")).saveAsTable(name))
+    return PairLayout(spark.table(name), n_b, heavy, n_pairs, n_users)
+
 
+def colocated_users(users: DataFrame, layout: PairLayout) -> DataFrame:
+    """p(z|u) with (salt, b): one row per salt of a heavy user, one row otherwise.
 
-def salted_users(users: DataFrame, layout: PairLayout) -> DataFrame:
-    """p(z|u) replicated per salt of heavy users, bucketed like the pairs."""
+    Joined on (b, u, salt); Spark shuffles only this side, by b."""
     pu = [c for c in users.columns if c != "u"]
     n = F.coalesce(F.col("n_salt"), F.lit(1))
     x = users.join(F.broadcast(layout.heavy), "u", "left").select(
         "u", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"), *pu)
-    return _write_bucketed(x, layout.n_buckets, "users_b").hint("shuffle_hash")
+    x = x.withColumn("b", _bucket(layout.n_buckets))
+    # partitioned exactly like the bucketed pairs, so only this side moves
+    return x.repartition(layout.n_buckets, "b").hint("shuffle_hash")
+
+
+def colocated_items(items: DataFrame, layout: PairLayout) -> DataFrame:
+    """p(s|z) shipped to the buckets holding each item: (b, s, ps...).
+
+    Joined on (b, s). A hot item is copied at most n_buckets times."""
+    shipped = layout.items_per_bucket().join(items, "s")
+    # partitioned exactly like the bucketed pairs, so only this side moves
+    return shipped.repartition(layout.n_buckets, "b").hint("shuffle_hash")
+
+
+class _CoPartitionByBucket:
+    """Let joins on (b, ...) reuse the table's bucketing on b alone.
+
+    ``spark.sql.requireAllClusterKeysForCoPartition=false`` for the duration
+    of the fit (restored afterwards); with it left on, Spark would shuffle
+    the pair table instead — slower, same result."""
+
+    KEY = "spark.sql.requireAllClusterKeysForCoPartition"
+
+    def __init__(self, spark: SparkSession, active: bool):
+        self.spark, self.active, self.prev = spark, active, None
+
+    def __enter__(self):
+        if self.active:
+            self.prev = self.spark.conf.get(self.KEY, None)
+            self.spark.conf.set(self.KEY, "false")
+        return self
+
+    def __exit__(self, *exc):
+        if self.active:
+            if self.prev is None:
+                self.spark.conf.unset(self.KEY)
+            else:
+                self.spark.conf.set(self.KEY, self.prev)
+        return False
 
 
 # ---------------------------------------------------------------- fit
@@ -305,35 +358,41 @@ def fit(
     spark = P.sparkSession
     limit = broadcast_bytes if broadcast_bytes is not None else broadcast_limit(spark)
     users, items, stats = m_step(spark, initial_responsibilities(P, k, seed), k, weight_col, "em-init")
-    co_located = param_bytes(stats.n_users, k) > limit
+    users_local = param_bytes(stats.n_users, k) > limit
+    items_local = param_bytes(stats.n_items, k) > limit
     logliks: list[float] = []
     seconds: list[float] = []
-    for t in range(1, max_iter + 1):
-        t0 = time.time()
-        S = maybe_broadcast(items, stats.n_items, k, limit)
-        if not co_located:
-            resp = responsibilities(P, F.broadcast(users), S, k)
-        else:
-            resp = responsibilities(P, salted_users(users, layout), S, k, ["u", "salt"])
-        nxt = None
-        if t < max_iter:
-            nxt = m_step(spark, resp, k, weight_col, f"em-pass{t}")
-            ll = nxt[2].loglik
-        else:
-            w = _w(weight_col)
-            lg = F.col("lnev")
-            r = resp.agg(F.sum(lg * w if w is not None else lg).alias("ll"),
-                         F.sum(w if w is not None else F.lit(1.0)).alias("ws")).first()
-            ll = (r["ll"] / r["ws"]) if r["ws"] else None
-        logliks.append(ll)
-        seconds.append(time.time() - t0)
-        converged = (
-            tol is not None and len(logliks) > 1 and ll is not None and logliks[-2] is not None
-            and abs(ll - logliks[-2]) < tol
-        )
-        if converged or nxt is None:
-            break
-        users, items, stats = nxt
+    with _CoPartitionByBucket(spark, users_local or items_local):
+        for t in range(1, max_iter + 1):
+            t0 = time.time()
+            if users_local:
+                U, ukeys = colocated_users(users, layout), ["b", "u", "salt"]
+            else:
+                U, ukeys = F.broadcast(users), ["u"]
+            if items_local:
+                S, skeys = colocated_items(items, layout), ["b", "s"]
+            else:
+                S, skeys = F.broadcast(items), ["s"]
+            resp = responsibilities(P, U, S, k, ukeys, skeys)
+            nxt = None
+            if t < max_iter:
+                nxt = m_step(spark, resp, k, weight_col, f"em-pass{t}")
+                ll = nxt[2].loglik
+            else:
+                w = _w(weight_col)
+                lg = F.col("lnev")
+                r = resp.agg(F.sum(lg * w if w is not None else lg).alias("ll"),
+                             F.sum(w if w is not None else F.lit(1.0)).alias("ws")).first()
+                ll = (r["ll"] / r["ws"]) if r["ws"] else None
+            logliks.append(ll)
+            seconds.append(time.time() - t0)
+            converged = (
+                tol is not None and len(logliks) > 1 and ll is not None and logliks[-2] is not None
+                and abs(ll - logliks[-2]) < tol
+            )
+            if converged or nxt is None:
+                break
+            users, items, stats = nxt
     trace = spark.createDataFrame(
         [(i + 1, float(v) if v is not None and not math.isnan(v) else None, float(s))
          for i, (v, s) in enumerate(zip(logliks, seconds))],

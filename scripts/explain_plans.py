@@ -54,10 +54,13 @@ def main():
             "Bucketed pair scan, two broadcast hash joins, in-row E-step, Expand for GROUPING SETS ((u),(s)), "
             "partial aggregate, one exchange of reduced rows.", em.m_aggregate(resp, 3))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    resp2 = em.responsibilities(lay.df, em.salted_users(users, lay), items, 3, ["u", "salt"])
-    section("EM pass, user table over the broadcast bound (co-located buckets)",
-            "p(z|u) written bucketed like the pairs: ShuffledHashJoin on (u, salt) with no exchange of the pair "
-            "table; the item side here is a shuffle join (AQE splits hot items).", em.m_aggregate(resp2, 3))
+    with em._CoPartitionByBucket(spark, True):
+        resp2 = em.responsibilities(lay.df, em.colocated_users(users, lay), em.colocated_items(items, lay), 3,
+                                    ["b", "u", "salt"], ["b", "s"])
+        section("EM pass, both parameter tables over the broadcast bound (brought to the pair buckets)",
+                "The pair table is scanned bucketed on b and joined in place: p(z|u) rows (one per salt of a heavy "
+                "user) and p(s|z) rows (one per bucket holding the item) are the only sides shuffled, by b.",
+                em.m_aggregate(resp2, 3))
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     model = em.fit(lay, k=3, max_iter=2)
     section("Scores of given pairs", "Equi-joins + unrolled dot product.", scoring.score_pairs(model, test))

@@ -65,13 +65,30 @@ def test_colocated_pass_does_not_shuffle_pairs(spark, state):
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        resp = em.responsibilities(lay.df, em.salted_users(users, lay), items, 3, ["u", "salt"])
-        lines = _tree(_plan(em.m_aggregate(resp, 3)))
+        with em._CoPartitionByBucket(spark, True):
+            resp = em.responsibilities(lay.df, em.colocated_users(users, lay), em.colocated_items(items, lay), 3,
+                                       ["b", "u", "salt"], ["b", "s"])
+            lines = _tree(_plan(em.m_aggregate(resp, 3)))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
-    sub = _subtree(lines, "ShuffledHashJoin")
-    assert any("latentcf_pairs_b" in x for x in sub) and any("latentcf_users_b" in x for x in sub)
-    assert not any("Exchange" in x for x in sub)
+    # walk up from the bucketed pair scan: no exchange before the last join above it
+    scan = next(n for n, x in enumerate(lines) if "latentcf_pairs_b" in x)
+    chain = _ancestors(lines, scan)
+    names = [lines[n].strip(" :+-").split(" ")[0] for n in chain]
+    assert names.count("ShuffledHashJoin") == 2
+    last_join = max(i for i, nm in enumerate(names) if nm == "ShuffledHashJoin")
+    assert "Exchange" not in names[: last_join + 1]
+
+
+def _ancestors(lines, n):
+    """Indices of the ancestors of tree line n, nearest first."""
+    col = lambda i: re.search(r"[A-Za-z]", lines[i]).start()
+    out, c = [], col(n)
+    for i in range(n - 1, -1, -1):
+        if re.search(r"[A-Za-z]", lines[i]) and col(i) < c:
+            out.append(i)
+            c = col(i)
+    return out
 
 
 def test_score_pairs_broadcasts_parameters(spark, state):
