@@ -200,7 +200,8 @@ def m_step(spark: SparkSession, resp: DataFrame, k: int, weight_col: str | None
 class PairLayout:
     """The distinct pair table, written once as a table bucketed on ``b``.
 
-    ``b = pmod(xxhash64(u, salt), n_buckets)``:
+    ``b`` is the key of slot ``pmod(xxhash64(u, salt), n_buckets)`` (see
+    :func:`bucket_keys`: bucket i holds exactly slot i):
 
     * each bucket holds whole users (salt 0), so the per-pass user-side
       aggregation emits about one row per user per bucket before its shuffle;
@@ -219,6 +220,7 @@ class PairLayout:
     heavy: DataFrame  # (u, n_salt)
     n_pairs: int
     n_users: int
+    bucket_keys: DataFrame | None = None  # (slot, b): n_buckets rows
     _items_per_bucket: DataFrame | None = None
 
     def items_per_bucket(self) -> DataFrame:
@@ -235,10 +237,32 @@ def _table_name(tag: str) -> str:
     return f"latentcf_{tag}_{uuid.uuid4().hex[:12]}"
 
 
-def _bucket(n_buckets: int):
+def _slot(n_buckets: int):
     return F.pmod(F.xxhash64("u", "salt"), F.lit(n_buckets)).cast("int")
 
 
+def bucket_keys(spark: SparkSession, n_buckets: int) -> DataFrame:
+    """(slot, b): for every slot in [0, n) an int key b that hash partitioning sends to bucket ``slot``.
+
+    Bucketing and ``repartition(n, "b")`` place a row in ``pmod(hash(b), n)``;
+    using these keys as ``b`` gives bucket i exactly the rows of slot i, so the
+    buckets are as even as xxhash64(u, salt) mod n (n distinct raw slot values
+    would collide and leave about a third of the buckets empty). n rows, so
+    broadcasting it has a proven bound; written once per layout."""
+    cand = spark.range(0, 64 * n_buckets).select(F.col("id").cast("int").alias("b"))
+    keys = cand.groupBy(F.pmod(F.hash("b"), F.lit(n_buckets)).alias("slot")).agg(F.min("b").alias("b"))
+    path = scratch_path(spark, "bucket-keys")
+    keys.write.parquet(path)
+    out = spark.read.parquet(path)
+    if out.count() != n_buckets:  # 64 candidates per bucket: missing one has probability ~n·e^-64
+        raise RuntimeError("could not find a key for every bucket")
+    return out
+
+
+def _with_bucket(df: DataFrame, keys: DataFrame, n_buckets: int) -> DataFrame:
+    return df.withColumn("slot", _slot(n_buckets)).join(F.broadcast(keys), "slot").drop("slot")
+
+
 def layout_pairs(P: DataFrame) -> PairLayout:
     """Bucketed layout of an already written pair table (two jobs)."""
     spark = P.sparkSession
@@ -257,11 +281,12 @@ def layout_pairs(P: DataFrame) -> PairLayout:
     heavy = spark.read.parquet(heavy_path)
     salt = F.when(F.col("n_salt").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("s"), F.col("n_salt"))).cast("int")
     salted = P.join(F.broadcast(heavy), "u", "left").select(*P.columns, salt.alias("salt"))
-    salted = salted.withColumn("b", _bucket(n_b))
+    keys = bucket_keys(spark, n_b)
+    salted = _with_bucket(salted, keys, n_b)
     name = _table_name("pairs_b")
     (salted.repartition(n_b, "b").write.bucketBy(n_b, "b")
      .option("path", scratch_path(spark, "pairs_b")).saveAsTable(name))
-    return PairLayout(spark.table(name), n_b, heavy, n_pairs, n_users)
+    return PairLayout(spark.table(name), n_b, heavy, n_pairs, n_users, keys)
 
 
 def colocated_users(users: DataFrame, layout: PairLayout) -> DataFrame:
@@ -272,7 +297,7 @@ def colocated_users(users: DataFrame, layout: PairLayout) -> DataFrame:
     n = F.coalesce(F.col("n_salt"), F.lit(1))
     x = users.join(F.broadcast(layout.heavy), "u", "left").select(
         "u", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"), *pu)
-    x = x.withColumn("b", _bucket(layout.n_buckets))
+    x = _with_bucket(x, layout.bucket_keys, layout.n_buckets)
     # partitioned exactly like the bucketed pairs, so only this side moves
     return x.repartition(layout.n_buckets, "b").hint("shuffle_hash")
 
