@@ -236,14 +236,8 @@ def q_threshold_sweep(spark, d):
 
 def q_pr_curve(spark, d):
     train, test = _split(spark, d)
-    P = em.prepare_layout(train)
-    out = None
-    for k in PR_KS:
-        m = em.fit(P, k=k, max_iter=PASSES, seed=SEED)
-        c = evaluation.threshold_sweep(m, train, test, SWEEP).select(
-            F.lit(k).alias("k"), "threshold", q9("precision"), q9("recall"), q9("f1"))
-        out = c if out is None else out.unionByName(c)
-    return out
+    return evaluation.pr_curve(train, test, PR_KS, SWEEP, PASSES, SEED).select(
+        "k", "threshold", q9("precision"), q9("recall"), q9("f1"))
 
 
 def q_roc_points(spark, d):

@@ -1,7 +1,15 @@
 """Sources (ratings logs, driver tables) and sinks (scores, traces, run metadata)."""
 
 from latentcf.sources.ratings import RATINGS_SCHEMA, interactions, read_ratings
-from latentcf.sources.tables import event_pairs, load_table, profile, purchase_pairs, purchase_rows, word_pairs
+from latentcf.sources.tables import (
+    event_pairs,
+    load_table,
+    preview,
+    profile,
+    purchase_pairs,
+    purchase_rows,
+    word_pairs,
+)
 
 __all__ = [
     "RATINGS_SCHEMA",
@@ -13,4 +21,5 @@ __all__ = [
     "word_pairs",
     "event_pairs",
     "profile",
+    "preview",
 ]

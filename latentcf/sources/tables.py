@@ -66,3 +66,8 @@ def profile(rows: DataFrame) -> DataFrame:
         F.countDistinct("u").alias("n_users"),
         F.countDistinct("s").alias("n_items"),
     )
+
+
+def preview(df: DataFrame, n: int = 10, order_by: list[str] | None = None) -> DataFrame:
+    """The first n rows, in a defined order when ``order_by`` is given (row order is otherwise undefined)."""
+    return (df.orderBy(*order_by) if order_by else df).limit(n)

@@ -140,3 +140,31 @@ def test_predict_and_exclude(spark, fx6):
     assert sorted((r.u, r.s) for r in left) == [(1, 20), (2, 30)]
     pc = {r.u: r.n_pos for r in scoring.positive_counts(m, [0.5], per_user=True).collect()}
     assert pc == {1: 2, 2: 1}
+
+
+def test_auc_matches_spark_ml_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from tests.fixtures import planted_blocks
+
+    train, test = hash_split(planted_blocks(spark), 0.1, 42)
+    m = em.fit(train, k=3, max_iter=10, seed=42)
+    # materialise every unseen pair only for this cross-check (60 x 60 fixture)
+    users = m.users.select("u", *[F.col(f"pu{z}") for z in range(3)])
+    grid = users.select("u", F.explode(F.sequence(F.lit(1000).cast("long"), F.lit(1059).cast("long"))).alias("s"))
+    scored = scoring.score_pairs(m, grid)
+    unseen = scoring.exclude_seen(scored, train)
+    lab = unseen.join(test.withColumn("label", F.lit(1.0)), ["u", "s"], "left").fillna(0.0, ["label"])
+    ev = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderROC",
+                                       numBins=0)
+    ours = evaluation.auc(m, train, test).first()["auc"]
+    assert ours == pytest.approx(ev.evaluate(lab), abs=1e-9)
+
+
+def test_pr_curve_operator(spark):
+    from tests.fixtures import planted_blocks
+
+    train, test = hash_split(planted_blocks(spark), 0.1, 42)
+    c = evaluation.pr_curve(train, test, [2, 3], [0.05, 0.02], passes=5).collect()
+    assert sorted({(r.k, r.threshold) for r in c}) == [(2, 0.02), (2, 0.05), (3, 0.02), (3, 0.05)]
+    assert all(r.tp + r.fn == test.count() for r in c)

@@ -101,3 +101,8 @@ def test_sweep_csv_fx8(spark, tmpdir_path):
     back = sinks.read_sweep_csv(spark, path)
     got = sorted((r.k, r.iteration, round(r.loglik, 9)) for r in back.collect())
     assert got == sorted((k, i, round(v, 9)) for k, i, v in long_rows)
+
+
+def test_preview_is_ordered(spark):
+    df = pairs_df(spark, [(3, 30), (1, 10), (2, 20)])
+    assert [r.u for r in tables.preview(df, 2, ["u"]).collect()] == [1, 2]
