@@ -181,8 +181,10 @@ def load_state(spark: SparkSession, path: str, k: int,
     users = st.where(F.col("side") == "u").select(
         "u", *[(F.col(f"m{z}") / row_sum(m)).alias(f"pu{z}") for z in range(k)]
     )
+    # a class whose mass underflowed to 0 is dead: p(s|z) = 0 rather than 0/0
     items = st.where(F.col("side") == "s").select(
-        "s", *[(F.col(f"m{z}") / F.lit(float(totals[z]))).alias(f"ps{z}") for z in range(k)]
+        "s", *[((F.col(f"m{z}") / F.lit(float(totals[z]))) if totals[z] else F.lit(0.0)).alias(f"ps{z}")
+               for z in range(k)]
     )
     return users, items, stats
 
