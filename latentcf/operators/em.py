@@ -2,19 +2,22 @@
 
 State per pass is the pair of parameter tables (users x k, items x k), never
 the responsibilities (pairs x k): q is recomputed from the parameters inside
-the pass, so the only large input is the distinct pair table, written once.
+the pass, so the only large input is the distinct pair table, written once
+as a bucketed table (:class:`PairLayout`).
 
 One pass is one Spark job::
 
-    pairs ⋈ p(z|u) on u ⋈ p(s|z) on s      (broadcast when size-checked, else shuffle join)
-      -> w_z = p(z|u) p(s|z), evidence = sum_z w_z, q_z = w_z / evidence   (in-row)
+    bucketed pairs ⋈ p(z|u) ⋈ p(s|z)   each side broadcast when its size is proven under the limit,
+                                       else brought to the pair buckets (the pairs never move)
+      -> w_z = p(z|u) p(s|z), evidence = sum_z w_z, q_z = w_z / evidence, ln evidence   (in-row)
       -> GROUPING SETS ((u), (s)): sum q_z per user and per item          (partial + final agg)
          plus sum ln(evidence) and sum weight on the user rows (log-likelihood)
       -> written to the checkpoint folder (cuts lineage, survives executor loss)
 
 The k+5 scalars the driver needs (class totals N(z), log-likelihood sums,
-row counts) are observed during that same write (``DataFrame.observe``). The last pass only needs the
-log-likelihood, so it runs a global aggregate instead of the M-step.
+row counts) are observed during that same write (``DataFrame.observe``).
+The last pass only needs the log-likelihood, so it runs a global aggregate
+instead of the M-step.
 """
 
 from __future__ import annotations
