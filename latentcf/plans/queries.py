@@ -36,7 +36,17 @@ TOL_MAX_ITER = 10
 
 
 def q9(name: str, alias: str | None = None):
-    return quantise(F.col(name)).alias(alias or f"{name}_q")
+    """Fingerprint at 1e-9: tiny values (p(s|z), scores) and values that are
+    bit-identical in both engines (keyed draws, ratios of exact counts)."""
+    return quantise(F.col(name), 1e9).alias(alias or f"{name}_q")
+
+
+def q6(name: str, alias: str | None = None):
+    """Fingerprint at 1e-6 for O(0.1..1e5) sums (posteriors, p(z|u), masses,
+    totals, log-likelihoods): two engines summing in different orders differ
+    by ~1e-15 relative, which a 1e-9 grid on such magnitudes would cross at
+    random about once per million values; 1e-6 keeps that negligible."""
+    return quantise(F.col(name), 1e6).alias(alias or f"{name}_q")
 
 
 # ---------------------------------------------------------------- shared Spark inputs
@@ -114,11 +124,11 @@ def q_latent_expand(spark, d):
 
 
 def q_item_class_counts(spark, d):
-    return _step(spark, d)["n_sz"].select("s", "z", q9("n_sz"))
+    return _step(spark, d)["n_sz"].select("s", "z", q6("n_sz"))
 
 
 def q_class_totals(spark, d):
-    return _step(spark, d)["n_z"].select("z", q9("n_z"))
+    return _step(spark, d)["n_z"].select("z", q6("n_z"))
 
 
 def q_p_item_given_class(spark, d):
@@ -126,19 +136,19 @@ def q_p_item_given_class(spark, d):
 
 
 def q_user_class_mass(spark, d):
-    return _step(spark, d)["mass"].select("u", "z", q9("mass"))
+    return _step(spark, d)["mass"].select("u", "z", q6("mass"))
 
 
 def q_user_totals(spark, d):
-    return _step(spark, d)["totals"].select("u", q9("total"))
+    return _step(spark, d)["totals"].select("u", q6("total"))
 
 
 def q_p_class_given_user(spark, d):
-    return _step(spark, d)["p_zu"].select("u", "z", q9("p_zu"))
+    return _step(spark, d)["p_zu"].select("u", "z", q6("p_zu"))
 
 
 def q_param_join(spark, d):
-    return _step(spark, d)["param_join"].select("u", "s", "z", q9("p_zu"), q9("p_sz"))
+    return _step(spark, d)["param_join"].select("u", "s", "z", q6("p_zu"), q9("p_sz"))
 
 
 def q_evidence(spark, d):
@@ -146,22 +156,22 @@ def q_evidence(spark, d):
 
 
 def q_posterior(spark, d):
-    return _step(spark, d)["posterior"].select("u", "s", "z", q9("q"))
+    return _step(spark, d)["posterior"].select("u", "s", "z", q6("q"))
 
 
 def q_loglik_mean(spark, d):
-    return _step(spark, d)["loglik"].select(q9("loglik"), "n_pairs")
+    return _step(spark, d)["loglik"].select(q6("loglik"), "n_pairs")
 
 
 def q_loglik_negative(spark, d):
     st = _step(spark, d)
     scores = st["evidence"].withColumnRenamed("evidence", "score")
-    return staged.negative_loglik(scores, _pairs(spark, d)).select(q9("neg_loglik"))
+    return staged.negative_loglik(scores, _pairs(spark, d)).select(q6("neg_loglik"))
 
 
 def q_em_trace(spark, d):
     m, _, _ = _fit(spark, d)
-    return m.trace.select("iteration", q9("loglik"))
+    return m.trace.select("iteration", q6("loglik"))
 
 
 def q_em_items(spark, d):
@@ -171,7 +181,7 @@ def q_em_items(spark, d):
 
 def q_em_users(spark, d):
     m, _, _ = _fit(spark, d)
-    return _long(m.users, "u", "pu", K, "p").select("u", "z", q9("p"))
+    return _long(m.users, "u", "pu", K, "p").select("u", "z", q6("p"))
 
 
 def q_em_converged(spark, d):
@@ -192,7 +202,7 @@ def q_score_test(spark, d):
 
 def q_score_all_summary(spark, d):
     m, _, _ = _fit(spark, d)
-    return scoring.user_summary(m).select("u", "n_items", q9("score_sum"), q9("score_max"))
+    return scoring.user_summary(m).select("u", "n_items", q6("score_sum"), q9("score_max"))
 
 
 def q_predict_inclusive(spark, d):
@@ -293,7 +303,7 @@ def q_lda_scores(spark, d):
 
 def q_k_sweep(spark, d):
     train, _ = _split(spark, d)
-    return selection.k_sweep(train, K_SWEEP, PASSES, SEED).select("k", "iteration", q9("loglik"))
+    return selection.k_sweep(train, K_SWEEP, PASSES, SEED).select("k", "iteration", q6("loglik"))
 
 
 def q_weighted_m_step(spark, d):
@@ -304,12 +314,12 @@ def q_weighted_m_step(spark, d):
 
 def q_word_em_trace(spark, d):
     m = em.fit(tables.word_pairs(spark, d), k=K, max_iter=PASSES, seed=SEED)
-    return m.trace.select("iteration", q9("loglik"))
+    return m.trace.select("iteration", q6("loglik"))
 
 
 def q_event_em_trace(spark, d):
     m = em.fit(tables.event_pairs(spark, d), k=K, max_iter=PASSES, seed=SEED)
-    return m.trace.select("iteration", q9("loglik"))
+    return m.trace.select("iteration", q6("loglik"))
 
 
 # ---------------------------------------------------------------- oracle side
@@ -345,9 +355,10 @@ def _o_fit(k=K, passes=PASSES):
     return ch, tr, te, pu, ps, lls
 
 
-def _unpivot(src: str, key: str, prefix: str, k: int, out: str) -> str:
+def _unpivot(src: str, key: str, prefix: str, k: int, out: str, digits: int = 9) -> str:
     return " UNION ALL ".join(
-        f"SELECT {key}, CAST({z} AS INTEGER) AS z, {O.qz(f'{prefix}{z}')} AS {out} FROM {src}" for z in range(k))
+        f"SELECT {key}, CAST({z} AS INTEGER) AS z, {O.qz(f'{prefix}{z}', digits)} AS {out} FROM {src}"
+        for z in range(k))
 
 
 def o_profile_counts():
@@ -403,11 +414,11 @@ def o_latent_expand():
 
 
 def o_item_class_counts():
-    return _o_long_step().sql(f"SELECT s, z, {O.qz('n_sz')} AS n_sz_q FROM nsz")
+    return _o_long_step().sql(f"SELECT s, z, {O.qz('n_sz', 6)} AS n_sz_q FROM nsz")
 
 
 def o_class_totals():
-    return _o_long_step().sql(f"SELECT z, {O.qz('n_z')} AS n_z_q FROM nz")
+    return _o_long_step().sql(f"SELECT z, {O.qz('n_z', 6)} AS n_z_q FROM nz")
 
 
 def o_p_item_given_class():
@@ -415,19 +426,19 @@ def o_p_item_given_class():
 
 
 def o_user_class_mass():
-    return _o_long_step().sql(f"SELECT u, z, {O.qz('mass')} AS mass_q FROM mass")
+    return _o_long_step().sql(f"SELECT u, z, {O.qz('mass', 6)} AS mass_q FROM mass")
 
 
 def o_user_totals():
-    return _o_long_step().sql(f"SELECT u, {O.qz('total')} AS total_q FROM tot")
+    return _o_long_step().sql(f"SELECT u, {O.qz('total', 6)} AS total_q FROM tot")
 
 
 def o_p_class_given_user():
-    return _o_long_step().sql(f"SELECT u, z, {O.qz('p_zu')} AS p_zu_q FROM pzu")
+    return _o_long_step().sql(f"SELECT u, z, {O.qz('p_zu', 6)} AS p_zu_q FROM pzu")
 
 
 def o_param_join():
-    return _o_long_step().sql(f"SELECT u, s, z, {O.qz('p_zu')} AS p_zu_q, {O.qz('p_sz')} AS p_sz_q FROM pj")
+    return _o_long_step().sql(f"SELECT u, s, z, {O.qz('p_zu', 6)} AS p_zu_q, {O.qz('p_sz')} AS p_sz_q FROM pj")
 
 
 def o_evidence():
@@ -436,17 +447,17 @@ def o_evidence():
 
 def o_posterior():
     return _o_long_step().sql(
-        f"SELECT pj.u, pj.s, pj.z, {O.qz('pj.p_zu * pj.p_sz / ev.evidence')} AS q_q "
+        f"SELECT pj.u, pj.s, pj.z, {O.qz('pj.p_zu * pj.p_sz / ev.evidence', 6)} AS q_q "
         f"FROM pj JOIN ev ON pj.u = ev.u AND pj.s = ev.s")
 
 
 def o_loglik_mean():
-    return _o_long_step().sql(f"SELECT {O.qz('avg(ln(evidence))')} AS loglik_q, count(*) AS n_pairs FROM ev")
+    return _o_long_step().sql(f"SELECT {O.qz('avg(ln(evidence))', 6)} AS loglik_q, count(*) AS n_pairs FROM ev")
 
 
 def o_loglik_negative():
     return _o_long_step().sql(
-        f"SELECT {O.qz('-sum(ln(ev.evidence)) / count(*)')} AS neg_loglik_q "
+        f"SELECT {O.qz('-sum(ln(ev.evidence)) / count(*)', 6)} AS neg_loglik_q "
         f"FROM pairs p LEFT JOIN ev ON p.u = ev.u AND p.s = ev.s")
 
 
@@ -462,7 +473,7 @@ def o_em_items():
 
 def o_em_users():
     ch, _, _, pu, _, _ = _o_fit()
-    return ch.sql(_unpivot(pu, "u", "pu", K, "p_q"))
+    return ch.sql(_unpivot(pu, "u", "pu", K, "p_q", 6))
 
 
 def o_score_observed():
@@ -480,7 +491,7 @@ def o_score_test():
 def o_score_all_summary():
     ch, _, _, pu, ps, _ = _o_fit()
     a = O.all_scores(ch, pu, ps, K)
-    return ch.sql(f"SELECT u, count(*) AS n_items, {O.qz('sum(score)')} AS score_sum_q, "
+    return ch.sql(f"SELECT u, count(*) AS n_items, {O.qz('sum(score)', 6)} AS score_sum_q, "
                   f"{O.qz('max(score)')} AS score_max_q FROM {a} GROUP BY u")
 
 
@@ -595,7 +606,7 @@ def o_k_sweep():
     for k in K_SWEEP:
         _, _, lls = O.em(ch, tr, k, PASSES, SEED, tag=f"k{k}_")
         parts.append(" UNION ALL ".join(
-            f"SELECT CAST({k} AS INTEGER) AS k, CAST({i + 1} AS INTEGER) AS iteration, {O.qz(x)} AS loglik_q"
+            f"SELECT CAST({k} AS INTEGER) AS k, CAST({i + 1} AS INTEGER) AS iteration, {O.qz(x, 6)} AS loglik_q"
             for i, x in enumerate(lls)))
     return ch.sql(" UNION ALL ".join(parts))
 
