@@ -32,6 +32,10 @@ from latentcf.operators.em import broadcast_limit, maybe_broadcast, param_bytes
 
 # Cells (users x items) scored per numpy block inside a task: bounds task memory.
 BLOCK_CELLS = 4_000_000
+# Cells per task: the user table is spread so that the |U| x |S| work, not its row
+# count, sets the number of tasks (a few thousand users can be hours of scoring).
+TASK_CELLS = 64_000_000
+MAX_SCORING_TASKS = 200_000
 
 
 # ---------------------------------------------------------------- join path
@@ -75,7 +79,7 @@ def predicted_pairs(model: LatentClassModel, threshold: float, inclusive: bool =
         r, c = np.nonzero(hit)
         return pd.DataFrame({"u": pdf["u"].to_numpy()[r], "s": ids[c], "score": sc[r, c]})
 
-    out = _union_all([_run_blocks(model.users, model.k, ch, red, schema) for ch in item_chunks(model, broadcast_bytes)])
+    out = _union_all([_run_blocks(model.users, model.k, ch, red, schema, model.n_users) for ch in item_chunks(model, broadcast_bytes)])
     return exclude_seen(out, seen) if seen is not None else out
 
 
@@ -137,9 +141,21 @@ def _user_batches(it: Iterator[pd.DataFrame], n_items: int) -> Iterator[pd.DataF
             yield pdf.iloc[i: i + step]
 
 
-def _run_blocks(users: DataFrame, k: int, chunk: ItemChunk, reducer: Callable, schema: T.StructType) -> DataFrame:
+def _spread(users: DataFrame, n_items: int, n_users: int | None) -> DataFrame:
+    """Hash-partition the user side by u into enough tasks for |U| x |S| cells."""
+    spark = users.sparkSession
+    cores = max(1, int(spark.sparkContext.defaultParallelism))
+    if not n_users:
+        return users
+    n = min(MAX_SCORING_TASKS, n_users, max(cores, math.ceil(n_users * n_items / TASK_CELLS)))
+    return users.repartition(max(1, n), "u")
+
+
+def _run_blocks(users: DataFrame, k: int, chunk: ItemChunk, reducer: Callable, schema: T.StructType,
+                n_users: int | None = None) -> DataFrame:
     """mapInPandas over users: for each user batch, scores -> reducer(pdf, scores, ids)."""
     spark = users.sparkSession
+    users = _spread(users, len(chunk.ids), n_users)
     bc = spark.sparkContext.broadcast((chunk.ids, chunk.mat))
     ucols = [f"pu{z}" for z in range(k)]
 
@@ -174,7 +190,7 @@ def user_summary(model: LatentClassModel, broadcast_bytes: int | None = None) ->
         return pd.DataFrame({"u": pdf["u"].to_numpy(), "n_items": np.full(len(pdf), sc.shape[1], dtype=np.int64),
                              "score_sum": sc.sum(axis=1), "score_max": sc.max(axis=1)})
 
-    parts = [_run_blocks(model.users, model.k, ch, red, schema) for ch in item_chunks(model, broadcast_bytes)]
+    parts = [_run_blocks(model.users, model.k, ch, red, schema, model.n_users) for ch in item_chunks(model, broadcast_bytes)]
     if len(parts) == 1:
         return parts[0]
     return _union_all(parts).groupBy("u").agg(
@@ -205,7 +221,7 @@ def positive_counts(model: LatentClassModel, thresholds: list[float], inclusive:
                 rows.append(pd.DataFrame({"threshold": [t], "n_pos": [np.int64(hit.sum())]}))
         return pd.concat(rows, ignore_index=True)
 
-    parts = [_run_blocks(model.users, model.k, ch, red, schema) for ch in item_chunks(model, broadcast_bytes)]
+    parts = [_run_blocks(model.users, model.k, ch, red, schema, model.n_users) for ch in item_chunks(model, broadcast_bytes)]
     keys = (["u"] if per_user else []) + ["threshold"]
     return _union_all(parts).groupBy(*keys).agg(F.sum("n_pos").cast("bigint").alias("n_pos"))
 
@@ -255,7 +271,7 @@ def recommend(model: LatentClassModel, n: int = 5, seen: DataFrame | None = None
             scores.extend(row[order].tolist())
         return pd.DataFrame({"u": us, "rank": np.asarray(ranks, dtype=np.int32), "s": ss, "score": scores})
 
-    parts = [_run_blocks(_seen_lists(model, seen, ch), model.k, ch, red, schema)
+    parts = [_run_blocks(_seen_lists(model, seen, ch), model.k, ch, red, schema, model.n_users)
              for ch in item_chunks(model, broadcast_bytes)]
     if len(parts) == 1:
         return parts[0]
@@ -306,7 +322,7 @@ def rank_sums(model: LatentClassModel, positives_sorted: np.ndarray, broadcast_b
         gt, eq = _pos_sums(pbc.value, sc.ravel())
         return pd.DataFrame({"gt": [np.int64(gt)], "eq": [np.int64(eq)]})
 
-    parts = [_run_blocks(model.users, model.k, ch, red, schema) for ch in item_chunks(model, broadcast_bytes)]
+    parts = [_run_blocks(model.users, model.k, ch, red, schema, model.n_users) for ch in item_chunks(model, broadcast_bytes)]
     return _union_all(parts).agg(F.sum("gt").cast("bigint").alias("gt"), F.sum("eq").cast("bigint").alias("eq"))
 
 
