@@ -43,7 +43,9 @@ def read_ratings(spark: SparkSession, path: str | list[str], item_type: str = "l
         .option("sep", sep)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
-        .option("mode", "DROPMALFORMED")
+        # PERMISSIVE: a click log with only "u,s" columns is valid (the rest are null);
+        # unparseable keys become null and are dropped by ``interactions``
+        .option("mode", "PERMISSIVE")
         .csv(path)
     )
     if item_type != "long":

@@ -106,3 +106,11 @@ def test_sweep_csv_fx8(spark, tmpdir_path):
 def test_preview_is_ordered(spark):
     df = pairs_df(spark, [(3, 30), (1, 10), (2, 20)])
     assert [r.u for r in tables.preview(df, 2, ["u"]).collect()] == [1, 2]
+
+
+def test_two_column_click_log_and_bad_lines(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "two.csv")
+    with open(p, "w") as f:
+        f.write("userId,movieId\n1,10\n2,20\nbad,line\n3,x\n")
+    got = sorted((r.u, r.s) for r in ratings.interactions(ratings.read_ratings(spark, p)).collect())
+    assert got == [(1, 10), (2, 20)]
