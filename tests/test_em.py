@@ -136,3 +136,16 @@ def test_empty_input_raises_cleanly(spark):
     pairs = spark.createDataFrame([], "u long, s long")
     with pytest.raises(Exception):
         em.fit(pairs, k=2, max_iter=2)
+
+
+def test_hot_item_shipped_equals_broadcast(spark):
+    # item 42 is bought by 1500 of 1800 users: about a third of all pairs
+    base = spark.range(0, 3000).select((F.col("id") % 1800).alias("u"), (F.col("id") % 211 + 100).alias("s"))
+    hot = spark.range(0, 1500).select(F.col("id").alias("u"), F.lit(42).cast("long").alias("s"))
+    pairs = base.union(hot).distinct()
+    a = em.fit(pairs, k=3, max_iter=3, seed=5)
+    b = em.fit(pairs, k=3, max_iter=3, seed=5, broadcast_bytes=0)
+    assert b.logliks == pytest.approx(a.logliks, abs=1e-12)
+    ua = a.users.select("u", *[F.col(f"pu{z}").alias(f"a{z}") for z in range(3)])
+    d = b.users.join(ua, "u").agg(*[F.max(F.abs(F.col(f"pu{z}") - F.col(f"a{z}"))) for z in range(3)]).first()
+    assert max(d) < 1e-12
