@@ -165,14 +165,22 @@ def _stats_from(r, k: int) -> StateStats:
                       int(r["np"] or 0))
 
 
-def write_state(spark: SparkSession, state: DataFrame, tag: str, k: int) -> tuple[str, StateStats]:
+def write_state(spark: SparkSession, state: DataFrame, tag: str, k: int,
+                path: str | None = None) -> tuple[str, StateStats]:
     """Write the state and collect its scalars in the same job (``observe``)."""
-    path = scratch_path(spark, tag)
+    path = path or scratch_path(spark, tag)
     obs = Observation(f"latentcf_{uuid.uuid4().hex[:8]}")
-    state.observe(obs, *_state_metrics(k)).write.partitionBy("side").parquet(path)
+    state.observe(obs, *_state_metrics(k)).write.mode("overwrite").partitionBy("side").parquet(path)
     return path, _stats_from(obs.get, k)
 
 
+def committed(spark: SparkSession, path: str) -> bool:
+    """True when a write to ``path`` finished (the committer's _SUCCESS marker)."""
+    sc = spark.sparkContext
+    marker = sc._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return bool(marker.getFileSystem(sc._jsc.hadoopConfiguration()).exists(marker))
+
+
 def load_state(spark: SparkSession, path: str, k: int,
                stats: StateStats | None = None) -> tuple[DataFrame, DataFrame, StateStats]:
     """Read a written state back as normalised parameter tables + scalars."""
@@ -192,9 +200,10 @@ def load_state(spark: SparkSession, path: str, k: int,
     return users, items, stats
 
 
-def m_step(spark: SparkSession, resp: DataFrame, k: int, weight_col: str | None = None, tag: str = "em-state"):
+def m_step(spark: SparkSession, resp: DataFrame, k: int, weight_col: str | None = None, tag: str = "em-state",
+           path: str | None = None):
     """Run one M-step to a written state and return (users, items, stats)."""
-    path, stats = write_state(spark, m_aggregate(resp, k, weight_col), tag, k)
+    path, stats = write_state(spark, m_aggregate(resp, k, weight_col), tag, k, path)
     return load_state(spark, path, k, stats)
 
 
@@ -374,12 +383,18 @@ def fit(
     weight_col: str | None = None,
     broadcast_bytes: int | None = None,
     prepared: bool = False,
+    run_dir: str | None = None,
 ) -> LatentClassModel:
     """Fit p(z|u), p(s|z) by EM on distinct (u, s[, weight]) pairs.
 
     ``max_iter`` passes (E-step + log-likelihood each); with ``tol`` the loop
     stops once |loglik_t - loglik_{t-1}| < tol. The returned parameters are
     the ones the last trace row was computed with.
+
+    With ``run_dir`` (a shared folder) the state after each pass is written to
+    ``run_dir/state-<t>``; a fit started again with the same arguments and
+    folder resumes after the last committed pass (a driver restart costs at
+    most one pass). Restored passes have no timing in the trace.
     """
     if k < 1 or max_iter < 1:
         raise ValueError("k and max_iter must be >= 1")
@@ -387,13 +402,32 @@ def fit(
     P = layout.df
     spark = P.sparkSession
     limit = broadcast_bytes if broadcast_bytes is not None else broadcast_limit(spark)
-    users, items, stats = m_step(spark, initial_responsibilities(P, k, seed), k, weight_col, "em-init")
+    run = run_dir.rstrip("/") if run_dir else None
+
+    def state_path(t: int) -> str | None:
+        return f"{run}/state-{t:05d}" if run else None
+
+    logliks: list[float] = []
+    seconds: list = []
+    first = 1
+    if run and committed(spark, state_path(0)):
+        last = 0
+        while last + 1 < max_iter and committed(spark, state_path(last + 1)):
+            last += 1
+        logliks = [load_state(spark, state_path(t), k)[2].loglik for t in range(1, last + 1)]
+        seconds = [None] * last
+        first = last + 1
+        done = tol is not None and len(logliks) > 1 and abs(logliks[-1] - logliks[-2]) < tol
+        users, items, stats = load_state(spark, state_path(last - 1 if done else last), k)
+        if done:
+            first = max_iter + 1
+    else:
+        users, items, stats = m_step(spark, initial_responsibilities(P, k, seed), k, weight_col, "em-init",
+                                     state_path(0))
     users_local = param_bytes(stats.n_users, k) > limit
     items_local = param_bytes(stats.n_items, k) > limit
-    logliks: list[float] = []
-    seconds: list[float] = []
     with _CoPartitionByBucket(spark, users_local or items_local):
-        for t in range(1, max_iter + 1):
+        for t in range(first, max_iter + 1):
             t0 = time.time()
             if users_local:
                 U, ukeys = colocated_users(users, layout), ["b", "u", "salt"]
@@ -406,7 +440,7 @@ def fit(
             resp = responsibilities(P, U, S, k, ukeys, skeys)
             nxt = None
             if t < max_iter:
-                nxt = m_step(spark, resp, k, weight_col, f"em-pass{t}")
+                nxt = m_step(spark, resp, k, weight_col, f"em-pass{t}", state_path(t))
                 ll = nxt[2].loglik
             else:
                 w = _w(weight_col)
@@ -424,7 +458,7 @@ def fit(
                 break
             users, items, stats = nxt
     trace = spark.createDataFrame(
-        [(i + 1, float(v) if v is not None and not math.isnan(v) else None, float(s))
+        [(i + 1, float(v) if v is not None and not math.isnan(v) else None, None if s is None else float(s))
          for i, (v, s) in enumerate(zip(logliks, seconds))],
         TRACE_SCHEMA,
     )

@@ -149,3 +149,20 @@ def test_hot_item_shipped_equals_broadcast(spark):
     ua = a.users.select("u", *[F.col(f"pu{z}").alias(f"a{z}") for z in range(3)])
     d = b.users.join(ua, "u").agg(*[F.max(F.abs(F.col(f"pu{z}") - F.col(f"a{z}"))) for z in range(3)]).first()
     assert max(d) < 1e-12
+
+
+def test_resume_after_driver_restart(spark, sf_pairs, tmpdir_path):
+    import os
+
+    full = em.fit(sf_pairs, k=3, max_iter=4, seed=42, prepared=True)
+    run = os.path.join(tmpdir_path, "run")
+    first = em.fit(sf_pairs, k=3, max_iter=2, seed=42, prepared=True, run_dir=run)
+    assert first.logliks == pytest.approx(full.logliks[:2], abs=1e-10)
+    os.makedirs(os.path.join(run, "state-00002", "side=u"))  # a pass that died mid-write
+    resumed = em.fit(sf_pairs, k=3, max_iter=4, seed=42, prepared=True, run_dir=run)
+    assert resumed.logliks == pytest.approx(full.logliks, abs=1e-10)
+    tr = resumed.trace.orderBy("iteration").collect()
+    assert tr[0]["seconds"] is None and tr[-1]["seconds"] is not None
+    # a finished run resumes to the same model without new passes
+    again = em.fit(sf_pairs, k=3, max_iter=4, seed=42, prepared=True, run_dir=run)
+    assert again.logliks[:3] == pytest.approx(full.logliks[:3], abs=1e-10)
