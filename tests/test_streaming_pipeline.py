@@ -3,10 +3,9 @@
 import json
 import os
 
-import pytest
 from pyspark.sql import functions as F
 
-from latentcf.operators import em, scoring
+from latentcf.operators import scoring
 from latentcf.plans import pipeline
 from latentcf.streaming import append_pairs, dedup_pairs, read_ratings_stream, score_stream
 from tests.fixtures import fx6_model, planted_blocks
