@@ -53,6 +53,16 @@ def main():
     section("EM pass, parameter tables broadcast (size-checked)",
             "Bucketed pair scan, two broadcast hash joins, in-row E-step, Expand for GROUPING SETS ((u),(s)), "
             "partial aggregate, one exchange of reduced rows.", em.m_aggregate(resp, 3))
+    executed = em.m_aggregate(resp, 3)
+    executed.collect()
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        executed.explain()
+    final = buf.getvalue().split("+- == Initial Plan ==")[0]
+    out.extend(["## EM pass as executed (final adaptive plan)", "",
+                "`*(n)` marks whole-stage codegen: the scan, both joins, the in-row E-step, the Expand and the "
+                "partial aggregate are one generated stage; the final aggregate reads AQE-coalesced partitions.",
+                "", "```", "\n".join(x[:170] for x in final.strip().splitlines()), "```", ""])
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     with em._CoPartitionByBucket(spark, True):
         resp2 = em.responsibilities(lay.df, em.colocated_users(users, lay), em.colocated_items(items, lay), 3,
