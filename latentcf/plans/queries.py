@@ -187,7 +187,7 @@ def q_em_users(spark, d):
 def q_em_converged(spark, d):
     train, _ = _split(spark, d)
     m = em.fit(train, k=K, max_iter=TOL_MAX_ITER, seed=SEED, tol=TOL)
-    return m.trace.select("iteration", "loglik")
+    return m.trace.select("iteration", q6("loglik"))
 
 
 def q_score_observed(spark, d):
@@ -466,6 +466,18 @@ def o_em_trace():
     return ch.sql(O.trace_sql(lls))
 
 
+def o_em_converged():
+    """All TOL_MAX_ITER passes unrolled, cut after the first pass with |delta loglik| < TOL."""
+    ch, _, tr, _, _ = _o_split()
+    _, _, lls = O.em(ch, tr, K, TOL_MAX_ITER, SEED, tag="c_")
+    ch.add("trc", " UNION ALL ".join(f"SELECT CAST({i + 1} AS INTEGER) AS iteration, {x} AS ll"
+                                     for i, x in enumerate(lls)))
+    ch.add("stopc", f"SELECT min(iteration) AS stop FROM (SELECT iteration, ll, lag(ll) OVER (ORDER BY iteration) "
+                    f"AS prev FROM trc) WHERE prev IS NOT NULL AND abs(ll - prev) < {O.dbl(TOL)}")
+    return ch.sql(f"SELECT iteration, {O.qz('ll', 6)} AS loglik_q FROM trc, stopc "
+                  f"WHERE iteration <= coalesce(stopc.stop, {TOL_MAX_ITER})")
+
+
 def o_em_items():
     ch, _, _, _, ps, _ = _o_fit()
     return ch.sql(_unpivot(ps, "s", "ps", K, "p_q"))

@@ -51,3 +51,22 @@ def test_oracle_agreement_sf0001(spark, con, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert _hash(rows, df.columns) == _hash(orows, ocols)
+
+
+def test_tolerance_stop_matches_sql_cut(spark, con):
+    """On the dense events domain EM converges fast: the Spark stop must equal the SQL cut."""
+    from latentcf.operators import em
+    from latentcf.plans import oracle as O
+    from latentcf.sources import tables
+
+    tol, max_iter = 1e-3, 12
+    m = em.fit(tables.event_pairs(spark, SF0001), k=2, max_iter=max_iter, seed=42, tol=tol)
+    ch = O.Chain()
+    ep = O.event_pairs(ch)
+    _, _, lls = O.em(ch, ep, 2, max_iter, 42, tag="t_")
+    ch.add("trc", " UNION ALL ".join(f"SELECT {i + 1} AS iteration, {x} AS ll" for i, x in enumerate(lls)))
+    sql = ch.sql(f"SELECT min(iteration) FROM (SELECT iteration, ll, lag(ll) OVER (ORDER BY iteration) AS prev "
+                 f"FROM trc) WHERE prev IS NOT NULL AND abs(ll - prev) < {O.dbl(tol)}")
+    stop = con.execute(sql).fetchone()[0]
+    assert stop is not None and stop < max_iter
+    assert m.passes == stop
