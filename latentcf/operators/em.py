@@ -235,8 +235,15 @@ class PairLayout:
     n_pairs: int
     n_users: int
     bucket_keys: DataFrame | None = None  # (slot, b): n_buckets rows
+    table: str | None = None  # catalog entry that carries the bucket spec
     _items_per_bucket: DataFrame | None = None
 
+    def drop(self) -> None:
+        """Remove the catalog entry (an external table: its files stay in the checkpoint folder)."""
+        if self.table:
+            self.df.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
+            self.table = None
+
     def items_per_bucket(self) -> DataFrame:
         """Distinct (b, s), written once: where each item's parameters must go."""
         if self._items_per_bucket is None:
@@ -300,7 +307,7 @@ def layout_pairs(P: DataFrame) -> PairLayout:
     name = _table_name("pairs_b")
     (salted.repartition(n_b, "b").write.bucketBy(n_b, "b")
      .option("path", scratch_path(spark, "pairs_b")).saveAsTable(name))
-    return PairLayout(spark.table(name), n_b, heavy, n_pairs, n_users, keys)
+    return PairLayout(spark.table(name), n_b, heavy, n_pairs, n_users, keys, name)
 
 
 def colocated_users(users: DataFrame, layout: PairLayout) -> DataFrame:
@@ -398,7 +405,17 @@ def fit(
     """
     if k < 1 or max_iter < 1:
         raise ValueError("k and max_iter must be >= 1")
-    layout = pairs if isinstance(pairs, PairLayout) else prepare_layout(pairs, weight_col, prepared)
+    own_layout = not isinstance(pairs, PairLayout)
+    layout = prepare_layout(pairs, weight_col, prepared) if own_layout else pairs
+    try:
+        return _fit(layout, k, max_iter, seed, tol, weight_col, broadcast_bytes, run_dir)
+    finally:
+        if own_layout:  # nothing returned depends on it; don't leave tables in a shared metastore
+            layout.drop()
+
+
+def _fit(layout: PairLayout, k: int, max_iter: int, seed: int, tol: float | None, weight_col: str | None,
+         broadcast_bytes: int | None, run_dir: str | None) -> LatentClassModel:
     P = layout.df
     spark = P.sparkSession
     limit = broadcast_bytes if broadcast_bytes is not None else broadcast_limit(spark)

@@ -12,10 +12,13 @@ def k_sweep(pairs: DataFrame, ks: list[int], passes: int, seed: int = 42, tol: f
     """Long (k, iteration, loglik, seconds): one EM fit per k over one written pair table."""
     P = em.prepare_layout(pairs)
     out = None
-    for k in ks:
-        m = em.fit(P, k=k, max_iter=passes, seed=seed, tol=tol)
-        t = m.trace.select(F.lit(k).cast("int").alias("k"), "iteration", "loglik", "seconds")
-        out = t if out is None else out.unionByName(t)
+    try:
+        for k in ks:
+            m = em.fit(P, k=k, max_iter=passes, seed=seed, tol=tol)
+            t = m.trace.select(F.lit(k).cast("int").alias("k"), "iteration", "loglik", "seconds")
+            out = t if out is None else out.unionByName(t)
+    finally:
+        P.drop()
     return out
 
 
