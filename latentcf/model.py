@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass
@@ -31,3 +32,28 @@ class LatentClassModel:
     @property
     def neg_loglik(self) -> float | None:
         return -self.logliks[-1] if self.logliks else None
+
+    def save(self, path: str, mode: str = "overwrite") -> None:
+        """Write p(z|u), p(s|z), the trace and the scalars under ``path``."""
+        spark = self.users.sparkSession
+        base = path.rstrip("/")
+        self.users.write.mode(mode).parquet(f"{base}/p_z_given_u")
+        self.items.write.mode(mode).parquet(f"{base}/p_s_given_z")
+        if self.trace is not None:
+            self.trace.write.mode(mode).parquet(f"{base}/trace")
+        meta = {"k": self.k, "passes": self.passes, "n_users": self.n_users, "n_items": self.n_items,
+                "logliks": self.logliks}
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode(mode).text(
+            f"{base}/meta")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "LatentClassModel":
+        base = path.rstrip("/")
+        meta = json.loads(spark.read.text(f"{base}/meta").first()["value"])
+        try:
+            trace = spark.read.parquet(f"{base}/trace")
+        except Exception:  # noqa: BLE001 - a model saved without a trace
+            trace = None
+        return cls(k=int(meta["k"]), users=spark.read.parquet(f"{base}/p_z_given_u"),
+                   items=spark.read.parquet(f"{base}/p_s_given_z"), trace=trace, passes=int(meta["passes"]),
+                   n_users=int(meta["n_users"]), n_items=int(meta["n_items"]), logliks=list(meta["logliks"]))

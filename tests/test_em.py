@@ -166,3 +166,10 @@ def test_resume_after_driver_restart(spark, sf_pairs, tmpdir_path):
     # a finished run resumes to the same model without new passes
     again = em.fit(sf_pairs, k=3, max_iter=4, seed=42, prepared=True, run_dir=run)
     assert again.logliks[:3] == pytest.approx(full.logliks[:3], abs=1e-10)
+
+
+def test_weighted_fit_through_bucket_shipping(spark, sf_pairs):
+    w = sf_pairs.withColumn("w", (F.col("u") % 3 + 1).cast("long"))
+    a = em.fit(w, k=3, max_iter=3, weight_col="w")
+    b = em.fit(w, k=3, max_iter=3, weight_col="w", broadcast_bytes=0)
+    assert b.logliks == pytest.approx(a.logliks, abs=1e-12)

@@ -75,3 +75,19 @@ def test_lda_run(spark, tmpdir_path):
     run = pipeline.lda_run(spark, planted_blocks(spark), k=3, max_iter=5, threshold=1e-5)
     r = run["metrics"].first()
     assert r["tp"] + r["fn"] > 0 and r["threshold"] == 1e-5
+
+
+def test_model_save_load_round_trip(spark, tmpdir_path):
+    from latentcf.model import LatentClassModel
+    from latentcf.operators import em, scoring
+
+    pairs = planted_blocks(spark)
+    m = em.fit(pairs, k=3, max_iter=2)
+    path = os.path.join(tmpdir_path, "model")
+    m.save(path)
+    back = LatentClassModel.load(spark, path)
+    assert (back.k, back.passes, back.n_users, back.n_items) == (3, 2, 60, 60)
+    assert back.logliks == m.logliks
+    a = sorted((r.u, r.s, r.score) for r in scoring.score_pairs(m, pairs).collect())
+    b = sorted((r.u, r.s, r.score) for r in scoring.score_pairs(back, pairs).collect())
+    assert a == b
