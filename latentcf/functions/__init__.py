@@ -3,7 +3,6 @@
 from latentcf.functions.hashing import keyed_bits, keyed_unit_open, keyed_unit_half_open
 from latentcf.functions.numeric import (
     dot,
-    pcols,
     quantise,
     safe_div,
     row_sum,
@@ -14,7 +13,6 @@ __all__ = [
     "keyed_unit_open",
     "keyed_unit_half_open",
     "dot",
-    "pcols",
     "quantise",
     "safe_div",
     "row_sum",

@@ -17,10 +17,6 @@ from pyspark.sql import functions as F
 EVIDENCE_FLOOR = 1e-300
 
 
-def pcols(prefix: str, k: int) -> list[str]:
-    return [f"{prefix}{z}" for z in range(k)]
-
-
 def row_sum(cols: list) -> Column:
     """Left-to-right sum of columns (fixed evaluation order)."""
     cs = [F.col(c) if isinstance(c, str) else c for c in cols]
