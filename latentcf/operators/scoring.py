@@ -246,30 +246,27 @@ def recommend(model: LatentClassModel, n: int = 5, seen: DataFrame | None = None
     schema = T.StructType([T.StructField("u", utype), T.StructField("rank", T.IntegerType()),
                            T.StructField("s", stype), T.StructField("score", T.DoubleType())])
     def red(pdf, sc, ids):
-        us, ranks, ss, scores = [], [], [], []
-        seen_col = pdf["seen"].to_numpy()
-        for i in range(len(pdf)):
-            row = sc[i].copy()
-            sv = seen_col[i]
+        masked = sc.copy()
+        for i, sv in enumerate(pdf["seen"].to_numpy()):  # seen items of this chunk -> -inf
             if sv is not None and len(sv):
                 sv = np.asarray(sv).astype(ids.dtype)
                 pos = np.searchsorted(ids, sv)
                 ok = pos < len(ids)
                 pos, sv = pos[ok], sv[ok]
-                row[pos[ids[pos] == sv]] = -np.inf
-            m = min(n, int(np.isfinite(row).sum()))
-            if m == 0:
-                continue
-            # candidates: every item scoring at least the m-th best (keeps ties),
-            # then order by score desc and item id asc (ids are sorted)
-            kth = np.partition(row, len(row) - m)[len(row) - m]
-            cand = np.nonzero(row >= kth)[0]
-            order = cand[np.lexsort((cand, -row[cand]))][:m]
-            us.extend([pdf["u"].iloc[i]] * m)
-            ranks.extend(range(1, m + 1))
-            ss.extend(ids[order].tolist())
-            scores.extend(row[order].tolist())
-        return pd.DataFrame({"u": us, "rank": np.asarray(ranks, dtype=np.int32), "s": ss, "score": scores})
+                masked[i, pos[ids[pos] == sv]] = -np.inf
+        n_cols = masked.shape[1]
+        m = min(n, n_cols)
+        # per row: every item scoring at least the m-th best (keeps ties at the cut) ...
+        kth = np.partition(masked, n_cols - m, axis=1)[:, n_cols - m]
+        r, c = np.nonzero((masked >= kth[:, None]) & np.isfinite(masked))
+        v = masked[r, c]
+        # ... ordered by row, score desc, item id asc (ids are sorted), first m of each row kept
+        o = np.lexsort((c, -v, r))
+        r, c, v = r[o], c[o], v[o]
+        rank = np.arange(len(r)) - np.searchsorted(r, r, side="left") + 1
+        keep = rank <= m
+        return pd.DataFrame({"u": pdf["u"].to_numpy()[r[keep]], "rank": rank[keep].astype(np.int32),
+                             "s": ids[c[keep]], "score": v[keep]})
 
     parts = [_run_blocks(_seen_lists(model, seen, ch), model.k, ch, red, schema, model.n_users)
              for ch in item_chunks(model, broadcast_bytes)]
