@@ -168,3 +168,17 @@ def test_pr_curve_operator(spark):
     c = evaluation.pr_curve(train, test, [2, 3], [0.05, 0.02], passes=5).collect()
     assert sorted({(r.k, r.threshold) for r in c}) == [(2, 0.02), (2, 0.05), (3, 0.02), (3, 0.05)]
     assert all(r.tp + r.fn == test.count() for r in c)
+
+
+def test_rank_sum_helper_both_branches_with_ties():
+    from latentcf.operators.scoring import _pos_sums, _positive_table
+
+    rng = np.random.default_rng(7)
+    pos = rng.integers(0, 50, 40).astype(float) / 10.0  # many ties
+    table = _positive_table(np.sort(pos))
+    for n in (5, 1000):  # 5 < 4*|unique| -> search branch; 1000 -> sort branch
+        x = rng.integers(0, 60, n).astype(float) / 10.0
+        gt = sum(int((pos > v).sum()) for v in x)
+        eq = sum(int((pos == v).sum()) for v in x)
+        assert _pos_sums(table, x) == (gt, eq)
+    assert _pos_sums(table, np.array([])) == (0, 0)
