@@ -175,10 +175,14 @@ def write_state(spark: SparkSession, state: DataFrame, tag: str, k: int,
 
 
 def committed(spark: SparkSession, path: str) -> bool:
-    """True when a write to ``path`` finished (the committer's _SUCCESS marker)."""
-    sc = spark.sparkContext
-    marker = sc._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
-    return bool(marker.getFileSystem(sc._jsc.hadoopConfiguration()).exists(marker))
+    """True when a write to ``path`` finished (the committer's _SUCCESS marker).
+
+    The reader resolves the path when loading, so a missing marker raises."""
+    try:
+        spark.read.text(path.rstrip("/") + "/_SUCCESS")
+        return True
+    except Exception:  # noqa: BLE001 - path not found
+        return False
 
 
 def load_state(spark: SparkSession, path: str, k: int,
