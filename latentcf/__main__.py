@@ -53,25 +53,25 @@ def _parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
-    from latentcf.plans import pipeline
+    from latentcf.plans import jobs
 
     a = _parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"latentcf-{a.cmd}").getOrCreate()
     if a.cmd == "fit":
-        m = pipeline.cluster_em_job(spark, a.input, a.output, a.metadata, k=a.k, passes=a.passes, seed=a.seed,
+        m = jobs.cluster_em_job(spark, a.input, a.output, a.metadata, k=a.k, passes=a.passes, seed=a.seed,
                                     top_n=a.top_n, threshold=a.threshold)
         print(json.dumps({"passes": m.passes, "logliks": m.logliks, "seconds": m.seconds}))
     elif a.cmd == "evaluate":
-        run = pipeline.notebook_run(spark, a.input, k=a.k, passes=a.passes, alpha=a.alpha, seed=a.seed,
+        run = jobs.notebook_run(spark, a.input, k=a.k, passes=a.passes, alpha=a.alpha, seed=a.seed,
                                     thresholds=a.thresholds, inclusive=not a.strict)
         for r in run["sweep"].orderBy("threshold").collect():
             print(json.dumps(r.asDict()))
         print(json.dumps(run["auc"].first().asDict()))
     elif a.cmd == "lda":
-        run = pipeline.lda_run(spark, a.input, k=a.k, max_iter=a.passes, threshold=a.threshold)
+        run = jobs.lda_run(spark, a.input, k=a.k, max_iter=a.passes, threshold=a.threshold)
         print(json.dumps(run["metrics"].first().asDict()))
     elif a.cmd == "ksweep":
-        df = pipeline.k_selection(spark, a.input, ks=a.ks, passes=a.passes, sweep_csv=a.csv)
+        df = jobs.k_selection(spark, a.input, ks=a.ks, passes=a.passes, sweep_csv=a.csv)
         for r in df.orderBy("k", "iteration").collect():
             print(json.dumps(r.asDict()))
     return 0

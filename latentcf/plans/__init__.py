@@ -1 +1 @@
-"""Plans: the registered queries, their oracle SQL, and end-to-end pipelines."""
+"""Plans: the registered queries, their oracle SQL, and the end-to-end jobs."""

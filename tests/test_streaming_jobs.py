@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from latentcf.operators import scoring
-from latentcf.plans import pipeline
+from latentcf.plans import jobs
 from latentcf.streaming import append_pairs, dedup_pairs, read_ratings_stream, score_stream
 from tests.fixtures import fx6_model, planted_blocks
 
@@ -60,19 +60,19 @@ def test_cluster_job_and_notebook_run(spark, tmpdir_path):
     _write(src, "r.csv", rows)
     out = os.path.join(tmpdir_path, "out")
     meta = os.path.join(tmpdir_path, "meta")
-    m = pipeline.cluster_em_job(spark, src, out, meta, k=3, passes=3, top_n=5, threshold=0.05)
+    m = jobs.cluster_em_job(spark, src, out, meta, k=3, passes=3, top_n=5, threshold=0.05)
     assert spark.read.parquet(f"{out}/p_z_given_u").count() == 60
     assert spark.read.parquet(f"{out}/p_s_given_z").count() == 60
     assert spark.read.parquet(f"{out}/top_5").count() == 300
     assert spark.read.parquet(f"{out}/p_s_u_above").where(F.col("score") < 0.05).count() == 0
     rec = json.loads(spark.read.text(meta).first().value)
     assert rec["iterations"] == 3 and len(rec["logliks"]) == 3
-    run = pipeline.notebook_run(spark, src, k=3, passes=10, thresholds=[0.05, 0.02])
+    run = jobs.notebook_run(spark, src, k=3, passes=10, thresholds=[0.05, 0.02])
     assert run["sweep"].count() == 2 and run["auc"].first()["auc"] > 0.7
 
 
 def test_lda_run(spark, tmpdir_path):
-    run = pipeline.lda_run(spark, planted_blocks(spark), k=3, max_iter=5, threshold=1e-5)
+    run = jobs.lda_run(spark, planted_blocks(spark), k=3, max_iter=5, threshold=1e-5)
     r = run["metrics"].first()
     assert r["tp"] + r["fn"] > 0 and r["threshold"] == 1e-5
 
