@@ -487,3 +487,132 @@ def _fit(layout: PairLayout, k: int, max_iter: int, seed: int, tol: float | None
         k=k, users=users, items=items, trace=trace, passes=len(logliks),
         n_users=stats.n_users, n_items=stats.n_items, logliks=logliks, seconds=seconds,
     )
+
+
+# ---------------------------------------------------------------- several k in one scan
+
+
+def fit_many(
+    pairs: "DataFrame | PairLayout",
+    ks: list[int],
+    max_iter: int = 30,
+    seed: int = 42,
+    weight_col: str | None = None,
+    broadcast_bytes: int | None = None,
+    prepared: bool = False,
+) -> dict[int, LatentClassModel]:
+    """One EM fit per k, all advanced together: one scan and one aggregation per pass.
+
+    Model j's columns ride side by side (``pu{j}_{z}``, ``ps{j}_{z}``,
+    ``q{j}_{z}``); every model gets exactly the result of :func:`fit` with the
+    same arguments (same keyed draws, same arithmetic). A k sweep of eight
+    values over 30 passes reads the pair table 30 times instead of 240.
+    """
+    ks = sorted({int(k) for k in ks})
+    if not ks or ks[0] < 1 or max_iter < 1:
+        raise ValueError("ks must be >= 1 and max_iter >= 1")
+    own_layout = not isinstance(pairs, PairLayout)
+    layout = prepare_layout(pairs, weight_col, prepared) if own_layout else pairs
+    try:
+        return _fit_many(layout, ks, max_iter, seed, weight_col, broadcast_bytes)
+    finally:
+        if own_layout:
+            layout.drop()
+
+
+def _qcols(ks: list[int]) -> list[tuple[int, int, str]]:
+    return [(j, z, f"{j}_{z}") for j, k in enumerate(ks) for z in range(k)]
+
+
+def _many_aggregate(resp: DataFrame, ks: list[int], weight_col: str | None, with_ll: bool) -> DataFrame:
+    w = _w(weight_col)
+    aggs = [F.sum(F.col(f"q{t}") * w if w is not None else F.col(f"q{t}")).alias(f"m{t}") for _, _, t in _qcols(ks)]
+    for j in range(len(ks)):
+        ll = (F.col(f"lnev{j}") * w if w is not None else F.col(f"lnev{j}")) if with_ll else F.lit(None).cast("double")
+        aggs.append(F.sum(ll).alias(f"ll{j}"))
+    aggs += [F.sum(w if w is not None else F.lit(1.0)).alias("wsum"), F.count(F.lit(1)).alias("n")]
+    g = resp.groupingSets([["u"], ["s"]], "u", "s").agg(F.grouping("s").alias("_gs"), *aggs)
+    keep = [f"m{t}" for _, _, t in _qcols(ks)] + [f"ll{j}" for j in range(len(ks))] + ["wsum", "n"]
+    return g.select(F.when(F.col("_gs") == 1, "u").otherwise("s").alias("side"), "u", "s", *keep)
+
+
+def _many_step(spark: SparkSession, resp: DataFrame, ks: list[int], weight_col: str | None, with_ll: bool, tag: str):
+    """Write the joint state; observe class totals and log-likelihood sums; return wide tables + scalars."""
+    side_u, side_s = F.col("side") == "u", F.col("side") == "s"
+    metrics = ([F.sum(F.when(side_s, F.col(f"m{t}"))).alias(f"m{t}") for _, _, t in _qcols(ks)]
+               + [F.sum(F.when(side_u, F.col(f"ll{j}"))).alias(f"ll{j}") for j in range(len(ks))]
+               + [F.sum(F.when(side_u, F.col("wsum"))).alias("wsum"),
+                  F.sum(F.when(side_u, 1).otherwise(0)).alias("nu"),
+                  F.sum(F.when(side_s, 1).otherwise(0)).alias("ns")])
+    path = scratch_path(spark, tag)
+    obs = Observation(f"latentcf_{uuid.uuid4().hex[:8]}")
+    _many_aggregate(resp, ks, weight_col, with_ll).observe(obs, *metrics).write.partitionBy("side").parquet(path)
+    r = obs.get
+    st = spark.read.parquet(path)
+    ucols, icols = [], []
+    for j, k in enumerate(ks):
+        tot = row_sum([f"m{j}_{z}" for z in range(k)])
+        ucols += [(F.col(f"m{j}_{z}") / tot).alias(f"pu{j}_{z}") for z in range(k)]
+        icols += [((F.col(f"m{j}_{z}") / F.lit(float(r[f"m{j}_{z}"]))) if r[f"m{j}_{z}"] else F.lit(0.0))
+                  .alias(f"ps{j}_{z}") for z in range(k)]
+    users = st.where(side_u).select("u", *ucols)
+    items = st.where(side_s).select("s", *icols)
+    wsum = float(r["wsum"] or 0.0)
+    lls = [(r[f"ll{j}"] / wsum) if (with_ll and wsum and r[f"ll{j}"] is not None) else None for j in range(len(ks))]
+    return users, items, int(r["nu"] or 0), int(r["ns"] or 0), lls
+
+
+def _many_responsibilities(P: DataFrame, U: DataFrame, S: DataFrame, ks: list[int], ukeys, skeys) -> DataFrame:
+    keep = P.columns
+    joined = P.join(U, ukeys).join(S, skeys)
+    w = joined.select(*keep, *[(F.col(f"pu{t}") * F.col(f"ps{t}")).alias(f"w{t}") for _, _, t in _qcols(ks)])
+    ev = w.select("*", *[F.greatest(row_sum([f"w{j}_{z}" for z in range(k)]), F.lit(EVIDENCE_FLOOR)).alias(f"ev{j}")
+                         for j, k in enumerate(ks)])
+    return ev.select(*keep, *[(F.col(f"w{t}") / F.col(f"ev{j}")).alias(f"q{t}") for j, _, t in _qcols(ks)],
+                     *[F.log(f"ev{j}").alias(f"lnev{j}") for j in range(len(ks))])
+
+
+def _fit_many(layout: PairLayout, ks: list[int], max_iter: int, seed: int, weight_col: str | None,
+              broadcast_bytes: int | None) -> dict[int, LatentClassModel]:
+    P = layout.df
+    spark = P.sparkSession
+    limit = broadcast_bytes if broadcast_bytes is not None else broadcast_limit(spark)
+    width = sum(ks)
+    # shared initialisation: draw z depends on (u, s, z, seed) only, so every model reuses it
+    draws = {z: keyed_unit_open(F.col("u"), F.col("s"), F.lit(z), F.lit(seed)) for z in range(max(ks))}
+    init = P.select("*", *[draws[z].alias(f"q{t}") for _, z, t in _qcols(ks)])
+    users, items, n_users, n_items, _ = _many_step(spark, init, ks, weight_col, False, "em-many-init")
+    users_local = param_bytes(n_users, width) > limit
+    items_local = param_bytes(n_items, width) > limit
+    logliks: list[list] = []
+    seconds: list[float] = []
+    with _CoPartitionByBucket(spark, users_local or items_local):
+        for t in range(1, max_iter + 1):
+            t0 = time.time()
+            U, ukeys = (colocated_users(users, layout), ["b", "u", "salt"]) if users_local else (F.broadcast(users), ["u"])
+            S, skeys = (colocated_items(items, layout), ["b", "s"]) if items_local else (F.broadcast(items), ["s"])
+            resp = _many_responsibilities(P, U, S, ks, ukeys, skeys)
+            if t < max_iter:
+                users2, items2, n_users, n_items, lls = _many_step(spark, resp, ks, weight_col, True, f"em-many{t}")
+            else:
+                w = _w(weight_col)
+                r = resp.agg(*[F.sum(F.col(f"lnev{j}") * w if w is not None else F.col(f"lnev{j}")).alias(f"ll{j}")
+                               for j in range(len(ks))],
+                             F.sum(w if w is not None else F.lit(1.0)).alias("ws")).first()
+                lls = [(r[f"ll{j}"] / r["ws"]) if r["ws"] else None for j in range(len(ks))]
+            logliks.append(lls)
+            seconds.append(time.time() - t0)
+            if t < max_iter:
+                users, items = users2, items2
+    out = {}
+    for j, k in enumerate(ks):
+        lj = [row[j] for row in logliks]
+        trace = spark.createDataFrame(
+            [(i + 1, float(v) if v is not None and not math.isnan(v) else None, float(s))
+             for i, (v, s) in enumerate(zip(lj, seconds))], TRACE_SCHEMA)
+        out[k] = LatentClassModel(
+            k=k,
+            users=users.select("u", *[F.col(f"pu{j}_{z}").alias(f"pu{z}") for z in range(k)]),
+            items=items.select("s", *[F.col(f"ps{j}_{z}").alias(f"ps{z}") for z in range(k)]),
+            trace=trace, passes=len(lj), n_users=n_users, n_items=n_items, logliks=lj, seconds=list(seconds))
+    return out

@@ -9,13 +9,16 @@ from latentcf.operators import em
 
 
 def k_sweep(pairs: DataFrame, ks: list[int], passes: int, seed: int = 42, tol: float | None = None) -> DataFrame:
-    """Long (k, iteration, loglik, seconds): one EM fit per k over one written pair table."""
+    """Long (k, iteration, loglik, seconds): EM for every k over one written pair table."""
     P = em.prepare_layout(pairs)
     out = None
     try:
+        if tol is None:  # fixed passes: all k advance together, one scan of the pairs per pass
+            models = em.fit_many(P, list(ks), max_iter=passes, seed=seed)
+        else:  # each k stops on its own
+            models = {k: em.fit(P, k=k, max_iter=passes, seed=seed, tol=tol) for k in ks}
         for k in ks:
-            m = em.fit(P, k=k, max_iter=passes, seed=seed, tol=tol)
-            t = m.trace.select(F.lit(k).cast("int").alias("k"), "iteration", "loglik", "seconds")
+            t = models[k].trace.select(F.lit(k).cast("int").alias("k"), "iteration", "loglik", "seconds")
             out = t if out is None else out.unionByName(t)
     finally:
         P.drop()

@@ -173,3 +173,15 @@ def test_weighted_fit_through_bucket_shipping(spark, sf_pairs):
     a = em.fit(w, k=3, max_iter=3, weight_col="w")
     b = em.fit(w, k=3, max_iter=3, weight_col="w", broadcast_bytes=0)
     assert b.logliks == pytest.approx(a.logliks, abs=1e-12)
+
+
+def test_fit_many_equals_separate_fits(spark, sf_pairs):
+    many = em.fit_many(sf_pairs, [2, 3, 5], max_iter=3, seed=42, prepared=True)
+    for k in (2, 3, 5):
+        one = em.fit(sf_pairs, k=k, max_iter=3, seed=42, prepared=True)
+        assert many[k].logliks == pytest.approx(one.logliks, abs=1e-12)
+        a = one.items.select("s", *[F.col(f"ps{z}").alias(f"a{z}") for z in range(k)])
+        d = many[k].items.join(a, "s").agg(*[F.max(F.abs(F.col(f"ps{z}") - F.col(f"a{z}"))) for z in range(k)])
+        assert max(d.first()) < 1e-12
+    shipped = em.fit_many(sf_pairs, [2, 3], max_iter=2, seed=42, prepared=True, broadcast_bytes=0)
+    assert shipped[3].logliks == pytest.approx(many[3].logliks[:2], abs=1e-12)
