@@ -249,7 +249,8 @@ def recommend(model: LatentClassModel, n: int = 5, seen: DataFrame | None = None
         masked = sc.copy()
         for i, sv in enumerate(pdf["seen"].to_numpy()):  # seen items of this chunk -> -inf
             if sv is not None and len(sv):
-                sv = np.asarray(sv).astype(ids.dtype)
+                # strings keep their own width (casting to the ids' fixed width could truncate)
+                sv = np.asarray(list(sv), dtype=str) if ids.dtype.kind == "U" else np.asarray(sv).astype(ids.dtype)
                 pos = np.searchsorted(ids, sv)
                 ok = pos < len(ids)
                 pos, sv = pos[ok], sv[ok]

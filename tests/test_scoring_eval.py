@@ -182,3 +182,16 @@ def test_rank_sum_helper_both_branches_with_ties():
         eq = sum(int((pos == v).sum()) for v in x)
         assert _pos_sums(table, x) == (gt, eq)
     assert _pos_sums(table, np.array([])) == (0, 0)
+
+
+def test_recommend_string_items_and_unknown_seen(spark):
+    from latentcf.model import LatentClassModel
+
+    users = spark.createDataFrame([(1, 1.0, 0.0), (2, 0.0, 1.0)], "u long, pu0 double, pu1 double")
+    items = spark.createDataFrame([("ab", 0.5, 0.1), ("abc", 0.3, 0.2), ("b", 0.2, 0.7)],
+                                  "s string, ps0 double, ps1 double")
+    m = LatentClassModel(k=2, users=users, items=items, trace=None, passes=0, n_users=2, n_items=3)
+    # "abcdef" is not an item; truncated to the ids' width it would read "abc"
+    seen = spark.createDataFrame([(1, "abcdef"), (2, "b")], "u long, s string")
+    got = [(r.u, r.rank, r.s) for r in scoring.recommend(m, 2, seen).orderBy("u", "rank").collect()]
+    assert got == [(1, 1, "ab"), (1, 2, "abc"), (2, 1, "abc"), (2, 2, "ab")]
