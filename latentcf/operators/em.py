@@ -412,6 +412,8 @@ def fit(
     own_layout = not isinstance(pairs, PairLayout)
     layout = prepare_layout(pairs, weight_col, prepared) if own_layout else pairs
     try:
+        if layout.n_pairs == 0:
+            raise ValueError("no (u, s) pairs to fit")
         return _fit(layout, k, max_iter, seed, tol, weight_col, broadcast_bytes, run_dir)
     finally:
         if own_layout:  # nothing returned depends on it; don't leave tables in a shared metastore
@@ -514,6 +516,8 @@ def fit_many(
     own_layout = not isinstance(pairs, PairLayout)
     layout = prepare_layout(pairs, weight_col, prepared) if own_layout else pairs
     try:
+        if layout.n_pairs == 0:
+            raise ValueError("no (u, s) pairs to fit")
         return _fit_many(layout, ks, max_iter, seed, weight_col, broadcast_bytes)
     finally:
         if own_layout:

@@ -134,7 +134,7 @@ def test_duplicates_and_one_user(spark):
 
 def test_empty_input_raises_cleanly(spark):
     pairs = spark.createDataFrame([], "u long, s long")
-    with pytest.raises(Exception):
+    with pytest.raises(ValueError, match="no"):
         em.fit(pairs, k=2, max_iter=2)
 
 

@@ -195,3 +195,13 @@ def test_recommend_string_items_and_unknown_seen(spark):
     seen = spark.createDataFrame([(1, "abcdef"), (2, "b")], "u long, s string")
     got = [(r.u, r.rank, r.s) for r in scoring.recommend(m, 2, seen).orderBy("u", "rank").collect()]
     assert got == [(1, 1, "ab"), (1, 2, "abc"), (2, 1, "abc"), (2, 2, "ab")]
+
+
+def test_empty_test_set(spark, fx6):
+    m, train, _ = fx6
+    empty = spark.createDataFrame([], "u long, s long")
+    r = evaluation.confusion(m, train, empty, [0.5]).first()
+    assert (r.tp, r.fn) == (0, 0) and r.recall is None and r.f1 is None
+    assert r.tp + r.fp + r.fn + r.tn == 2 * 3 - 2
+    a = evaluation.auc(m, train, empty).first()
+    assert a.auc is None and a.n_pos == 0
