@@ -185,3 +185,21 @@ def test_fit_many_equals_separate_fits(spark, sf_pairs):
         assert max(d.first()) < 1e-12
     shipped = em.fit_many(sf_pairs, [2, 3], max_iter=2, seed=42, prepared=True, broadcast_bytes=0)
     assert shipped[3].logliks == pytest.approx(many[3].logliks[:2], abs=1e-12)
+
+
+def test_buckets_are_balanced_one_key_each(spark, sf_pairs):
+    lay = em.prepare_layout(sf_pairs, prepared=True)
+    per = lay.df.groupBy(F.spark_partition_id().alias("p")).agg(
+        F.countDistinct("b").alias("keys"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(per) == lay.n_buckets  # no empty bucket
+    assert all(r["keys"] == 1 for r in per)
+    sizes = [r["n"] for r in per]
+    assert max(sizes) < 2 * (sum(sizes) / len(sizes))
+    lay.drop()
+
+
+def test_fit_many_weighted(spark, sf_pairs):
+    w = sf_pairs.withColumn("w", (F.col("s") % 2 + 1).cast("long"))
+    many = em.fit_many(w, [2, 3], max_iter=2, weight_col="w")
+    one = em.fit(w, k=3, max_iter=2, weight_col="w")
+    assert many[3].logliks == pytest.approx(one.logliks, abs=1e-12)
