@@ -203,3 +203,21 @@ def test_fit_many_weighted(spark, sf_pairs):
     many = em.fit_many(w, [2, 3], max_iter=2, weight_col="w")
     one = em.fit(w, k=3, max_iter=2, weight_col="w")
     assert many[3].logliks == pytest.approx(one.logliks, abs=1e-12)
+
+
+def test_scores_invariant_under_class_relabelling(spark, sf_pairs):
+    from latentcf.model import LatentClassModel
+    from latentcf.operators.scoring import score_pairs
+
+    def run(perm):
+        q0 = em.initial_responsibilities(sf_pairs, 3, 42)
+        q0 = q0.select("u", "s", *[F.col(f"q{perm[z]}").alias(f"q{z}") for z in range(3)])
+        users, items, _ = em.m_step(spark, q0, 3)
+        for _ in range(3):
+            users, items, _ = em.m_step(spark, em.responsibilities(sf_pairs, users, items, 3), 3)
+        m = LatentClassModel(k=3, users=users, items=items, trace=None, passes=3, n_users=0, n_items=0)
+        return score_pairs(m, sf_pairs, broadcast_bytes=1 << 30).withColumnRenamed("score", f"sc{perm[0]}")
+
+    a, b = run([0, 1, 2]), run([2, 0, 1])
+    d = a.join(b, ["u", "s"]).agg(F.max(F.abs(F.col("sc0") - F.col("sc2"))), F.count(F.lit(1))).first()
+    assert d[1] == sf_pairs.count() and d[0] < 1e-12
