@@ -100,24 +100,43 @@ class ItemChunk:
         return F.pmod(F.xxhash64(col), F.lit(self.count)) == F.lit(self.index)
 
 
+def chunk_count(df: DataFrame, key_cols: list[str], n_rows: int, row_bytes: int, limit: int) -> int:
+    """Number of hash chunks such that every chunk's rows fit under ``limit`` bytes.
+
+    Counts rows per chunk first (at most n_chunks rows reach the driver) and
+    doubles the chunk count until the largest chunk fits, so nothing over the
+    bound is ever collected. Single rows cannot be split: the search stops
+    at one row per chunk or at four times as many chunks as rows."""
+    n = max(1, math.ceil(n_rows * row_bytes / max(1, limit)))
+    while True:
+        if n == 1:
+            biggest = n_rows
+        else:
+            key = F.pmod(F.xxhash64(*key_cols), F.lit(n))
+            biggest = max((r["c"] for r in df.groupBy(key.alias("chunk")).agg(F.count(F.lit(1)).alias("c")).collect()),
+                          default=0)
+        if biggest * row_bytes <= limit or biggest <= 1 or n >= 4 * max(1, n_rows):
+            return n
+        n *= 2
+
+
 def item_chunks(model: LatentClassModel, broadcast_bytes: int | None = None) -> Iterator[ItemChunk]:
     """Yield the item table in size-checked chunks (usually exactly one).
 
-    Chunk membership is a hash of the item key, so each chunk is collected
-    on its own and never exceeds the limit on average; a chunk over twice
-    the limit is refused rather than shipped."""
+    Chunk membership is a hash of the item key; the chunk count is chosen
+    from per-chunk row counts so that every chunk fits the broadcast limit
+    before it is collected (:func:`chunk_count`)."""
     spark = model.items.sparkSession
     limit = broadcast_bytes if broadcast_bytes is not None else broadcast_limit(spark)
-    total = param_bytes(model.n_items, model.k)
-    n_chunks = max(1, math.ceil(total / limit))
     cols = ["s"] + [f"ps{z}" for z in range(model.k)]
+    n_chunks = chunk_count(model.items, ["s"], model.n_items, param_bytes(1, model.k), limit)
     for c in range(n_chunks):
         part = model.items.select(*cols)
         if n_chunks > 1:
             part = part.where(F.pmod(F.xxhash64("s"), F.lit(n_chunks)) == c)
         pdf = part.toPandas()
-        if param_bytes(len(pdf), model.k) > 2 * limit:
-            raise MemoryError("item chunk over the broadcast limit; raise spark.latentcf.maxBroadcastBytes")
+        if len(pdf) == 0:  # a hash chunk can be empty when the limit is tiny: nothing to score
+            continue
         pdf = pdf.sort_values("s", kind="mergesort")
         ids = pdf["s"].to_numpy()
         if ids.dtype == object:

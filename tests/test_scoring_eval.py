@@ -205,3 +205,14 @@ def test_empty_test_set(spark, fx6):
     assert r.tp + r.fp + r.fn + r.tn == 2 * 3 - 2
     a = evaluation.auc(m, train, empty).first()
     assert a.auc is None and a.n_pos == 0
+
+
+def test_tiny_broadcast_limit_with_empty_chunks(spark, fx6):
+    m, train, test = fx6
+    tiny = 100  # 3 items at 72 bytes each: one item per chunk, several hash chunks empty
+    got = [(r.u, r.rank, r.s) for r in scoring.recommend(m, 2, train, broadcast_bytes=tiny).orderBy("u", "rank").collect()]
+    assert got == [(1, 1, 20), (1, 2, 30), (2, 1, 10), (2, 2, 30)]
+    r = evaluation.confusion(m, train, test, [0.5], broadcast_bytes=tiny).first()
+    assert (r.tp, r.fp, r.fn, r.tn) == (1, 1, 1, 1)
+    summ = {r.u: r.n_items for r in scoring.user_summary(m, broadcast_bytes=tiny).collect()}
+    assert summ == {1: 3, 2: 3}
