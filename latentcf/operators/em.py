@@ -193,8 +193,9 @@ def load_state(spark: SparkSession, path: str, k: int,
     if stats is None:
         stats = _stats_from(st.agg(*_state_metrics(k)).first(), k)
     totals = stats.class_totals
-    users = st.where(F.col("side") == "u").select(
-        "u", *[(F.col(f"m{z}") / row_sum(m)).alias(f"pu{z}") for z in range(k)]
+    # the row total once, then k divisions (inlining it would build k copies of a k-term sum)
+    users = st.where(F.col("side") == "u").select("u", *m, row_sum(m).alias("_tot")).select(
+        "u", *[(F.col(f"m{z}") / F.col("_tot")).alias(f"pu{z}") for z in range(k)]
     )
     # a class whose mass underflowed to 0 is dead: p(s|z) = 0 rather than 0/0
     items = st.where(F.col("side") == "s").select(
@@ -553,13 +554,13 @@ def _many_step(spark: SparkSession, resp: DataFrame, ks: list[int], weight_col:
     _many_aggregate(resp, ks, weight_col, with_ll).observe(obs, *metrics).write.partitionBy("side").parquet(path)
     r = obs.get
     st = spark.read.parquet(path)
-    ucols, icols = [], []
+    ucols, icols, tots = [], [], []
     for j, k in enumerate(ks):
-        tot = row_sum([f"m{j}_{z}" for z in range(k)])
-        ucols += [(F.col(f"m{j}_{z}") / tot).alias(f"pu{j}_{z}") for z in range(k)]
+        tots.append(row_sum([f"m{j}_{z}" for z in range(k)]).alias(f"_tot{j}"))
+        ucols += [(F.col(f"m{j}_{z}") / F.col(f"_tot{j}")).alias(f"pu{j}_{z}") for z in range(k)]
         icols += [((F.col(f"m{j}_{z}") / F.lit(float(r[f"m{j}_{z}"]))) if r[f"m{j}_{z}"] else F.lit(0.0))
                   .alias(f"ps{j}_{z}") for z in range(k)]
-    users = st.where(side_u).select("u", *ucols)
+    users = st.where(side_u).select("u", *[f"m{t}" for _, _, t in _qcols(ks)], *tots).select("u", *ucols)
     items = st.where(side_s).select("s", *icols)
     wsum = float(r["wsum"] or 0.0)
     lls = [(r[f"ll{j}"] / wsum) if (with_ll and wsum and r[f"ll{j}"] is not None) else None for j in range(len(ks))]
