@@ -257,39 +257,132 @@ def _seen_lists(model: LatentClassModel, seen: DataFrame | None, chunk: ItemChun
     return model.users.join(lists, "u", "left")
 
 
+def _top_rows(masked: np.ndarray, n: int):
+    """Per row: (row, col, value, rank) of the first n finite entries by value desc, col asc."""
+    n_cols = masked.shape[1]
+    m = min(n, n_cols)
+    if m == 0:
+        e = np.zeros(0, dtype=np.int64)
+        return e, e, np.zeros(0), e
+    kth = np.partition(masked, n_cols - m, axis=1)[:, n_cols - m]  # m-th best (ties kept below)
+    r, c = np.nonzero((masked >= kth[:, None]) & np.isfinite(masked))
+    v = masked[r, c]
+    o = np.lexsort((c, -v, r))
+    r, c, v = r[o], c[o], v[o]
+    rank = np.arange(len(r)) - np.searchsorted(r, r, side="left") + 1
+    keep = rank <= m
+    return r[keep], c[keep], v[keep], rank[keep]
+
+
+def _seen_positions(seen_col, ids: np.ndarray) -> list:
+    """For each row, the positions in ``ids`` of its seen items (items not in ids are ignored)."""
+    out = []
+    for sv in seen_col:
+        if sv is None or not len(sv):
+            out.append(None)
+            continue
+        # strings keep their own width (casting to the ids' fixed width could truncate)
+        sv = np.asarray(list(sv), dtype=str) if ids.dtype.kind == "U" else np.asarray(sv).astype(ids.dtype)
+        pos = np.searchsorted(ids, sv)
+        ok = pos < len(ids)
+        pos, sv = pos[ok], sv[ok]
+        out.append(pos[ids[pos] == sv])
+    return out
+
+
+def _bound(a: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """sum_z a_z t_z, left to right: the score of a virtual item, same rounding as block_scores."""
+    acc = a[:, 0] * t[0]
+    for z in range(1, a.shape[1]):
+        acc = acc + a[:, z] * t[z]
+    return acc
+
+
+def top_n_exact(a: np.ndarray, ids: np.ndarray, mat: np.ndarray, order: np.ndarray, seen_pos: list, n: int):
+    """Exact top-n unseen items for a batch of users without scoring every item.
+
+    Threshold search over the k per-class item lists sorted by p(s|z): the
+    candidates are the union of the first d items of every list, and an item
+    outside them scores at most sum_z p(z|u) t_z with t_z the (d+1)-th value
+    of list z (products and sums round monotonically, so the bound holds bit
+    for bit). A user is finished once their n-th best unseen candidate beats
+    the bound strictly (so no outside item can tie or win); the others go on
+    with 4x the depth, ending with the full item list at worst.
+    """
+    n_items = len(ids)
+    rows_r, rows_c, rows_v, rows_k = [], [], [], []
+    todo = np.arange(a.shape[0])
+    d = max(4 * n, 64)
+    need = min(n, n_items)
+    while len(todo):
+        full = d >= n_items
+        cand = np.arange(n_items) if full else np.unique(order[:d].ravel())
+        col_of = np.full(n_items, -1, dtype=np.int64)
+        col_of[cand] = np.arange(len(cand))
+        t = None if full else mat[order[d], np.arange(mat.shape[1])]
+        finished = np.zeros(len(todo), dtype=bool)
+        step = max(1, BLOCK_CELLS // max(1, len(cand)))  # bounded block even when cand = all items
+        for lo in range(0, len(todo), step):
+            users = todo[lo: lo + step]
+            sc = block_scores(a[users], mat[cand])
+            unseen = np.full(len(users), len(cand))
+            for i, u in enumerate(users):
+                if seen_pos[u] is not None:
+                    cols = col_of[seen_pos[u]]
+                    cols = cols[cols >= 0]
+                    sc[i, cols] = -np.inf
+                    unseen[i] -= len(cols)
+            r, c, v, k = _top_rows(sc, n)
+            if full:
+                done = np.ones(len(users), dtype=bool)
+            else:
+                last = np.full(len(users), -np.inf)
+                at = k == need  # the n-th best candidate of each row that has one
+                last[r[at]] = v[at]
+                done = (unseen >= need) & (last > _bound(a[users], t))
+            sel = done[r]
+            rows_r.append(users[r[sel]])
+            rows_c.append(cand[c[sel]])
+            rows_v.append(v[sel])
+            rows_k.append(k[sel])
+            finished[lo: lo + len(users)] = done
+        todo = todo[~finished]
+        d *= 4
+    cat = (lambda xs, dt: np.concatenate(xs) if xs else np.zeros(0, dtype=dt))
+    return cat(rows_r, np.int64), cat(rows_c, np.int64), cat(rows_v, np.float64), cat(rows_k, np.int64)
+
+
 def recommend(model: LatentClassModel, n: int = 5, seen: DataFrame | None = None,
               broadcast_bytes: int | None = None) -> DataFrame:
-    """Top-n unseen items per user: (u, rank, s, score), ties broken by smaller s."""
+    """Top-n unseen items per user: (u, rank, s, score), ties broken by smaller s.
+
+    Exact, but not |U| x |S|: each task runs :func:`top_n_exact` against the
+    broadcast item chunk (per-class orderings computed once per task)."""
     utype = model.users.schema["u"].dataType
     stype = model.items.schema["s"].dataType
     schema = T.StructType([T.StructField("u", utype), T.StructField("rank", T.IntegerType()),
                            T.StructField("s", stype), T.StructField("score", T.DoubleType())])
-    def red(pdf, sc, ids):
-        masked = sc.copy()
-        for i, sv in enumerate(pdf["seen"].to_numpy()):  # seen items of this chunk -> -inf
-            if sv is not None and len(sv):
-                # strings keep their own width (casting to the ids' fixed width could truncate)
-                sv = np.asarray(list(sv), dtype=str) if ids.dtype.kind == "U" else np.asarray(sv).astype(ids.dtype)
-                pos = np.searchsorted(ids, sv)
-                ok = pos < len(ids)
-                pos, sv = pos[ok], sv[ok]
-                masked[i, pos[ids[pos] == sv]] = -np.inf
-        n_cols = masked.shape[1]
-        m = min(n, n_cols)
-        # per row: every item scoring at least the m-th best (keeps ties at the cut) ...
-        kth = np.partition(masked, n_cols - m, axis=1)[:, n_cols - m]
-        r, c = np.nonzero((masked >= kth[:, None]) & np.isfinite(masked))
-        v = masked[r, c]
-        # ... ordered by row, score desc, item id asc (ids are sorted), first m of each row kept
-        o = np.lexsort((c, -v, r))
-        r, c, v = r[o], c[o], v[o]
-        rank = np.arange(len(r)) - np.searchsorted(r, r, side="left") + 1
-        keep = rank <= m
-        return pd.DataFrame({"u": pdf["u"].to_numpy()[r[keep]], "rank": rank[keep].astype(np.int32),
-                             "s": ids[c[keep]], "score": v[keep]})
-
-    parts = [_run_blocks(_seen_lists(model, seen, ch), model.k, ch, red, schema, model.n_users)
-             for ch in item_chunks(model, broadcast_bytes)]
+    k = model.k
+    ucols = [f"pu{z}" for z in range(k)]
+    parts = []
+    for ch in item_chunks(model, broadcast_bytes):
+        spark = model.users.sparkSession
+        users = _spread(_seen_lists(model, seen, ch), len(ch.ids), model.n_users)
+        bc = spark.sparkContext.broadcast((ch.ids, ch.mat))
+
+        def fn(it, bc=bc):
+            ids, mat = bc.value
+            order = np.argsort(-mat, axis=0, kind="stable")  # per class, best first
+            for pdf in _user_batches(it, min(len(ids), max(4 * n, 64) * k)):
+                if len(pdf) == 0:
+                    continue
+                a = pdf[ucols].to_numpy(dtype=np.float64)
+                r, c, v, rk = top_n_exact(a, ids, mat, order, _seen_positions(pdf["seen"].to_numpy(), ids), n)
+                if len(r):
+                    yield pd.DataFrame({"u": pdf["u"].to_numpy()[r], "rank": rk.astype(np.int32),
+                                        "s": ids[c], "score": v})
+
+        parts.append(users.mapInPandas(fn, schema))
     if len(parts) == 1:
         return parts[0]
     allc = _union_all(parts)
