@@ -216,3 +216,26 @@ def test_tiny_broadcast_limit_with_empty_chunks(spark, fx6):
     assert (r.tp, r.fp, r.fn, r.tn) == (1, 1, 1, 1)
     summ = {r.u: r.n_items for r in scoring.user_summary(m, broadcast_bytes=tiny).collect()}
     assert summ == {1: 3, 2: 3}
+
+
+def test_top_n_exact_matches_full_scoring_with_ties_and_seen():
+    from latentcf.operators.scoring import _top_rows, block_scores, top_n_exact
+
+    rng = np.random.default_rng(3)
+    n_items, k, n = 3000, 3, 7
+    mat = np.round(rng.dirichlet(np.ones(n_items) * 0.3, size=k).T, 6)  # rounded: ties among items
+    mat[100] = mat[200]  # identical items
+    ids = np.arange(10_000, 10_000 + n_items)
+    a = rng.dirichlet(np.ones(k), size=40)
+    a[0] = a[1]  # identical users
+    order = np.argsort(-mat, axis=0, kind="stable")
+    seen = [None if u % 3 == 0 else np.sort(rng.choice(n_items, size=u * 5, replace=False)) for u in range(40)]
+    r, c, v, rk = top_n_exact(a, ids, mat, order, seen, n)
+    full = block_scores(a, mat)
+    for u, sp in enumerate(seen):
+        if sp is not None:
+            full[u, sp] = -np.inf
+    fr, fc, fv, fk = _top_rows(full, n)
+    got = sorted(zip(r.tolist(), rk.tolist(), c.tolist(), v.tolist()))
+    want = sorted(zip(fr.tolist(), fk.tolist(), fc.tolist(), fv.tolist()))
+    assert got == want
