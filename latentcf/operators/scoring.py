@@ -62,24 +62,53 @@ def exclude_seen(scores: DataFrame, seen: DataFrame) -> DataFrame:
     return scores.join(seen.select("u", "s"), ["u", "s"], "left_anti")
 
 
+# Relative margin on the item bound below: far above the rounding of a k-term dot product.
+BOUND_MARGIN = 1e-9
+
+
 def predicted_pairs(model: LatentClassModel, threshold: float, inclusive: bool = True,
                     seen: DataFrame | None = None, broadcast_bytes: int | None = None) -> DataFrame:
     """(u, s, score) for every pair predicted positive (the rest are negatives).
 
-    The positive side of the prediction over all user x item pairs, emitted
-    straight from the scoring tasks; ``seen`` pairs are removed (anti join)."""
+    Exact without scoring every item: score(u, s) <= max_z p(s|z) * sum_z p(z|u),
+    so per user batch only the items whose max_z p(s|z) reaches
+    t / (max_u sum_z p(z|u) * (1 + margin)) are scored (items sorted by that
+    maximum once per task). ``seen`` pairs are removed (anti join)."""
     utype = model.users.schema["u"].dataType
     stype = model.items.schema["s"].dataType
     schema = T.StructType([T.StructField("u", utype), T.StructField("s", stype),
                            T.StructField("score", T.DoubleType())])
     t = float(threshold)
+    ucols = [f"pu{z}" for z in range(model.k)]
+    parts = []
+    for ch in item_chunks(model, broadcast_bytes):
+        spark = model.users.sparkSession
+        users = _spread(model.users, len(ch.ids), model.n_users)
+        bc = spark.sparkContext.broadcast((ch.ids, ch.mat))
 
-    def red(pdf, sc, ids):
-        hit = (sc >= t) if inclusive else (sc > t)
-        r, c = np.nonzero(hit)
-        return pd.DataFrame({"u": pdf["u"].to_numpy()[r], "s": ids[c], "score": sc[r, c]})
+        def fn(it, bc=bc):
+            ids, mat = bc.value
+            top = mat.max(axis=1)
+            by_top = np.argsort(-top, kind="stable")
+            top_sorted = top[by_top]
+            for pdf in _user_batches(it, len(ids)):
+                if len(pdf) == 0:
+                    continue
+                a = pdf[ucols].to_numpy(dtype=np.float64)
+                reach = float(a.sum(axis=1).max()) * (1.0 + BOUND_MARGIN)
+                if reach <= 0:
+                    continue
+                n_cand = int(np.searchsorted(-top_sorted, -(t / reach), side="right"))  # top >= t / reach
+                if n_cand == 0:
+                    continue
+                cand = by_top[:n_cand]
+                sc = block_scores(a, mat[cand])
+                r, c = np.nonzero((sc >= t) if inclusive else (sc > t))
+                if len(r):
+                    yield pd.DataFrame({"u": pdf["u"].to_numpy()[r], "s": ids[cand[c]], "score": sc[r, c]})
 
-    out = _union_all([_run_blocks(model.users, model.k, ch, red, schema, model.n_users) for ch in item_chunks(model, broadcast_bytes)])
+        parts.append(users.mapInPandas(fn, schema))
+    out = _union_all(parts)
     return exclude_seen(out, seen) if seen is not None else out
 
 

@@ -239,3 +239,14 @@ def test_top_n_exact_matches_full_scoring_with_ties_and_seen():
     got = sorted(zip(r.tolist(), rk.tolist(), c.tolist(), v.tolist()))
     want = sorted(zip(fr.tolist(), fk.tolist(), fc.tolist(), fv.tolist()))
     assert got == want
+
+
+def test_predicted_pairs_pruned_equals_brute_force(spark, fitted):
+    m, train, test, full, trp, tep = fitted
+    for t in (np.quantile(full["score"], 0.99), np.quantile(full["score"], 0.5), 1e-9):
+        got = scoring.predicted_pairs(m, float(t)).toPandas()
+        want = full[full["score"] >= t]
+        assert len(got) == len(want)
+        assert sorted(zip(got.u, got.s, got.score)) == sorted(zip(want.u, want.s, want.score))
+    strict = scoring.predicted_pairs(m, float(np.quantile(full["score"], 0.9)), inclusive=False).count()
+    assert strict == int((full["score"] > np.quantile(full["score"], 0.9)).sum())
