@@ -251,25 +251,46 @@ def positive_counts(model: LatentClassModel, thresholds: list[float], inclusive:
     """Number of all (u, s) pairs predicted positive at each threshold.
 
     Output (threshold, n_pos) — or (u, threshold, n_pos) with ``per_user``.
-    Partial counts per task are summed by one small aggregation."""
+    Items whose max_z p(s|z) cannot reach the smallest threshold are negative
+    at every threshold and are not scored (same exact bound as
+    :func:`predicted_pairs`). Partial counts per task are summed by one small
+    aggregation."""
     ths = [float(t) for t in thresholds]
+    t_min = min(ths)
     utype = model.users.schema["u"].dataType
     fields = ([T.StructField("u", utype)] if per_user else []) + [
         T.StructField("threshold", T.DoubleType()), T.StructField("n_pos", T.LongType())]
     schema = T.StructType(fields)
+    ucols = [f"pu{z}" for z in range(model.k)]
+    parts = []
+    for ch in item_chunks(model, broadcast_bytes):
+        spark = model.users.sparkSession
+        users = _spread(model.users, len(ch.ids), model.n_users)
+        bc = spark.sparkContext.broadcast((ch.ids, ch.mat))
 
-    def red(pdf, sc, ids):
-        rows = []
-        for t in ths:
-            hit = (sc >= t) if inclusive else (sc > t)
-            if per_user:
-                rows.append(pd.DataFrame({"u": pdf["u"].to_numpy(), "threshold": t,
-                                          "n_pos": hit.sum(axis=1).astype(np.int64)}))
-            else:
-                rows.append(pd.DataFrame({"threshold": [t], "n_pos": [np.int64(hit.sum())]}))
-        return pd.concat(rows, ignore_index=True)
+        def fn(it, bc=bc):
+            ids, mat = bc.value
+            top = mat.max(axis=1)
+            by_top = np.argsort(-top, kind="stable")
+            top_sorted = top[by_top]
+            for pdf in _user_batches(it, len(ids)):
+                if len(pdf) == 0:
+                    continue
+                a = pdf[ucols].to_numpy(dtype=np.float64)
+                reach = float(a.sum(axis=1).max()) * (1.0 + BOUND_MARGIN)
+                n_cand = int(np.searchsorted(-top_sorted, -(t_min / reach), side="right")) if reach > 0 else 0
+                sc = block_scores(a, mat[by_top[:n_cand]]) if n_cand else np.zeros((len(pdf), 0))
+                rows = []
+                for t in ths:
+                    hit = (sc >= t) if inclusive else (sc > t)
+                    if per_user:
+                        rows.append(pd.DataFrame({"u": pdf["u"].to_numpy(), "threshold": t,
+                                                  "n_pos": hit.sum(axis=1).astype(np.int64)}))
+                    else:
+                        rows.append(pd.DataFrame({"threshold": [t], "n_pos": [np.int64(hit.sum())]}))
+                yield pd.concat(rows, ignore_index=True)
 
-    parts = [_run_blocks(model.users, model.k, ch, red, schema, model.n_users) for ch in item_chunks(model, broadcast_bytes)]
+        parts.append(users.mapInPandas(fn, schema))
     keys = (["u"] if per_user else []) + ["threshold"]
     return _union_all(parts).groupBy(*keys).agg(F.sum("n_pos").cast("bigint").alias("n_pos"))
 
