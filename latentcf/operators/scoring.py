@@ -96,9 +96,12 @@ def predicted_pairs(model: LatentClassModel, threshold: float, inclusive: bool =
                     continue
                 a = pdf[ucols].to_numpy(dtype=np.float64)
                 reach = float(a.sum(axis=1).max()) * (1.0 + BOUND_MARGIN)
-                if reach <= 0:
+                if t <= 0:  # every item can qualify
+                    n_cand = len(ids)
+                elif reach <= 0:
                     continue
-                n_cand = int(np.searchsorted(-top_sorted, -(t / reach), side="right"))  # top >= t / reach
+                else:
+                    n_cand = int(np.searchsorted(-top_sorted, -(t / reach), side="right"))  # top >= t / reach
                 if n_cand == 0:
                     continue
                 cand = by_top[:n_cand]
@@ -278,7 +281,10 @@ def positive_counts(model: LatentClassModel, thresholds: list[float], inclusive:
                     continue
                 a = pdf[ucols].to_numpy(dtype=np.float64)
                 reach = float(a.sum(axis=1).max()) * (1.0 + BOUND_MARGIN)
-                n_cand = int(np.searchsorted(-top_sorted, -(t_min / reach), side="right")) if reach > 0 else 0
+                if t_min <= 0 or reach <= 0:  # the bound only prunes for positive thresholds
+                    n_cand = len(ids) if t_min <= 0 else 0
+                else:
+                    n_cand = int(np.searchsorted(-top_sorted, -(t_min / reach), side="right"))
                 sc = block_scores(a, mat[by_top[:n_cand]]) if n_cand else np.zeros((len(pdf), 0))
                 rows = []
                 for t in ths:

@@ -250,3 +250,9 @@ def test_predicted_pairs_pruned_equals_brute_force(spark, fitted):
         assert sorted(zip(got.u, got.s, got.score)) == sorted(zip(want.u, want.s, want.score))
     strict = scoring.predicted_pairs(m, float(np.quantile(full["score"], 0.9)), inclusive=False).count()
     assert strict == int((full["score"] > np.quantile(full["score"], 0.9)).sum())
+
+
+def test_non_positive_thresholds_count_every_pair(spark, fx6):
+    m, _, _ = fx6
+    assert scoring.predicted_pairs(m, 0.0).count() == 6
+    assert {r.threshold: r.n_pos for r in scoring.positive_counts(m, [0.0, -1.0]).collect()} == {0.0: 6, -1.0: 6}
