@@ -19,6 +19,12 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, also where ``body`` uses it inside
+    lambdas (a plain column may be put in place there and worked out per element)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from latentcf.llm.decontaminate import op6_decontaminate
 from latentcf.llm.packing import op10_packing
+from latentcf.llm.secrets import op9_secrets
+from latentcf.llm.simhash import op3_simhash
 from latentcf.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op6_decontaminate": op6_decontaminate,
     "op7_toxicity": op7_toxicity,
+    "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
