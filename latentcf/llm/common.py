@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,12 +44,11 @@ def release(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def row_keys(df: DataFrame, first: str = "_row_a", second: str = "_row_b") -> DataFrame:
-    """Add a 128-bit identity of the whole row (null-safe): equal rows have equal
-    keys whatever their doc_id, and rows that share a doc_id keep apart."""
-    taken = {c.lower() for c in df.columns}
-    if first.lower() in taken or second.lower() in taken:
-        raise ValueError(f"columns {first} and {second} are reserved")
+def keyed_rows(df: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``df`` as a struct, so that no name of theirs can clash) and
+    _row_a, _row_b: a 128-bit identity of the whole row. Equal rows have equal keys, whatever
+    their doc_id; rows that share a doc_id keep apart; nulls count as values."""
     cols = [F.col(f"`{c}`") for c in df.columns]
-    nulls = reduce(lambda a, b: F.concat(a, b), [F.isnull(c).cast("string") for c in cols])
-    return df.withColumns({first: F.xxhash64(nulls, *cols), second: F.xxhash64(F.lit("second"), nulls, *cols)})
+    nulls = F.concat(*[F.isnull(c).cast("string") for c in cols])
+    return df.select(F.struct(*cols).alias("row"), F.xxhash64(nulls, *cols).alias("_row_a"),
+                     F.xxhash64(F.lit("second"), nulls, *cols).alias("_row_b"))

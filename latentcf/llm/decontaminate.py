@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latentcf.llm.common import let, row_keys, settle, table, whole_text
+from latentcf.llm.common import keyed_rows, let, settle, table, whole_text
 
 WINDOW = 8
 LEAST_LITERALS = 5
@@ -106,10 +106,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     sizes = searched.groupBy("item").agg(F.count("*").alias("windows"), F.max(F.size("slots")).alias("slotted"))
     # the join's small side holds only what it needs: its true size decides on a broadcast
     probe = settle(searched.select("hash", "item", "item_id", F.col("place").alias("item_place")), "benchmark-probe")
-    keyed = row_keys(docs)
     keys = ["_row_a", "_row_b", "doc_id"]
-    words = keyed.select("_row_a", "_row_b", F.col("doc_id").cast("long").alias("doc_id"),
-                         template_words(whole_text()).alias("words"))
+    words = keyed_rows(docs).select("_row_a", "_row_b", F.col("row.doc_id").cast("long").alias("doc_id"),
+                                    template_words(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("words"))
     hits = _windows(words, keys, window, slots=False).join(probe, "hash")
     counted = (hits.select(*keys, "item", "item_id", "item_place").distinct()
                .groupBy(*keys, "item", "item_id").agg(F.count("*").alias("matched")))
@@ -138,7 +137,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """The rows that match no item, with all their columns."""
     found = settle(find(docs, benchmark, **limits).select("_row_a", "_row_b").distinct(), "decontaminate-found")
-    return row_keys(docs).join(found, ["_row_a", "_row_b"], "left_anti").drop("_row_a", "_row_b")
+    return keyed_rows(docs).join(found, ["_row_a", "_row_b"], "left_anti").select("row.*")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

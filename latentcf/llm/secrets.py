@@ -120,21 +120,21 @@ def _is_secret(candidate: Column) -> Column:
     return F.when((limit == math.inf) | allowed, False).otherwise(max_entropy(candidate) >= limit)
 
 
-def scan(docs: DataFrame, *passed: str) -> DataFrame:
-    """The passed columns, ``text`` (null as empty), n_<kind>, base and all spans as arrays of
-    struct(start, kind number, kind, end), ordered."""
+def scan(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns as a struct), the text (null as empty), n_<kind>, base and all spans as
+    arrays of struct(start, kind number, kind, end), ordered."""
 
     def typed(spans, kind):
         return F.transform(spans, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("no"),
                                                      F.lit(kind).alias("kind"), m["end"].alias("end")))
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in passed], whole_text().alias("_text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole_text().alias("_text"))
     rows = rows.withColumns({f"_{k}": base_spans(F.col("_text"), k) for k in BASE})
     rows = rows.withColumn("_base", F.array_sort(F.concat(*[typed(F.col(f"_{k}"), k) for k in BASE])))
     free = F.filter(matches(F.col("_text"), CANDIDATE),
                     lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     rows = rows.withColumn("_entropy", F.filter(free, lambda m: _is_secret(m["found"])))
-    return rows.select(*[F.col(f"`{c}`") for c in passed], "_text",
+    return rows.select("row", "_text",
                        *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS], "_base",
                        F.array_sort(F.concat("_base", typed(F.col("_entropy"), "entropy"))).alias("_spans"))
 
@@ -148,7 +148,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns, with each secret's characters in ``text`` replaced by ``mark``
     (overlapping spans as one) and n_chars, where there is such a column, set to the new length."""
     names = docs.columns
-    found = scan(docs, *names)
+    found = scan(docs)
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 
     def step(acc, s):
@@ -161,13 +161,14 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         F.array_join(acc["out"], ""), F.substring(F.col("_text"), acc["at"] + 1, F.length("_text") - acc["at"])))
     hit = F.size("_spans") > 0
     found = found.withColumn("_new", F.when(hit, new))
-    changed = {"text": F.coalesce("_new", F.col("text"))}
+    changed = {"text": F.coalesce("_new", F.col("row.text"))}
     if "n_chars" in names:
-        changed["n_chars"] = F.when(hit, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.select(*[(changed[c] if c in changed else F.col(f"`{c}`")).alias(c) for c in names])
+        kind = docs.schema["n_chars"].dataType
+        changed["n_chars"] = F.when(hit, F.length("_new").cast(kind)).otherwise(F.col("row.n_chars"))
+    return found.select(*[(changed[c] if c in changed else F.col(f"row.`{c}`")).alias(c) for c in names])
 
 
 def op9_secrets(spark, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"), "doc_id")
-    return found.select("doc_id", *[f"n_{k}" for k in BASE], F.sha2(written(F.col("_base")), 256).alias("base_sha256"),
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", *[f"n_{k}" for k in BASE], F.sha2(written(F.col("_base")), 256).alias("base_sha256"),
                         written(F.col("_spans")).alias("spans"), "n_entropy")

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentcf.llm.common import release, row_keys, settle, table, whole_text
+from latentcf.llm.common import keyed_rows, release, settle, table, whole_text
 from latentcf.llm.components import connected_components
 
 SHINGLE = 4
@@ -255,8 +255,9 @@ def components(docs: DataFrame, shingle: int = SHINGLE, limit: int = MAX_BITS) -
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, limit: int = MAX_BITS) -> DataFrame:
     """The rows of ``docs``, one per component: that with the smallest doc_id (rows
     without one last; ties by a hash of the whole row; of equal rows, one)."""
-    keyed = row_keys(docs)
-    signed = settle(fingerprints(keyed, "doc_id", "_row_a", "_row_b", shingle=shingle), "simhash-signed")
+    keyed = keyed_rows(docs)
+    texts = keyed.select("_row_a", "_row_b", "row.doc_id", "row.text")
+    signed = settle(fingerprints(texts, "doc_id", "_row_a", "_row_b", shingle=shingle), "simhash-signed")
     rank = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_row_a", "_row_b")
     members = settle(signed.groupBy("fp").agg(F.min(rank).alias("first")), "simhash-members")
     linked = settle(classes(members, limit), "simhash-classes")
@@ -265,7 +266,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, limit: int = MAX_BITS) ->
             .select("first._row_a", "first._row_b"))
     chosen = keyed.join(settle(kept, "simhash-kept"), ["_row_a", "_row_b"], "left_semi")
     release(signed)
-    return chosen.dropDuplicates(["_row_a", "_row_b"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return chosen.dropDuplicates(["_row_a", "_row_b"]).select("row.*")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
