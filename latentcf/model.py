@@ -28,6 +28,17 @@ class LatentClassModel:
     n_items: int = 0
     logliks: list = field(default_factory=list)
     seconds: list = field(default_factory=list)
+    # measured total width of the keys, for the size checks of joins
+    user_key_bytes: int = 0
+    item_key_bytes: int = 0
+    state_path: str | None = None
+
+    def release(self) -> None:
+        """Remove the written state behind ``users`` and ``items`` (save the model first to keep it)."""
+        from latentcf.session import remove_path
+
+        remove_path(self.users.sparkSession, self.state_path)
+        self.state_path = None
 
     @property
     def neg_loglik(self) -> float | None:
@@ -42,7 +53,7 @@ class LatentClassModel:
         if self.trace is not None:
             self.trace.write.mode(mode).parquet(f"{base}/trace")
         meta = {"k": self.k, "passes": self.passes, "n_users": self.n_users, "n_items": self.n_items,
-                "logliks": self.logliks}
+                "logliks": self.logliks, "user_key_bytes": self.user_key_bytes, "item_key_bytes": self.item_key_bytes}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode(mode).text(
             f"{base}/meta")
 
@@ -56,4 +67,5 @@ class LatentClassModel:
             trace = None
         return cls(k=int(meta["k"]), users=spark.read.parquet(f"{base}/p_z_given_u"),
                    items=spark.read.parquet(f"{base}/p_s_given_z"), trace=trace, passes=int(meta["passes"]),
-                   n_users=int(meta["n_users"]), n_items=int(meta["n_items"]), logliks=list(meta["logliks"]))
+                   n_users=int(meta["n_users"]), n_items=int(meta["n_items"]), logliks=list(meta["logliks"]),
+                   user_key_bytes=int(meta.get("user_key_bytes", 0)), item_key_bytes=int(meta.get("item_key_bytes", 0)))

@@ -2,31 +2,45 @@
 
 State per pass is the pair of parameter tables (users x k, items x k), never
 the responsibilities (pairs x k): q is recomputed from the parameters inside
-the pass, so the only large input is the distinct pair table, written once
-as a bucketed table (:class:`PairLayout`).
+the pass, so the only large input is the distinct pair table, written once.
 
-One pass is one Spark job::
+While both parameter tables are proven to fit under the broadcast limit, one
+pass is one Spark job::
 
-    bucketed pairs ⋈ p(z|u) ⋈ p(s|z)   each side broadcast when its size is proven under the limit,
-                                       else brought to the pair buckets (the pairs never move)
+    pairs ⋈ p(z|u) ⋈ p(s|z)            both sides broadcast
       -> w_z = p(z|u) p(s|z), evidence = sum_z w_z, q_z = w_z / evidence, ln evidence   (in-row)
       -> GROUPING SETS ((u), (s)): sum q_z per user and per item          (partial + final agg)
          plus sum ln(evidence) and sum weight on the user rows (log-likelihood)
       -> written to the checkpoint folder (cuts lineage, survives executor loss)
 
+Beyond it the pairs are written once as a grid of R user blocks x C item
+blocks (:class:`PairGrid`). A pass brings each cell its block of p(z|u) and of
+p(s|z) (each parameter row is copied C or R times), the cell sums what it
+holds, and one aggregation adds up the cells. R and C follow from measured
+bytes and counts, so a task holds one bounded cell whatever the table's size;
+a hot user or item is spread over all cells of its row or column.
+
 The k+5 scalars the driver needs (class totals N(z), log-likelihood sums,
 row counts) are observed during that same write (``DataFrame.observe``).
 The last pass only needs the log-likelihood, so it runs a global aggregate
 instead of the M-step.
+
+``alpha`` and ``eta`` are pseudo-counts added to the class counts of users and
+items: with them the same passes are the MAP-EM of latent Dirichlet allocation
+(concentrations 1 + alpha and 1 + eta).
 """
 
 from __future__ import annotations
 
+import json
 import math
 import time
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,14 +48,16 @@ from pyspark.sql import types as T
 from latentcf.functions.hashing import keyed_unit_open
 from latentcf.functions.numeric import EVIDENCE_FLOOR, row_sum
 from latentcf.model import LatentClassModel
-from latentcf.session import scratch_path
+from latentcf.session import remove_path, scratch_path
 
-# Bytes per parameter row estimate: key + k doubles + row overhead.
+# Bytes per parameter row estimate: k doubles + row overhead (the keys are measured).
 ROW_OVERHEAD_BYTES = 48
 DEFAULT_BROADCAST_BYTES = 128 * 1024 * 1024
-# Bucketed layout (user table too large to broadcast): pair rows per bucket, bucket cap.
-ROWS_PER_BUCKET = 8_000_000
-MAX_BUCKETS = 100_000
+# Grid cells: bytes of either parameter block and pairs a task holds at once.
+CELL_BYTES = 64 * 1024 * 1024
+CELL_PAIRS = 500_000
+# Layout of a run directory; a resume under another version is refused.
+RUN_VERSION = 2
 
 TRACE_SCHEMA = T.StructType(
     [
@@ -57,14 +73,15 @@ def broadcast_limit(spark: SparkSession) -> int:
     return int(v) if v else DEFAULT_BROADCAST_BYTES
 
 
-def param_bytes(n_rows: int, k: int) -> int:
-    return n_rows * (8 * k + ROW_OVERHEAD_BYTES)
+def param_bytes(n_rows: int, k: int, key_bytes: int = 0) -> int:
+    """Size of a parameter table; ``key_bytes`` is the measured total width of its keys."""
+    return n_rows * (8 * k + ROW_OVERHEAD_BYTES) + key_bytes
 
 
-def maybe_broadcast(df: DataFrame, n_rows: int, k: int, limit: int) -> DataFrame:
+def maybe_broadcast(df: DataFrame, n_rows: int, k: int, limit: int, key_bytes: int = 0) -> DataFrame:
     """Broadcast a parameter table only when its size is proven under the limit;
     otherwise leave the join to a shuffle (AQE splits skewed keys)."""
-    return F.broadcast(df) if param_bytes(n_rows, k) <= limit else df
+    return F.broadcast(df) if param_bytes(n_rows, k, key_bytes) <= limit else df
 
 
 def _w(weight_col: str | None):
@@ -83,17 +100,14 @@ def initial_responsibilities(pairs: DataFrame, k: int, seed: int) -> DataFrame:
     )
 
 
-def responsibilities(pairs: DataFrame, users: DataFrame, items: DataFrame, k: int,
-                     user_keys: list[str] | None = None, item_keys: list[str] | None = None) -> DataFrame:
+def responsibilities(pairs: DataFrame, users: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """E-step in wide form: pairs columns + (q0..q{k-1}, evidence, lnev).
 
     ``users`` carries pu0.., ``items`` ps0..; evidence = sum_z pu_z ps_z is
     p(s|u) under the current parameters, floored to avoid log(0) / 0-division.
-    ``user_keys`` / ``item_keys`` are ["u"] / ["s"] for broadcast tables and
-    ["b", "u", "salt"] / ["b", "s"] for tables brought to the pair buckets.
     """
     keep = pairs.columns
-    joined = pairs.join(users, user_keys or ["u"]).join(items, item_keys or ["s"])
+    joined = pairs.join(users, "u").join(items, "s")
     w = joined.select(
         *keep,
         *[(F.col(f"pu{z}") * F.col(f"ps{z}")).alias(f"w{z}") for z in range(k)],
@@ -136,6 +150,9 @@ class StateStats:
     ll_sum: float | None
     w_sum: float
     n_pairs: int = 0
+    user_key_bytes: int = 0
+    item_key_bytes: int = 0
+    path: str | None = None
 
     @property
     def loglik(self) -> float | None:
@@ -156,13 +173,19 @@ def _state_metrics(k: int) -> list:
             F.sum(F.when(side_s, 1).otherwise(0)).alias("ns"),
             F.sum(F.when(side_u, F.col("n"))).alias("np"),
         ]
+        + _key_metrics()
     )
 
 
-def _stats_from(r, k: int) -> StateStats:
+def _key_metrics() -> list:
+    return [F.sum(F.when(F.col("side") == side, F.octet_length(F.col(key).cast("string")))).alias(f"k{key}")
+            for side, key in (("u", "u"), ("s", "s"))]
+
+
+def _stats_from(r, k: int, path: str | None = None) -> StateStats:
     totals = [r[f"m{z}"] for z in range(k)]
     return StateStats(int(r["nu"] or 0), int(r["ns"] or 0), totals, r["ll"], float(r["wsum"] or 0.0),
-                      int(r["np"] or 0))
+                      int(r["np"] or 0), int(r["ku"] or 0), int(r["ks"] or 0), path)
 
 
 def write_state(spark: SparkSession, state: DataFrame, tag: str, k: int,
@@ -171,45 +194,66 @@ def write_state(spark: SparkSession, state: DataFrame, tag: str, k: int,
     path = path or scratch_path(spark, tag)
     obs = Observation(f"latentcf_{uuid.uuid4().hex[:8]}")
     state.observe(obs, *_state_metrics(k)).write.mode("overwrite").partitionBy("side").parquet(path)
-    return path, _stats_from(obs.get, k)
+    return path, _stats_from(obs.get, k, path)
 
 
 def committed(spark: SparkSession, path: str) -> bool:
     """True when a write to ``path`` finished (the committer's _SUCCESS marker).
 
-    The reader resolves the path when loading, so a missing marker raises."""
+    Only a missing marker means no; any other failure to read it is raised."""
     try:
         spark.read.text(path.rstrip("/") + "/_SUCCESS")
         return True
-    except Exception:  # noqa: BLE001 - path not found
-        return False
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
-def load_state(spark: SparkSession, path: str, k: int,
-               stats: StateStats | None = None) -> tuple[DataFrame, DataFrame, StateStats]:
+def load_state(spark: SparkSession, path: str, k: int, stats: StateStats | None = None,
+               alpha: float = 0.0, eta: float = 0.0) -> tuple[DataFrame, DataFrame, StateStats]:
     """Read a written state back as normalised parameter tables + scalars."""
     st = spark.read.parquet(path)
     m = [f"m{z}" for z in range(k)]
     if stats is None:
-        stats = _stats_from(st.agg(*_state_metrics(k)).first(), k)
-    totals = stats.class_totals
-    # the row total once, then k divisions (inlining it would build k copies of a k-term sum)
-    users = st.where(F.col("side") == "u").select("u", *m, row_sum(m).alias("_tot")).select(
-        "u", *[(F.col(f"m{z}") / F.col("_tot")).alias(f"pu{z}") for z in range(k)]
-    )
-    # a class whose mass underflowed to 0 is dead: p(s|z) = 0 rather than 0/0
-    items = st.where(F.col("side") == "s").select(
-        "s", *[((F.col(f"m{z}") / F.lit(float(totals[z]))) if totals[z] else F.lit(0.0)).alias(f"ps{z}")
-               for z in range(k)]
-    )
+        stats = _stats_from(st.agg(*_state_metrics(k)).first(), k, path)
+    users = _user_table(st.where(F.col("side") == "u"), [m], [[f"pu{z}" for z in range(k)]], alpha)
+    items = _item_table(st.where(F.col("side") == "s"), m, [f"ps{z}" for z in range(k)], stats.class_totals,
+                        stats.n_items, eta)
     return users, items, stats
 
 
+def _user_table(rows: DataFrame, counts: list[list[str]], names: list[list[str]], alpha: float) -> DataFrame:
+    """p(z|u) of one or several models: counts + alpha over their total."""
+    # each row total once, then k divisions (inlining it would build k copies of a k-term sum)
+    def smooth(c):
+        return F.col(c) + F.lit(alpha) if alpha else F.col(c)
+
+    flat = [c for cs in counts for c in cs]
+    totals = [row_sum([smooth(c) for c in cs]).alias(f"_tot{j}") for j, cs in enumerate(counts)]
+    return rows.select("u", *flat, *totals).select(
+        "u", *[(smooth(c) / F.col(f"_tot{j}")).alias(n) for j, (cs, ns) in enumerate(zip(counts, names))
+               for c, n in zip(cs, ns)])
+
+
+def _item_table(rows: DataFrame, counts: list[str], names: list[str], totals: list, n_items: int, eta: float) -> DataFrame:
+    """p(s|z): counts + eta over their class total."""
+    # a class whose mass underflowed to 0 is dead: p(s|z) = 0 rather than 0/0
+    return rows.select("s", *[
+        ((F.col(c) + F.lit(eta)) / F.lit(float(t) + n_items * eta)).alias(n) if eta
+        else ((F.col(c) / F.lit(float(t))) if t else F.lit(0.0)).alias(n)
+        for c, n, t in zip(counts, names, totals)])
+
+
 def m_step(spark: SparkSession, resp: DataFrame, k: int, weight_col: str | None = None, tag: str = "em-state",
-           path: str | None = None):
+           path: str | None = None, alpha: float = 0.0, eta: float = 0.0):
     """Run one M-step to a written state and return (users, items, stats)."""
-    path, stats = write_state(spark, m_aggregate(resp, k, weight_col), tag, k, path)
-    return load_state(spark, path, k, stats)
+    return _settle(spark, m_aggregate(resp, k, weight_col), k, tag, path, alpha, eta)
+
+
+def _settle(spark: SparkSession, state: DataFrame, k: int, tag: str, path: str | None, alpha: float, eta: float):
+    path, stats = write_state(spark, state, tag, k, path)
+    return load_state(spark, path, k, stats, alpha, eta)
 
 
 # ---------------------------------------------------------------- pair layout
@@ -217,173 +261,185 @@ def m_step(spark: SparkSession, resp: DataFrame, k: int, weight_col: str | None
 
 @dataclass
 class PairLayout:
-    """The distinct pair table, written once as a table bucketed on ``b``.
-
-    ``b`` is the key of slot ``pmod(xxhash64(u, salt), n_buckets)`` (see
-    :func:`bucket_keys`: bucket i holds exactly slot i):
-
-    * each bucket holds whole users (salt 0), so the per-pass user-side
-      aggregation emits about one row per user per bucket before its shuffle;
-    * users holding more than one bucket's fair share of pairs ("heavy" —
-      fewer than n_buckets of them by construction, so their list is
-      broadcast with a proven bound) get ``salt = xxhash64(s) mod n_salt`` and
-      spread over several buckets;
-    * parameter tables too large to broadcast are brought *to* the buckets:
-      p(z|u) rows (replicated per salt of heavy users) are shuffled by ``b``,
-      and each item's p(s|z) row is shipped once to every bucket that holds
-      the item (``items_per_bucket``). The pair table itself never moves.
-    """
+    """The distinct pair table, written once; its grid is written when a fit first needs one."""
 
-    df: DataFrame  # u, s, [w], salt, b
-    n_buckets: int
-    heavy: DataFrame  # (u, n_salt)
+    df: DataFrame  # u, s, [w]
     n_pairs: int
-    n_users: int
-    bucket_keys: DataFrame | None = None  # (slot, b): n_buckets rows
-    table: str | None = None  # catalog entry that carries the bucket spec
-    _items_per_bucket: DataFrame | None = None
+    path: str | None = None  # set when the layout owns the written pairs
+    grid: "PairGrid | None" = None
 
     def drop(self) -> None:
-        """Remove the catalog entry (an external table: its files stay in the checkpoint folder)."""
-        if self.table:
-            self.df.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
-            self.table = None
-
-    def items_per_bucket(self) -> DataFrame:
-        """Distinct (b, s), written once: where each item's parameters must go."""
-        if self._items_per_bucket is None:
-            spark = self.df.sparkSession
-            path = scratch_path(spark, "items-per-bucket")
-            self.df.select("b", "s").distinct().write.parquet(path)
-            self._items_per_bucket = spark.read.parquet(path)
-        return self._items_per_bucket
-
-
-def _table_name(tag: str) -> str:
-    return f"latentcf_{tag}_{uuid.uuid4().hex[:12]}"
-
-
-def _slot(n_buckets: int):
-    return F.pmod(F.xxhash64("u", "salt"), F.lit(n_buckets)).cast("int")
-
-
-def bucket_keys(spark: SparkSession, n_buckets: int) -> DataFrame:
-    """(slot, b): for every slot in [0, n) an int key b that hash partitioning sends to bucket ``slot``.
-
-    Bucketing and ``repartition(n, "b")`` place a row in ``pmod(hash(b), n)``;
-    using these keys as ``b`` gives bucket i exactly the rows of slot i, so the
-    buckets are as even as xxhash64(u, salt) mod n (n distinct raw slot values
-    would collide and leave about a third of the buckets empty). n rows, so
-    broadcasting it has a proven bound; written once per layout."""
-    cand = spark.range(0, 64 * n_buckets).select(F.col("id").cast("int").alias("b"))
-    keys = cand.groupBy(F.pmod(F.hash("b"), F.lit(n_buckets)).alias("slot")).agg(F.min("b").alias("b"))
-    path = scratch_path(spark, "bucket-keys")
-    keys.write.parquet(path)
-    out = spark.read.parquet(path)
-    if out.count() != n_buckets:  # 64 candidates per bucket: missing one has probability ~n·e^-64
-        raise RuntimeError("could not find a key for every bucket")
-    return out
+        """Remove what was written for the fits (the fitted models do not read it)."""
+        spark = self.df.sparkSession
+        if self.grid is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {self.grid.table}")
+            remove_path(spark, self.grid.path)
+            self.grid = None
+        if self.path:
+            remove_path(spark, self.path)
+            self.path = None
+
+
+@dataclass
+class PairGrid:
+    """Pairs by cell: user block x item block, a table bucketed by cell so that the pairs stay
+    where they are and only parameter rows move in a pass."""
+
+    df: DataFrame  # cell, u, s, [w]
+    rows: int
+    cols: int
+    table: str
+    path: str
+
+    def user_block(self):
+        return F.pmod(F.xxhash64("u"), F.lit(self.rows))
+
+    def item_block(self):
+        return F.pmod(F.xxhash64("s", F.lit("item")), F.lit(self.cols))
 
 
-def _with_bucket(df: DataFrame, keys: DataFrame, n_buckets: int) -> DataFrame:
-    return df.withColumn("slot", _slot(n_buckets)).join(F.broadcast(keys), "slot").drop("slot")
+def _cell(rows: int, cols: int):
+    g = PairGrid(None, rows, cols, "", "")
+    return (g.user_block() * F.lit(cols) + g.item_block()).alias("cell")
 
 
-def layout_pairs(P: DataFrame) -> PairLayout:
-    """Bucketed layout of an already written pair table (two jobs)."""
+def grid_pairs(P: DataFrame, n_pairs: int, user_bytes: int, item_bytes: int, cell_bytes: int = CELL_BYTES,
+               cell_pairs: int = CELL_PAIRS) -> PairGrid:
+    """Write the grid of ``P``. Blocks are refined until every parameter block fits
+    ``cell_bytes`` on average and no cell holds more than ``cell_pairs`` pairs (distinct pairs
+    always part: a single pair is the smallest cell)."""
     spark = P.sparkSession
-    counts_path = scratch_path(spark, "user-counts")
-    P.groupBy("u").agg(F.count(F.lit(1)).alias("c")).write.parquet(counts_path)
-    counts = spark.read.parquet(counts_path)
-    r = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("nu")).first()
-    n_pairs, n_users = int(r["n"] or 0), int(r["nu"] or 0)
-    # at least one bucket per core, at most ROWS_PER_BUCKET pairs per bucket
-    base = max(1, int(spark.sparkContext.defaultParallelism))
-    n_b = min(MAX_BUCKETS, max(base, math.ceil(n_pairs / ROWS_PER_BUCKET)))
-    cap = max(1, math.ceil(n_pairs / n_b))
-    heavy_path = scratch_path(spark, "heavy-users")
-    (counts.where(F.col("c") > F.lit(cap))
-     .select("u", F.ceil(F.col("c") / F.lit(cap)).cast("int").alias("n_salt")).write.parquet(heavy_path))
-    heavy = spark.read.parquet(heavy_path)
-    salt = F.when(F.col("n_salt").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("s"), F.col("n_salt"))).cast("int")
-    salted = P.join(F.broadcast(heavy), "u", "left").select(*P.columns, salt.alias("salt"))
-    keys = bucket_keys(spark, n_b)
-    salted = _with_bucket(salted, keys, n_b)
-    name = _table_name("pairs_b")
-    (salted.repartition(n_b, "b").write.bucketBy(n_b, "b")
-     .option("path", scratch_path(spark, "pairs_b")).saveAsTable(name))
-    return PairLayout(spark.table(name), n_b, heavy, n_pairs, n_users, keys, name)
-
-
-def colocated_users(users: DataFrame, layout: PairLayout) -> DataFrame:
-    """p(z|u) with (salt, b): one row per salt of a heavy user, one row otherwise.
-
-    Joined on (b, u, salt); Spark shuffles only this side, by b."""
-    pu = [c for c in users.columns if c != "u"]
-    n = F.coalesce(F.col("n_salt"), F.lit(1))
-    x = users.join(F.broadcast(layout.heavy), "u", "left").select(
-        "u", F.explode(F.sequence(F.lit(0), n - 1)).alias("salt"), *pu)
-    x = _with_bucket(x, layout.bucket_keys, layout.n_buckets)
-    # partitioned exactly like the bucketed pairs, so only this side moves
-    return x.repartition(layout.n_buckets, "b").hint("shuffle_hash")
-
-
-def colocated_items(items: DataFrame, layout: PairLayout) -> DataFrame:
-    """p(s|z) shipped to the buckets holding each item: (b, s, ps...).
-
-    Joined on (b, s). A hot item is copied at most n_buckets times."""
-    shipped = layout.items_per_bucket().join(items, "s")
-    # partitioned exactly like the bucketed pairs, so only this side moves
-    return shipped.repartition(layout.n_buckets, "b").hint("shuffle_hash")
-
-
-class _CoPartitionByBucket:
-    """Let joins on (b, ...) reuse the table's bucketing on b alone.
-
-    ``spark.sql.requireAllClusterKeysForCoPartition=false`` for the duration
-    of the fit (restored afterwards); with it left on, Spark would shuffle
-    the pair table instead — slower, same result."""
-
-    KEY = "spark.sql.requireAllClusterKeysForCoPartition"
-
-    def __init__(self, spark: SparkSession, active: bool):
-        self.spark, self.active, self.prev = spark, active, None
-
-    def __enter__(self):
-        if self.active:
-            self.prev = self.spark.conf.get(self.KEY, None)
-            self.spark.conf.set(self.KEY, "false")
-        return self
-
-    def __exit__(self, *exc):
-        if self.active:
-            if self.prev is None:
-                self.spark.conf.unset(self.KEY)
-            else:
-                self.spark.conf.set(self.KEY, self.prev)
-        return False
+    rows, cols = max(1, math.ceil(user_bytes / cell_bytes)), max(1, math.ceil(item_bytes / cell_bytes))
+    while rows * cols < int(spark.sparkContext.defaultParallelism):
+        rows, cols = (2 * rows, cols) if rows <= cols else (rows, 2 * cols)
+    while True:
+        most = P.groupBy(_cell(rows, cols)).count().agg(F.max("count")).first()[0] or 0
+        if most <= cell_pairs:
+            break
+        # towards the even case at once; a skewed cell is halved on
+        grow = max(2.0, n_pairs / (rows * cols) / cell_pairs)
+        rows, cols = (math.ceil(rows * grow), cols) if rows <= cols else (rows, math.ceil(cols * grow))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_pairs / cell_pairs))
+    path, name = scratch_path(spark, "pair-grid"), f"latentcf_grid_{uuid.uuid4().hex[:12]}"
+    (P.select(_cell(rows, cols), *P.columns).repartition(buckets, "cell").write.bucketBy(buckets, "cell").sortBy("cell")
+     .option("path", path).saveAsTable(name))
+    return PairGrid(spark.table(name), rows, cols, name, path)
+
+
+def grid_aggregate(grid: PairGrid, users: DataFrame, items: DataFrame, names: list[list[str]], lls: list[str],
+                   weight_col: str | None) -> DataFrame:
+    """The pass over a grid: the rows of :func:`m_aggregate` for one or several models.
+
+    ``names`` has the class labels of each model (columns pu<label>, ps<label>, m<label>), ``lls``
+    the log-likelihood column of each. Users and items follow their blocks to every cell of their
+    row or column."""
+    flat = [n for ns in names for n in ns]
+    utype, stype = users.schema["u"].dataType, items.schema["s"].dataType
+    to_users = users.select(F.explode(F.sequence(F.lit(0), F.lit(grid.cols - 1))).alias("b"), grid.user_block().alias("x"),
+                            "u", F.lit(None).cast(stype).alias("s"), *[F.col(f"pu{n}").alias(f"p{n}") for n in flat])
+    to_items = items.select(F.explode(F.sequence(F.lit(0), F.lit(grid.rows - 1))).alias("b"), grid.item_block().alias("x"),
+                            F.lit(None).cast(utype).alias("u"), "s", *[F.col(f"ps{n}").alias(f"p{n}") for n in flat])
+    p = [f"p{n}" for n in flat]
+    params = (to_users.select((F.col("x") * F.lit(grid.cols) + F.col("b")).alias("cell"), "u", "s", *p)
+              .unionByName(to_items.select((F.col("b") * F.lit(grid.cols) + F.col("x")).alias("cell"), "u", "s", *p)))
+    sums = [f"m{n}" for n in flat] + lls + ["wsum"]
+    schema = T.StructType([T.StructField("side", T.StringType()), T.StructField("u", utype), T.StructField("s", stype),
+                           *[T.StructField(c, T.DoubleType()) for c in sums], T.StructField("n", T.LongType())])
+
+    def cell(pairs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(pairs):
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        of_user = own["s"].isna().to_numpy()
+        U, S = own[of_user], own[~of_user]
+        iu, js = pd.Index(U["u"]).get_indexer(pairs["u"]), pd.Index(S["s"]).get_indexer(pairs["s"])
+        weight = pairs[weight_col].to_numpy(np.float64) if weight_col else np.ones(len(pairs))
+        user, item = {}, {}
+        for ns, ll in zip(names, lls):
+            w = [U[f"p{n}"].to_numpy()[iu] * S[f"p{n}"].to_numpy()[js] for n in ns]
+            evidence = w[0].copy()
+            for x in w[1:]:
+                evidence += x
+            np.maximum(evidence, EVIDENCE_FLOOR, out=evidence)
+            for n, x in zip(ns, w):
+                q = x / evidence * weight
+                user[f"m{n}"], item[f"m{n}"] = np.bincount(iu, q, len(U)), np.bincount(js, q, len(S))
+            lnev = np.log(evidence) * weight
+            user[ll], item[ll] = np.bincount(iu, lnev, len(U)), np.bincount(js, lnev, len(S))
+        user["wsum"], item["wsum"] = np.bincount(iu, weight, len(U)), np.bincount(js, weight, len(S))
+        user["n"], item["n"] = np.bincount(iu, minlength=len(U)), np.bincount(js, minlength=len(S))
+        out = [pd.DataFrame({"side": "u", "u": U["u"].to_numpy(), "s": None, **user}),
+               pd.DataFrame({"side": "s", "u": None, "s": S["s"].to_numpy(), **item})]
+        return pd.concat([o[o["n"] > 0] for o in out])[[f.name for f in schema.fields]]
+
+    parts = grid.df.groupBy("cell").cogroup(params.groupBy("cell")).applyInPandas(cell, schema)
+    return parts.groupBy("side", "u", "s").agg(*[F.sum(c).alias(c) for c in sums], F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------- fit
 
 
 def prepare_pairs(pairs: DataFrame, weight_col: str | None = None) -> DataFrame:
-    """Write a pair table once to the shared folder and read it back.
+    """Write the distinct pairs once to the shared folder and read them back (weights of equal
+    pairs add up; a pair given twice would otherwise count twice in every sum).
 
     Writing cuts the source lineage (the orders ⋈ lineitem join and the
     distinct) and makes a lost executor cost a re-read, not a recompute
     from the raw logs.
     """
+    return _write_pairs(pairs, weight_col)[0]
+
+
+def _write_pairs(pairs: DataFrame, weight_col: str | None) -> tuple[DataFrame, str]:
     spark = pairs.sparkSession
-    cols = ["u", "s"] + ([weight_col] if weight_col else [])
     path = scratch_path(spark, "pairs")
-    pairs.select(*cols).write.parquet(path)
-    return spark.read.parquet(path)
+    if weight_col:
+        distinct = pairs.groupBy("u", "s").agg(F.sum(weight_col).alias(weight_col))
+    else:
+        distinct = pairs.select("u", "s").distinct()
+    distinct.write.parquet(path)
+    return spark.read.schema(distinct.schema).parquet(path), path
 
 
 def prepare_layout(pairs: DataFrame, weight_col: str | None = None, prepared: bool = False) -> PairLayout:
-    """Written + bucketed pair table, reusable across several fits (k sweeps)."""
-    return layout_pairs(pairs if prepared else prepare_pairs(pairs, weight_col))
+    """Written pair table, reusable across several fits (k sweeps)."""
+    written, path = (pairs, None) if prepared else _write_pairs(pairs, weight_col)
+    return PairLayout(written, written.count(), path)
+
+
+def _sizes(stats_users: int, stats_items: int, width: int, stats) -> tuple[int, int]:
+    return (param_bytes(stats_users, width, stats.user_key_bytes), param_bytes(stats_items, width, stats.item_key_bytes))
+
+
+def _grid_of(layout: PairLayout, user_bytes: int, item_bytes: int, limit: int) -> PairGrid | None:
+    """The layout's grid if a parameter table is over the broadcast limit, else None."""
+    if user_bytes <= limit and item_bytes <= limit:
+        return None
+    if layout.grid is None:
+        spark = layout.df.sparkSession
+        cell_bytes = int(spark.conf.get("spark.latentcf.cellBytes", str(CELL_BYTES)))
+        cell_pairs = int(spark.conf.get("spark.latentcf.cellPairs", str(CELL_PAIRS)))
+        layout.grid = grid_pairs(layout.df, layout.n_pairs, user_bytes, item_bytes, cell_bytes, cell_pairs)
+    return layout.grid
+
+
+def _manifest(layout: PairLayout, k: int, seed: int, weight_col: str | None, alpha: float, eta: float) -> str:
+    """What a run directory was started with, the pair table included (an order-free hash)."""
+    digest = layout.df.agg(F.sum(F.xxhash64(*layout.df.columns).cast("decimal(38,0)")).alias("h")).first()["h"]
+    return json.dumps({"version": RUN_VERSION, "k": k, "seed": seed, "weight_col": weight_col, "alpha": alpha, "eta": eta,
+                       "n_pairs": layout.n_pairs, "pairs": str(digest)}, sort_keys=True)
+
+
+def _check_manifest(spark: SparkSession, run: str, wanted: str) -> None:
+    """Write the manifest of a new run directory; refuse to resume under another one."""
+    path = f"{run}/manifest"
+    if committed(spark, path):
+        found = spark.read.text(path).first()["value"]
+        if found != wanted:
+            raise ValueError(f"{run} belongs to another fit: it was started with {found}, now {wanted}")
+    elif committed(spark, f"{run}/state-00000"):
+        raise ValueError(f"{run} holds states without a manifest")
+    else:
+        spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def fit(
@@ -396,8 +452,10 @@ def fit(
     broadcast_bytes: int | None = None,
     prepared: bool = False,
     run_dir: str | None = None,
+    alpha: float = 0.0,
+    eta: float = 0.0,
 ) -> LatentClassModel:
-    """Fit p(z|u), p(s|z) by EM on distinct (u, s[, weight]) pairs.
+    """Fit p(z|u), p(s|z) by EM on (u, s[, weight]) pairs (made distinct unless ``prepared``).
 
     ``max_iter`` passes (E-step + log-likelihood each); with ``tol`` the loop
     stops once |loglik_t - loglik_{t-1}| < tol. The returned parameters are
@@ -406,7 +464,8 @@ def fit(
     With ``run_dir`` (a shared folder) the state after each pass is written to
     ``run_dir/state-<t>``; a fit started again with the same arguments and
     folder resumes after the last committed pass (a driver restart costs at
-    most one pass). Restored passes have no timing in the trace.
+    most one pass). Restored passes have no timing in the trace. A folder
+    started with other arguments or other pairs is refused (its manifest).
     """
     if k < 1 or max_iter < 1:
         raise ValueError("k and max_iter must be >= 1")
@@ -415,18 +474,20 @@ def fit(
     try:
         if layout.n_pairs == 0:
             raise ValueError("no (u, s) pairs to fit")
-        return _fit(layout, k, max_iter, seed, tol, weight_col, broadcast_bytes, run_dir)
+        return _fit(layout, k, max_iter, seed, tol, weight_col, broadcast_bytes, run_dir, alpha, eta)
     finally:
-        if own_layout:  # nothing returned depends on it; don't leave tables in a shared metastore
+        if own_layout:  # nothing returned depends on it
             layout.drop()
 
 
 def _fit(layout: PairLayout, k: int, max_iter: int, seed: int, tol: float | None, weight_col: str | None,
-         broadcast_bytes: int | None, run_dir: str | None) -> LatentClassModel:
+         broadcast_bytes: int | None, run_dir: str | None, alpha: float, eta: float) -> LatentClassModel:
     P = layout.df
     spark = P.sparkSession
     limit = broadcast_bytes if broadcast_bytes is not None else broadcast_limit(spark)
     run = run_dir.rstrip("/") if run_dir else None
+    if run:
+        _check_manifest(spark, run, _manifest(layout, k, seed, weight_col, alpha, eta))
 
     def state_path(t: int) -> str | None:
         return f"{run}/state-{t:05d}" if run else None
@@ -442,45 +503,41 @@ def _fit(layout: PairLayout, k: int, max_iter: int, seed: int, tol: float | None
         seconds = [None] * last
         first = last + 1
         done = tol is not None and len(logliks) > 1 and abs(logliks[-1] - logliks[-2]) < tol
-        users, items, stats = load_state(spark, state_path(last - 1 if done else last), k)
+        users, items, stats = load_state(spark, state_path(last - 1 if done else last), k, None, alpha, eta)
         if done:
             first = max_iter + 1
     else:
         users, items, stats = m_step(spark, initial_responsibilities(P, k, seed), k, weight_col, "em-init",
-                                     state_path(0))
-    users_local = param_bytes(stats.n_users, k) > limit
-    items_local = param_bytes(stats.n_items, k) > limit
-    with _CoPartitionByBucket(spark, users_local or items_local):
-        for t in range(first, max_iter + 1):
-            t0 = time.time()
-            if users_local:
-                U, ukeys = colocated_users(users, layout), ["b", "u", "salt"]
-            else:
-                U, ukeys = F.broadcast(users), ["u"]
-            if items_local:
-                S, skeys = colocated_items(items, layout), ["b", "s"]
-            else:
-                S, skeys = F.broadcast(items), ["s"]
-            resp = responsibilities(P, U, S, k, ukeys, skeys)
-            nxt = None
-            if t < max_iter:
-                nxt = m_step(spark, resp, k, weight_col, f"em-pass{t}", state_path(t))
-                ll = nxt[2].loglik
-            else:
-                w = _w(weight_col)
-                lg = F.col("lnev")
-                r = resp.agg(F.sum(lg * w if w is not None else lg).alias("ll"),
-                             F.sum(w if w is not None else F.lit(1.0)).alias("ws")).first()
-                ll = (r["ll"] / r["ws"]) if r["ws"] else None
-            logliks.append(ll)
-            seconds.append(time.time() - t0)
-            converged = (
-                tol is not None and len(logliks) > 1 and ll is not None and logliks[-2] is not None
-                and abs(ll - logliks[-2]) < tol
-            )
-            if converged or nxt is None:
-                break
-            users, items, stats = nxt
+                                     state_path(0), alpha, eta)
+    grid = _grid_of(layout, *_sizes(stats.n_users, stats.n_items, k, stats), limit)
+    labels = [[str(z) for z in range(k)]]
+    for t in range(first, max_iter + 1):
+        t0 = time.time()
+        nxt = None
+        if grid is not None:
+            state = grid_aggregate(grid, users, items, labels, ["ll"], weight_col)
+            resp = None
+        else:
+            resp = responsibilities(P, F.broadcast(users), F.broadcast(items), k)
+            state = m_aggregate(resp, k, weight_col)
+        if t < max_iter:
+            nxt = _settle(spark, state, k, f"em-pass{t}", state_path(t), alpha, eta)
+            ll = nxt[2].loglik
+        else:
+            ll = _last_loglik(resp, state, ["lnev"], ["ll"], weight_col)[0]
+        logliks.append(ll)
+        seconds.append(time.time() - t0)
+        converged = (
+            tol is not None and len(logliks) > 1 and ll is not None and logliks[-2] is not None
+            and abs(ll - logliks[-2]) < tol
+        )
+        if converged or nxt is None:
+            if nxt is not None and not run:
+                remove_path(spark, nxt[2].path)
+            break
+        if not run:  # pass t is written: nothing reads pass t - 1 any more
+            remove_path(spark, stats.path)
+        users, items, stats = nxt
     trace = spark.createDataFrame(
         [(i + 1, float(v) if v is not None and not math.isnan(v) else None, None if s is None else float(s))
          for i, (v, s) in enumerate(zip(logliks, seconds))],
@@ -489,9 +546,22 @@ def _fit(layout: PairLayout, k: int, max_iter: int, seed: int, tol: float | None
     return LatentClassModel(
         k=k, users=users, items=items, trace=trace, passes=len(logliks),
         n_users=stats.n_users, n_items=stats.n_items, logliks=logliks, seconds=seconds,
+        user_key_bytes=stats.user_key_bytes, item_key_bytes=stats.item_key_bytes,
+        state_path=None if run else stats.path,
     )
 
 
+def _last_loglik(resp: DataFrame | None, state: DataFrame, lnevs: list[str], lls: list[str], weight_col: str | None) -> list:
+    """Mean log-likelihoods of the last pass, without its M-step where the pairs are joined directly."""
+    if resp is not None:
+        w = _w(weight_col)
+        r = resp.agg(*[F.sum(F.col(c) * w if w is not None else F.col(c)).alias(n) for c, n in zip(lnevs, lls)],
+                     F.sum(w if w is not None else F.lit(1.0)).alias("ws")).first()
+    else:
+        r = state.where("side = 'u'").agg(*[F.sum(c).alias(c) for c in lls], F.sum("wsum").alias("ws")).first()
+    return [(r[c] / r["ws"]) if r["ws"] else None for c in lls]
+
+
 # ---------------------------------------------------------------- several k in one scan
 
 
@@ -541,35 +611,32 @@ def _many_aggregate(resp: DataFrame, ks: list[int], weight_col: str | None, with
     return g.select(F.when(F.col("_gs") == 1, "u").otherwise("s").alias("side"), "u", "s", *keep)
 
 
-def _many_step(spark: SparkSession, resp: DataFrame, ks: list[int], weight_col: str | None, with_ll: bool, tag: str):
+def _many_step(spark: SparkSession, state: DataFrame, ks: list[int], with_ll: bool, tag: str):
     """Write the joint state; observe class totals and log-likelihood sums; return wide tables + scalars."""
     side_u, side_s = F.col("side") == "u", F.col("side") == "s"
     metrics = ([F.sum(F.when(side_s, F.col(f"m{t}"))).alias(f"m{t}") for _, _, t in _qcols(ks)]
                + [F.sum(F.when(side_u, F.col(f"ll{j}"))).alias(f"ll{j}") for j in range(len(ks))]
                + [F.sum(F.when(side_u, F.col("wsum"))).alias("wsum"),
                   F.sum(F.when(side_u, 1).otherwise(0)).alias("nu"),
-                  F.sum(F.when(side_s, 1).otherwise(0)).alias("ns")])
+                  F.sum(F.when(side_s, 1).otherwise(0)).alias("ns")] + _key_metrics())
     path = scratch_path(spark, tag)
     obs = Observation(f"latentcf_{uuid.uuid4().hex[:8]}")
-    _many_aggregate(resp, ks, weight_col, with_ll).observe(obs, *metrics).write.partitionBy("side").parquet(path)
+    state.observe(obs, *metrics).write.partitionBy("side").parquet(path)
     r = obs.get
     st = spark.read.parquet(path)
-    ucols, icols, tots = [], [], []
-    for j, k in enumerate(ks):
-        tots.append(row_sum([f"m{j}_{z}" for z in range(k)]).alias(f"_tot{j}"))
-        ucols += [(F.col(f"m{j}_{z}") / F.col(f"_tot{j}")).alias(f"pu{j}_{z}") for z in range(k)]
-        icols += [((F.col(f"m{j}_{z}") / F.lit(float(r[f"m{j}_{z}"]))) if r[f"m{j}_{z}"] else F.lit(0.0))
-                  .alias(f"ps{j}_{z}") for z in range(k)]
-    users = st.where(side_u).select("u", *[f"m{t}" for _, _, t in _qcols(ks)], *tots).select("u", *ucols)
-    items = st.where(side_s).select("s", *icols)
+    counts = [[f"m{j}_{z}" for z in range(k)] for j, k in enumerate(ks)]
+    users = _user_table(st.where(side_u), counts, [[f"pu{j}_{z}" for z in range(k)] for j, k in enumerate(ks)], 0.0)
+    flat = [c for cs in counts for c in cs]
+    items = _item_table(st.where(side_s), flat, [f"ps{c[1:]}" for c in flat], [r[c] for c in flat], 0, 0.0)
     wsum = float(r["wsum"] or 0.0)
     lls = [(r[f"ll{j}"] / wsum) if (with_ll and wsum and r[f"ll{j}"] is not None) else None for j in range(len(ks))]
-    return users, items, int(r["nu"] or 0), int(r["ns"] or 0), lls
+    stats = StateStats(int(r["nu"] or 0), int(r["ns"] or 0), [], None, wsum, 0, int(r["ku"] or 0), int(r["ks"] or 0), path)
+    return users, items, stats, lls
 
 
-def _many_responsibilities(P: DataFrame, U: DataFrame, S: DataFrame, ks: list[int], ukeys, skeys) -> DataFrame:
+def _many_responsibilities(P: DataFrame, U: DataFrame, S: DataFrame, ks: list[int]) -> DataFrame:
     keep = P.columns
-    joined = P.join(U, ukeys).join(S, skeys)
+    joined = P.join(U, "u").join(S, "s")
     w = joined.select(*keep, *[(F.col(f"pu{t}") * F.col(f"ps{t}")).alias(f"w{t}") for _, _, t in _qcols(ks)])
     ev = w.select("*", *[F.greatest(row_sum([f"w{j}_{z}" for z in range(k)]), F.lit(EVIDENCE_FLOOR)).alias(f"ev{j}")
                          for j, k in enumerate(ks)])
@@ -586,29 +653,27 @@ def _fit_many(layout: PairLayout, ks: list[int], max_iter: int, seed: int, weigh
     # shared initialisation: draw z depends on (u, s, z, seed) only, so every model reuses it
     draws = {z: keyed_unit_open(F.col("u"), F.col("s"), F.lit(z), F.lit(seed)) for z in range(max(ks))}
     init = P.select("*", *[draws[z].alias(f"q{t}") for _, z, t in _qcols(ks)])
-    users, items, n_users, n_items, _ = _many_step(spark, init, ks, weight_col, False, "em-many-init")
-    users_local = param_bytes(n_users, width) > limit
-    items_local = param_bytes(n_items, width) > limit
+    users, items, stats, _ = _many_step(spark, _many_aggregate(init, ks, weight_col, False), ks, False, "em-many-init")
+    grid = _grid_of(layout, *_sizes(stats.n_users, stats.n_items, width, stats), limit)
+    labels = [[f"{j}_{z}" for z in range(k)] for j, k in enumerate(ks)]
+    ll_names = [f"ll{j}" for j in range(len(ks))]
     logliks: list[list] = []
     seconds: list[float] = []
-    with _CoPartitionByBucket(spark, users_local or items_local):
-        for t in range(1, max_iter + 1):
-            t0 = time.time()
-            U, ukeys = (colocated_users(users, layout), ["b", "u", "salt"]) if users_local else (F.broadcast(users), ["u"])
-            S, skeys = (colocated_items(items, layout), ["b", "s"]) if items_local else (F.broadcast(items), ["s"])
-            resp = _many_responsibilities(P, U, S, ks, ukeys, skeys)
-            if t < max_iter:
-                users2, items2, n_users, n_items, lls = _many_step(spark, resp, ks, weight_col, True, f"em-many{t}")
-            else:
-                w = _w(weight_col)
-                r = resp.agg(*[F.sum(F.col(f"lnev{j}") * w if w is not None else F.col(f"lnev{j}")).alias(f"ll{j}")
-                               for j in range(len(ks))],
-                             F.sum(w if w is not None else F.lit(1.0)).alias("ws")).first()
-                lls = [(r[f"ll{j}"] / r["ws"]) if r["ws"] else None for j in range(len(ks))]
-            logliks.append(lls)
-            seconds.append(time.time() - t0)
-            if t < max_iter:
-                users, items = users2, items2
+    for t in range(1, max_iter + 1):
+        t0 = time.time()
+        if grid is not None:
+            resp, state = None, grid_aggregate(grid, users, items, labels, ll_names, weight_col)
+        else:
+            resp = _many_responsibilities(P, F.broadcast(users), F.broadcast(items), ks)
+            state = _many_aggregate(resp, ks, weight_col, True)
+        if t < max_iter:
+            last = stats.path
+            users, items, stats, lls = _many_step(spark, state, ks, True, f"em-many{t}")
+            remove_path(spark, last)
+        else:
+            lls = _last_loglik(resp, state, [f"lnev{j}" for j in range(len(ks))], ll_names, weight_col)
+        logliks.append(lls)
+        seconds.append(time.time() - t0)
     out = {}
     for j, k in enumerate(ks):
         lj = [row[j] for row in logliks]
@@ -619,5 +684,6 @@ def _fit_many(layout: PairLayout, ks: list[int], max_iter: int, seed: int, weigh
             k=k,
             users=users.select("u", *[F.col(f"pu{j}_{z}").alias(f"pu{z}") for z in range(k)]),
             items=items.select("s", *[F.col(f"ps{j}_{z}").alias(f"ps{z}") for z in range(k)]),
-            trace=trace, passes=len(lj), n_users=n_users, n_items=n_items, logliks=lj, seconds=list(seconds))
+            trace=trace, passes=len(lj), n_users=stats.n_users, n_items=stats.n_items, logliks=lj, seconds=list(seconds),
+            user_key_bytes=stats.user_key_bytes, item_key_bytes=stats.item_key_bytes)
     return out

@@ -45,8 +45,8 @@ def score_pairs(model: LatentClassModel, pairs: DataFrame, broadcast_bytes: int
     """(u, s, score) for the given pairs whose u and s are in the model."""
     spark = pairs.sparkSession
     limit = broadcast_bytes if broadcast_bytes is not None else broadcast_limit(spark)
-    U = maybe_broadcast(model.users, model.n_users, model.k, limit)
-    S = maybe_broadcast(model.items, model.n_items, model.k, limit)
+    U = maybe_broadcast(model.users, model.n_users, model.k, limit, model.user_key_bytes)
+    S = maybe_broadcast(model.items, model.n_items, model.k, limit, model.item_key_bytes)
     j = pairs.select("u", "s").join(U, "u").join(S, "s")
     return j.select("u", "s", dot("pu", "ps", model.k).alias("score"))
 

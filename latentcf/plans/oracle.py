@@ -82,7 +82,7 @@ def weighted_pairs(ch: Chain) -> str:
 def word_pairs(ch: Chain) -> str:
     return ch.add(
         "wordpairs",
-        "SELECT DISTINCT u, s FROM (SELECT doc_id AS u, unnest(regexp_extract_all(lower(text), '[a-z]+', 0)) AS s "
+        "SELECT DISTINCT u, s FROM (SELECT doc_id AS u, unnest(regexp_extract_all(lower(text), '\\p{L}+', 0)) AS s "
         "FROM documents) t WHERE u IS NOT NULL AND length(s) > 0",
     )
 
@@ -110,15 +110,18 @@ def init_q(ch: Chain, pairs: str, k: int, seed: int, tag: str, wcol: str | None
     return ch.add(f"q0_{tag}", f"SELECT u, s{extra}, {cols} FROM {pairs}")
 
 
-def m_step(ch: Chain, q: str, k: int, tag: str, wcol: str | None = None) -> tuple[str, str, str, str]:
-    """-> (user mass, item counts, p(z|u) table pu, p(s|z) table ps)."""
+def m_step(ch: Chain, q: str, k: int, tag: str, wcol: str | None = None, alpha: float = 0.0,
+           eta: float = 0.0) -> tuple[str, str, str, str]:
+    """-> (user mass, item counts, p(z|u) table pu, p(s|z) table ps); pseudo-counts alpha, eta."""
     wq = [f"q{z} * {wcol}" if wcol else f"q{z}" for z in range(k)]
     um = ch.add(f"um_{tag}", f"SELECT u, {', '.join(f'sum({x}) AS m{z}' for z, x in enumerate(wq))} FROM {q} GROUP BY u")
     sm = ch.add(f"sm_{tag}", f"SELECT s, {', '.join(f'sum({x}) AS m{z}' for z, x in enumerate(wq))} FROM {q} GROUP BY s")
-    nz = ch.add(f"nz_{tag}", f"SELECT {', '.join(f'sum(m{z}) AS n{z}' for z in range(k))} FROM {sm}")
-    tot = rsum([f"m{z}" for z in range(k)])
-    pu = ch.add(f"pu_{tag}", f"SELECT u, {', '.join(f'm{z} / {tot} AS pu{z}' for z in range(k))} FROM {um}")
-    ps = ch.add(f"ps_{tag}", f"SELECT s, {', '.join(f'm{z} / n{z} AS ps{z}' for z in range(k))} FROM {sm}, {nz}")
+    nz = ch.add(f"nz_{tag}", f"SELECT {', '.join(f'sum(m{z}) AS n{z}' for z in range(k))}, count(*) AS n_items FROM {sm}")
+    um_z = [f"(m{z} + {dbl(alpha)})" if alpha else f"m{z}" for z in range(k)]
+    sm_z = [f"(m{z} + {dbl(eta)}) / (n{z} + n_items * {dbl(eta)})" if eta else f"m{z} / n{z}" for z in range(k)]
+    tot = rsum(um_z)
+    pu = ch.add(f"pu_{tag}", f"SELECT u, {', '.join(f'{um_z[z]} / {tot} AS pu{z}' for z in range(k))} FROM {um}")
+    ps = ch.add(f"ps_{tag}", f"SELECT s, {', '.join(f'{sm_z[z]} AS ps{z}' for z in range(k))} FROM {sm}, {nz}")
     return um, sm, pu, ps
 
 
@@ -139,16 +142,17 @@ def loglik_of(eq: str, wcol: str | None = None) -> str:
     return f"(SELECT avg(ln(evidence)) FROM {eq})"
 
 
-def em(ch: Chain, pairs: str, k: int, passes: int, seed: int, tag: str = "", wcol: str | None = None):
+def em(ch: Chain, pairs: str, k: int, passes: int, seed: int, tag: str = "", wcol: str | None = None,
+       alpha: float = 0.0, eta: float = 0.0):
     """Unrolled EM: returns (pu, ps, [loglik scalar subqueries per pass])."""
     q = init_q(ch, pairs, k, seed, f"{tag}0", wcol)
-    _, _, pu, ps = m_step(ch, q, k, f"{tag}1", wcol)
+    _, _, pu, ps = m_step(ch, q, k, f"{tag}1", wcol, alpha, eta)
     lls = []
     for t in range(1, passes + 1):
         eq = e_step(ch, pairs, pu, ps, k, f"{tag}{t}", wcol)
         lls.append(loglik_of(eq, wcol))
         if t < passes:
-            _, _, pu, ps = m_step(ch, eq, k, f"{tag}{t + 1}", wcol)
+            _, _, pu, ps = m_step(ch, eq, k, f"{tag}{t + 1}", wcol, alpha, eta)
     return pu, ps, lls
 
 

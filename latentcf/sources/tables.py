@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: the token pattern for the documents-by-words domain.
-WORD_PATTERN = "[a-z]+"
+# Fixed value: the token pattern for the documents-by-words domain (letters of any script).
+WORD_PATTERN = r"\p{L}+"
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -92,7 +92,7 @@ def test_partition_invariance(spark, sf_pairs):
     assert max(d) < 1e-9
 
 
-def test_bucketed_layout_with_hot_user_equals_broadcast(spark):
+def test_grid_with_hot_user_equals_broadcast(spark):
     # one user holds about a third of all pairs
     base = spark.range(0, 3000).select((F.col("id") % 300).alias("u"), (F.col("id") % 97 + 5000).alias("s"))
     hot = spark.range(0, 1500).select(F.lit(7).cast("long").alias("u"), F.col("id").alias("s"))
@@ -103,12 +103,12 @@ def test_bucketed_layout_with_hot_user_equals_broadcast(spark):
     bi = b.items.select("s", F.col("ps0").alias("b0"), F.col("ps1").alias("b1"))
     d = a.items.join(bi, "s").agg(F.max(F.abs(F.col("ps0") - F.col("b0"))), F.max(F.abs(F.col("ps1") - F.col("b1"))))
     assert max(d.first()) < 1e-12
-    lay = em.prepare_layout(pairs)
-    heavy = {r["u"]: r["n_salt"] for r in lay.heavy.collect()}
-    assert 7 in heavy and heavy[7] > 1
-    # the hot user's pairs are spread over several buckets
-    spread = lay.df.where(F.col("u") == 7).select("salt").distinct().count()
-    assert spread > 1
+    # refined until the hot user's pairs lie in several bounded cells
+    grid = em.grid_pairs(em.prepare_pairs(pairs), pairs.count(), 1, 1, cell_pairs=300)
+    cells = grid.df.groupBy("cell").count().agg(F.max("count")).first()[0]
+    hot_cells = grid.df.where(F.col("u") == 7).select("cell").distinct().count()
+    spark.sql(f"DROP TABLE {grid.table}")
+    assert cells <= 300 and hot_cells > 1
 
 
 def test_k1_and_tol_and_weights(spark, sf_pairs):
@@ -138,7 +138,7 @@ def test_empty_input_raises_cleanly(spark):
         em.fit(pairs, k=2, max_iter=2)
 
 
-def test_hot_item_shipped_equals_broadcast(spark):
+def test_grid_with_hot_item_equals_broadcast(spark):
     # item 42 is bought by 1500 of 1800 users: about a third of all pairs
     base = spark.range(0, 3000).select((F.col("id") % 1800).alias("u"), (F.col("id") % 211 + 100).alias("s"))
     hot = spark.range(0, 1500).select(F.col("id").alias("u"), F.lit(42).cast("long").alias("s"))
@@ -168,7 +168,7 @@ def test_resume_after_driver_restart(spark, sf_pairs, tmpdir_path):
     assert again.logliks[:3] == pytest.approx(full.logliks[:3], abs=1e-10)
 
 
-def test_weighted_fit_through_bucket_shipping(spark, sf_pairs):
+def test_weighted_fit_through_the_grid(spark, sf_pairs):
     w = sf_pairs.withColumn("w", (F.col("u") % 3 + 1).cast("long"))
     a = em.fit(w, k=3, max_iter=3, weight_col="w")
     b = em.fit(w, k=3, max_iter=3, weight_col="w", broadcast_bytes=0)
@@ -187,15 +187,51 @@ def test_fit_many_equals_separate_fits(spark, sf_pairs):
     assert shipped[3].logliks == pytest.approx(many[3].logliks[:2], abs=1e-12)
 
 
-def test_buckets_are_balanced_one_key_each(spark, sf_pairs):
-    lay = em.prepare_layout(sf_pairs, prepared=True)
-    per = lay.df.groupBy(F.spark_partition_id().alias("p")).agg(
-        F.countDistinct("b").alias("keys"), F.count(F.lit(1)).alias("n")).collect()
-    assert len(per) == lay.n_buckets  # no empty bucket
-    assert all(r["keys"] == 1 for r in per)
-    sizes = [r["n"] for r in per]
-    assert max(sizes) < 2 * (sum(sizes) / len(sizes))
-    lay.drop()
+def test_grid_with_text_keys_and_smoothing(spark, sf_pairs):
+    text = sf_pairs.select(F.col("u").cast("string").alias("u"), F.concat(F.lit("item é"), "s").alias("s"))
+    a = em.fit(text, k=3, max_iter=3, seed=5, alpha=0.5, eta=0.1)
+    b = em.fit(text, k=3, max_iter=3, seed=5, alpha=0.5, eta=0.1, broadcast_bytes=0)
+    assert b.logliks == pytest.approx(a.logliks, abs=1e-12)
+    assert a.items.agg(F.sum("ps0")).first()[0] == pytest.approx(1, abs=1e-12)
+    assert a.user_key_bytes == text.select("u").distinct().agg(F.sum(F.octet_length("u"))).first()[0]
+
+
+def test_one_long_key_is_no_small_table(spark):
+    pairs = spark.createDataFrame([(i, "x" * 20_000 + str(i)) for i in range(20)], "u long, s string")
+    m = em.fit(pairs, k=2, max_iter=1)
+    assert em.param_bytes(m.n_items, 2, m.item_key_bytes) > 20 * 20_000
+
+
+def test_pairs_given_twice_count_once(spark, sf_pairs):
+    a = em.fit(sf_pairs, k=2, max_iter=2)
+    b = em.fit(sf_pairs.union(sf_pairs), k=2, max_iter=2)
+    assert b.logliks == pytest.approx(a.logliks, abs=1e-12)
+    w = sf_pairs.withColumn("w", F.lit(2))
+    c = em.fit(w.union(w), k=2, max_iter=2, weight_col="w")
+    assert c.logliks == pytest.approx(a.logliks, abs=1e-12)
+
+
+@pytest.mark.parametrize("other", [dict(k=2), dict(seed=7), dict(eta=0.1), dict(half=True)])
+def test_resume_under_other_arguments_is_refused(spark, sf_pairs, tmpdir_path, other):
+    args = dict(k=3, max_iter=2, seed=42, prepared=True, run_dir=f"{tmpdir_path}/run")
+    em.fit(sf_pairs, **args)
+    pairs = sf_pairs.where("u % 2 = 0") if other.pop("half", False) else sf_pairs
+    with pytest.raises(ValueError, match="another fit"):
+        em.fit(pairs, **(args | other))
+
+
+def test_scratch_is_cleaned(spark, sf_pairs):
+    import os
+
+    from latentcf.session import checkpoint_root
+
+    root = checkpoint_root(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    m = em.fit(sf_pairs, k=2, max_iter=4)
+    left = [x for x in set(os.listdir(root)) - before]
+    assert len(left) == 1, left  # the state the model reads
+    m.release()
+    assert not set(os.listdir(root)) - before
 
 
 def test_fit_many_weighted(spark, sf_pairs):

@@ -60,24 +60,19 @@ def test_broadcast_pass_has_one_exchange(spark, state):
     assert not any("SortMergeJoin" in x for x in lines)
 
 
-def test_colocated_pass_does_not_shuffle_pairs(spark, state):
+def test_grid_pass_moves_parameters_only(spark, state):
     lay, users, items = state
-    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    grid = em.grid_pairs(lay.df, lay.n_pairs, 1, 1)
     try:
-        with em._CoPartitionByBucket(spark, True):
-            resp = em.responsibilities(lay.df, em.colocated_users(users, lay), em.colocated_items(items, lay), 3,
-                                       ["b", "u", "salt"], ["b", "s"])
-            lines = _tree(_plan(em.m_aggregate(resp, 3)))
+        lines = _tree(_plan(em.grid_aggregate(grid, users, items, [["0", "1", "2"]], ["ll"], None)))
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
-    # walk up from the bucketed pair scan: no exchange before the last join above it
-    scan = next(n for n, x in enumerate(lines) if "latentcf_pairs_b" in x)
-    chain = _ancestors(lines, scan)
-    names = [lines[n].strip(" :+-").split(" ")[0] for n in chain]
-    assert names.count("ShuffledHashJoin") == 2
-    last_join = max(i for i, nm in enumerate(names) if nm == "ShuffledHashJoin")
-    assert "Exchange" not in names[: last_join + 1]
+        spark.sql(f"DROP TABLE {grid.table}")
+    # walk up from the scan of the pairs: no exchange before the cells are put together
+    scan = next(n for n, x in enumerate(lines) if "latentcf_grid_" in x)
+    names = [lines[n].strip(" :+-").split(" ")[0] for n in _ancestors(lines, scan)]
+    assert "FlatMapCoGroupsInPandas" in names
+    assert "Exchange" not in names[: names.index("FlatMapCoGroupsInPandas")]
+    assert not any("ShuffledHashJoin" in x for x in lines)
 
 
 def _ancestors(lines, n):
