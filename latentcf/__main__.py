@@ -39,7 +39,7 @@ def _parser() -> argparse.ArgumentParser:
     e.add_argument("--seed", type=int, default=42)
     e.add_argument("--thresholds", type=float, nargs="+")
     e.add_argument("--strict", action="store_true")
-    lda = sub.add_parser("lda", help="split, Spark ML LDA, strict-threshold metrics")
+    lda = sub.add_parser("lda", help="split, LDA, strict-threshold metrics")
     lda.add_argument("--input", required=True)
     lda.add_argument("--k", type=int, default=10)
     lda.add_argument("--passes", type=int, default=20)
@@ -65,15 +65,15 @@ def main(argv: list[str] | None = None) -> int:
         run = jobs.notebook_run(spark, a.input, k=a.k, passes=a.passes, alpha=a.alpha, seed=a.seed,
                                     thresholds=a.thresholds, inclusive=not a.strict)
         for r in run["sweep"].orderBy("threshold").collect():
-            print(json.dumps(r.asDict()))
-        print(json.dumps(run["auc"].first().asDict()))
+            print(json.dumps(r.asDict(), default=int))
+        print(json.dumps(run["auc"].first().asDict(), default=int))
     elif a.cmd == "lda":
         run = jobs.lda_run(spark, a.input, k=a.k, max_iter=a.passes, threshold=a.threshold)
-        print(json.dumps(run["metrics"].first().asDict()))
+        print(json.dumps(run["metrics"].first().asDict(), default=int))
     elif a.cmd == "ksweep":
         df = jobs.k_selection(spark, a.input, ks=a.ks, passes=a.passes, sweep_csv=a.csv)
         for r in df.orderBy("k", "iteration").collect():
-            print(json.dumps(r.asDict()))
+            print(json.dumps(r.asDict(), default=int))
     return 0
 
 

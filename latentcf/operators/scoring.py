@@ -1,23 +1,23 @@
-"""Scoring: p(s|u) on given pairs (joins) and over all user x item pairs (blocks).
+"""Scoring: p(s|u) on given pairs (joins) and over all user x item pairs (tiles).
 
 Given pairs (train, test, observed) are scored with two equi-joins and an
 unrolled dot product, all JVM-side.
 
 All-pairs work (the reference scores every user against every item) is
 |U| x |S| by definition. It is never a cross join and never materialised as
-rows: the item table is collected and broadcast only after a size check
-(``chunks`` of at most the broadcast limit otherwise, one Spark job each),
-and the users DataFrame is scanned with ``mapInPandas``. Each task scores a
-batch of users against the item matrix with numpy (same left-to-right
-multiply-add order as the SQL dot product, so values agree bit for bit) and
-reduces at once: per-user summaries, positive counts per threshold, top-n,
-or rank sums for the AUC. Only those reductions leave the task.
+rows: users and items are dealt into blocks, every pair of blocks meets as one
+tile in an executor (keyed cogroup; a block is copied once per tile of its row
+or column, which is little beside the tile's work), and each tile is reduced at
+once: positive counts per threshold, top-n, or rank sums for the AUC. Neither
+table passes through the driver. Blocks are sized from measured bytes and
+counts, so a task holds one bounded tile whatever the model's size. Inside a
+tile numpy uses the left-to-right multiply-add order of the SQL dot product, so
+values agree bit for bit.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 from typing import Callable, Iterator
 
 import numpy as np
@@ -26,16 +26,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latentcf.functions.numeric import dot
+from latentcf.functions.numeric import dot, row_sum
 from latentcf.model import LatentClassModel
 from latentcf.operators.em import broadcast_limit, maybe_broadcast, param_bytes
 
 # Cells (users x items) scored per numpy block inside a task: bounds task memory.
 BLOCK_CELLS = 4_000_000
-# Cells per task: the user table is spread so that the |U| x |S| work, not its row
-# count, sets the number of tasks (a few thousand users can be hours of scoring).
-TASK_CELLS = 64_000_000
-MAX_SCORING_TASKS = 200_000
+# Cells (users x items) of a tile, and bytes of either of its blocks.
+TILE_CELLS = 64_000_000
+TILE_BYTES = 64 * 1024 * 1024
+# Partitions of the tiles' shuffle; beyond it a task works through several tiles, one at a time.
+MOST_PARTITIONS = 50_000
 
 
 # ---------------------------------------------------------------- join path
@@ -64,119 +65,13 @@ def exclude_seen(scores: DataFrame, seen: DataFrame) -> DataFrame:
 
 # Relative margin on the item bound below: far above the rounding of a k-term dot product.
 BOUND_MARGIN = 1e-9
-
-
-def predicted_pairs(model: LatentClassModel, threshold: float, inclusive: bool = True,
-                    seen: DataFrame | None = None, broadcast_bytes: int | None = None) -> DataFrame:
-    """(u, s, score) for every pair predicted positive (the rest are negatives).
-
-    Exact without scoring every item: score(u, s) <= max_z p(s|z) * sum_z p(z|u),
-    so per user batch only the items whose max_z p(s|z) reaches
-    t / (max_u sum_z p(z|u) * (1 + margin)) are scored (items sorted by that
-    maximum once per task). ``seen`` pairs are removed (anti join)."""
-    utype = model.users.schema["u"].dataType
-    stype = model.items.schema["s"].dataType
-    schema = T.StructType([T.StructField("u", utype), T.StructField("s", stype),
-                           T.StructField("score", T.DoubleType())])
-    t = float(threshold)
-    ucols = [f"pu{z}" for z in range(model.k)]
-    parts = []
-    for ch in item_chunks(model, broadcast_bytes):
-        spark = model.users.sparkSession
-        users = _spread(model.users, len(ch.ids), model.n_users)
-        bc = spark.sparkContext.broadcast((ch.ids, ch.mat))
-
-        def fn(it, bc=bc):
-            ids, mat = bc.value
-            top = mat.max(axis=1)
-            by_top = np.argsort(-top, kind="stable")
-            top_sorted = top[by_top]
-            for pdf in _user_batches(it, len(ids)):
-                if len(pdf) == 0:
-                    continue
-                a = pdf[ucols].to_numpy(dtype=np.float64)
-                reach = float(a.sum(axis=1).max()) * (1.0 + BOUND_MARGIN)
-                if t <= 0:  # every item can qualify
-                    n_cand = len(ids)
-                elif reach <= 0:
-                    continue
-                else:
-                    n_cand = int(np.searchsorted(-top_sorted, -(t / reach), side="right"))  # top >= t / reach
-                if n_cand == 0:
-                    continue
-                cand = by_top[:n_cand]
-                sc = block_scores(a, mat[cand])
-                r, c = np.nonzero((sc >= t) if inclusive else (sc > t))
-                if len(r):
-                    yield pd.DataFrame({"u": pdf["u"].to_numpy()[r], "s": ids[cand[c]], "score": sc[r, c]})
-
-        parts.append(users.mapInPandas(fn, schema))
-    out = _union_all(parts)
-    return exclude_seen(out, seen) if seen is not None else out
+# Type of counts over user x item pairs.
+COUNT = "decimal(38,0)"
 
 
 # ---------------------------------------------------------------- block path
 
 
-@dataclass
-class ItemChunk:
-    ids: np.ndarray  # sorted item ids
-    mat: np.ndarray  # len(ids) x k, p(s|z)
-    index: int = 0
-    count: int = 1
-
-    def member(self, col: str = "s"):
-        """Predicate selecting this chunk's items in another table."""
-        if self.count == 1:
-            return F.lit(True)
-        return F.pmod(F.xxhash64(col), F.lit(self.count)) == F.lit(self.index)
-
-
-def chunk_count(df: DataFrame, key_cols: list[str], n_rows: int, row_bytes: int, limit: int) -> int:
-    """Number of hash chunks such that every chunk's rows fit under ``limit`` bytes.
-
-    Counts rows per chunk first (at most n_chunks rows reach the driver) and
-    doubles the chunk count until the largest chunk fits, so nothing over the
-    bound is ever collected. Single rows cannot be split: the search stops
-    at one row per chunk or at four times as many chunks as rows."""
-    n = max(1, math.ceil(n_rows * row_bytes / max(1, limit)))
-    while True:
-        if n == 1:
-            biggest = n_rows
-        else:
-            key = F.pmod(F.xxhash64(*key_cols), F.lit(n))
-            biggest = max((r["c"] for r in df.groupBy(key.alias("chunk")).agg(F.count(F.lit(1)).alias("c")).collect()),
-                          default=0)
-        if biggest * row_bytes <= limit or biggest <= 1 or n >= 4 * max(1, n_rows):
-            return n
-        n *= 2
-
-
-def item_chunks(model: LatentClassModel, broadcast_bytes: int | None = None) -> Iterator[ItemChunk]:
-    """Yield the item table in size-checked chunks (usually exactly one).
-
-    Chunk membership is a hash of the item key; the chunk count is chosen
-    from per-chunk row counts so that every chunk fits the broadcast limit
-    before it is collected (:func:`chunk_count`)."""
-    spark = model.items.sparkSession
-    limit = broadcast_bytes if broadcast_bytes is not None else broadcast_limit(spark)
-    cols = ["s"] + [f"ps{z}" for z in range(model.k)]
-    n_chunks = chunk_count(model.items, ["s"], model.n_items, param_bytes(1, model.k), limit)
-    for c in range(n_chunks):
-        part = model.items.select(*cols)
-        if n_chunks > 1:
-            part = part.where(F.pmod(F.xxhash64("s"), F.lit(n_chunks)) == c)
-        pdf = part.toPandas()
-        if len(pdf) == 0:  # a hash chunk can be empty when the limit is tiny: nothing to score
-            continue
-        pdf = pdf.sort_values("s", kind="mergesort")
-        ids = pdf["s"].to_numpy()
-        if ids.dtype == object:
-            ids = ids.astype(str)
-        mat = pdf[[f"ps{z}" for z in range(model.k)]].to_numpy(dtype=np.float64)
-        yield ItemChunk(ids, mat, c, n_chunks)
-
-
 def block_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """users(B x k) x items(S x k) -> B x S, summed left to right over z."""
     acc = np.multiply.outer(a[:, 0], b[:, 0])
@@ -192,125 +87,131 @@ def _user_batches(it: Iterator[pd.DataFrame], n_items: int) -> Iterator[pd.DataF
             yield pdf.iloc[i: i + step]
 
 
-def _spread(users: DataFrame, n_items: int, n_users: int | None) -> DataFrame:
-    """Hash-partition the user side by u into enough tasks for |U| x |S| cells."""
-    spark = users.sparkSession
-    cores = max(1, int(spark.sparkContext.defaultParallelism))
-    if not n_users:
-        return users
-    n = min(MAX_SCORING_TASKS, n_users, max(cores, math.ceil(n_users * n_items / TASK_CELLS)))
-    return users.repartition(max(1, n), "u")
-
+def _tile_shape(model: LatentClassModel, block_bytes: int | None) -> tuple[int, int]:
+    """(user blocks, item blocks): blocks of at most ``block_bytes`` and tiles of at most TILE_CELLS on
+    average, and a few tiles for each core. Never more blocks than rows."""
+    limit = max(1, block_bytes if block_bytes is not None else TILE_BYTES)
+    n_users, n_items = max(1, model.n_users), max(1, model.n_items)
+    cores = max(1, int(model.users.sparkSession.sparkContext.defaultParallelism))
+    cols = min(n_items, math.ceil(param_bytes(n_items, model.k, model.item_key_bytes) / limit))
+    rows = max(math.ceil(param_bytes(n_users, model.k, model.user_key_bytes) / limit),
+               math.ceil(n_users * n_items / TILE_CELLS / cols), math.ceil(3 * cores / cols))
+    return min(rows, n_users), cols
+
+
+def _tiles(model: LatentClassModel, reduce_: Callable, schema: T.StructType, seen: DataFrame | None = None,
+           block_bytes: int | None = None) -> DataFrame:
+    """``reduce_(users, ids, mat, seen)`` over every tile, as rows of ``schema``.
+
+    ``users`` is a pandas block (u, pu0 ..), ``ids`` the sorted item ids of the block and ``mat``
+    their p(s|z), ``seen`` the pairs (u, s) among them: each seen pair goes to its one tile."""
+    rows, cols = _tile_shape(model, block_bytes)
+    utype, stype = model.users.schema["u"].dataType, model.items.schema["s"].dataType
+    pu, ps = [f"pu{z}" for z in range(model.k)], [f"ps{z}" for z in range(model.k)]
+    of_user, of_item = F.pmod(F.xxhash64("u"), F.lit(rows)), F.pmod(F.xxhash64("s", F.lit("item")), F.lit(cols))
+    left = model.users.select(of_user.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("y"),
+                              "u", F.lit(None).cast(stype).alias("s"), *pu)
+    if seen is not None:
+        left = left.unionByName(seen.select(of_user.alias("x"), of_item.cast("int").alias("y"), F.col("u").cast(utype).alias("u"),
+                                            F.col("s").cast(stype).alias("s"), *[F.lit(None).cast("double").alias(c) for c in pu]))
+    right = model.items.select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("x"), of_item.alias("y"), "s", *ps)
+    parts = min(rows * cols, MOST_PARTITIONS)
+    tile = (F.col("x") * F.lit(cols) + F.col("y")).cast("long").alias("tile")
+
+    def run(own: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
+        is_user = own["s"].isna().to_numpy()
+        users = own[is_user]
+        if not len(users) or not len(items):
+            return pd.DataFrame({f.name: [] for f in schema.fields})
+        items = items.sort_values("s", kind="mergesort")
+        found = list(reduce_(users, items["s"].to_numpy(), items[ps].to_numpy(np.float64), own.loc[~is_user, ["u", "s"]]))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({f.name: [] for f in schema.fields})
+
+    return (left.select(tile, "u", "s", *pu).repartition(parts, "tile").groupBy("tile")
+            .cogroup(right.select(tile, "s", *ps).repartition(parts, "tile").groupBy("tile")).applyInPandas(run, schema))
+
+
+class _Reach:
+    """Items by their highest class probability: score(u, s) <= max_z p(s|z) * sum_z p(z|u), so for
+    a threshold t only items whose maximum reaches t / (max_u sum_z p(z|u)) can be positive."""
+
+    def __init__(self, mat: np.ndarray):
+        top = mat.max(axis=1)
+        self.order = np.argsort(-top, kind="stable")
+        self.sorted = top[self.order]
+
+    def candidates(self, a: np.ndarray, t: float) -> np.ndarray:
+        if t <= 0:  # every item can qualify
+            return self.order
+        reach = float(a.sum(axis=1).max()) * (1.0 + BOUND_MARGIN)
+        if reach <= 0:
+            return self.order[:0]
+        return self.order[: int(np.searchsorted(-self.sorted, -(t / reach), side="right"))]
 
-def _run_blocks(users: DataFrame, k: int, chunk: ItemChunk, reducer: Callable, schema: T.StructType,
-                n_users: int | None = None) -> DataFrame:
-    """mapInPandas over users: for each user batch, scores -> reducer(pdf, scores, ids)."""
-    spark = users.sparkSession
-    users = _spread(users, len(chunk.ids), n_users)
-    bc = spark.sparkContext.broadcast((chunk.ids, chunk.mat))
-    ucols = [f"pu{z}" for z in range(k)]
 
-    def fn(it):
-        ids, mat = bc.value
-        for pdf in _user_batches(it, len(ids)):
-            if len(pdf) == 0:
-                continue
-            a = pdf[ucols].to_numpy(dtype=np.float64)
-            sc = block_scores(a, mat)
-            out = reducer(pdf, sc, ids)
-            if out is not None and len(out):
-                yield out
-
-    return users.mapInPandas(fn, schema)
-
-
-def _union_all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+def predicted_pairs(model: LatentClassModel, threshold: float, inclusive: bool = True,
+                    seen: DataFrame | None = None, broadcast_bytes: int | None = None) -> DataFrame:
+    """(u, s, score) for every pair predicted positive (the rest are negatives).
 
+    Exact without scoring every item (:class:`_Reach`). ``seen`` pairs are removed (anti join).
+    The result is as large as the threshold makes it."""
+    schema = T.StructType([T.StructField("u", model.users.schema["u"].dataType),
+                           T.StructField("s", model.items.schema["s"].dataType), T.StructField("score", T.DoubleType())])
+    t, pu = float(threshold), [f"pu{z}" for z in range(model.k)]
+
+    def reduce_(users, ids, mat, _):
+        reach = _Reach(mat)
+        for pdf in _user_batches([users], len(ids)):
+            a = pdf[pu].to_numpy(np.float64)
+            cand = reach.candidates(a, t)
+            if len(cand):
+                sc = block_scores(a, mat[cand])
+                r, c = np.nonzero((sc >= t) if inclusive else (sc > t))
+                yield pd.DataFrame({"u": pdf["u"].to_numpy()[r], "s": ids[cand[c]], "score": sc[r, c]})
 
-def user_summary(model: LatentClassModel, broadcast_bytes: int | None = None) -> DataFrame:
-    """Per user over all items: (u, n_items, score_sum, score_max)."""
-    utype = model.users.schema["u"].dataType
-    schema = T.StructType([T.StructField("u", utype), T.StructField("n_items", T.LongType()),
-                           T.StructField("score_sum", T.DoubleType()), T.StructField("score_max", T.DoubleType())])
+    out = _tiles(model, reduce_, schema, block_bytes=broadcast_bytes)
+    return exclude_seen(out, seen) if seen is not None else out
 
-    def red(pdf, sc, ids):
-        return pd.DataFrame({"u": pdf["u"].to_numpy(), "n_items": np.full(len(pdf), sc.shape[1], dtype=np.int64),
-                             "score_sum": sc.sum(axis=1), "score_max": sc.max(axis=1)})
 
-    parts = [_run_blocks(model.users, model.k, ch, red, schema, model.n_users) for ch in item_chunks(model, broadcast_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    return _union_all(parts).groupBy("u").agg(
-        F.sum("n_items").alias("n_items"), F.sum("score_sum").alias("score_sum"), F.max("score_max").alias("score_max")
-    )
+def user_summary(model: LatentClassModel, broadcast_bytes: int | None = None) -> DataFrame:
+    """Per user over all items: (u, n_items, score_sum, score_max), without all-pairs work: the sum is
+    sum_z p(z|u) * (sum_s p(s|z)), the maximum comes from the exact top-1 search."""
+    totals = model.items.agg(*[F.sum(f"ps{z}").alias(f"t{z}") for z in range(model.k)]).first()  # k numbers
+    total = row_sum([F.col(f"pu{z}") * F.lit(float(totals[f"t{z}"] or 0.0)) for z in range(model.k)])
+    best = recommend(model, 1, None, broadcast_bytes).select("u", F.col("score").alias("score_max"))
+    return model.users.join(best, "u").select("u", F.lit(int(model.n_items)).cast("bigint").alias("n_items"),
+                                              total.alias("score_sum"), "score_max")
 
 
 def positive_counts(model: LatentClassModel, thresholds: list[float], inclusive: bool = True,
                     per_user: bool = False, broadcast_bytes: int | None = None) -> DataFrame:
     """Number of all (u, s) pairs predicted positive at each threshold.
 
-    Output (threshold, n_pos) — or (u, threshold, n_pos) with ``per_user``.
-    Items whose max_z p(s|z) cannot reach the smallest threshold are negative
-    at every threshold and are not scored (same exact bound as
-    :func:`predicted_pairs`). Partial counts per task are summed by one small
-    aggregation."""
+    Output (threshold, n_pos) — or (u, threshold, n_pos) with ``per_user``; n_pos of all users is a
+    decimal (it may pass 2^63). Items that cannot reach the smallest threshold are not scored
+    (:class:`_Reach`). Partial counts per tile are summed by one small aggregation."""
     ths = [float(t) for t in thresholds]
-    t_min = min(ths)
-    utype = model.users.schema["u"].dataType
-    fields = ([T.StructField("u", utype)] if per_user else []) + [
-        T.StructField("threshold", T.DoubleType()), T.StructField("n_pos", T.LongType())]
-    schema = T.StructType(fields)
-    ucols = [f"pu{z}" for z in range(model.k)]
-    parts = []
-    for ch in item_chunks(model, broadcast_bytes):
-        spark = model.users.sparkSession
-        users = _spread(model.users, len(ch.ids), model.n_users)
-        bc = spark.sparkContext.broadcast((ch.ids, ch.mat))
-
-        def fn(it, bc=bc):
-            ids, mat = bc.value
-            top = mat.max(axis=1)
-            by_top = np.argsort(-top, kind="stable")
-            top_sorted = top[by_top]
-            for pdf in _user_batches(it, len(ids)):
-                if len(pdf) == 0:
-                    continue
-                a = pdf[ucols].to_numpy(dtype=np.float64)
-                reach = float(a.sum(axis=1).max()) * (1.0 + BOUND_MARGIN)
-                if t_min <= 0 or reach <= 0:  # the bound only prunes for positive thresholds
-                    n_cand = len(ids) if t_min <= 0 else 0
+    fields = [T.StructField("u", model.users.schema["u"].dataType)] if per_user else []
+    schema = T.StructType([*fields, T.StructField("threshold", T.DoubleType()), T.StructField("n_pos", T.LongType())])
+    pu = [f"pu{z}" for z in range(model.k)]
+
+    def reduce_(users, ids, mat, _):
+        reach = _Reach(mat)
+        for pdf in _user_batches([users], len(ids)):
+            a = pdf[pu].to_numpy(np.float64)
+            cand = reach.candidates(a, min(ths))
+            sc = block_scores(a, mat[cand]) if len(cand) else np.zeros((len(pdf), 0))
+            for t in ths:
+                hit = (sc >= t) if inclusive else (sc > t)
+                if per_user:
+                    yield pd.DataFrame({"u": pdf["u"].to_numpy(), "threshold": t, "n_pos": hit.sum(axis=1).astype(np.int64)})
                 else:
-                    n_cand = int(np.searchsorted(-top_sorted, -(t_min / reach), side="right"))
-                sc = block_scores(a, mat[by_top[:n_cand]]) if n_cand else np.zeros((len(pdf), 0))
-                rows = []
-                for t in ths:
-                    hit = (sc >= t) if inclusive else (sc > t)
-                    if per_user:
-                        rows.append(pd.DataFrame({"u": pdf["u"].to_numpy(), "threshold": t,
-                                                  "n_pos": hit.sum(axis=1).astype(np.int64)}))
-                    else:
-                        rows.append(pd.DataFrame({"threshold": [t], "n_pos": [np.int64(hit.sum())]}))
-                yield pd.concat(rows, ignore_index=True)
-
-        parts.append(users.mapInPandas(fn, schema))
-    keys = (["u"] if per_user else []) + ["threshold"]
-    return _union_all(parts).groupBy(*keys).agg(F.sum("n_pos").cast("bigint").alias("n_pos"))
-
-
-def _seen_lists(model: LatentClassModel, seen: DataFrame | None, chunk: ItemChunk) -> DataFrame:
-    """users + the user's seen items *of this chunk* as an array.
-
-    Pairs are distinct, so a list never exceeds the chunk's item count,
-    which the broadcast check already bounds (even for a user holding a
-    third of all pairs)."""
-    if seen is None:
-        return model.users.withColumn("seen", F.array().cast(T.ArrayType(model.items.schema["s"].dataType)))
-    lists = seen.where(chunk.member("s")).groupBy("u").agg(F.collect_list("s").alias("seen"))
-    return model.users.join(lists, "u", "left")
+                    yield pd.DataFrame({"threshold": [t], "n_pos": [np.int64(hit.sum())]})
+
+    found = _tiles(model, reduce_, schema, block_bytes=broadcast_bytes)
+    if per_user:
+        return found.groupBy("u", "threshold").agg(F.sum("n_pos").cast("bigint").alias("n_pos"))
+    return found.groupBy("threshold").agg(F.sum(F.col("n_pos").cast(COUNT)).cast(COUNT).alias("n_pos"))
 
 
 def _top_rows(masked: np.ndarray, n: int):
@@ -330,19 +231,17 @@ def _top_rows(masked: np.ndarray, n: int):
     return r[keep], c[keep], v[keep], rank[keep]
 
 
-def _seen_positions(seen_col, ids: np.ndarray) -> list:
-    """For each row, the positions in ``ids`` of its seen items (items not in ids are ignored)."""
-    out = []
-    for sv in seen_col:
-        if sv is None or not len(sv):
-            out.append(None)
-            continue
-        # strings keep their own width (casting to the ids' fixed width could truncate)
-        sv = np.asarray(list(sv), dtype=str) if ids.dtype.kind == "U" else np.asarray(sv).astype(ids.dtype)
-        pos = np.searchsorted(ids, sv)
-        ok = pos < len(ids)
-        pos, sv = pos[ok], sv[ok]
-        out.append(pos[ids[pos] == sv])
+def _seen_positions(users: np.ndarray, ids: np.ndarray, seen: pd.DataFrame) -> list:
+    """For each user of the block, the positions in ``ids`` of the seen items (others are ignored)."""
+    out: list = [None] * len(users)
+    if len(seen):
+        who, where = pd.Index(users).get_indexer(seen["u"]), pd.Index(ids).get_indexer(seen["s"])
+        known = (who >= 0) & (where >= 0)
+        who, where = who[known], where[known]
+        order = np.argsort(who, kind="stable")
+        rows, starts = np.unique(who[order], return_index=True)
+        for r, part in zip(rows, np.split(where[order], starts[1:])):
+            out[r] = np.unique(part)
     return out
 
 
@@ -412,38 +311,27 @@ def recommend(model: LatentClassModel, n: int = 5, seen: DataFrame | None = None
               broadcast_bytes: int | None = None) -> DataFrame:
     """Top-n unseen items per user: (u, rank, s, score), ties broken by smaller s.
 
-    Exact, but not |U| x |S|: each task runs :func:`top_n_exact` against the
-    broadcast item chunk (per-class orderings computed once per task)."""
-    utype = model.users.schema["u"].dataType
-    stype = model.items.schema["s"].dataType
-    schema = T.StructType([T.StructField("u", utype), T.StructField("rank", T.IntegerType()),
-                           T.StructField("s", stype), T.StructField("score", T.DoubleType())])
-    k = model.k
-    ucols = [f"pu{z}" for z in range(k)]
-    parts = []
-    for ch in item_chunks(model, broadcast_bytes):
-        spark = model.users.sparkSession
-        users = _spread(_seen_lists(model, seen, ch), len(ch.ids), model.n_users)
-        bc = spark.sparkContext.broadcast((ch.ids, ch.mat))
-
-        def fn(it, bc=bc):
-            ids, mat = bc.value
-            order = np.argsort(-mat, axis=0, kind="stable")  # per class, best first
-            for pdf in _user_batches(it, min(len(ids), max(4 * n, 64) * k)):
-                if len(pdf) == 0:
-                    continue
-                a = pdf[ucols].to_numpy(dtype=np.float64)
-                r, c, v, rk = top_n_exact(a, ids, mat, order, _seen_positions(pdf["seen"].to_numpy(), ids), n)
-                if len(r):
-                    yield pd.DataFrame({"u": pdf["u"].to_numpy()[r], "rank": rk.astype(np.int32),
-                                        "s": ids[c], "score": v})
-
-        parts.append(users.mapInPandas(fn, schema))
-    if len(parts) == 1:
-        return parts[0]
-    allc = _union_all(parts)
+    Exact, but not |U| x |S|: each tile runs :func:`top_n_exact` (per-class orderings computed once
+    per tile); with several item blocks a window merges the tiles' n candidates of a user."""
+    schema = T.StructType([T.StructField("u", model.users.schema["u"].dataType), T.StructField("rank", T.IntegerType()),
+                           T.StructField("s", model.items.schema["s"].dataType), T.StructField("score", T.DoubleType())])
+    k, pu = model.k, [f"pu{z}" for z in range(model.k)]
+
+    def reduce_(users, ids, mat, seen_pairs):
+        order = np.argsort(-mat, axis=0, kind="stable")  # per class, best first
+        positions = _seen_positions(users["u"].to_numpy(), ids, seen_pairs)
+        at = 0
+        for pdf in _user_batches([users], min(len(ids), max(4 * n, 64) * k)):
+            a = pdf[pu].to_numpy(np.float64)
+            r, c, v, rank = top_n_exact(a, ids, mat, order, positions[at : at + len(pdf)], n)
+            at += len(pdf)
+            yield pd.DataFrame({"u": pdf["u"].to_numpy()[r], "rank": rank.astype(np.int32), "s": ids[c], "score": v})
+
+    found = _tiles(model, reduce_, schema, seen, broadcast_bytes)
+    if _tile_shape(model, broadcast_bytes)[1] == 1:
+        return found
     w = Window.partitionBy("u").orderBy(F.desc("score"), F.asc("s"))
-    return allc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
 def _positive_table(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -478,33 +366,37 @@ def _pos_sums(table, x: np.ndarray) -> tuple[int, int]:
     return int(gt), eq
 
 
-def rank_sums(model: LatentClassModel, positives_sorted: np.ndarray, broadcast_bytes: int | None = None) -> DataFrame:
-    """Over all (u, s) pairs x: sum #(pos > x) and sum #(pos == x) -> one row (gt, eq)."""
-    spark = model.users.sparkSession
-    pbc = spark.sparkContext.broadcast(_positive_table(positives_sorted))
-    schema = T.StructType([T.StructField("gt", T.LongType()), T.StructField("eq", T.LongType())])
+_RANK_SCHEMA = T.StructType([T.StructField("gt", T.LongType()), T.StructField("eq", T.LongType())])
+
+
+def _rank_total(parts: DataFrame, shipped) -> tuple[int, int]:
+    """Adds up (gt, eq) as decimals (the sums pass 2^63 at about 1e19 user x item x positive
+    triples) and gives the shipped positives free."""
+    r = parts.agg(*[F.sum(F.col(c).cast(COUNT)).alias(c) for c in ("gt", "eq")]).first()
+    shipped.destroy()
+    return int(r["gt"] or 0), int(r["eq"] or 0)
+
+
+def rank_sums(model: LatentClassModel, positives_sorted: np.ndarray, broadcast_bytes: int | None = None) -> tuple[int, int]:
+    """Over all (u, s) pairs x: sum #(pos > x) and sum #(pos == x)."""
+    shipped = model.users.sparkSession.sparkContext.broadcast(_positive_table(positives_sorted))
+    pu = [f"pu{z}" for z in range(model.k)]
 
-    def red(pdf, sc, ids):
-        gt, eq = _pos_sums(pbc.value, sc.ravel())
-        return pd.DataFrame({"gt": [np.int64(gt)], "eq": [np.int64(eq)]})
+    def reduce_(users, ids, mat, _):
+        for pdf in _user_batches([users], len(ids)):
+            gt, eq = _pos_sums(shipped.value, block_scores(pdf[pu].to_numpy(np.float64), mat).ravel())
+            yield pd.DataFrame({"gt": [np.int64(gt)], "eq": [np.int64(eq)]})
 
-    parts = [_run_blocks(model.users, model.k, ch, red, schema, model.n_users) for ch in item_chunks(model, broadcast_bytes)]
-    return _union_all(parts).agg(F.sum("gt").cast("bigint").alias("gt"), F.sum("eq").cast("bigint").alias("eq"))
+    return _rank_total(_tiles(model, reduce_, _RANK_SCHEMA, block_bytes=broadcast_bytes), shipped)
 
 
-def rank_sums_of(scores: DataFrame, positives_sorted: np.ndarray) -> DataFrame:
+def rank_sums_of(scores: DataFrame, positives_sorted: np.ndarray) -> tuple[int, int]:
     """Same sums as :func:`rank_sums` for the scores of a given pair set."""
-    spark = scores.sparkSession
-    pbc = spark.sparkContext.broadcast(_positive_table(positives_sorted))
-    schema = T.StructType([T.StructField("gt", T.LongType()), T.StructField("eq", T.LongType())])
+    shipped = scores.sparkSession.sparkContext.broadcast(_positive_table(positives_sorted))
 
     def fn(it):
-        gt = eq = 0
         for pdf in it:
-            g, e = _pos_sums(pbc.value, pdf["score"].to_numpy(dtype=np.float64))
-            gt += g
-            eq += e
-        yield pd.DataFrame({"gt": [gt], "eq": [eq]})
+            gt, eq = _pos_sums(shipped.value, pdf["score"].to_numpy(dtype=np.float64))
+            yield pd.DataFrame({"gt": [np.int64(gt)], "eq": [np.int64(eq)]})
 
-    return scores.select("score").mapInPandas(fn, schema).agg(
-        F.sum("gt").cast("bigint").alias("gt"), F.sum("eq").cast("bigint").alias("eq"))
+    return _rank_total(scores.select("score").mapInPandas(fn, _RANK_SCHEMA), shipped)

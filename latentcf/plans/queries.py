@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from latentcf.functions.numeric import quantise
 from latentcf.plans import oracle as O
-from latentcf.sources import tables
+from latentcf.session import scratch_path
+from latentcf.sources import ratings, sinks, tables
 from latentcf.operators import em, evaluation, scoring, split, staged, topics, selection
 
 # Fixed values of the registered queries (both engines use them).
@@ -24,15 +25,21 @@ K = 3
 SEED = 42
 ALPHA = 0.1
 PASSES = 3
+TRACE_PASSES = 30
 THRESHOLD = 5e-4
 SWEEP = [1e-3, 8e-4, 6e-4, 5e-4, 4e-4, 2e-4, 1e-4, 1e-5, 1e-6]
 TOPN = 5
-K_SWEEP = [2, 3, 4]
-PR_KS = [3, 5]
+K_SWEEP = [2, 3, 4, 5, 6, 10, 15, 20]
+PR_KS = [3, 5, 10, 15, 20]
 LDA_K = 10
-LDA_ITER = 10
-TOL = 1e-4
+LDA_ITER = 20
+LDA_ALPHA = 50.0 / LDA_K
+LDA_ETA = 0.1
+LDA_THRESHOLD = 1e-5
+TOL = 0.005
 TOL_MAX_ITER = 10
+# every user x event-type score is exactly this on the full grid with one class
+EVENT_THRESHOLD = 0.2
 
 
 def q9(name: str, alias: str | None = None):
@@ -56,13 +63,17 @@ def _pairs(spark, d):
     return tables.purchase_pairs(spark, d)
 
 
-def _split(spark, d):
-    return split.hash_split(_pairs(spark, d), ALPHA, SEED)
+def _split(spark, d, pairs=None):
+    """Train and test, each written once: queries use them several times."""
+    pairs = em.prepare_pairs(_pairs(spark, d) if pairs is None else pairs)
+    train, test = split.raw_split(pairs, ALPHA, SEED)
+    train = em.prepare_pairs(train)
+    return train, em.prepare_pairs(split.restrict_to_vocabulary(test, train))
 
 
 def _fit(spark, d, k=K, passes=PASSES):
     train, test = _split(spark, d)
-    model = em.fit(train, k=k, max_iter=passes, seed=SEED)
+    model = em.fit(train, k=k, max_iter=passes, seed=SEED, prepared=True)
     return model, train, test
 
 
@@ -105,6 +116,11 @@ def q_split_test(spark, d):
     return _split(spark, d)[1]
 
 
+def q_word_split_test(spark, d):
+    """Words are rare enough that the cold-start rule drops test rows here."""
+    return _split(spark, d, tables.word_pairs(spark, d))[1]
+
+
 def q_common_users(spark, d):
     train, test_raw = split.raw_split(_pairs(spark, d), ALPHA, SEED)
     return split.common_users(train, test_raw)
@@ -170,7 +186,20 @@ def q_loglik_negative(spark, d):
 
 
 def q_em_trace(spark, d):
-    m, _, _ = _fit(spark, d)
+    m, _, _ = _fit(spark, d, passes=TRACE_PASSES)
+    return m.trace.select("iteration", q6("loglik"))
+
+
+def q_em_grid_trace(spark, d):
+    """The path beyond the broadcast limit, forced."""
+    train, _ = _split(spark, d)
+    m = em.fit(train, k=K, max_iter=PASSES, seed=SEED, prepared=True, broadcast_bytes=0)
+    return m.trace.select("iteration", q6("loglik"))
+
+
+def q_weighted_em_trace(spark, d):
+    wp = tables.purchase_pairs(spark, d, weighted=True)
+    m = em.fit(wp, k=K, max_iter=PASSES, seed=SEED, weight_col="w")
     return m.trace.select("iteration", q6("loglik"))
 
 
@@ -186,7 +215,7 @@ def q_em_users(spark, d):
 
 def q_em_converged(spark, d):
     train, _ = _split(spark, d)
-    m = em.fit(train, k=K, max_iter=TOL_MAX_ITER, seed=SEED, tol=TOL)
+    m = em.fit(train, k=K, max_iter=TOL_MAX_ITER, seed=SEED, tol=TOL, prepared=True)
     return m.trace.select("iteration", q6("loglik"))
 
 
@@ -215,6 +244,28 @@ def q_predict_strict(spark, d):
     return scoring.positive_counts(m, [THRESHOLD], inclusive=False, per_user=True)
 
 
+def _event_predictions(spark, d, inclusive):
+    """One class on the full user x event-type grid: scores meet the threshold exactly, so the
+    inclusive and the strict rule part."""
+    m = em.fit(tables.event_pairs(spark, d), k=1, max_iter=2, seed=SEED)
+    exact = scoring.score_pairs(m, tables.event_pairs(spark, d)).agg(F.max("score")).first()[0]
+    return scoring.positive_counts(m, [exact], inclusive=inclusive, per_user=True).select("u", "n_pos")
+
+
+def q_predict_event_inclusive(spark, d):
+    return _event_predictions(spark, d, True)
+
+
+def q_predict_event_strict(spark, d):
+    return _event_predictions(spark, d, False)
+
+
+def q_exclude_seen(spark, d):
+    """Scores of all raw test pairs, then the pairs of the users' even items dropped as seen."""
+    m, train, test = _fit(spark, d)
+    return scoring.exclude_seen(scoring.score_pairs(m, test), test.where("s % 2 = 0").union(train)).select("u", "s", q9("score"))
+
+
 def q_unseen_pairs(spark, d):
     m, train, _ = _fit(spark, d)
     pc = scoring.positive_counts(m, [THRESHOLD], inclusive=True, per_user=True)
@@ -226,7 +277,11 @@ def q_unseen_pairs(spark, d):
 
 
 def _conf_out(df):
-    return df.select("threshold", "tp", "fp", "fn", "tn", q9("precision"), q9("recall"), q9("f1"))
+    return df.select("threshold", *_counts(), q9("precision"), q9("recall"), q9("f1"))
+
+
+def _counts():
+    return [F.col(c).cast("bigint").alias(c) for c in ("tp", "fp", "fn", "tn")]
 
 
 def q_confusion_test(spark, d):
@@ -241,7 +296,7 @@ def q_confusion_train(spark, d):
 
 def q_threshold_sweep(spark, d):
     m, train, test = _fit(spark, d)
-    return evaluation.threshold_sweep(m, train, test, SWEEP).select("threshold", "tp", "fp", "fn", "tn")
+    return evaluation.threshold_sweep(m, train, test, SWEEP).select("threshold", *_counts())
 
 
 def q_pr_curve(spark, d):
@@ -258,7 +313,7 @@ def q_roc_points(spark, d):
 
 def q_auc(spark, d):
     m, train, test = _fit(spark, d)
-    return evaluation.auc(m, train, test).select(q9("auc"), "n_pos", "n_neg")
+    return evaluation.auc(m, train, test).select(q9("auc"), "n_pos", F.col("n_neg").cast("bigint").alias("n_neg"))
 
 
 def q_recommend_top5(spark, d):
@@ -279,26 +334,68 @@ def q_max_item(spark, d):
 
 def q_user_vectors(spark, d):
     train, _ = _split(spark, d)
-    vec, _ = topics.user_vectors(train)
-    return topics.vector_stats(vec)
+    entries, size = topics.user_vectors(train)
+    return topics.vector_stats(entries, size)
 
 
-def _lda(spark, d):
+def q_user_vector_entries(spark, d):
     train, _ = _split(spark, d)
-    return topics.fit_lda(train, k=LDA_K, max_iter=LDA_ITER, seed=SEED)
+    return topics.user_vectors(train)[0]
+
+
+def _lda(spark, d):
+    train, test = _split(spark, d)
+    return topics.fit_lda(train, k=LDA_K, max_iter=LDA_ITER, seed=SEED, alpha=LDA_ALPHA, eta=LDA_ETA, prepared=True), train, test
 
 
 def q_lda_items(spark, d):
-    return _lda(spark, d).items_long
+    return _lda(spark, d)[0].items_long.select("topic", "s", q9("weight"))
 
 
 def q_lda_users(spark, d):
-    return _lda(spark, d).users_long
+    return _lda(spark, d)[0].users_long.select("u", "topic", q6("weight"))
 
 
 def q_lda_scores(spark, d):
-    lm = _lda(spark, d)
-    return scoring.user_summary(lm.as_model())
+    return scoring.user_summary(_lda(spark, d)[0].as_model()).select("u", "n_items", q6("score_sum"), q9("score_max"))
+
+
+def q_lda_confusion_strict(spark, d):
+    res, train, test = _lda(spark, d)
+    return _conf_out(evaluation.confusion(res.as_model(), train, test, [LDA_THRESHOLD], False, "test"))
+
+
+def _csv_folder(spark, rows: DataFrame, name: str) -> str:
+    """``rows`` as headed, blank-padded CSV in several files (the layout the click logs come in)."""
+    path = scratch_path(spark, name)
+    padded = rows.select(*[F.concat(F.lit(" "), F.col(c).cast("string"), F.lit("  ")).alias(c) for c in rows.columns])
+    (padded.repartition(4).write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
+    return path
+
+
+def q_csv_round_trip(spark, d):
+    """Purchases written as ratings CSV and read back through the CSV source."""
+    rows = tables.purchase_rows(spark, d).select(F.col("u").alias("userId"), F.col("s").alias("movieId"),
+                                                 F.lit(1.0).alias("rating"), F.lit(0).alias("timestamp"))
+    path = _csv_folder(spark, rows, "csv-ratings")
+    return ratings.interactions(ratings.read_ratings(spark, path, item_type="long"), weighted=True)
+
+
+def q_csv_sweep(spark, d):
+    """The k sweep through its ';' separated table and back."""
+    path = scratch_path(spark, "csv-sweep")
+    sinks.write_sweep_csv(selection.k_sweep(_split(spark, d)[0], [2, 3], PASSES, SEED), path)
+    return sinks.read_sweep_csv(spark, path).select("k", "iteration", q6("loglik"))
+
+
+def q_csv_scores(spark, d):
+    """Test scores through the score sink and back."""
+    m, _, test = _fit(spark, d)
+    path = scratch_path(spark, "csv-scores")
+    sinks.write_scores(scoring.score_pairs(m, test), path, fmt="csv")
+    back = spark.read.schema("u long, s long, score double").option("header", True).csv(path)
+    return back.select("u", "s", q9("score"))
 
 
 def q_k_sweep(spark, d):
@@ -399,6 +496,12 @@ def o_split_test():
     return ch.sql(f"SELECT u, s FROM {te}")
 
 
+def o_word_split_test():
+    ch = O.Chain()
+    tr, te, _ = O.split(ch, O.word_pairs(ch), ALPHA, SEED)
+    return ch.sql(f"SELECT u, s FROM {te}")
+
+
 def o_common_users():
     ch, _, tr, _, te0 = _o_split()
     return ch.sql(f"SELECT u FROM {te0} INTERSECT SELECT u FROM {tr}")
@@ -462,10 +565,21 @@ def o_loglik_negative():
 
 
 def o_em_trace():
+    ch, _, _, _, _, lls = _o_fit(passes=TRACE_PASSES)
+    return ch.sql(O.trace_sql(lls))
+
+
+def o_em_grid_trace():
     ch, _, _, _, _, lls = _o_fit()
     return ch.sql(O.trace_sql(lls))
 
 
+def o_weighted_em_trace():
+    ch = O.Chain()
+    _, _, lls = O.em(ch, O.weighted_pairs(ch), K, PASSES, SEED, tag="we_", wcol="w")
+    return ch.sql(O.trace_sql(lls))
+
+
 def o_em_converged():
     """All TOL_MAX_ITER passes unrolled, cut after the first pass with |delta loglik| < TOL."""
     ch, _, tr, _, _ = _o_split()
@@ -522,6 +636,30 @@ def o_predict_strict():
     return _o_predict(">")
 
 
+def _o_event_predictions(op: str):
+    ch = O.Chain()
+    ep = O.event_pairs(ch)
+    pu, ps, _ = O.em(ch, ep, 1, 2, SEED, tag="ev_")
+    a = O.all_scores(ch, pu, ps, 1)
+    ch.add("exact", f"SELECT max(score) AS t FROM {a} JOIN {ep} USING (u, s)")
+    return ch.sql(f"SELECT u, count(*) FILTER (WHERE score {op} t) AS n_pos FROM {a}, exact GROUP BY u")
+
+
+def o_predict_event_inclusive():
+    return _o_event_predictions(">=")
+
+
+def o_predict_event_strict():
+    return _o_event_predictions(">")
+
+
+def o_exclude_seen():
+    ch, tr, te, pu, ps, _ = _o_fit()
+    sc = O.pair_scores(ch, te, pu, ps, K, "tesc")
+    return ch.sql(f"SELECT u, s, {O.qz('score')} AS score_q FROM {sc} x WHERE s % 2 <> 0 "
+                  f"AND NOT EXISTS (SELECT 1 FROM {tr} r WHERE r.u = x.u AND r.s = x.s)")
+
+
 def o_unseen_pairs():
     ch, tr, _, pu, ps, _ = _o_fit()
     a = O.all_scores(ch, pu, ps, K)
@@ -606,16 +744,75 @@ def o_max_item():
     return ch.sql(f"SELECT max(s) AS max_s FROM {tr}")
 
 
+def _o_index(ch, tr):
+    return ch.add("idx", f"SELECT s, row_number() OVER (ORDER BY s) - 1 AS idx FROM (SELECT DISTINCT s FROM {tr})")
+
+
 def o_user_vectors():
     ch, _, tr, _, _ = _o_split()
-    return ch.sql(f"SELECT u, CAST((SELECT count(DISTINCT s) FROM {tr}) AS INTEGER) AS size, "
-                  f"CAST(count(*) AS INTEGER) AS nnz, CAST(count(*) AS DOUBLE) AS total FROM {tr} GROUP BY u")
+    ix = _o_index(ch, tr)
+    return ch.sql(f"SELECT u, CAST((SELECT count(*) FROM {ix}) AS INTEGER) AS size, CAST(count(*) AS INTEGER) AS nnz, "
+                  f"CAST(count(*) AS DOUBLE) AS total, CAST(sum(idx) AS BIGINT) AS idx_sum, max(idx) AS idx_max "
+                  f"FROM {tr} JOIN {ix} USING (s) GROUP BY u")
+
+
+def o_user_vector_entries():
+    ch, _, tr, _, _ = _o_split()
+    return ch.sql(f"SELECT u, idx, CAST(1 AS DOUBLE) AS value FROM {tr} JOIN {_o_index(ch, tr)} USING (s)")
+
+
+def _o_lda():
+    ch, _, tr, te, _ = _o_split()
+    pu, ps, _ = O.em(ch, tr, LDA_K, LDA_ITER, SEED, tag="lda_", alpha=LDA_ALPHA, eta=LDA_ETA)
+    return ch, tr, te, pu, ps
+
+
+def o_lda_items():
+    ch, _, _, _, ps = _o_lda()
+    return ch.sql(_unpivot(ps, "s", "ps", LDA_K, "weight_q").replace(" AS z,", " AS topic,"))
+
+
+def o_lda_users():
+    ch, _, _, pu, _ = _o_lda()
+    return ch.sql(_unpivot(pu, "u", "pu", LDA_K, "weight_q", 6).replace(" AS z,", " AS topic,"))
+
+
+def o_lda_scores():
+    ch, _, _, pu, ps = _o_lda()
+    a = O.all_scores(ch, pu, ps, LDA_K)
+    return ch.sql(f"SELECT u, count(*) AS n_items, {O.qz('sum(score)', 6)} AS score_sum_q, "
+                  f"{O.qz('max(score)')} AS score_max_q FROM {a} GROUP BY u")
+
+
+def o_lda_confusion_strict():
+    ch, tr, te, pu, ps = _o_lda()
+    a = O.all_scores(ch, pu, ps, LDA_K)
+    c = O.confusion(ch, a, tr, te, [LDA_THRESHOLD], False, "test", "conf")
+    return ch.sql(f"SELECT threshold, tp, fp, fn, tn, {O.qz('precision')} AS precision_q, "
+                  f"{O.qz('recall')} AS recall_q, {O.qz('f1')} AS f1_q FROM ({O.rates(c)})")
+
+
+def o_csv_round_trip():
+    ch = O.Chain()
+    return ch.sql(f"SELECT u, s, w FROM {O.weighted_pairs(ch)}")
+
+
+def o_csv_sweep():
+    return _o_sweep([2, 3])
+
+
+def o_csv_scores():
+    return o_score_test()
 
 
 def o_k_sweep():
+    return _o_sweep(K_SWEEP)
+
+
+def _o_sweep(ks):
     ch, _, tr, _, _ = _o_split()
     parts = []
-    for k in K_SWEEP:
+    for k in ks:
         _, _, lls = O.em(ch, tr, k, PASSES, SEED, tag=f"k{k}_")
         parts.append(" UNION ALL ".join(
             f"SELECT CAST({k} AS INTEGER) AS k, CAST({i + 1} AS INTEGER) AS iteration, {O.qz(x, 6)} AS loglik_q"

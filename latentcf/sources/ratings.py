@@ -11,46 +11,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RATINGS_SCHEMA = T.StructType(
-    [
-        T.StructField("userId", T.LongType(), True),
-        T.StructField("movieId", T.LongType(), True),
-        T.StructField("rating", T.DoubleType(), True),
-        T.StructField("timestamp", T.LongType(), True),
-    ]
-)
+RATINGS_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in ("userId", "movieId", "rating", "timestamp")])
 
-RATINGS_SCHEMA_TEXT_ITEMS = T.StructType(
-    [
-        T.StructField("userId", T.LongType(), True),
-        T.StructField("movieId", T.StringType(), True),
-        T.StructField("rating", T.DoubleType(), True),
-        T.StructField("timestamp", T.LongType(), True),
-    ]
-)
 
+def _whole_number(column: str):
+    """The id as a long; text that is none fails the read, since dropping its row would lose clicks."""
+    given = F.col(column)
+    number = given.try_cast("long")
+    return F.when(given.isNotNull() & (given != "") & number.isNull(), F.raise_error(F.concat(
+        F.lit(f"{column} '"), given, F.lit("' is no whole number: read with user_type / item_type 'string'")))
+    ).otherwise(number).alias(column)
 
-def read_ratings(spark: SparkSession, path: str | list[str], item_type: str = "long", sep: str = ",") -> DataFrame:
+
+def read_ratings(spark: SparkSession, path: str | list[str], item_type: str = "long", sep: str = ",",
+                 user_type: str = "long") -> DataFrame:
     """Read one file, a directory or a list of files; every file has a header line.
 
-    ``item_type='string'`` keeps item ids as trimmed text (the item key is
-    generic everywhere downstream). Blank padding around fields is ignored.
+    Ids are numbers, and anything else in such a column is an error, never a dropped row; with type
+    'string' they are kept as trimmed text. Blank padding around fields is ignored; only an empty id
+    is null. A log with the two id columns alone is valid (the rest are null).
     """
-    schema = RATINGS_SCHEMA if item_type == "long" else RATINGS_SCHEMA_TEXT_ITEMS
     df = (
-        spark.read.schema(schema)
+        spark.read.schema(RATINGS_SCHEMA)
         .option("header", True)
         .option("sep", sep)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
-        # PERMISSIVE: a click log with only "u,s" columns is valid (the rest are null);
-        # unparseable keys become null and are dropped by ``interactions``
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
-    if item_type != "long":
-        df = df.withColumn("movieId", F.trim("movieId"))
-    return df
+    return typed(df, item_type, user_type)
+
+
+def typed(df: DataFrame, item_type: str = "long", user_type: str = "long") -> DataFrame:
+    """Rows of RATINGS_SCHEMA with the ids' types."""
+    def id_(column, kind):
+        return _whole_number(column) if kind == "long" else F.nullif(F.trim(column), F.lit("")).alias(column)
+
+    return df.select(id_("userId", user_type), id_("movieId", item_type), F.col("rating").try_cast("double").alias("rating"),
+                     F.col("timestamp").try_cast("long").alias("timestamp"))
 
 
 def interactions(df: DataFrame, user_col: str = "userId", item_col: str = "movieId", weighted: bool = False) -> DataFrame:

@@ -54,11 +54,10 @@ def read_sweep_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def write_sweep_csv(long_df: DataFrame, path: str) -> None:
     """long (k, iteration, loglik) -> wide ';' CSV with one column per k."""
-    wide = long_df.groupBy("iteration").pivot("k").agg(F.first("loglik")).orderBy("iteration")
-    ren = [F.col("iteration").alias("Iteration")] + [
-        F.col(c).alias(f"{c}_cluster") for c in wide.columns if c != "iteration"
-    ]
-    write_csv(wide.select(*ren).coalesce(1), path, sep=";")
+    from latentcf.operators.selection import k_sweep_wide
+
+    wide = k_sweep_wide(long_df).orderBy("iteration").withColumnRenamed("iteration", "Iteration")
+    write_csv(wide.coalesce(1), path, sep=";")
 
 
 LONG_SWEEP_SCHEMA = T.StructType(

@@ -18,20 +18,18 @@ from latentcf.functions.numeric import dot
 from latentcf.model import LatentClassModel
 from latentcf.operators.em import broadcast_limit, maybe_broadcast
 from latentcf.session import scratch_path
-from latentcf.sources.ratings import RATINGS_SCHEMA, RATINGS_SCHEMA_TEXT_ITEMS
+from latentcf.sources.ratings import RATINGS_SCHEMA, typed
 
 
 def read_ratings_stream(spark: SparkSession, path: str, item_type: str = "long",
                         max_files_per_trigger: int | None = None) -> DataFrame:
     """(u, s, ts) from CSV files landing in ``path``."""
-    schema = RATINGS_SCHEMA if item_type == "long" else RATINGS_SCHEMA_TEXT_ITEMS
-    r = (spark.readStream.schema(schema).option("header", True)
+    r = (spark.readStream.schema(RATINGS_SCHEMA).option("header", True)
          .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True))
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    df = r.csv(path)
-    s = F.trim("movieId") if item_type != "long" else F.col("movieId")
-    return df.select(F.col("userId").alias("u"), s.alias("s"),
+    df = typed(r.csv(path), item_type)
+    return df.select(F.col("userId").alias("u"), F.col("movieId").alias("s"),
                      F.timestamp_seconds("timestamp").alias("ts")).where(F.col("u").isNotNull() & F.col("s").isNotNull())
 
 
@@ -56,8 +54,8 @@ def score_stream(model: LatentClassModel, clicks: DataFrame, threshold: float |
     """(u, s, ts, score[, pred]) for arriving clicks whose u and s the model knows."""
     spark = clicks.sparkSession
     limit = broadcast_limit(spark)
-    U = maybe_broadcast(model.users, model.n_users, model.k, limit)
-    S = maybe_broadcast(model.items, model.n_items, model.k, limit)
+    U = maybe_broadcast(model.users, model.n_users, model.k, limit, model.user_key_bytes)
+    S = maybe_broadcast(model.items, model.n_items, model.k, limit, model.item_key_bytes)
     out = clicks.join(U, "u").join(S, "s").select("u", "s", "ts", dot("pu", "ps", model.k).alias("score"))
     if threshold is not None:
         c = F.col("score") >= F.lit(threshold) if inclusive else F.col("score") > F.lit(threshold)

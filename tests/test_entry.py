@@ -23,7 +23,7 @@ def test_entry_smoke(spark):
 def test_registry_shape():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert {n for n in set(q) - set(o) if not n.startswith("op") and n != "pipeline"} == set(E.ROWS_ONLY)
+    assert {n for n in set(q) - set(o) if not n.startswith("op") and n != "pipeline"} == set()
     assert len(q) >= 40
 
 

@@ -256,3 +256,39 @@ def test_non_positive_thresholds_count_every_pair(spark, fx6):
     m, _, _ = fx6
     assert scoring.predicted_pairs(m, 0.0).count() == 6
     assert {r.threshold: r.n_pos for r in scoring.positive_counts(m, [0.0, -1.0]).collect()} == {0.0: 6, -1.0: 6}
+
+
+def test_train_pairs_in_test_and_copies_do_not_count(spark, fitted):
+    m, train, test, *_ = fitted
+    dirty = test.union(test).union(train.limit(200))
+    for f in (lambda t: evaluation.confusion(m, train, t, [5e-3]).first(), lambda t: evaluation.auc(m, train, t).first()):
+        assert f(dirty).asDict() == f(test).asDict()
+
+
+def test_rank_sums_beyond_63_bits(spark):
+    from latentcf.operators.scoring import _rank_total
+
+    class Shipped:
+        def destroy(self):
+            pass
+
+    big = (1 << 62) + 1
+    parts = spark.createDataFrame([(big, 1)] * 5, "gt long, eq long")
+    assert _rank_total(parts, Shipped()) == (5 * big, 5)
+
+
+def test_counts_beyond_63_bits(spark):
+    from decimal import Decimal
+
+    big = Decimal(1 << 80)
+    r = evaluation.with_rates(spark.createDataFrame([(1, big, 1, big)], "tp long, fp decimal(38,0), fn long, tn decimal(38,0)")).first()
+    assert r.tn == big and r.precision == pytest.approx(2.0 ** -80, rel=1e-6)
+
+
+def test_no_table_passes_through_the_driver():
+    import inspect
+
+    from latentcf.operators import em, topics
+
+    for module in (scoring, em, topics):
+        assert "toPandas" not in inspect.getsource(module)

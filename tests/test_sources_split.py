@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from latentcf.operators import split
@@ -47,7 +48,7 @@ def test_ratings_text_items_are_trimmed(spark, tmpdir_path):
 def test_pair_tables_fx2(spark):
     prof = tables.profile(tables.purchase_rows(spark, SF0001)).first()
     assert (prof.n_rows, prof.n_pairs, prof.n_users, prof.n_items) == (6000, 5382, 150, 200)
-    assert tables.word_pairs(spark, SF0001).count() == 46670
+    assert tables.word_pairs(spark, SF0001).count() == 50193
     assert tables.event_pairs(spark, SF0001).count() == 75
 
 
@@ -107,9 +108,16 @@ def test_preview_is_ordered(spark):
     assert [r.u for r in tables.preview(df, 2, ["u"]).collect()] == [1, 2]
 
 
-def test_two_column_click_log_and_bad_lines(spark, tmpdir_path):
+def test_two_column_click_log_and_bad_ids(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "two.csv")
     with open(p, "w") as f:
-        f.write("userId,movieId\n1,10\n2,20\nbad,line\n3,x\n")
+        f.write("userId,movieId\n1,10\n2,20\n,30\n")
     got = sorted((r.u, r.s) for r in ratings.interactions(ratings.read_ratings(spark, p)).collect())
-    assert got == [(1, 10), (2, 20)]
+    assert got == [(1, 10), (2, 20)]  # only an empty id is no click
+    q = os.path.join(tmpdir_path, "bad.csv")
+    with open(q, "w") as f:
+        f.write(HEADER + "1,10,1,1\n1,tt99,1,1\n2,10,1,1\n2,x7,1,1\n")
+    with pytest.raises(Exception, match="tt99|x7"):
+        ratings.interactions(ratings.read_ratings(spark, q)).collect()
+    text = ratings.interactions(ratings.read_ratings(spark, q, item_type="string"))
+    assert sorted((r.u, r.s) for r in text.collect()) == [(1, "10"), (1, "tt99"), (2, "10"), (2, "x7")]
