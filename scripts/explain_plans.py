@@ -51,7 +51,7 @@ def main():
     users, items, st = em.m_step(spark, em.initial_responsibilities(lay.df, 3, 42), 3)
     resp = em.responsibilities(lay.df, F.broadcast(users), F.broadcast(items), 3)
     section("EM pass, parameter tables broadcast (size-checked)",
-            "Bucketed pair scan, two broadcast hash joins, in-row E-step, Expand for GROUPING SETS ((u),(s)), "
+            "Pair scan, two broadcast hash joins, in-row E-step, Expand for GROUPING SETS ((u),(s)), "
             "partial aggregate, one exchange of reduced rows.", em.m_aggregate(resp, 3))
     executed = em.m_aggregate(resp, 3)
     executed.collect()
@@ -64,18 +64,17 @@ def main():
                 "partial aggregate are one generated stage; the final aggregate reads AQE-coalesced partitions.",
                 "", "```", "\n".join(x[:170] for x in final.strip().splitlines()), "```", ""])
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    with em._CoPartitionByBucket(spark, True):
-        resp2 = em.responsibilities(lay.df, em.colocated_users(users, lay), em.colocated_items(items, lay), 3,
-                                    ["b", "u", "salt"], ["b", "s"])
-        section("EM pass, both parameter tables over the broadcast bound (brought to the pair buckets)",
-                "The pair table is scanned bucketed on b and joined in place: p(z|u) rows (one per salt of a heavy "
-                "user) and p(s|z) rows (one per bucket holding the item) are the only sides shuffled, by b.",
-                em.m_aggregate(resp2, 3))
+    grid = em.grid_pairs(lay.df, lay.n_pairs, 1, 1)
+    section("EM pass, parameter tables over the broadcast bound (grid of user blocks x item blocks)",
+            "The pairs are scanned bucketed by cell and stay where they are; parameter blocks are shuffled to their cells, "
+            "each cell sums what it holds, one aggregation adds up the cells.",
+            em.grid_aggregate(grid, users, items, [["0", "1", "2"]], ["ll"], None))
+    spark.sql(f"DROP TABLE {grid.table}")
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     model = em.fit(lay, k=3, max_iter=2)
     section("Scores of given pairs", "Equi-joins + unrolled dot product.", scoring.score_pairs(model, test))
-    section("All-pairs positives per threshold (block scorer)",
-            "mapInPandas over the user table with the item matrix broadcast; only counts leave the tasks.",
+    section("All-pairs positives per threshold (tiles)",
+            "User blocks and item blocks meet as tiles (keyed cogroup); only counts leave the tasks.",
             scoring.positive_counts(model, [5e-4, 1e-4]))
     with open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w") as f:
         f.write("\n".join(out))
