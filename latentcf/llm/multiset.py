@@ -37,23 +37,22 @@ PAIR_LANES = 128
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each ASCII-white-space separated word, by array operations."""
+def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each ASCII-white-space separated word, and whether it begins a paragraph;
+    array operations over the whole text."""
     raw = np.frombuffer(data, np.uint8)
     inside = np.concatenate(([False], (raw > 32) | ((raw < 9) | ((raw > 13) & (raw < 32))), [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edge[::2], edge[1::2]
+    starts, lengths = edge[::2], edge[1::2] - edge[::2]
     if not len(starts):
-        return np.empty(0, np.uint64)
-    # polynomial in an odd multiplier: a word's hash is the difference of two running sums,
-    # brought to a common power by that of the bytes after it
+        return np.empty(0, np.uint64), np.empty(0, bool)
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(int((ends - starts).max()) + 1, _MULTIPLIER, np.uint64))
-        lengths = ends - starts
-        within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        letters = raw[inside[1:-1]].astype(np.uint64) + np.uint64(1)
-        sums = np.add.reduceat(letters * powers[within], np.cumsum(lengths) - lengths)
-    return _mix(sums)
+        powers = np.cumprod(np.full(int(lengths.max()), _MULTIPLIER, np.uint64))
+        first = np.cumsum(lengths) - lengths
+        within = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+        sums = np.add.reduceat((raw[inside[1:-1]].astype(np.uint64) + np.uint64(1)) * powers[within], first)
+    line = np.searchsorted(np.flatnonzero(raw == 10), starts)
+    return _mix(sums), np.concatenate(([True], line[1:] != line[:-1]))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -63,34 +62,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def vector(paragraph: str) -> tuple[np.ndarray, np.ndarray]:
-    """The two parts of one paragraph's vector."""
-    data = paragraph.encode()
-    hashed = np.frombuffer(hashlib.shake_128(data).digest(8 * HASH_LANES), "<u8")
-    words = _word_hashes(data)
+def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The two parts of the summed vectors of a text's paragraphs."""
+    data = text.encode()
+    digests = b"".join([hashlib.shake_128(p).digest(8 * HASH_LANES) for p in data.split(b"\n")])
+    hashed = np.frombuffer(digests, "<u8").reshape(-1, HASH_LANES).sum(axis=0, dtype=np.uint64)
+    words, begins = _word_hashes(data)
+    if not len(words):
+        return hashed, np.zeros(PAIR_LANES, np.uint32)
     with np.errstate(over="ignore"):
-        first = np.concatenate(([np.uint64(1)], words))[: len(words)]
-        pairs = _mix(first * _MULTIPLIER + words)
-    lanes = np.bincount((pairs >> np.uint64(1)).astype(np.uint64) % np.uint64(PAIR_LANES),
-                        np.where(pairs & np.uint64(1), 1.0, -1.0), PAIR_LANES) if len(pairs) else np.zeros(PAIR_LANES)
+        before = np.concatenate(([np.uint64(1)], words[:-1]))
+        before[begins] = 1  # pairs do not reach over paragraphs
+        pairs = _mix(before * _MULTIPLIER + words)
+    signs = np.where(pairs & np.uint64(1), 1.0, -1.0)
+    lanes = np.bincount(((pairs >> np.uint64(1)) % np.uint64(PAIR_LANES)).astype(np.int64), signs, PAIR_LANES)
     return hashed, lanes.astype(np.int64).astype(np.uint32)
 
 
 class Fingerprint:
-    """A sum of paragraph vectors; ``add`` and ``remove`` change it by one paragraph."""
+    """A sum of paragraph vectors; ``add`` and ``remove`` change it by the paragraphs of a text."""
 
     def __init__(self, text: str | None = None):
         self.hashed, self.pairs = np.zeros(HASH_LANES, np.uint64), np.zeros(PAIR_LANES, np.uint32)
-        for paragraph in text.split("\n") if text is not None else ():
-            self.add(paragraph)
+        if text is not None:
+            self.add(text)
 
-    def add(self, paragraph: str) -> Fingerprint:
-        hashed, pairs = vector(paragraph)
+    def add(self, paragraphs: str) -> Fingerprint:
+        hashed, pairs = vector(paragraphs)
         self.hashed, self.pairs = self.hashed + hashed, self.pairs + pairs
         return self
 
-    def remove(self, paragraph: str) -> Fingerprint:
-        hashed, pairs = vector(paragraph)
+    def remove(self, paragraphs: str) -> Fingerprint:
+        hashed, pairs = vector(paragraphs)
         self.hashed, self.pairs = self.hashed - hashed, self.pairs - pairs
         return self
 
@@ -131,10 +134,7 @@ def _pair_task(batches):
         line = text.rfind("\n", 0, kept) + 1
         changed = Fingerprint()
         changed.hashed, changed.pairs = sign.hashed, sign.pairs
-        for p in text[line:].split("\n"):
-            changed.remove(p)
-        for p in new[line:].split("\n"):
-            changed.add(p)
+        changed.remove(text[line:]).add(new[line:])
         return (now, len(text), hashlib.sha256(new.encode()).hexdigest(), sign.hex(), changed.hex(),
                 sign.likeness(changed), sign.likeness(next_sign))
 
