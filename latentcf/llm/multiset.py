@@ -17,13 +17,14 @@ Texts that differ only in the order of their paragraphs have equal fingerprints.
 Defined cases: null is read as empty; an empty text has the fingerprint of one
 empty paragraph, and two texts without words have likeness 1 if equal, else 0;
 the next document follows by (doc_id, a hash of its text), rows without doc_id
-first; repeated rows follow each other (a doc_id's rows share one task); a table of one row is its own next; an
+first; repeated rows follow each other, and a doc_id that very many rows share is spread over tasks; a table of one row is its own next; an
 empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -177,13 +178,20 @@ def chain(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     ids = settle(rows.select(order.alias("o")).select("o.id", "o.tie"), "chain-ids")
     cuts = ids.select(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], 100 * buckets)
                       if buckets > 1 else F.lit(None)).first()[0] or []
+    # an id that several cuts fall on has that many ranges of its own, by its rows' hashes
+    heavy = {c: n for c, n in Counter(cuts).items() if n > 1}
     cuts = sorted(set(cuts))
     split = F.array(*[F.lit(c) for c in cuts]) if cuts else F.expr("cast(array() as array<long>)")
+    step = max(heavy.values(), default=0) + 2
 
-    def bucket_of(column):
-        return F.size(F.filter(split, lambda c: c < column)) if len(cuts) < 64 else _search(column, cuts)
+    def bucket_of(id_, tie):
+        base = F.size(F.filter(split, lambda c: c < id_)) if len(cuts) < 64 else _search(id_, cuts)
+        part = F.lit(0)
+        for c, n in heavy.items():
+            part = F.when(id_ == F.lit(c), 1 + F.floor((tie / F.lit(2.0**64) + 0.5) * n).cast("int")).otherwise(part)
+        return base * step + part
 
-    firsts = (ids.select(bucket_of(F.col("id")).alias("bucket"), F.struct("id", "tie").alias("o"))
+    firsts = (ids.select(bucket_of(F.col("id"), F.col("tie")).alias("bucket"), F.struct("id", "tie").alias("o"))
               .groupBy("bucket").agg(F.min("o").alias("o")).orderBy("bucket").collect())
     if not firsts:
         return rows.select(F.lit(0).alias("bucket"), "doc_id", "text")
@@ -191,7 +199,7 @@ def chain(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     before = {firsts[i]["bucket"]: firsts[i - 1]["bucket"] for i in range(len(firsts))}
     table_ = spark.createDataFrame([(f["bucket"], f["o"]["id"], f["o"]["tie"], before[f["bucket"]]) for f in firsts],
                                    "b int, first_id long, first_tie long, previous int")
-    placed = rows.withColumn("o", order).withColumn("bucket", bucket_of(F.col("o.id")))
+    placed = rows.withColumn("o", order).withColumn("bucket", bucket_of(F.col("o.id"), F.col("o.tie")))
     # one row per bucket
     ending = (placed.join(F.broadcast(table_), (placed.bucket == F.col("b")) & (F.col("o.id") == F.col("first_id"))
                           & (F.col("o.tie") == F.col("first_tie"))))

@@ -148,6 +148,18 @@ def test_op2_odd_rows(spark):
     assert multiset.chain(cases.empty_documents(spark)).mapInArrow(multiset._pair_task, multiset.SCHEMA).count() == 0
 
 
+def test_op2_with_a_doc_id_of_a_third_of_the_rows(spark):
+    texts = [f"text number {i}\nand {i % 3}" for i in range(300)]
+    ids = [7 if i % 3 == 0 else i for i in range(300)]
+    docs = cases.documents(spark, texts, ids=ids)
+    chained = multiset.chain(docs, buckets=12)
+    assert chained.where("doc_id = 7").select("bucket").distinct().count() > 3
+    order = sorted(zip(ids, (r.h for r in docs.select(F.xxhash64("text").alias("h")).collect()), texts))
+    want = {t: multiset.edited(t, order[(k + 1) % 300][2]) for k, (_, _, t) in enumerate(order)}
+    got = chained.mapInArrow(multiset._pair_task, multiset.SCHEMA).collect()
+    assert sorted(r.edited_sha256 for r in got) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in want.values())
+
+
 def reference_ids(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
