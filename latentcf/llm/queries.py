@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from latentcf.llm import oracles
 from latentcf.llm.decontaminate import op6_decontaminate
 from latentcf.llm.html_text import op5_html_text
 from latentcf.llm.multiset import op2_multiset
@@ -25,4 +26,9 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+#: SQL where it can express the operator; the others are tested against brute force.
+ORACLES: dict[str, str] = {
+    "op5_html_text": oracles.OP5,
+    "op8_warc": oracles.OP8,
+    "op9_secrets": oracles.OP9,
+}

@@ -339,5 +339,4 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
     manifest = write_archives(table(spark, sf_dir, "pages"), folder)
     runs = settle(read_archives(manifest, folder), "warc-runs")
     found = resolve(settle(merge_index(runs), "warc-index"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp",
-                        F.col("run").alias("archive"), "offset", "length")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
