@@ -191,7 +191,8 @@ def materialise(docs: DataFrame, folder: str, vocabulary: str | None = None, len
     placed = made.mapInArrow(_place_task(total, offsets, key, per_shard),
                              "shard long, slot long, sequence_id long, first_doc_id long, ids binary")
     shards = max(1, -(-total // per_shard))
-    dealt = placed.repartition(shards, "shard").sortWithinPartitions("shard", "slot")
+    # ranges of slots, one to a task: partition i is shard i
+    dealt = placed.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
     index = settle(dealt.mapInArrow(_shard_task(folder, per_shard), "slot long, shard long, byte_offset long, "
                                     "sequence_id long, first_doc_id long, crc32 long"), "training-index")
     release(made)
