@@ -34,6 +34,7 @@ from latentcf.operators.em import broadcast_limit, maybe_broadcast, param_bytes
 BLOCK_CELLS = 4_000_000
 # Cells (users x items) of a tile, and bytes of either of its blocks.
 TILE_CELLS = 64_000_000
+LEAST_CELLS = 1_000_000
 TILE_BYTES = 64 * 1024 * 1024
 # Partitions of the tiles' shuffle; beyond it a task works through several tiles, one at a time.
 MOST_PARTITIONS = 50_000
@@ -94,8 +95,9 @@ def _tile_shape(model: LatentClassModel, block_bytes: int | None) -> tuple[int,
     n_users, n_items = max(1, model.n_users), max(1, model.n_items)
     cores = max(1, int(model.users.sparkSession.sparkContext.defaultParallelism))
     cols = min(n_items, math.ceil(param_bytes(n_items, model.k, model.item_key_bytes) / limit))
+    few = min(3 * cores, math.ceil(n_users * n_items / LEAST_CELLS))  # a few tiles a core, if there is work for them
     rows = max(math.ceil(param_bytes(n_users, model.k, model.user_key_bytes) / limit),
-               math.ceil(n_users * n_items / TILE_CELLS / cols), math.ceil(3 * cores / cols))
+               math.ceil(n_users * n_items / TILE_CELLS / cols), math.ceil(few / cols))
     return min(rows, n_users), cols
 
 
