@@ -24,9 +24,9 @@ empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,31 +174,20 @@ def chain(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     # order: rows without doc_id first, then by doc_id, repeats by the hash of their text
     order = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("tie"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 4 * parts  # several to a task: they even out
     ids = settle(rows.select(order.alias("o")).select("o.id", "o.tie"), "chain-ids")
-    cuts = ids.select(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], 100 * buckets)
-                      if buckets > 1 else F.lit(None)).first()[0] or []
-    # an id that several cuts fall on has that many ranges of its own, by its rows' hashes
-    heavy = {c: n for c, n in Counter(cuts).items() if n > 1}
-    cuts = sorted(set(cuts))
-    split = F.array(*[F.lit(c) for c in cuts]) if cuts else F.expr("cast(array() as array<long>)")
-    step = max(heavy.values(), default=0) + 2
-
-    def bucket_of(id_, tie):
-        base = F.size(F.filter(split, lambda c: c < id_)) if len(cuts) < 64 else _search(id_, cuts)
-        part = F.lit(0)
-        for c, n in heavy.items():
-            part = F.when(id_ == F.lit(c), 1 + F.floor((tie / F.lit(2.0**64) + 0.5) * n).cast("int")).otherwise(part)
-        return base * step + part
-
+    # several ranges to a task: they even out; but none for a handful of rows
+    buckets = buckets or max(1, min(4 * parts, ids.count() // 64))
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = ids.select(F.percentile_approx("id", shares, 100 * buckets)).first()[0] if shares else []
+    bucket_of = _ranges(cuts or [])
     firsts = (ids.select(bucket_of(F.col("id"), F.col("tie")).alias("bucket"), F.struct("id", "tie").alias("o"))
               .groupBy("bucket").agg(F.min("o").alias("o")).orderBy("bucket").collect())
     if not firsts:
-        return rows.select(F.lit(0).alias("bucket"), "doc_id", "text")
+        return rows.select(F.lit(0).cast("long").alias("bucket"), "doc_id", "text")
     # the first row of each bucket also ends the bucket before it; the first of all ends the last
     before = {firsts[i]["bucket"]: firsts[i - 1]["bucket"] for i in range(len(firsts))}
     table_ = spark.createDataFrame([(f["bucket"], f["o"]["id"], f["o"]["tie"], before[f["bucket"]]) for f in firsts],
-                                   "b int, first_id long, first_tie long, previous int")
+                                   "b long, first_id long, first_tie long, previous long")
     placed = rows.withColumn("o", order).withColumn("bucket", bucket_of(F.col("o.id"), F.col("o.tie")))
     # one row per bucket
     ending = (placed.join(F.broadcast(table_), (placed.bucket == F.col("b")) & (F.col("o.id") == F.col("first_id"))
@@ -209,15 +198,21 @@ def chain(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             .select("bucket", "doc_id", "text"))
 
 
-def _search(column, cuts):
-    """Number of ``cuts`` below the column, by halving."""
-    def part(low, high):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(column > F.lit(cuts[mid]), part(mid + 1, high)).otherwise(part(low, mid))
+def _ranges(cuts: list[int]):
+    """(id, tie) -> number of its range, in order. An id that several cuts fall on has that many
+    ranges of its own, by its rows' hashes."""
+    edges, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+    own = np.append(np.where(times > 1, times, 0), 0)
+    step = int(own.max(initial=0)) + 1
+
+    @F.pandas_udf("long")
+    def bucket_of(id_: pd.Series, tie: pd.Series) -> pd.Series:
+        at = np.searchsorted(edges, id_.to_numpy(), "left")
+        n = np.where(np.append(edges, 0)[at] == id_.to_numpy(), own[at], 0)
+        part = np.where(n > 0, 1 + np.floor((tie.to_numpy() / 2.0**64 + 0.5) * n), 0)
+        return pd.Series((at * step + np.minimum(part, n)).astype(np.int64))
 
-    return part(0, len(cuts))
+    return bucket_of
 
 
 def op2_multiset(spark, sf_dir: str) -> DataFrame:
