@@ -35,7 +35,7 @@ def _noop(df):
 def main():
     spark = local_session(CPUS, shuffle_partitions=int(CPUS) * 2, app="latentcf-bench")
     if os.environ.get("BENCH_SCRATCH"):  # else the session's own folder
-        spark.conf.set("spark.checkpoint.dir", os.environ["BENCH_SCRATCH"])
+        spark.sparkContext.setCheckpointDir(os.environ["BENCH_SCRATCH"])
     times: dict[str, float] = {}
     info: dict[str, object] = {}
 

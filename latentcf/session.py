@@ -44,7 +44,6 @@ def checkpoint_root(spark: SparkSession) -> str:
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) on a cluster")
             root = tempfile.mkdtemp(prefix="latentcf-ckpt-")
-            spark.conf.set("spark.checkpoint.dir", root)
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
     return root

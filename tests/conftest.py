@@ -27,7 +27,7 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     # tests own their checkpoint folder only when the session names none
     if not s.conf.get("spark.checkpoint.dir", None) and not s.sparkContext.getCheckpointDir():
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="latentcf-test-ckpt-"))
+        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="latentcf-test-ckpt-"))
     yield s
 
 
