@@ -367,9 +367,13 @@ def grid_aggregate(grid: PairGrid, users: DataFrame, items: DataFrame, names: li
             user[ll], item[ll] = np.bincount(iu, lnev, len(U)), np.bincount(js, lnev, len(S))
         user["wsum"], item["wsum"] = np.bincount(iu, weight, len(U)), np.bincount(js, weight, len(S))
         user["n"], item["n"] = np.bincount(iu, minlength=len(U)), np.bincount(js, minlength=len(S))
-        out = [pd.DataFrame({"side": "u", "u": U["u"].to_numpy(), "s": None, **user}),
-               pd.DataFrame({"side": "s", "u": None, "s": S["s"].to_numpy(), **item})]
-        return pd.concat([o[o["n"] > 0] for o in out])[[f.name for f in schema.fields]]
+        none = np.full(len(own), None, object)
+        out = {"side": np.repeat(["u", "s"], [len(U), len(S)]),
+               "u": np.concatenate([U["u"].to_numpy(object), none[: len(S)]]),
+               "s": np.concatenate([none[: len(U)], S["s"].to_numpy(object)]),
+               **{c: np.concatenate([user[c], item[c]]) for c in user}}
+        held = out["n"] > 0
+        return pd.DataFrame({f.name: out[f.name][held] for f in schema.fields})
 
     parts = grid.df.groupBy("cell").cogroup(params.groupBy("cell")).applyInPandas(cell, schema)
     return parts.groupBy("side", "u", "s").agg(*[F.sum(c).alias(c) for c in sums], F.sum("n").alias("n"))
