@@ -179,7 +179,7 @@ def chain(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = buckets or max(1, min(4 * parts, ids.count() // 64))
     shares = [i / buckets for i in range(1, buckets)]
     cuts = ids.select(F.percentile_approx("id", shares, 100 * buckets)).first()[0] if shares else []
-    bucket_of = _ranges(cuts or [])
+    bucket_of, span = _ranges(cuts or [])
     firsts = (ids.select(bucket_of(F.col("id"), F.col("tie")).alias("bucket"), F.struct("id", "tie").alias("o"))
               .groupBy("bucket").agg(F.min("o").alias("o")).orderBy("bucket").collect())
     if not firsts:
@@ -194,12 +194,14 @@ def chain(docs: DataFrame, buckets: int | None = None) -> DataFrame:
                           & (F.col("o.tie") == F.col("first_tie"))))
     ending = ending.dropDuplicates(["b"]).select(F.col("previous").alias("bucket"), F.lit(1).alias("end"), "o", "doc_id", "text")
     dealt = placed.select("bucket", F.lit(0).alias("end"), "o", "doc_id", "text").union(ending)
-    return (dealt.repartition(min(parts, len(firsts)), "bucket").sortWithinPartitions("bucket", "end", "o")
-            .select("bucket", "doc_id", "text"))
+    parts = min(parts, len(firsts))
+    # neighbouring ranges share a task, as many to each
+    return (dealt.repartitionById(parts, F.floor(F.col("bucket") * parts / span).cast("int"))
+            .sortWithinPartitions("bucket", "end", "o").select("bucket", "doc_id", "text"))
 
 
 def _ranges(cuts: list[int]):
-    """(id, tie) -> number of its range, in order. An id that several cuts fall on has that many
+    """A function (id, tie) -> number of its range, in order, and the numbers' bound. An id that several cuts fall on has that many
     ranges of its own, by its rows' hashes."""
     edges, times = np.unique(np.array(cuts, np.int64), return_counts=True)
     own = np.append(np.where(times > 1, times, 0), 0)
@@ -212,7 +214,7 @@ def _ranges(cuts: list[int]):
         part = np.where(n > 0, 1 + np.floor((tie.to_numpy() / 2.0**64 + 0.5) * n), 0)
         return pd.Series((at * step + np.minimum(part, n)).astype(np.int64))
 
-    return bucket_of
+    return bucket_of, (len(edges) + 1) * step
 
 
 def op2_multiset(spark, sf_dir: str) -> DataFrame:
