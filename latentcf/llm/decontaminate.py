@@ -13,8 +13,9 @@ The windows' table of the benchmark is written first, so Spark knows its size
 and broadcasts it only under its threshold; beyond it both sides are shuffled
 by window hash.
 
-Defined cases: null and empty texts have no windows and match nothing; a text
-of fewer than WINDOW words is one window of its whole template; windows with
+Defined cases: null and empty texts have no windows and match nothing; an item
+of fewer than WINDOW words is one window of its own length, which is looked for
+in documents of any length; windows with
 fewer than LEAST_LITERALS plain words are not searched (an item made of such
 windows alone is reported by ``unsearchable``); equal rows give one row; rows
 sharing a doc_id are judged apart; items sharing an item_id count as one item
@@ -23,6 +24,8 @@ each by their text; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,32 +65,34 @@ def _template(word: Column) -> Column:
     return F.when(_is_slot(word), F.substring(word, 1, 1)).otherwise(word)
 
 
-def window_hashes(words: Column, window: int = WINDOW) -> Column:
-    """Hash of every run of ``window`` template words (a shorter text is one run)."""
+def window_hashes(words: Column, size: Column) -> Column:
+    """Hash of every run of ``size`` template words."""
 
     def runs(hashes):
-        starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(1), F.greatest(F.size(hashes) - (window - 1), F.lit(1))))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, window)))
+        starts = F.when(F.size(hashes) >= F.greatest(size, F.lit(1)), F.sequence(F.lit(1), F.size(hashes) - size + 1))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, size)))
 
     return let(F.transform(words, lambda w: F.xxhash64(_template(w))), runs)
 
 
-def _windows(texts: DataFrame, keys: list[str], window: int, slots: bool) -> DataFrame:
-    """(keys, place, hash [, slots]) of every window; ``texts`` has the keys and column words."""
-    kept = texts.select(*keys, "words", F.posexplode(window_hashes(F.col("words"), window)).alias("place", "hash"))
+def _windows(texts: DataFrame, keys: list[str], size: Column, slots: bool) -> DataFrame:
+    """(keys, place, hash [, slots, literals, length]) of every window; ``texts`` has the keys and column words."""
+    kept = texts.select(*keys, "words", F.posexplode(window_hashes(F.col("words"), size)).alias("place", "hash"))
     if not slots:
         return kept.drop("words")
-    run = F.slice("words", F.col("place") + 1, window)
+    run = F.slice("words", F.col("place") + 1, size)
     return kept.select(*keys, "place", "hash", F.filter(run, _is_slot).alias("slots"),
-                       F.size(F.filter(run, lambda w: ~_is_slot(w))).alias("literals"))
+                       F.size(F.filter(run, lambda w: ~_is_slot(w))).alias("literals"), F.size(run).alias("length"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item, item_id, place, hash, slots, literals), written; item is a hash of id and text."""
+    """(item, item_id, place, hash, slots, literals, length), written; item is a hash of id and
+    text; an item of fewer than ``window`` words is one window of its own length."""
     items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text")).distinct()
              .select("item_id", F.xxhash64(F.isnull("item_id"), "item_id", "text").alias("item"),
                      template_words(F.col("text")).alias("words")))
-    return settle(_windows(items, ["item", "item_id"], window, slots=True), "benchmark-windows")
+    size = F.least(F.size("words"), F.lit(window))
+    return settle(_windows(items, ["item", "item_id"], size, slots=True), "benchmark-windows")
 
 
 def unsearchable(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -106,10 +111,17 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     sizes = searched.groupBy("item").agg(F.count("*").alias("windows"), F.max(F.size("slots")).alias("slotted"))
     # the join's small side holds only what it needs: its true size decides on a broadcast
     probe = settle(searched.select("hash", "item", "item_id", F.col("place").alias("item_place")), "benchmark-probe")
+    # only the lengths of items shorter than a window are looked for besides windows
+    lengths = [window, *sorted(r.length for r in searched.where(F.col("length") < window).select("length").distinct().collect())]
     keys = ["_row_a", "_row_b", "doc_id"]
     words = keyed_rows(docs).select("_row_a", "_row_b", F.col("row.doc_id").cast("long").alias("doc_id"),
                                     template_words(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("words"))
-    hits = _windows(words, keys, window, slots=False).join(probe, "hash")
+
+    def windows(texts, slots):
+        parts = [_windows(texts, keys, F.lit(n), slots) for n in lengths]
+        return reduce(DataFrame.unionByName, parts)
+
+    hits = windows(words, slots=False).join(probe, "hash")
     counted = (hits.select(*keys, "item", "item_id", "item_place").distinct()
                .groupBy(*keys, "item", "item_id").agg(F.count("*").alias("matched")))
     near = settle(counted.join(sizes, "item").withColumn("coverage", F.col("matched") / F.col("windows"))
@@ -118,7 +130,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     # slots are read again only for documents near an item that has some
     slotted = near.where(F.col("slotted") > 0).select("_row_a", "_row_b", "item")
     again = words.join(slotted.select("_row_a", "_row_b").distinct(), ["_row_a", "_row_b"], "left_semi")
-    ours = _windows(again, keys, window, slots=True).select("_row_a", "_row_b", "hash", "place", F.col("slots").alias("ours"))
+    ours = windows(again, slots=True).select("_row_a", "_row_b", "hash", "place", F.col("slots").alias("ours"))
     theirs = searched.where(F.size("slots") > 0).select("hash", "item", F.col("place").alias("item_place"), F.col("slots").alias("theirs"))
     pairs = (ours.where(F.size("ours") > 0).join(theirs, "hash").join(slotted, ["_row_a", "_row_b", "item"], "left_semi")
              .select("_row_a", "_row_b", "item", (F.col("place") - F.col("item_place")).alias("shift"),

@@ -192,6 +192,16 @@ def test_decontamination_odd_rows(spark):
     assert [r.item_id for r in decontaminate.unsearchable(benchmark(spark, [ITEM, "1 2 3 4 5 6 7 8 9"])).collect()] == [1]
 
 
+def test_short_items_are_found_in_long_texts(spark):
+    long = " ".join(f"filler{i}" for i in range(300))
+    items = ["What is the capital of France?", "Name five rivers that flow north"]
+    texts = [f"{long}. What is the capital of France? {long}", f"{long} what is the capital of Spain {long}",
+             f"{long} name five rivers that flow north {long}", "Name five rivers that flow north", long,
+             "what is the capital"]
+    got = hits(spark, texts, items)
+    assert {(1, 0), (2, 0), (3, 1), (4, 1)} <= got and not {d for d, _ in got} & {5, 6}
+
+
 # --- toxicity --------------------------------------------------------------------------------
 
 def test_op7_held_out_accuracy(spark):
