@@ -15,11 +15,13 @@ by window hash.
 
 Defined cases: null and empty texts have no windows and match nothing; an item
 of fewer than WINDOW words is one window of its own length, which is looked for
-in documents of any length; windows with
-fewer than LEAST_LITERALS plain words are not searched (an item made of such
-windows alone is reported by ``unsearchable``); equal rows give one row; rows
-sharing a doc_id are judged apart; items sharing an item_id count as one item
-each by their text; other columns are not read.
+in documents of any length (an item of one word is held by every document with
+that word); windows with fewer than LEAST_LITERALS plain words are searched by
+their own lower-case words only, and all other windows by these as well, so
+copies are found in any case (``unsearchable`` lists the items of which only
+copies are); equal rows give one row; rows sharing a doc_id are judged apart;
+items sharing an item_id count as one item each by their text; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -65,28 +67,35 @@ def _template(word: Column) -> Column:
     return F.when(_is_slot(word), F.substring(word, 1, 1)).otherwise(word)
 
 
+def _plain(word: Column) -> Column:
+    return F.when(_is_slot(word), F.substring(word, 2, 2**31 - 1)).otherwise(word)
+
+
 def window_hashes(words: Column, size: Column) -> Column:
-    """Hash of every run of ``size`` template words."""
+    """array of struct(place, hash, raw) of every run of ``size`` words: the hash of its template and
+    that of its words themselves, which are equal where the run holds no placeholder."""
 
     def runs(hashes):
-        starts = F.when(F.size(hashes) >= F.greatest(size, F.lit(1)), F.sequence(F.lit(1), F.size(hashes) - size + 1))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, size)))
+        starts = F.when(F.size(words) >= F.greatest(size, F.lit(1)), F.sequence(F.lit(1), F.size(words) - size + 1))
+        return F.transform(starts, lambda i: F.struct((i - 1).alias("place"), F.xxhash64(F.slice(hashes["t"], i, size)).alias("hash"),
+                                                      F.xxhash64(F.slice(hashes["r"], i, size)).alias("raw")))
 
-    return let(F.transform(words, lambda w: F.xxhash64(_template(w))), runs)
+    return let(F.struct(F.transform(words, lambda w: F.xxhash64(_template(w))).alias("t"),
+                        F.transform(words, lambda w: F.xxhash64(_plain(w))).alias("r")), runs)
 
 
 def _windows(texts: DataFrame, keys: list[str], size: Column, slots: bool) -> DataFrame:
-    """(keys, place, hash [, slots, literals, length]) of every window; ``texts`` has the keys and column words."""
-    kept = texts.select(*keys, "words", F.posexplode(window_hashes(F.col("words"), size)).alias("place", "hash"))
+    """(keys, place, hash, raw [, slots, literals, length]) of every window; ``texts`` has the keys and column words."""
+    kept = texts.select(*keys, "words", F.explode(window_hashes(F.col("words"), size)).alias("w")).select(*keys, "words", "w.*")
     if not slots:
         return kept.drop("words")
     run = F.slice("words", F.col("place") + 1, size)
-    return kept.select(*keys, "place", "hash", F.filter(run, _is_slot).alias("slots"),
+    return kept.select(*keys, "place", "hash", "raw", F.filter(run, _is_slot).alias("slots"),
                        F.size(F.filter(run, lambda w: ~_is_slot(w))).alias("literals"), F.size(run).alias("length"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item, item_id, place, hash, slots, literals, length), written; item is a hash of id and
+    """(item, item_id, place, hash, raw, slots, literals, length), written; item is a hash of id and
     text; an item of fewer than ``window`` words is one window of its own length."""
     items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text")).distinct()
              .select("item_id", F.xxhash64(F.isnull("item_id"), "item_id", "text").alias("item"),
@@ -96,7 +105,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def unsearchable(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Items none of whose windows has LEAST_LITERALS plain words."""
+    """Items none of whose windows has LEAST_LITERALS plain words: only copies of their words are found."""
     found = benchmark_windows(benchmark, window)
     return found.groupBy("item", "item_id").agg(F.max("literals").alias("literals")).where(
         F.col("literals") < LEAST_LITERALS).select("item_id")
@@ -105,14 +114,17 @@ def unsearchable(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = LEAST_COVERAGE,
          consistency: float = LEAST_CONSISTENCY) -> DataFrame:
     """One row per matching document and item: doc_id, item_id, matched, windows, coverage,
-    consistency (1 where the matched windows hold no placeholders), and the row's keys."""
-    all_windows = benchmark_windows(benchmark, window)
-    searched = all_windows.where(F.col("literals") >= LEAST_LITERALS)
-    sizes = searched.groupBy("item").agg(F.count("*").alias("windows"), F.max(F.size("slots")).alias("slotted"))
+    consistency (1 where the match is word for word or holds no placeholders), and the row's keys."""
+    all_windows = benchmark_windows(benchmark, window).withColumn("searched", F.col("literals") >= LEAST_LITERALS)
+    searched = all_windows.where("searched")
+    sizes = all_windows.groupBy("item").agg(F.count("*").alias("of"), F.sum(F.col("searched").cast("long")).alias("of_searched"),
+                                            F.max(F.size("slots")).alias("slotted"))
     # the join's small side holds only what it needs: its true size decides on a broadcast
-    probe = settle(searched.select("hash", "item", "item_id", F.col("place").alias("item_place")), "benchmark-probe")
+    place = ["item", "item_id", F.col("place").alias("item_place"), "searched"]
+    probe = settle(searched.where("hash != raw").select("hash", *place, F.lit(False).alias("exact"))
+                   .union(all_windows.select("raw", *place, F.lit(True))), "benchmark-probe")
     # only the lengths of items shorter than a window are looked for besides windows
-    lengths = [window, *sorted(r.length for r in searched.where(F.col("length") < window).select("length").distinct().collect())]
+    lengths = [window, *sorted(r.length for r in all_windows.where(F.col("length") < window).select("length").distinct().collect())]
     keys = ["_row_a", "_row_b", "doc_id"]
     words = keyed_rows(docs).select("_row_a", "_row_b", F.col("row.doc_id").cast("long").alias("doc_id"),
                                     template_words(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("words"))
@@ -121,14 +133,24 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         parts = [_windows(texts, keys, F.lit(n), slots) for n in lengths]
         return reduce(DataFrame.unionByName, parts)
 
-    hits = windows(words, slots=False).join(probe, "hash")
-    counted = (hits.select(*keys, "item", "item_id", "item_place").distinct()
-               .groupBy(*keys, "item", "item_id").agg(F.count("*").alias("matched")))
-    near = settle(counted.join(sizes, "item").withColumn("coverage", F.col("matched") / F.col("windows"))
+    either = F.when(F.col("hash") == F.col("raw"), F.array("hash")).otherwise(F.array("hash", "raw"))
+    hits = windows(words, slots=False).select(*keys, F.explode(either).alias("hash")).join(probe, "hash")
+    counted = (hits.groupBy(*keys, "item", "item_id", "item_place", "searched").agg(F.max("exact").alias("exact"))
+               .groupBy(*keys, "item", "item_id")
+               .agg(F.count("*").alias("matched"), F.sum(F.col("searched").cast("long")).alias("matched_searched"),
+                    F.sum(F.col("exact").cast("long")).alias("copied")))
+    # coverage of the windows that stand for their templates, or of all windows, whichever is more
+    of_templates, of_all = F.col("matched_searched") / F.nullif(F.col("of_searched"), F.lit(0)), F.col("matched") / F.col("of")
+    better = F.coalesce(of_templates > of_all, F.lit(False))
+    near = settle(counted.join(sizes, "item")
+                  .select(*keys, "item", "item_id", "slotted", F.when(better, F.col("matched_searched")).otherwise(F.col("matched")).alias("matched"),
+                          F.when(better, F.col("of_searched")).otherwise(F.col("of")).alias("windows"),
+                          F.greatest(of_templates, of_all).alias("coverage"),
+                          (F.col("copied") / F.col("of") >= coverage).alias("copy"))
                   .where(F.col("coverage") >= coverage), "decontaminate-near")
 
     # slots are read again only for documents near an item that has some
-    slotted = near.where(F.col("slotted") > 0).select("_row_a", "_row_b", "item")
+    slotted = near.where(F.col("slotted") > 0).where(~F.col("copy")).select("_row_a", "_row_b", "item")
     again = words.join(slotted.select("_row_a", "_row_b").distinct(), ["_row_a", "_row_b"], "left_semi")
     ours = windows(again, slots=True).select("_row_a", "_row_b", "hash", "place", F.col("slots").alias("ours"))
     theirs = searched.where(F.size("slots") > 0).select("hash", "item", F.col("place").alias("item_place"), F.col("slots").alias("theirs"))

@@ -194,12 +194,22 @@ def test_decontamination_odd_rows(spark):
 
 def test_short_items_are_found_in_long_texts(spark):
     long = " ".join(f"filler{i}" for i in range(300))
-    items = ["What is the capital of France?", "Name five rivers that flow north"]
+    items = ["What is the capital of France?", "Name five rivers that flow north", "Only four words here"]
     texts = [f"{long}. What is the capital of France? {long}", f"{long} what is the capital of Spain {long}",
              f"{long} name five rivers that flow north {long}", "Name five rivers that flow north", long,
-             "what is the capital"]
+             "what is the capital", f"{long} only four words here"]
     got = hits(spark, texts, items)
-    assert {(1, 0), (2, 0), (3, 1), (4, 1)} <= got and not {d for d, _ in got} & {5, 6}
+    assert {(1, 0), (2, 0), (3, 1), (4, 1), (7, 2)} <= got and not {d for d, _ in got} & {5, 6}
+
+
+def test_copies_of_items_without_plain_words_are_found(spark):
+    sums = "12 + 7 = 19, 8 x 3 = 24, 100 / 4 = 25, 64 - 9 = 55 and 17 + 30 = 47"
+    names = "the Paris of Anna Berta Clara Dora Emma Frieda Greta Hanna Ida Jana Karla Lena Maria Nora Olga"
+    texts = [f"some text before {sums} and after", f"some text before {names.lower()} and after", f"NOW {names.upper()} THEN",
+             "12 + 7 = 19 is a sum", "an altogether different text about Paris and Anna with other words", f"so {names} it is"]
+    assert hits(spark, texts, [sums, names]) == {(1, 0), (2, 1), (3, 1), (6, 1)}
+    title = "read this long passage slowly and answer every question about rivers that follows below"
+    assert hits(spark, [f"x {title.title()} y"], [title]) == {(1, 0)}
 
 
 # --- toxicity --------------------------------------------------------------------------------
