@@ -4,7 +4,8 @@ Texts are canonicalised: numbers, names (capitalised words inside a sentence)
 and units after a number become typed placeholders; case and punctuation go.
 Windows of WINDOW template words are hashed and joined with those of the
 benchmark. A document and an item match when LEAST_COVERAGE of the item's
-windows stand in the document, and, where the windows hold placeholders, each
+windows stand in the document or an unbroken passage of it of LEAST_PASSAGE
+words (half of the item, if that is less) does, and, where the windows hold placeholders, each
 value of the item stands for one value of the document throughout an aligned
 occurrence (slot consistency), which catches re-parameterised questions and
 leaves chance meetings of placeholders alone.
@@ -30,6 +31,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from latentcf.llm.common import keyed_rows, let, settle, table, whole_text
 
@@ -37,6 +39,8 @@ WINDOW = 8
 LEAST_LITERALS = 5
 LEAST_COVERAGE = 0.5
 LEAST_CONSISTENCY = 0.75
+#: words of an unbroken passage that are a match by themselves, whatever share of the item they are
+LEAST_PASSAGE = 50
 NUMBER, NAME, UNIT = "", "", ""
 
 # Units that may follow a number.
@@ -112,15 +116,19 @@ def unsearchable(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = LEAST_COVERAGE,
-         consistency: float = LEAST_CONSISTENCY) -> DataFrame:
+         consistency: float = LEAST_CONSISTENCY, passage: int = LEAST_PASSAGE) -> DataFrame:
     """One row per matching document and item: doc_id, item_id, matched, windows, coverage,
     consistency (1 where the match is word for word or holds no placeholders), and the row's keys."""
     all_windows = benchmark_windows(benchmark, window).withColumn("searched", F.col("literals") >= LEAST_LITERALS)
+    before = Window.partitionBy("item").orderBy("place")
+    all_windows = all_windows.withColumn("rank", F.sum(F.col("searched").cast("long")).over(before))
     searched = all_windows.where("searched")
     sizes = all_windows.groupBy("item").agg(F.count("*").alias("of"), F.sum(F.col("searched").cast("long")).alias("of_searched"),
                                             F.max(F.size("slots")).alias("slotted"))
+    # windows that a passage of the length asked for has at least
+    sizes = sizes.withColumn("run", F.greatest(F.least(F.lit(passage), F.ceil((F.col("of") + window - 1) / 2)) - window + 1, F.lit(1)))
     # the join's small side holds only what it needs: its true size decides on a broadcast
-    place = ["item", "item_id", F.col("place").alias("item_place"), "searched"]
+    place = ["item", "item_id", F.col("place").alias("item_place"), "searched", "rank"]
     probe = settle(searched.where("hash != raw").select("hash", *place, F.lit(False).alias("exact"))
                    .union(all_windows.select("raw", *place, F.lit(True))), "benchmark-probe")
     # only the lengths of items shorter than a window are looked for besides windows
@@ -134,7 +142,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         return reduce(DataFrame.unionByName, parts)
 
     either = F.when(F.col("hash") == F.col("raw"), F.array("hash")).otherwise(F.array("hash", "raw"))
-    hits = windows(words, slots=False).select(*keys, F.explode(either).alias("hash")).join(probe, "hash")
+    hits = windows(words, slots=False).select(*keys, "place", F.explode(either).alias("hash")).join(probe, "hash")
+    hits = settle(hits.select(*keys, "item", "item_id", "item_place", "searched", "rank", "exact",
+                              (F.col("place") - F.col("item_place")).alias("shift")), "decontaminate-hits")
     counted = (hits.groupBy(*keys, "item", "item_id", "item_place", "searched").agg(F.max("exact").alias("exact"))
                .groupBy(*keys, "item", "item_id")
                .agg(F.count("*").alias("matched"), F.sum(F.col("searched").cast("long")).alias("matched_searched"),
@@ -142,12 +152,32 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     # coverage of the windows that stand for their templates, or of all windows, whichever is more
     of_templates, of_all = F.col("matched_searched") / F.nullif(F.col("of_searched"), F.lit(0)), F.col("matched") / F.col("of")
     better = F.coalesce(of_templates > of_all, F.lit(False))
-    near = settle(counted.join(sizes, "item")
-                  .select(*keys, "item", "item_id", "slotted", F.when(better, F.col("matched_searched")).otherwise(F.col("matched")).alias("matched"),
-                          F.when(better, F.col("of_searched")).otherwise(F.col("of")).alias("windows"),
-                          F.greatest(of_templates, of_all).alias("coverage"),
-                          (F.col("copied") / F.col("of") >= coverage).alias("copy"))
-                  .where(F.col("coverage") >= coverage), "decontaminate-near")
+    near = (counted.join(sizes, "item")
+            .select(*keys, "item", "item_id", "slotted", F.when(better, F.col("matched_searched")).otherwise(F.col("matched")).alias("matched"),
+                    F.when(better, F.col("of_searched")).otherwise(F.col("of")).alias("windows"),
+                    F.greatest(of_templates, of_all).alias("coverage"), "run", F.col("matched").alias("all_matched"),
+                    (F.col("copied") / F.col("of") >= coverage).alias("copy"))
+            .where((F.col("coverage") >= coverage) | (F.col("all_matched") >= F.col("run"))))
+    near = settle(near, "decontaminate-counted")
+
+    # unbroken passages of pairs under the coverage: windows in step at one shift; only windows that
+    # are not searched by their templates may be missing between two
+    one = ["_row_a", "_row_b", "item"]
+    partly = near.where(F.col("coverage") < coverage).select(*one, "run")
+    at = (hits.join(partly, one).groupBy(*one, "run", "shift", "item_place", "searched", "rank").agg(F.max("exact").alias("exact")))
+    in_order = Window.partitionBy(*one, "shift").orderBy("item_place")
+    missing = F.col("rank") - F.col("searched").cast("long") - F.lag("rank").over(in_order)
+    pieces = at.withColumn("breaks", (F.coalesce(missing, F.lit(0)) > 0).cast("long")).withColumn("piece", F.sum("breaks").over(in_order))
+    passages = (pieces.groupBy(*one, "run", "shift", "piece").agg(F.count("*").alias("n"))
+                .where(F.col("n") >= F.col("run")).select(*one, "shift", F.lit(False).alias("exact")))
+    copies = (at.where("exact").withColumn("piece", F.col("item_place") - F.row_number().over(in_order))
+              .groupBy(*one, "run", "shift", "piece").agg(F.count("*").alias("n"))
+              .where(F.col("n") >= F.col("run")).select(*one, "shift", F.lit(True).alias("exact")))
+    passages = settle(passages.union(copies).groupBy(*one, "shift").agg(F.max("exact").alias("exact")), "decontaminate-passages")
+    quoted = passages.groupBy(*one).agg(F.max("exact").alias("quoted"))
+    near = settle(near.join(quoted, one, "left").where((F.col("coverage") >= coverage) | F.col("quoted").isNotNull())
+                  .select(*keys, "item", "item_id", "slotted", "matched", "windows", "coverage",
+                          (F.col("copy") | F.coalesce("quoted", F.lit(False))).alias("copy")), "decontaminate-near")
 
     # slots are read again only for documents near an item that has some
     slotted = near.where(F.col("slotted") > 0).where(~F.col("copy")).select("_row_a", "_row_b", "item")
@@ -161,8 +191,12 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     by_value = pairs.groupBy("_row_a", "_row_b", "item", "shift", "slot.theirs").agg(
         F.max("n").alias("most"), F.sum("n").alias("n"))
     by_shift = by_value.groupBy("_row_a", "_row_b", "item", "shift").agg((F.sum("most") / F.sum("n")).alias("c"))
-    agreed = by_shift.groupBy("_row_a", "_row_b", "item").agg(F.max("c").alias("consistency"))
-    found = near.join(agreed, ["_row_a", "_row_b", "item"], "left")
+    # of pairs under the coverage, only the shifts of their passages count
+    by_shift = (by_shift.join(near.select(*one, (F.col("coverage") < coverage).alias("partly")), one)
+                .join(passages.select(*one, "shift", F.lit(True).alias("passage")), [*one, "shift"], "left")
+                .where(~F.col("partly") | F.col("passage")))
+    agreed = by_shift.groupBy(*one).agg(F.max("c").alias("consistency"))
+    found = near.join(agreed, one, "left")
     return (found.withColumn("consistency", F.coalesce("consistency", F.lit(1.0)))
             .where(F.col("consistency") >= consistency)
             .select("doc_id", "item_id", "matched", "windows", "coverage", "consistency", "_row_a", "_row_b"))

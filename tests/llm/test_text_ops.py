@@ -212,6 +212,21 @@ def test_copies_of_items_without_plain_words_are_found(spark):
     assert hits(spark, [f"x {title.title()} y"], [title]) == {(1, 0)}
 
 
+def test_passages_of_long_items_are_found(spark):
+    words = [f"{a}{b}" for a in ("red", "blue", "tall", "flat", "cold", "warm") for b in ("stone", "river", "cloud", "field", "house") * 8]
+    rng = random.Random(8)
+    rng.shuffle(words)
+    words[60] = "17"
+    item = " ".join(words[:200])
+    quote = words[30:110]
+    texts = [f"some words {' '.join(quote)} other words", f"some words {' '.join(quote).replace('17', '23').upper()} other words",
+             f"some words {' '.join(words[30:60])} and now for something else {' '.join(words[100:130])} other words",
+             f"some words {' '.join(words[30:75])} other words"]
+    assert hits(spark, texts, [item]) == {(1, 0), (2, 0)}
+    pairs = decontaminate.find(cases.documents(spark, texts[:1]), benchmark(spark, [item])).collect()
+    assert pairs[0].coverage < 0.5
+
+
 # --- toxicity --------------------------------------------------------------------------------
 
 def test_op7_held_out_accuracy(spark):
