@@ -120,6 +120,21 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+PROSE = "A whole paragraph of an article that nobody would take for a menu."
+
+
+@pytest.mark.parametrize("html", [
+    f'<body class="single has-sidebar"><p>{PROSE}</p><div class="sidebar">x</div></body>',
+    f'<div id="content" class="with-sidebar"><p>{PROSE}</p></div><div class="sidebar"><p>x</p></div>',
+    f'<article class="post category-social"><p>{PROSE}</p><div class="share">x</div></article>',
+    f'<main id="search-results"><p>{PROSE}</p></main><div class="related"><article><p>x</p></article></div>',
+    f'<div class="has-sidebar"><article><p>{PROSE}</p></article></div><div id="comments"><article><p>so</p></article></div>',
+    f'<article><div class="widget-text"><p>{PROSE}</p></div></article><div class="comments"><p>{PROSE * 5}</p></div>',
+])
+def test_names_do_not_drop_the_article(html):
+    assert html_text.main_text(html) == PROSE
+
+
 def test_template_is_deduced_without_telling_names(spark):
     """Boilerplate in plain divs, the article too: only what repeats over the host tells them apart."""
     def page(i):
