@@ -34,11 +34,10 @@ from latentcf.llm.common import release, settle, table, whole_text
 FOLDS = 5
 MAX_LABELLED = 20_000
 MAX_TERMS = 4_096
-#: A term is kept if it stands in this many toxic texts of the sample, and in this
-#: share of them, and the lower bound of its toxic share is over the least one
+#: A term is kept if it stands in this many toxic texts of the sample, whatever its
+#: size, and the lower bound of its toxic share is over the least one
 #: (stems stand for unseen words as well, so they must be surer than words).
 LEAST_TEXTS = 5
-LEAST_PART = 0.01
 LEAST_SHARE_WORD, LEAST_SHARE_STEM = 0.6, 0.9
 STEM = (4, 6)
 
@@ -204,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
               .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     sizes = rows.groupBy("toxic").count().collect()  # two rows
     n_toxic, n_clean = (sum(r["count"] for r in sizes if r["toxic"] == t) for t in (True, False))
-    enough = counts.where((F.col("toxic") >= max(LEAST_TEXTS, LEAST_PART * n_toxic)) & (F.col("toxic") > F.col("clean")))
+    enough = counts.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") > F.col("clean")))
     found = [(r["term"], r["toxic"], r["clean"]) for r in
              enough.orderBy(F.desc("toxic"), "term").limit(16 * MAX_TERMS).collect()]
     prior = math.log((n_toxic + 0.5) / (n_clean + 0.5)) if n_toxic + n_clean else -2.0

@@ -263,6 +263,14 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.drop_toxic(cases.empty_documents(spark), toxicity.fit(cases.empty_documents(spark), labels)).count() == 0
 
 
+def test_rare_sure_words_are_learned_from_many_labels(spark):
+    n = 1500
+    texts = [f"you {'zorkfiend' if i < 12 else 'stupid fool'} number {i}" if i % 2 == 0 else f"a kind and quiet word {i}" for i in range(n)]
+    labels = spark.createDataFrame([(i + 1, int(i % 2 == 0)) for i in range(n)], "doc_id long, toxic int")
+    fitted = toxicity.fit(cases.documents(spark, texts + ["so you zorkfiend"]), labels)
+    assert fitted.matcher().matches(toxicity.fold("a zorkfiend"))
+
+
 # --- pipeline --------------------------------------------------------------------------------
 
 def test_pipeline_against_brute_force(spark):
