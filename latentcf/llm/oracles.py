@@ -107,3 +107,38 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
   sha256(t) AS restored_sha256
 FROM p
 """
+
+# Blocks of 256 words, 32 rounds; plain running sums and a closed form of the level where the operator
+# takes chunks and rounds of resharing; the part-taken epoch by adding up its blocks in drawn order.
+OP12 = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, source,
+  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS z, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS no FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][no % 3 + 1] AS w FROM s),
+r AS (SELECT *, sum(z) OVER o - z AS z_before, sum(w) OVER o - w AS w_before, sum(z) OVER () AS zs, sum(w) OVER () AS ws
+      FROM w WINDOW o AS (ORDER BY z::DOUBLE / w, no ROWS UNBOUNDED PRECEDING)),
+level AS (SELECT 3 * zs - 4 * z_before AS num, 2 * (ws - w_before) AS den FROM r
+          WHERE (3 * zs - 4 * z_before) * w <= 4 * z * (ws - w_before) ORDER BY w_before LIMIT 1),
+t AS (SELECT source, no, z, CASE WHEN num * w > 2 * z * den THEN 2.0 * z ELSE (num * w)::DOUBLE / den::DOUBLE END AS target FROM w, level),
+p AS MATERIALIZED (SELECT *, words // greatest(z, 1) AS epochs, words % greatest(z, 1) AS rest, (z + 255) // 256 AS n
+  FROM (SELECT *, least(2 * z, floor(target + 0.5)::BIGINT) AS words FROM t)),
+keys AS MATERIALIZED (SELECT no, i, ('0x' || substr(h, 1, 11))::BIGINT % n AS k, ('0x' || substr(h, 12, 7))::BIGINT AS a,
+    ('0x' || substr(h, 19, 7))::BIGINT AS b, ('0x' || substr(h, 26, 7))::BIGINT AS c
+  FROM (SELECT no, n, i, md5(concat_ws('|', 12, coalesce('s:' || source, 'null'), epochs, i)) AS h
+        FROM p, range(32) AS x(i) WHERE rest > 0)),
+walk AS (SELECT no, n, place, place AS x, 0 AS i FROM p, LATERAL (SELECT unnest(range(n)) AS place) WHERE rest > 0
+  UNION ALL
+  SELECT no, n, place, CASE WHEN ((((m * m + c) % 2147483647) >> 15) & 1) = 1 THEN y ELSE x END, i + 1
+  FROM (SELECT w.*, y, c, ((greatest(x, y) & 1073741823) * a + (greatest(x, y) >> 30) * b + c) % 2147483647 AS m
+        FROM (SELECT walk.*, (k - x + n) % n AS y, a, b, c FROM walk JOIN keys USING (no, i)) AS w)),
+part AS (SELECT no, x, greatest(0, least(len, rest - coalesce(sum(len) OVER (PARTITION BY no ORDER BY place
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS kept
+  FROM (SELECT walk.no, place, x, rest, least(256, z - x * 256) AS len FROM walk JOIN p USING (no) WHERE i = 32)),
+o AS (SELECT rid, doc_id, size, no, z, target, epochs, sum(size) OVER (PARTITION BY no ORDER BY key, rid) - size AS start
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+cut AS (SELECT rid, sum(greatest(0, least(start + size, x * 256 + kept) - greatest(start, x * 256))) AS more
+        FROM o JOIN part ON o.no = part.no AND x BETWEEN start // 256 AND (start + size - 1) // 256 GROUP BY rid)
+SELECT doc_id, size::BIGINT AS size, z AS source_size, target::DOUBLE AS target, (epochs * size + coalesce(more, 0))::BIGINT AS taken
+FROM o LEFT JOIN cut USING (rid)
+"""

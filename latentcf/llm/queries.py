@@ -6,6 +6,7 @@ from latentcf.llm import oracles
 from latentcf.llm.decontaminate import op6_decontaminate
 from latentcf.llm.fill_middle import op13_fill_middle
 from latentcf.llm.html_text import op5_html_text
+from latentcf.llm.mixing import op12_mixing
 from latentcf.llm.multiset import op2_multiset
 from latentcf.llm.packing import op10_packing
 from latentcf.llm.pii import op1_pii
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
+    "op12_mixing": op12_mixing,
     "op13_fill_middle": op13_fill_middle,
 }
 #: SQL where it can express the operator; the others are tested against brute force.
@@ -33,5 +35,6 @@ ORACLES: dict[str, str] = {
     "op5_html_text": oracles.OP5,
     "op8_warc": oracles.OP8,
     "op9_secrets": oracles.OP9,
+    "op12_mixing": oracles.OP12,
     "op13_fill_middle": oracles.OP13,
 }
