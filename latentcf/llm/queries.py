@@ -15,6 +15,7 @@ from latentcf.llm.simhash import op3_simhash
 from latentcf.llm.toxicity import op7_toxicity
 from latentcf.llm.training_order import op4_training_order
 from latentcf.llm.warc import op8_warc
+from latentcf.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_pii": op1_pii,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_secrets": op9_secrets,
     "op10_packing": op10_packing,
+    "op11_whitening": op11_whitening,
     "op12_mixing": op12_mixing,
     "op13_fill_middle": op13_fill_middle,
 }
