@@ -69,3 +69,29 @@ class LatentClassModel:
                    items=spark.read.parquet(f"{base}/p_s_given_z"), trace=trace, passes=int(meta["passes"]),
                    n_users=int(meta["n_users"]), n_items=int(meta["n_items"]), logliks=list(meta["logliks"]),
                    user_key_bytes=int(meta.get("user_key_bytes", 0)), item_key_bytes=int(meta.get("item_key_bytes", 0)))
+
+
+class JointModels(dict):
+    """Models fitted side by side, by k; the tables behind them have the columns of all
+    (pu<j>_<z>, ps<j>_<z> for the j-th k), so that work over all of them reads each row once."""
+
+    def __init__(self, models: dict[int, LatentClassModel], users: DataFrame, items: DataFrame, state_path: str | None = None):
+        super().__init__(models)
+        self.users, self.items, self.state_path = users, items, state_path
+        one = next(iter(models.values()))
+        self.n_users, self.n_items = one.n_users, one.n_items
+        self.user_key_bytes, self.item_key_bytes = one.user_key_bytes, one.item_key_bytes
+
+    @property
+    def ks(self) -> list[int]:
+        return list(self)
+
+    def columns(self, side: str) -> list[list[str]]:
+        return [[f"{side}{j}_{z}" for z in range(k)] for j, k in enumerate(self)]
+
+    def release(self) -> None:
+        """Remove the written state behind all models."""
+        from latentcf.session import remove_path
+
+        remove_path(self.users.sparkSession, self.state_path)
+        self.state_path = None

@@ -17,8 +17,8 @@ Beyond it the pairs are written once as a grid of R user blocks x C item
 blocks (:class:`PairGrid`). A pass brings each cell its block of p(z|u) and of
 p(s|z) (each parameter row is copied C or R times), the cell sums what it
 holds, and one aggregation adds up the cells. R and C follow from measured
-bytes and counts, so a task holds one bounded cell whatever the table's size;
-a hot user or item is spread over all cells of its row or column.
+bytes and counts, so a task holds one bounded cell whatever the table's size.
+Hot users and items have cells of their own, so R and C follow from the rest.
 
 The k+5 scalars the driver needs (class totals N(z), log-likelihood sums,
 row counts) are observed during that same write (``DataFrame.observe``).
@@ -47,7 +47,7 @@ from pyspark.sql import types as T
 
 from latentcf.functions.hashing import keyed_unit_open
 from latentcf.functions.numeric import EVIDENCE_FLOOR, row_sum
-from latentcf.model import LatentClassModel
+from latentcf.model import JointModels, LatentClassModel
 from latentcf.session import remove_path, scratch_path
 
 # Bytes per parameter row estimate: k doubles + row overhead (the keys are measured).
@@ -272,58 +272,153 @@ class PairLayout:
         """Remove what was written for the fits (the fitted models do not read it)."""
         spark = self.df.sparkSession
         if self.grid is not None:
-            spark.sql(f"DROP TABLE IF EXISTS {self.grid.table}")
-            remove_path(spark, self.grid.path)
+            self.grid.drop()
             self.grid = None
         if self.path:
             remove_path(spark, self.path)
             self.path = None
 
 
+@dataclass
+class GridPart:
+    """One rectangle of cells: its users (hot, cold or all) by its items, from cell ``first`` on."""
+
+    first: int
+    rows: int
+    cols: int
+    users: str
+    items: str
+
+    def cell(self, user_block, item_block):
+        return (user_block.cast("long") * F.lit(self.cols) + item_block + F.lit(self.first)).alias("cell")
+
+
+def _block_of(key: str, n: int):
+    return F.pmod(F.xxhash64(key, F.lit("item")) if key == "s" else F.xxhash64(key), F.lit(n))
+
+
 @dataclass
 class PairGrid:
     """Pairs by cell: user block x item block, a table bucketed by cell so that the pairs stay
-    where they are and only parameter rows move in a pass."""
+    where they are and only parameter rows move in a pass.
+
+    Users (items) of more than a part of a cell's pairs are hot: their pairs lie in rectangles of
+    their own, cut into as many cells as they fill, so they do not widen the grid of the others.
+    A bucket holds several cells where there are more of them than Spark allows buckets; a task
+    takes its cells one at a time."""
 
     df: DataFrame  # cell, u, s, [w]
-    rows: int
-    cols: int
+    parts: list[GridPart]
     table: str
     path: str
+    hot_users: DataFrame | None = None  # u
+    hot_items: DataFrame | None = None  # s
+    hot_path: str | None = None
 
-    def user_block(self):
-        return F.pmod(F.xxhash64("u"), F.lit(self.rows))
+    @property
+    def cells(self) -> int:
+        return sum(p.rows * p.cols for p in self.parts)
+
+    def copies(self, side: str, hot: bool) -> int:
+        """To how many cells the parameters of one user ('u') or item ('s') go."""
+        kind = "hot" if hot else "cold"
+        return sum(p.cols if side == "u" else p.rows for p in self.parts
+                   if (p.users if side == "u" else p.items) in (kind, "all"))
+
+    def spread(self, params: DataFrame, side: str) -> DataFrame:
+        """``params`` with ``cell``: a row for every cell that needs it."""
+        hot = self.hot_users if side == "u" else self.hot_items
+        if hot is not None:
+            params = params.join(hot.withColumn("_hot", F.lit(True)), side, "left")
+        every = []
+        for p in self.parts:
+            kind, other = (p.users, p.cols) if side == "u" else (p.items, p.rows)
+            across = F.sequence(F.lit(0), F.lit(other - 1))
+            cells = (F.transform(across, lambda b: p.cell(_block_of("u", p.rows), b)) if side == "u"
+                     else F.transform(across, lambda b: p.cell(b, _block_of("s", p.cols))))
+            if hot is not None and kind != "all":
+                mine = F.col("_hot").isNotNull() if kind == "hot" else F.col("_hot").isNull()
+                cells = F.when(mine, cells).otherwise(F.expr("cast(array() as array<bigint>)"))
+            elif hot is None and kind == "hot":
+                continue
+            every.append(cells)
+        return params.withColumn("cell", F.explode(F.concat(*every))).drop("_hot")
 
-    def item_block(self):
-        return F.pmod(F.xxhash64("s", F.lit("item")), F.lit(self.cols))
+    def drop(self) -> None:
+        spark = self.df.sparkSession
+        spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        for path in (self.path, self.hot_path):
+            remove_path(spark, path)
 
 
-def _cell(rows: int, cols: int):
-    g = PairGrid(None, rows, cols, "", "")
-    return (g.user_block() * F.lit(cols) + g.item_block()).alias("cell")
+#: A user or item is hot from this share of a cell's pairs on.
+HOT_SHARE = 0.25
 
 
-def grid_pairs(P: DataFrame, n_pairs: int, user_bytes: int, item_bytes: int, cell_bytes: int = CELL_BYTES,
-               cell_pairs: int = CELL_PAIRS) -> PairGrid:
-    """Write the grid of ``P``. Blocks are refined until every parameter block fits
-    ``cell_bytes`` on average and no cell holds more than ``cell_pairs`` pairs (distinct pairs
-    always part: a single pair is the smallest cell)."""
+def _hot(P: DataFrame, key: str, least: float, folder: str) -> DataFrame | None:
+    """The keys of more than ``least`` pairs, written; at most n_pairs / least of them."""
     spark = P.sparkSession
-    rows, cols = max(1, math.ceil(user_bytes / cell_bytes)), max(1, math.ceil(item_bytes / cell_bytes))
-    while rows * cols < int(spark.sparkContext.defaultParallelism):
+    path = f"{folder}/{key}"
+    found = P.groupBy(key).count().where(F.col("count") > F.lit(least)).select(key)
+    found.write.parquet(path)
+    hot = spark.read.schema(found.schema).parquet(path)
+    return None if hot.isEmpty() else hot
+
+
+def _refined(P: DataFrame, n_pairs: int, rows: int, cols: int, cell_pairs: int, least_cells: int) -> tuple[int, int]:
+    """(rows, cols), cut on until no cell of ``P`` holds more than ``cell_pairs`` pairs (distinct pairs
+    always part: a single pair is the smallest cell)."""
+    while rows * cols < least_cells:
         rows, cols = (2 * rows, cols) if rows <= cols else (rows, 2 * cols)
     while True:
-        most = P.groupBy(_cell(rows, cols)).count().agg(F.max("count")).first()[0] or 0
+        cell = F.struct(_block_of("u", rows), _block_of("s", cols))
+        most = P.groupBy(cell).count().agg(F.max("count")).first()[0] or 0
         if most <= cell_pairs:
-            break
+            return rows, cols
         # towards the even case at once; a skewed cell is halved on
         grow = max(2.0, n_pairs / (rows * cols) / cell_pairs)
         rows, cols = (math.ceil(rows * grow), cols) if rows <= cols else (rows, math.ceil(cols * grow))
+
+
+def grid_pairs(P: DataFrame, n_pairs: int, user_bytes: int, item_bytes: int, cell_bytes: int = CELL_BYTES,
+               cell_pairs: int = CELL_PAIRS) -> PairGrid:
+    """Write the grid of ``P``: blocks so that every parameter block fits ``cell_bytes`` on average
+    and no cell holds more than ``cell_pairs`` pairs."""
+    spark = P.sparkSession
+    cores = int(spark.sparkContext.defaultParallelism)
+    rows, cols = max(1, math.ceil(user_bytes / cell_bytes)), max(1, math.ceil(item_bytes / cell_bytes))
+    hot_path = scratch_path(spark, "pair-hot")
+    least = max(1.0, HOT_SHARE * cell_pairs)
+    hot = {key: _hot(P, key, least, hot_path) for key in ("u", "s")}
+    marked = P
+    for key, keys in hot.items():
+        marked = (marked.join(keys.withColumn(f"_hot_{key}", F.lit(True)), key, "left") if keys is not None
+                  else marked.withColumn(f"_hot_{key}", F.lit(None).cast("boolean")))
+    of_user, of_item = F.col("_hot_u").isNotNull(), F.col("_hot_s").isNotNull()
+    # a pair belongs to its hot user, else to its hot item, else to the common grid
+    wanted = [("cold", "cold", ~of_user & ~of_item, rows, cols, cores)]
+    if hot["u"] is not None:
+        wanted.append(("hot", "all", of_user, 1, cols, 1))
+    if hot["s"] is not None:
+        wanted.append(("cold", "hot", ~of_user & of_item, rows, 1, 1))
+    parts, cell, first = [], F.lit(None).cast("long"), 0
+    for users, items, mine, r, c, cells in wanted:
+        own = marked.where(mine)
+        n = n_pairs if len(wanted) == 1 else own.count()
+        if users == "hot":  # few users, many items: cut along the items
+            c = max(c, math.ceil(2 * n / cell_pairs))
+        elif items == "hot":
+            r = max(r, math.ceil(2 * n / cell_pairs))
+        part = GridPart(first, *_refined(own, n, r, c, cell_pairs, cells), users, items)
+        cell = F.when(mine, part.cell(_block_of("u", part.rows), _block_of("s", part.cols))).otherwise(cell)
+        parts.append(part)
+        first += part.rows * part.cols
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_pairs / cell_pairs))
+    buckets = min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     path, name = scratch_path(spark, "pair-grid"), f"latentcf_grid_{uuid.uuid4().hex[:12]}"
-    (P.select(_cell(rows, cols), *P.columns).repartition(buckets, "cell").write.bucketBy(buckets, "cell").sortBy("cell")
+    (marked.select(cell.alias("cell"), *P.columns).repartition(buckets, "cell").write.bucketBy(buckets, "cell").sortBy("cell")
      .option("path", path).saveAsTable(name))
-    return PairGrid(spark.table(name), rows, cols, name, path)
+    return PairGrid(spark.table(name), parts, name, path, hot["u"], hot["s"], hot_path)
 
 
 def grid_aggregate(grid: PairGrid, users: DataFrame, items: DataFrame, names: list[list[str]], lls: list[str],
@@ -335,13 +430,10 @@ def grid_aggregate(grid: PairGrid, users: DataFrame, items: DataFrame, names: li
     row or column."""
     flat = [n for ns in names for n in ns]
     utype, stype = users.schema["u"].dataType, items.schema["s"].dataType
-    to_users = users.select(F.explode(F.sequence(F.lit(0), F.lit(grid.cols - 1))).alias("b"), grid.user_block().alias("x"),
-                            "u", F.lit(None).cast(stype).alias("s"), *[F.col(f"pu{n}").alias(f"p{n}") for n in flat])
-    to_items = items.select(F.explode(F.sequence(F.lit(0), F.lit(grid.rows - 1))).alias("b"), grid.item_block().alias("x"),
-                            F.lit(None).cast(utype).alias("u"), "s", *[F.col(f"ps{n}").alias(f"p{n}") for n in flat])
     p = [f"p{n}" for n in flat]
-    params = (to_users.select((F.col("x") * F.lit(grid.cols) + F.col("b")).alias("cell"), "u", "s", *p)
-              .unionByName(to_items.select((F.col("b") * F.lit(grid.cols) + F.col("x")).alias("cell"), "u", "s", *p)))
+    params = (grid.spread(users, "u").select("cell", "u", F.lit(None).cast(stype).alias("s"), *[F.col(f"pu{n}").alias(f"p{n}") for n in flat])
+              .unionByName(grid.spread(items, "s").select("cell", F.lit(None).cast(utype).alias("u"), "s",
+                                                          *[F.col(f"ps{n}").alias(f"p{n}") for n in flat])))
     sums = [f"m{n}" for n in flat] + lls + ["wsum"]
     schema = T.StructType([T.StructField("side", T.StringType()), T.StructField("u", utype), T.StructField("s", stype),
                            *[T.StructField(c, T.DoubleType()) for c in sums], T.StructField("n", T.LongType())])
@@ -577,7 +669,7 @@ def fit_many(
     weight_col: str | None = None,
     broadcast_bytes: int | None = None,
     prepared: bool = False,
-) -> dict[int, LatentClassModel]:
+) -> JointModels:
     """One EM fit per k, all advanced together: one scan and one aggregation per pass.
 
     Model j's columns ride side by side (``pu{j}_{z}``, ``ps{j}_{z}``,
@@ -649,7 +741,7 @@ def _many_responsibilities(P: DataFrame, U: DataFrame, S: DataFrame, ks: list[in
 
 
 def _fit_many(layout: PairLayout, ks: list[int], max_iter: int, seed: int, weight_col: str | None,
-              broadcast_bytes: int | None) -> dict[int, LatentClassModel]:
+              broadcast_bytes: int | None) -> JointModels:
     P = layout.df
     spark = P.sparkSession
     limit = broadcast_bytes if broadcast_bytes is not None else broadcast_limit(spark)
@@ -690,4 +782,4 @@ def _fit_many(layout: PairLayout, ks: list[int], max_iter: int, seed: int, weigh
             items=items.select("s", *[F.col(f"ps{j}_{z}").alias(f"ps{z}") for z in range(k)]),
             trace=trace, passes=len(lj), n_users=stats.n_users, n_items=stats.n_items, logliks=lj, seconds=list(seconds),
             user_key_bytes=stats.user_key_bytes, item_key_bytes=stats.item_key_bytes)
-    return out
+    return JointModels(out, users, items, stats.path)

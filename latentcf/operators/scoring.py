@@ -13,11 +13,17 @@ table passes through the driver. Blocks are sized from measured bytes and
 counts, so a task holds one bounded tile whatever the model's size. Inside a
 tile numpy uses the left-to-right multiply-add order of the SQL dot product, so
 values agree bit for bit.
+
+Several models fitted side by side (:class:`latentcf.model.JointModels`) share
+the tiles: their columns lie in the same rows, and every model is scored while
+the block is in memory. With a threshold, items and tiles that cannot reach it
+are left out before the shuffle (:func:`_reachable`).
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from typing import Callable, Iterator
 
 import numpy as np
@@ -26,8 +32,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latentcf.functions.numeric import dot, row_sum
-from latentcf.model import LatentClassModel
+from latentcf.functions.numeric import row_sum
+from latentcf.model import JointModels, LatentClassModel
 from latentcf.operators.em import broadcast_limit, maybe_broadcast, param_bytes
 
 # Cells (users x items) scored per numpy block inside a task: bounds task memory.
@@ -43,14 +49,52 @@ MOST_PARTITIONS = 50_000
 # ---------------------------------------------------------------- join path
 
 
-def score_pairs(model: LatentClassModel, pairs: DataFrame, broadcast_bytes: int | None = None) -> DataFrame:
-    """(u, s, score) for the given pairs whose u and s are in the model."""
-    spark = pairs.sparkSession
+@dataclass
+class Params:
+    """The tables of one model, or of several side by side, with their class columns by model."""
+
+    users: DataFrame
+    items: DataFrame
+    pu: list[list[str]]
+    ps: list[list[str]]
+    n_users: int
+    n_items: int
+    user_key_bytes: int = 0
+    item_key_bytes: int = 0
+
+    @property
+    def width(self) -> int:
+        return sum(map(len, self.pu))
+
+    @property
+    def spans(self) -> list[slice]:
+        """The columns of each model among all of them."""
+        ends = np.cumsum([0, *map(len, self.pu)]).tolist()
+        return [slice(a, b) for a, b in zip(ends, ends[1:])]
+
+
+def params_of(model: LatentClassModel | JointModels) -> Params:
+    if isinstance(model, JointModels):
+        pu, ps = model.columns("pu"), model.columns("ps")
+    else:
+        pu, ps = [[f"{side}{z}" for z in range(model.k)] for side in ("pu", "ps")]
+        pu, ps = [pu], [ps]
+    return Params(model.users, model.items, pu, ps, model.n_users, model.n_items, model.user_key_bytes, model.item_key_bytes)
+
+
+def _flat(names: list[list[str]]) -> list[str]:
+    return [c for cs in names for c in cs]
+
+
+def score_pairs(model: LatentClassModel | JointModels, pairs: DataFrame, broadcast_bytes: int | None = None) -> DataFrame:
+    """(u, s, score) for the given pairs whose u and s are in the model; score<j> of each of several models."""
+    spark, p = pairs.sparkSession, params_of(model)
     limit = broadcast_bytes if broadcast_bytes is not None else broadcast_limit(spark)
-    U = maybe_broadcast(model.users, model.n_users, model.k, limit, model.user_key_bytes)
-    S = maybe_broadcast(model.items, model.n_items, model.k, limit, model.item_key_bytes)
+    U = maybe_broadcast(p.users, p.n_users, p.width, limit, p.user_key_bytes)
+    S = maybe_broadcast(p.items, p.n_items, p.width, limit, p.item_key_bytes)
     j = pairs.select("u", "s").join(U, "u").join(S, "s")
-    return j.select("u", "s", dot("pu", "ps", model.k).alias("score"))
+    names = ["score"] if isinstance(model, LatentClassModel) else [f"score{i}" for i in range(len(p.pu))]
+    return j.select("u", "s", *[row_sum([F.col(a) * F.col(b) for a, b in zip(us, ss)]).alias(n) for us, ss, n in zip(p.pu, p.ps, names)])
 
 
 def predict(scores: DataFrame, threshold: float, inclusive: bool = True) -> DataFrame:
@@ -88,37 +132,139 @@ def _user_batches(it: Iterator[pd.DataFrame], n_items: int) -> Iterator[pd.DataF
             yield pdf.iloc[i: i + step]
 
 
-def _tile_shape(model: LatentClassModel, block_bytes: int | None) -> tuple[int, int]:
+def _tile_shape(p: Params, block_bytes: int | None) -> tuple[int, int]:
     """(user blocks, item blocks): blocks of at most ``block_bytes`` and tiles of at most TILE_CELLS on
     average, and a few tiles for each core. Never more blocks than rows."""
     limit = max(1, block_bytes if block_bytes is not None else TILE_BYTES)
-    n_users, n_items = max(1, model.n_users), max(1, model.n_items)
-    cores = max(1, int(model.users.sparkSession.sparkContext.defaultParallelism))
-    cols = min(n_items, math.ceil(param_bytes(n_items, model.k, model.item_key_bytes) / limit))
+    n_users, n_items = max(1, p.n_users), max(1, p.n_items)
+    cores = max(1, int(p.users.sparkSession.sparkContext.defaultParallelism))
+    cols = min(n_items, math.ceil(param_bytes(n_items, p.width, p.item_key_bytes) / limit))
     few = min(3 * cores, math.ceil(n_users * n_items / LEAST_CELLS))  # a few tiles a core, if there is work for them
-    rows = max(math.ceil(param_bytes(n_users, model.k, model.user_key_bytes) / limit),
+    rows = max(math.ceil(param_bytes(n_users, p.width, p.user_key_bytes) / limit),
                math.ceil(n_users * n_items / TILE_CELLS / cols), math.ceil(few / cols))
     return min(rows, n_users), cols
 
 
-def _tiles(model: LatentClassModel, reduce_: Callable, schema: T.StructType, seen: DataFrame | None = None,
-           block_bytes: int | None = None) -> DataFrame:
-    """``reduce_(users, ids, mat, seen)`` over every tile, as rows of ``schema``.
-
-    ``users`` is a pandas block (u, pu0 ..), ``ids`` the sorted item ids of the block and ``mat``
+@dataclass
+class _Plan:
+    """Which block each user and item belongs to, and which pairs of blocks are built."""
+
+    users: DataFrame  # x, u, class columns
+    items: DataFrame  # y, s, class columns
+    built: np.ndarray | None  # rows x cols; None: all
+    rows: int
+    cols: int
+
+    @property
+    def n_built(self) -> int:
+        return self.rows * self.cols if self.built is None else int(self.built.sum())
+
+    def partners(self, block: str, other: str, axis: int) -> DataFrame | None:
+        """(block, other: array) of the blocks with a tile, for the explode."""
+        if self.built is None:
+            return None
+        table = self.built if axis == 0 else self.built.T
+        rows = [(i, np.flatnonzero(r).tolist()) for i, r in enumerate(table) if r.any()]
+        return self.users.sparkSession.createDataFrame(rows, f"{block} int, {other} array<int>")
+
+
+def _by_hash(p: Params, rows: int, cols: int) -> _Plan:
+    x = F.pmod(F.xxhash64("u"), F.lit(rows)).cast("int").alias("x")
+    y = F.pmod(F.xxhash64("s", F.lit("item")), F.lit(cols)).cast("int").alias("y")
+    return _Plan(p.users.select(x, "u", *_flat(p.pu)), p.items.select(y, "s", *_flat(p.ps)), None, rows, cols)
+
+
+def _reachable(p: Params, rows: int, cols: int, threshold: float) -> _Plan:
+    """Only what can reach ``threshold`` > 0, known before anything is shuffled.
+
+    An item whose highest p(s|z) cannot reach it with any user is left out. The others, and the
+    users, are blocked by their dominant class (and, where there are many blocks, its strength);
+    the highest value of every class in a block is a small index (blocks x classes numbers), and
+    the tile of two blocks is built only if the product of their maxima reaches the threshold in
+    some model. All of it bounds the score from above, with BOUND_MARGIN for rounding."""
+    margin = 1.0 + BOUND_MARGIN
+    sums = p.users.agg(*[F.max(row_sum([F.col(c) for c in cs])).alias(f"t{j}") for j, cs in enumerate(p.pu)]).first()
+    can = F.lit(False)
+    for j, cs in enumerate(p.ps):
+        can = can | (_greatest(cs) * F.lit(float(sums[f"t{j}"] or 0.0) * margin) >= F.lit(threshold))
+    items = p.items.where(can)
+    widest = max(range(len(p.pu)), key=lambda j: len(p.pu[j]))
+    users, n_rows, u_max = _blocked(p.users, "u", "x", p.pu, widest, rows)
+    items, n_cols, s_max = _blocked(items, "s", "y", p.ps, widest, cols)
+    built = np.zeros((n_rows, n_cols), dtype=bool)
+    for span in p.spans:
+        step = max(1, BLOCK_CELLS // max(1, n_cols))
+        for lo in range(0, n_rows, step):
+            built[lo : lo + step] |= u_max[lo : lo + step, span] @ s_max[:, span].T * margin >= threshold
+    return _Plan(users, items, built, n_rows, n_cols)
+
+
+def _greatest(cols: list[str]):
+    return F.greatest(*cols) if len(cols) > 1 else F.col(cols[0])
+
+
+# Levels of strength a class is cut into where it has several blocks.
+LEVELS = 6
+
+
+def _blocked(df: DataFrame, key: str, block: str, names: list[list[str]], widest: int, blocks: int):
+    """(``df`` with its block, number of blocks, highest value of every column by block): groups by
+    dominant class of one model and, with several blocks a class, by powers of four of its strength;
+    a large group is cut into several blocks by hash."""
+    cols = names[widest]
+    top = _greatest(cols)
+    group = F.coalesce(*[F.when(F.col(c) == top, F.lit(z)) for z, c in enumerate(cols)], F.lit(0))
+    levels = LEVELS if blocks > 2 * len(cols) else 1
+    if levels > 1:
+        best = df.agg(F.max(top)).first()[0] or 1.0
+        down = F.floor(F.log(F.lit(float(best)) / F.greatest(top, F.lit(1e-300))) / math.log(4.0))
+        group = group * levels + F.least(F.greatest(down, F.lit(0)), F.lit(levels - 1))
+    df = df.withColumn("_g", group.cast("int"))
+    counts = {r["_g"]: r["count"] for r in df.groupBy("_g").count().collect()}  # classes x levels rows
+    total, n_groups = sum(counts.values()), len(cols) * levels
+    cut = [math.ceil(counts.get(g, 0) * blocks / total) if total else 0 for g in range(n_groups)]
+    first = np.concatenate([[0], np.cumsum(cut)]).astype(int).tolist()
+    at = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("_g") + 1)
+    number = at(first[:-1]) + F.pmod(F.xxhash64(key, F.lit(block)), at([max(1, c) for c in cut]))
+    df = df.select(number.cast("int").alias(block), key, *_flat(names))
+    most = np.zeros((first[-1], len(_flat(names))))
+    for r in df.groupBy(block).agg(*[F.max(c).alias(c) for c in _flat(names)]).collect():  # the index: one row a block
+        most[r[block]] = [r[c] for c in _flat(names)]
+    return df, first[-1], most
+
+
+def _tiles(model: LatentClassModel | JointModels, reduce_: Callable, schema: T.StructType, seen: DataFrame | None = None,
+           block_bytes: int | None = None, threshold: float | None = None) -> DataFrame:
+    """``reduce_(users, ids, mat, seen)`` over every tile (with a ``threshold``: every tile that can
+    reach it), as rows of ``schema``.
+
+    ``users`` is a pandas block (u, class columns), ``ids`` the sorted item ids of the block and ``mat``
     their p(s|z), ``seen`` the pairs (u, s) among them: each seen pair goes to its one tile."""
-    rows, cols = _tile_shape(model, block_bytes)
-    utype, stype = model.users.schema["u"].dataType, model.items.schema["s"].dataType
-    pu, ps = [f"pu{z}" for z in range(model.k)], [f"ps{z}" for z in range(model.k)]
-    of_user, of_item = F.pmod(F.xxhash64("u"), F.lit(rows)), F.pmod(F.xxhash64("s", F.lit("item")), F.lit(cols))
-    left = model.users.select(of_user.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).alias("y"),
-                              "u", F.lit(None).cast(stype).alias("s"), *pu)
-    if seen is not None:
-        left = left.unionByName(seen.select(of_user.alias("x"), of_item.cast("int").alias("y"), F.col("u").cast(utype).alias("u"),
-                                            F.col("s").cast(stype).alias("s"), *[F.lit(None).cast("double").alias(c) for c in pu]))
-    right = model.items.select(F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("x"), of_item.alias("y"), "s", *ps)
-    parts = min(rows * cols, MOST_PARTITIONS)
-    tile = (F.col("x") * F.lit(cols) + F.col("y")).cast("long").alias("tile")
+    p = params_of(model)
+    shape = _tile_shape(p, block_bytes)
+    plan = _reachable(p, *shape, threshold) if threshold is not None and threshold > 0 else _by_hash(p, *shape)
+    return _run_tiles(p, plan, reduce_, schema, seen)
+
+
+def _run_tiles(p: Params, plan: _Plan, reduce_: Callable, schema: T.StructType, seen: DataFrame | None = None) -> DataFrame:
+    utype, stype = p.users.schema["u"].dataType, p.items.schema["s"].dataType
+    pu, ps, rows, cols = _flat(p.pu), _flat(p.ps), plan.rows, plan.cols
+
+    def spread(df: DataFrame, block: str, other: str, n: int, axis: int) -> DataFrame:
+        partners = plan.partners(block, "_others", axis)
+        if partners is None:
+            return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        return df.join(partners, block).withColumn(other, F.explode("_others")).drop("_others")
+
+    left = spread(plan.users, "x", "y", cols, 0).select("x", "y", "u", F.lit(None).cast(stype).alias("s"), *pu)
+    if seen is not None:  # only with blocks by hash
+        of_user, of_item = F.pmod(F.xxhash64("u"), F.lit(rows)), F.pmod(F.xxhash64("s", F.lit("item")), F.lit(cols))
+        left = left.unionByName(seen.select(of_user.cast("int").alias("x"), of_item.cast("int").alias("y"),
+                                            F.col("u").cast(utype).alias("u"), F.col("s").cast(stype).alias("s"),
+                                            *[F.lit(None).cast("double").alias(c) for c in pu]))
+    right = spread(plan.items, "y", "x", rows, 1)
+    parts = max(1, min(plan.n_built, MOST_PARTITIONS))
+    tile = (F.col("x").cast("long") * F.lit(cols) + F.col("y")).alias("tile")
 
     def run(own: pd.DataFrame, items: pd.DataFrame) -> pd.DataFrame:
         is_user = own["s"].isna().to_numpy()
@@ -171,7 +317,7 @@ def predicted_pairs(model: LatentClassModel, threshold: float, inclusive: bool =
                 r, c = np.nonzero((sc >= t) if inclusive else (sc > t))
                 yield pd.DataFrame({"u": pdf["u"].to_numpy()[r], "s": ids[cand[c]], "score": sc[r, c]})
 
-    out = _tiles(model, reduce_, schema, block_bytes=broadcast_bytes)
+    out = _tiles(model, reduce_, schema, block_bytes=broadcast_bytes, threshold=t)
     return exclude_seen(out, seen) if seen is not None else out
 
 
@@ -185,35 +331,49 @@ def user_summary(model: LatentClassModel, broadcast_bytes: int | None = None) ->
                                               total.alias("score_sum"), "score_max")
 
 
-def positive_counts(model: LatentClassModel, thresholds: list[float], inclusive: bool = True,
+def positive_counts(model: LatentClassModel | JointModels, thresholds: list[float], inclusive: bool = True,
                     per_user: bool = False, broadcast_bytes: int | None = None) -> DataFrame:
     """Number of all (u, s) pairs predicted positive at each threshold.
 
     Output (threshold, n_pos) — or (u, threshold, n_pos) with ``per_user``; n_pos of all users is a
-    decimal (it may pass 2^63). Items that cannot reach the smallest threshold are not scored
-    (:class:`_Reach`). Partial counts per tile are summed by one small aggregation."""
-    ths = [float(t) for t in thresholds]
-    fields = [T.StructField("u", model.users.schema["u"].dataType)] if per_user else []
+    decimal (it may pass 2^63). Of several models (k, threshold, n_pos), from one set of tiles. Items
+    and tiles that cannot reach the smallest threshold are not shuffled (:func:`_reachable`), items
+    of a tile that cannot are not scored (:class:`_Reach`). Partial counts per tile are summed by one
+    small aggregation."""
+    ths, p, joint = [float(t) for t in thresholds], params_of(model), isinstance(model, JointModels)
+    ks, pus, spans = [len(c) for c in p.pu], p.pu, p.spans
+    fields = [T.StructField("u", p.users.schema["u"].dataType)] if per_user else []
+    fields += [T.StructField("k", T.IntegerType())]
     schema = T.StructType([*fields, T.StructField("threshold", T.DoubleType()), T.StructField("n_pos", T.LongType())])
-    pu = [f"pu{z}" for z in range(model.k)]
 
     def reduce_(users, ids, mat, _):
-        reach = _Reach(mat)
-        for pdf in _user_batches([users], len(ids)):
-            a = pdf[pu].to_numpy(np.float64)
-            cand = reach.candidates(a, min(ths))
-            sc = block_scores(a, mat[cand]) if len(cand) else np.zeros((len(pdf), 0))
-            for t in ths:
-                hit = (sc >= t) if inclusive else (sc > t)
-                if per_user:
-                    yield pd.DataFrame({"u": pdf["u"].to_numpy(), "threshold": t, "n_pos": hit.sum(axis=1).astype(np.int64)})
-                else:
-                    yield pd.DataFrame({"threshold": [t], "n_pos": [np.int64(hit.sum())]})
-
-    found = _tiles(model, reduce_, schema, block_bytes=broadcast_bytes)
+        for k, pu, span in zip(ks, pus, spans):
+            own = np.ascontiguousarray(mat[:, span])
+            reach = _Reach(own)
+            total = np.zeros(len(ths), dtype=np.int64)
+            for pdf in _user_batches([users], len(ids)):
+                a = pdf[pu].to_numpy(np.float64)
+                cand = reach.candidates(a, min(ths))
+                sc = block_scores(a, own[cand]) if len(cand) else np.zeros((len(pdf), 0))
+                for i, t in enumerate(ths):
+                    hit = (sc >= t) if inclusive else (sc > t)
+                    if per_user:
+                        yield pd.DataFrame({"u": pdf["u"].to_numpy(), "k": np.int32(k), "threshold": t,
+                                            "n_pos": hit.sum(axis=1).astype(np.int64)})
+                    else:
+                        total[i] += int(hit.sum())
+            if not per_user:
+                yield pd.DataFrame({"k": np.full(len(ths), k, np.int32), "threshold": ths, "n_pos": total})
+
+    found = _tiles(model, reduce_, schema, block_bytes=broadcast_bytes, threshold=min(ths))
+    # users and thresholds without any tile count 0
+    none = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("threshold")) for k in ks for t in ths])).alias("c")
+    base = p.users.select("u", none) if per_user else p.users.sparkSession.range(1).select(none)
+    found = found.unionByName(base.select(*(["u"] if per_user else []), "c.k", "c.threshold", F.lit(0).cast("long").alias("n_pos")))
+    keys = (["u"] if per_user else []) + (["k"] if joint else []) + ["threshold"]
     if per_user:
-        return found.groupBy("u", "threshold").agg(F.sum("n_pos").cast("bigint").alias("n_pos"))
-    return found.groupBy("threshold").agg(F.sum(F.col("n_pos").cast(COUNT)).cast(COUNT).alias("n_pos"))
+        return found.groupBy(*keys).agg(F.sum("n_pos").cast("bigint").alias("n_pos"))
+    return found.groupBy(*keys).agg(F.sum(F.col("n_pos").cast(COUNT)).cast(COUNT).alias("n_pos"))
 
 
 def _top_rows(masked: np.ndarray, n: int):
@@ -330,22 +490,28 @@ def recommend(model: LatentClassModel, n: int = 5, seen: DataFrame | None = None
             yield pd.DataFrame({"u": pdf["u"].to_numpy()[r], "rank": rank.astype(np.int32), "s": ids[c], "score": v})
 
     found = _tiles(model, reduce_, schema, seen, broadcast_bytes)
-    if _tile_shape(model, broadcast_bytes)[1] == 1:
+    if _tile_shape(params_of(model), broadcast_bytes)[1] == 1:
         return found
     w = Window.partitionBy("u").orderBy(F.desc("score"), F.asc("s"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def _positive_table(pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted positive scores as (unique values, multiplicities, #below each value).
+def _positive_table(pos: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positive scores (with ``n``: each value once and how often it stands) as (unique values in
+    order, multiplicities, #below each value).
 
     Plain arrays, so the broadcast needs nothing but numpy on the executors."""
-    uniq, counts = np.unique(np.asarray(pos, dtype=np.float64), return_counts=True)
+    pos = np.asarray(pos, dtype=np.float64)
+    if n is None:
+        uniq, counts = np.unique(pos, return_counts=True)
+    else:
+        order = np.argsort(pos, kind="stable")
+        uniq, counts = pos[order], np.asarray(n)[order].astype(np.int64)
     return uniq, counts, np.concatenate([[0], np.cumsum(counts)])
 
 
-def _pos_sums(table, x: np.ndarray) -> tuple[int, int]:
-    """(sum over x of #(pos > x), sum over x of #(pos == x)).
+def _pos_sums(table, x: np.ndarray, times: np.ndarray | None = None) -> tuple[int, int]:
+    """(sum over x of #(pos > x), sum over x of #(pos == x)); ``times``: how often each x stands.
 
     For a block larger than the positive table, sort the block and search the
     positive values into it (n log n once, instead of a binary search per
@@ -354,51 +520,15 @@ def _pos_sums(table, x: np.ndarray) -> tuple[int, int]:
     total = int(below[-1])
     if len(x) == 0 or total == 0:
         return 0, 0
-    if len(x) > 4 * len(uniq):
+    if times is None and len(x) > 4 * len(uniq):
         xs = np.sort(x, kind="quicksort")
         lo = np.searchsorted(xs, uniq, side="left")
         hi = np.searchsorted(xs, uniq, side="right")
         gt = int((counts * lo).sum())  # each positive v beats the lo block values below it
         eq = int((counts * (hi - lo)).sum())
         return gt, eq
+    weight = 1 if times is None else times
     i = np.searchsorted(uniq, x, side="left")
     j = np.minimum(i, len(uniq) - 1)
-    eq = int(np.where(uniq[j] == x, counts[j], 0).sum())
-    gt = total * len(x) - int(below[i].sum()) - eq
-    return int(gt), eq
-
-
-_RANK_SCHEMA = T.StructType([T.StructField("gt", T.LongType()), T.StructField("eq", T.LongType())])
-
-
-def _rank_total(parts: DataFrame, shipped) -> tuple[int, int]:
-    """Adds up (gt, eq) as decimals (the sums pass 2^63 at about 1e19 user x item x positive
-    triples) and gives the shipped positives free."""
-    r = parts.agg(*[F.sum(F.col(c).cast(COUNT)).alias(c) for c in ("gt", "eq")]).first()
-    shipped.destroy()
-    return int(r["gt"] or 0), int(r["eq"] or 0)
-
-
-def rank_sums(model: LatentClassModel, positives_sorted: np.ndarray, broadcast_bytes: int | None = None) -> tuple[int, int]:
-    """Over all (u, s) pairs x: sum #(pos > x) and sum #(pos == x)."""
-    shipped = model.users.sparkSession.sparkContext.broadcast(_positive_table(positives_sorted))
-    pu = [f"pu{z}" for z in range(model.k)]
-
-    def reduce_(users, ids, mat, _):
-        for pdf in _user_batches([users], len(ids)):
-            gt, eq = _pos_sums(shipped.value, block_scores(pdf[pu].to_numpy(np.float64), mat).ravel())
-            yield pd.DataFrame({"gt": [np.int64(gt)], "eq": [np.int64(eq)]})
-
-    return _rank_total(_tiles(model, reduce_, _RANK_SCHEMA, block_bytes=broadcast_bytes), shipped)
-
-
-def rank_sums_of(scores: DataFrame, positives_sorted: np.ndarray) -> tuple[int, int]:
-    """Same sums as :func:`rank_sums` for the scores of a given pair set."""
-    shipped = scores.sparkSession.sparkContext.broadcast(_positive_table(positives_sorted))
-
-    def fn(it):
-        for pdf in it:
-            gt, eq = _pos_sums(shipped.value, pdf["score"].to_numpy(dtype=np.float64))
-            yield pd.DataFrame({"gt": [np.int64(gt)], "eq": [np.int64(eq)]})
-
-    return _rank_total(scores.select("score").mapInPandas(fn, _RANK_SCHEMA), shipped)
+    equal = np.where(uniq[j] == x, counts[j], 0)
+    return int(((total - below[i] - equal) * weight).sum()), int((equal * weight).sum())

@@ -111,6 +111,61 @@ def test_grid_with_hot_user_equals_broadcast(spark):
     assert cells <= 300 and hot_cells > 1
 
 
+def even_and_hot(spark, hot_pairs):
+    """30,000 even pairs, and one user and one item with ``hot_pairs`` more each."""
+    even = spark.range(30_000).select((F.col("id") % 1000).alias("u"), (F.pmod(F.xxhash64("id"), F.lit(2000)) + 5000).alias("s"))
+    user = spark.range(hot_pairs).select(F.lit(7).cast("long").alias("u"), (F.col("id") + 5000).alias("s"))
+    item = spark.range(hot_pairs).select(F.col("id").alias("u"), F.lit(5001).cast("long").alias("s"))
+    return em.prepare_pairs(even.union(user).union(item))
+
+
+def test_hot_user_and_item_do_not_widen_the_grid(spark):
+    grids = {}
+    for hot in (0, 6000):
+        pairs = even_and_hot(spark, hot)
+        grids[hot] = g = em.grid_pairs(pairs, pairs.count(), 1, 1, cell_pairs=1000)
+        assert g.df.groupBy("cell").count().agg(F.max("count")).first()[0] <= 1000
+        assert sorted(map(tuple, g.df.select("u", "s").collect())) == sorted(map(tuple, pairs.collect()))
+        g.drop()
+    even, skewed = grids[0], grids[6000]
+    assert even.hot_users is None and {p.users for p in skewed.parts} == {"cold", "hot"} and len(skewed.parts) == 3
+    assert (skewed.parts[0].rows, skewed.parts[0].cols) == (even.parts[0].rows, even.parts[0].cols)
+    # a cold user goes to its row of the common grid and once more to the hot items' cells
+    assert skewed.copies("u", hot=False) == even.copies("u", hot=False) + 1
+    assert skewed.copies("s", hot=False) == even.copies("s", hot=False) + 1
+    assert skewed.copies("u", hot=True) >= 6
+
+
+def test_hot_parts_fit_like_the_broadcast_path(spark, monkeypatch):
+    pairs = even_and_hot(spark, 4000)
+    spark.conf.set("spark.latentcf.cellPairs", "1000")
+    try:
+        a = em.fit(pairs, k=3, max_iter=3, seed=3, prepared=True)
+        b = em.fit(pairs, k=3, max_iter=3, seed=3, prepared=True, broadcast_bytes=0)
+    finally:
+        spark.conf.unset("spark.latentcf.cellPairs")
+    assert b.logliks == pytest.approx(a.logliks, abs=1e-12)
+    for side, key in (("users", "u"), ("items", "s")):
+        left, right = (getattr(m, side).orderBy(key).toPandas().to_numpy() for m in (a, b))
+        assert left.shape == right.shape and abs(left - right).max() < 1e-12
+
+
+def test_more_cells_than_buckets(spark):
+    pairs = even_and_hot(spark, 0)
+    a = em.fit(pairs, k=2, max_iter=2, seed=3, prepared=True)
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "9")
+    try:
+        grid = em.grid_pairs(pairs, pairs.count(), 1, 1, cell_pairs=500)
+        assert grid.cells > 9 and grid.df.groupBy("cell").count().agg(F.max("count")).first()[0] <= 500
+        grid.drop()
+        spark.conf.set("spark.latentcf.cellPairs", "500")
+        b = em.fit(pairs, k=2, max_iter=2, seed=3, prepared=True, broadcast_bytes=0)
+    finally:
+        spark.conf.unset("spark.latentcf.cellPairs")
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    assert b.logliks == pytest.approx(a.logliks, abs=1e-12)
+
+
 def test_k1_and_tol_and_weights(spark, sf_pairs):
     m1 = em.fit(sf_pairs, k=1, max_iter=3, prepared=True)
     # k=1: q = 1 after the first E-step, so from pass 2 on p(s|u) is the item's popularity share

@@ -266,15 +266,11 @@ def test_train_pairs_in_test_and_copies_do_not_count(spark, fitted):
 
 
 def test_rank_sums_beyond_63_bits(spark):
-    from latentcf.operators.scoring import _rank_total
-
-    class Shipped:
-        def destroy(self):
-            pass
+    from latentcf.operators.ranks import _total
 
     big = (1 << 62) + 1
-    parts = spark.createDataFrame([(big, 1)] * 5, "gt long, eq long")
-    assert _rank_total(parts, Shipped()) == (5 * big, 5)
+    parts = spark.createDataFrame([(1, big, 1)] * 5 + [(-1, big, 0)], "sign int, gt long, eq long")
+    assert _total(parts) == (4 * big, 5)
 
 
 def test_counts_beyond_63_bits(spark):
@@ -288,7 +284,106 @@ def test_counts_beyond_63_bits(spark):
 def test_no_table_passes_through_the_driver():
     import inspect
 
-    from latentcf.operators import em, topics
+    from latentcf.operators import em, ranks, topics
 
-    for module in (scoring, em, topics):
+    for module in (scoring, evaluation, ranks, em, topics):
         assert "toPandas" not in inspect.getsource(module)
+    assert "collect()" not in inspect.getsource(evaluation)
+
+
+def tied_model(spark, n_users=40, n_items=60, k=3, digits=2, seed=5):
+    """A model of few different parameter values, so that many scores are equal."""
+    from latentcf.model import LatentClassModel
+
+    rng = np.random.default_rng(seed)
+    a, b = (np.round(rng.random((n, k)), digits) for n in (n_users, n_items))
+    users = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(a)], "u long, " + ", ".join(f"pu{z} double" for z in range(k)))
+    items = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(b)], "s long, " + ", ".join(f"ps{z} double" for z in range(k)))
+    return LatentClassModel(k=k, users=users, items=items, trace=None, passes=0, n_users=n_users, n_items=n_items), scoring.block_scores(a, b)
+
+
+def brute_auc(full, train, test):
+    truth, seen = set(test) - set(train), set(train)
+    pos = np.array([full[p] for p in sorted(truth)])
+    neg = np.array([full[i, j] for i in range(full.shape[0]) for j in range(full.shape[1]) if (i, j) not in truth and (i, j) not in seen])
+    return sum((pos > x).sum() + 0.5 * (pos == x).sum() for x in neg) / (len(pos) * len(neg))
+
+
+@pytest.mark.parametrize("digits, ship", [(1, 1), (1, 24 * 4), (2, 24 * 7), (2, 1 << 20)])
+def test_auc_by_ranges_with_ties_equals_brute_force(spark, digits, ship, monkeypatch):
+    from latentcf.operators import ranks
+
+    monkeypatch.setattr(ranks, "GROUP", 100)
+    monkeypatch.setattr(ranks, "ROW", 7)
+    monkeypatch.setattr(scoring, "LEAST_CELLS", 300)  # several tiles
+    m, full = tied_model(spark, digits=digits)
+    rng = np.random.default_rng(1)
+    every = [(int(i), int(j)) for i in range(40) for j in range(60)]
+    picked = [every[i] for i in rng.permutation(len(every))[:500]]
+    train, test = picked[:300], picked[250:]
+    got = evaluation.auc(m, pairs_df(spark, train), pairs_df(spark, test), ship_bytes=ship).first()
+    assert got.auc == pytest.approx(brute_auc(full, train, test), abs=1e-15) and got.n_pos == 200
+
+
+def test_auc_scores_all_pairs_once_however_many_ranges(spark, monkeypatch):
+    from latentcf.operators import ranks
+
+    m, _ = tied_model(spark)
+    test = pairs_df(spark, [(i, j) for i in range(40) for j in range(0, 60, 4)])
+    runs, tiles = [], ranks._tiles
+    monkeypatch.setattr(ranks, "_tiles", lambda *a, **b: runs.append(1) or tiles(*a, **b))
+    for ship, least in ((1 << 20, 1), (24 * 5, 20)):
+        runs.clear()
+        _, path, cut = ranks.score_ranges(scoring.score_pairs(m, test).groupBy("score").agg(F.count("*").alias("n")), ship // 24)
+        assert len(cut) >= least and all(r["values"] <= ship // 24 for r in cut)
+        assert all(a["high"] < b["low"] for a, b in zip(cut, cut[1:]))
+        evaluation.auc(m, pairs_df(spark, [(0, 1)]), test, ship_bytes=ship).collect()
+        assert len(runs) == 1
+
+
+def joint_of(spark, pairs, ks=(2, 3, 5), passes=2):
+    return em.fit_many(pairs, list(ks), max_iter=passes, seed=42, prepared=True)
+
+
+@pytest.mark.parametrize("small", [None, 4000])
+def test_several_models_in_one_set_of_tiles(spark, fitted, small):
+    _, train, test, *_ = fitted
+    models = joint_of(spark, train)
+    ths = [5e-3, 1e-3]
+    got = evaluation.confusion(models, train, test, ths, broadcast_bytes=small).collect()
+    alone = [(k, *r) for k in models for r in evaluation.confusion(models[k], train, test, ths).collect()]
+    assert [tuple(r) for r in got] == alone
+    plan = evaluation.confusion(models, train, test, ths)._jdf.queryExecution().toString()
+    assert len(set(__import__("re").findall(r"FlatMapCoGroupsInPandas", plan.split("== Physical Plan ==")[1]))) == 1
+
+
+def test_tiles_that_cannot_reach_the_threshold_are_not_built(spark, monkeypatch):
+    """Users and items of separate classes: a tile of different classes cannot reach the threshold."""
+    from latentcf.model import LatentClassModel
+
+    rng = np.random.default_rng(4)
+    n, k = 240, 4
+    a = np.full((n, k), 0.01)
+    a[np.arange(n), np.arange(n) % k] = 0.97
+    b = 1e-6 * rng.random((n, k))
+    b[np.arange(n), np.arange(n) % k] = np.where(np.arange(n) % 7 == 0, 0.02, 2e-3) * (0.5 + rng.random(n) / 2)
+    b[::5] *= 1e-3  # items that reach it with no user
+    users = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(a)], "u long, " + ", ".join(f"pu{z} double" for z in range(k)))
+    items = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(b)], "s long, " + ", ".join(f"ps{z} double" for z in range(k)))
+    m = LatentClassModel(k=k, users=users, items=items, trace=None, passes=0, n_users=n, n_items=n)
+    p, full = scoring.params_of(m), scoring.block_scores(a, b)
+    monkeypatch.setattr(scoring, "LEAST_CELLS", 500)
+    small = 80 * 20  # bytes of a block: some 20 rows
+    shape = scoring._tile_shape(p, small)
+    plan = scoring._reachable(p, *shape, 1e-3)
+    assert plan.n_built < 0.5 * plan.rows * plan.cols
+    assert plan.items.count() < 0.85 * n
+    for t in (1e-3, 5e-3, 1e-9):
+        got = {(r.u, r.s): r.score for r in scoring.predicted_pairs(m, t, broadcast_bytes=small).collect()}
+        assert got == {(int(i), int(j)): full[i, j] for i, j in zip(*np.nonzero(full >= t))}
+        assert int(scoring.positive_counts(m, [t], broadcast_bytes=small).first().n_pos) == int((full >= t).sum())
+    none = scoring.positive_counts(m, [0.9, 0.95], broadcast_bytes=small).collect()
+    assert sorted((r.threshold, int(r.n_pos)) for r in none) == [(0.9, 0), (0.95, 0)]
+    each = scoring.positive_counts(m, [1e-3, 0.9], per_user=True, broadcast_bytes=small).collect()
+    assert {(r.u, r.threshold): r.n_pos for r in each} == {
+        (u, t): int((full[u] >= t).sum()) for u in range(n) for t in (1e-3, 0.9)}
