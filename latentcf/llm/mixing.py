@@ -253,7 +253,7 @@ class Mix:
         drawn = slots(self.sources, self.block, self.shard_blocks, self.seed)
         met = _pieces(self.placed, self.block).join(drawn, ["_no", "_index"])
         met = met.withColumn("words", F.least("_high", "_kept") - F.col("_low")).where("words > 0")
-        text = [F.regexp_replace(F.rtrim(_first_words(F.col("_run"), F.col("words"))), r"[\x20\x09-\x0D]+", " ").alias("text")]
+        text = [F.rtrim(F.regexp_replace(_first_words(F.col("_run"), F.col("words")), r"[\x20\x09-\x0D]+", " ")).alias("text")]
         return met.select("_no", "_start", F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.col("_low").alias("at"),
                           F.greatest(F.lit(0), F.col("_index") * self.block - F.col("_start")).alias("first"), "words",
                           *(text if "_run" in met.columns else []))

@@ -99,10 +99,10 @@ def odd(spark, seed=1):
     return docs.withColumn("source", pick)
 
 
-@pytest.mark.parametrize("block, shard", [(256, 4096), (16, 8), (1, 50)])
+@pytest.mark.parametrize("block, shard", [(256, 4096), (16, 8), (3, 5000)])
 def test_odd_rows_against_brute_force(spark, block, shard, monkeypatch):
-    monkeypatch.setattr(mixing, "RUN", 16)
-    monkeypatch.setattr(mixing, "TASK", 64)
+    monkeypatch.setattr(mixing, "RUN", 100)
+    monkeypatch.setattr(mixing, "TASK", 30_000)
     docs = odd(spark)
     mix = mixing.Mix(docs, texts=True, block=block, shard_blocks=shard)
     expected, blocks = slow(rows_of(docs), block)
