@@ -75,9 +75,9 @@ class JointModels(dict):
     """Models fitted side by side, by k; the tables behind them have the columns of all
     (pu<j>_<z>, ps<j>_<z> for the j-th k), so that work over all of them reads each row once."""
 
-    def __init__(self, models: dict[int, LatentClassModel], users: DataFrame, items: DataFrame, state_path: str | None = None):
+    def __init__(self, models: dict[int, LatentClassModel], users: DataFrame, items: DataFrame, state_paths: list[str] | None = None):
         super().__init__(models)
-        self.users, self.items, self.state_path = users, items, state_path
+        self.users, self.items, self.state_paths = users, items, state_paths or []
         one = next(iter(models.values()))
         self.n_users, self.n_items = one.n_users, one.n_items
         self.user_key_bytes, self.item_key_bytes = one.user_key_bytes, one.item_key_bytes
@@ -90,8 +90,9 @@ class JointModels(dict):
         return [[f"{side}{j}_{z}" for z in range(k)] for j, k in enumerate(self)]
 
     def release(self) -> None:
-        """Remove the written state behind all models."""
+        """Remove the written states behind all models."""
         from latentcf.session import remove_path
 
-        remove_path(self.users.sparkSession, self.state_path)
-        self.state_path = None
+        for path in set(self.state_paths):
+            remove_path(self.users.sparkSession, path)
+        self.state_paths = []

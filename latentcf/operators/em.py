@@ -48,7 +48,7 @@ from pyspark.sql import types as T
 from latentcf.functions.hashing import keyed_unit_open
 from latentcf.functions.numeric import EVIDENCE_FLOOR, row_sum
 from latentcf.model import JointModels, LatentClassModel
-from latentcf.session import remove_path, scratch_path
+from latentcf.session import note_table, remove_path, scratch_path
 
 # Bytes per parameter row estimate: k doubles + row overhead (the keys are measured).
 ROW_OVERHEAD_BYTES = 48
@@ -418,6 +418,7 @@ def grid_pairs(P: DataFrame, n_pairs: int, user_bytes: int, item_bytes: int, cel
     path, name = scratch_path(spark, "pair-grid"), f"latentcf_grid_{uuid.uuid4().hex[:12]}"
     (marked.select(cell.alias("cell"), *P.columns).repartition(buckets, "cell").write.bucketBy(buckets, "cell").sortBy("cell")
      .option("path", path).saveAsTable(name))
+    note_table(name)
     return PairGrid(spark.table(name), parts, name, path, hot["u"], hot["s"], hot_path)
 
 
@@ -518,11 +519,14 @@ def _grid_of(layout: PairLayout, user_bytes: int, item_bytes: int, limit: int) -
     return layout.grid
 
 
-def _manifest(layout: PairLayout, k: int, seed: int, weight_col: str | None, alpha: float, eta: float) -> str:
-    """What a run directory was started with, the pair table included (an order-free hash)."""
+def _manifest(layout: PairLayout, k: int | list[int], seed: int, weight_col: str | None, alpha: float, eta: float,
+              tol: float | None = None) -> str:
+    """What a run directory was started with, the pair table included (an order-free hash). The tolerance
+    is part of it only where models leave a joint state by it."""
     digest = layout.df.agg(F.sum(F.xxhash64(*layout.df.columns).cast("decimal(38,0)")).alias("h")).first()["h"]
     return json.dumps({"version": RUN_VERSION, "k": k, "seed": seed, "weight_col": weight_col, "alpha": alpha, "eta": eta,
-                       "n_pairs": layout.n_pairs, "pairs": str(digest)}, sort_keys=True)
+                       "n_pairs": layout.n_pairs, "pairs": str(digest), **({"tol": tol} if isinstance(k, list) else {})},
+                      sort_keys=True)
 
 
 def _check_manifest(spark: SparkSession, run: str, wanted: str) -> None:
@@ -669,6 +673,8 @@ def fit_many(
     weight_col: str | None = None,
     broadcast_bytes: int | None = None,
     prepared: bool = False,
+    tol: float | None = None,
+    run_dir: str | None = None,
 ) -> JointModels:
     """One EM fit per k, all advanced together: one scan and one aggregation per pass.
 
@@ -676,6 +682,11 @@ def fit_many(
     ``q{j}_{z}``); every model gets exactly the result of :func:`fit` with the
     same arguments (same keyed draws, same arithmetic). A k sweep of eight
     values over 30 passes reads the pair table 30 times instead of 240.
+
+    With ``tol`` each model stops on its own: it leaves the joint state after its
+    last pass, and the others go on without its columns. With ``run_dir`` the
+    joint state of each pass stays there, and a fit started again resumes after
+    the last committed pass, as in :func:`fit`.
     """
     ks = sorted({int(k) for k in ks})
     if not ks or ks[0] < 1 or max_iter < 1:
@@ -685,101 +696,194 @@ def fit_many(
     try:
         if layout.n_pairs == 0:
             raise ValueError("no (u, s) pairs to fit")
-        return _fit_many(layout, ks, max_iter, seed, weight_col, broadcast_bytes)
+        return _fit_many(layout, ks, max_iter, seed, weight_col, broadcast_bytes, tol, run_dir)
     finally:
         if own_layout:
             layout.drop()
 
 
-def _qcols(ks: list[int]) -> list[tuple[int, int, str]]:
-    return [(j, z, f"{j}_{z}") for j, k in enumerate(ks) for z in range(k)]
+@dataclass
+class _Member:
+    """A model of a joint fit: its place ``j`` names its columns for as long as it takes part."""
+
+    j: int
+    k: int
 
+    def cols(self, prefix: str) -> list[str]:
+        return [f"{prefix}{self.j}_{z}" for z in range(self.k)]
 
-def _many_aggregate(resp: DataFrame, ks: list[int], weight_col: str | None, with_ll: bool) -> DataFrame:
+
+def _all(members: list[_Member], prefix: str) -> list[str]:
+    return [c for m in members for c in m.cols(prefix)]
+
+
+def _many_aggregate(resp: DataFrame, members: list[_Member], weight_col: str | None, with_ll: bool) -> DataFrame:
     w = _w(weight_col)
-    aggs = [F.sum(F.col(f"q{t}") * w if w is not None else F.col(f"q{t}")).alias(f"m{t}") for _, _, t in _qcols(ks)]
-    for j in range(len(ks)):
-        ll = (F.col(f"lnev{j}") * w if w is not None else F.col(f"lnev{j}")) if with_ll else F.lit(None).cast("double")
-        aggs.append(F.sum(ll).alias(f"ll{j}"))
+    aggs = [F.sum(F.col(f"q{c[1:]}") * w if w is not None else F.col(f"q{c[1:]}")).alias(c) for c in _all(members, "m")]
+    for m in members:
+        ll = (F.col(f"lnev{m.j}") * w if w is not None else F.col(f"lnev{m.j}")) if with_ll else F.lit(None).cast("double")
+        aggs.append(F.sum(ll).alias(f"ll{m.j}"))
     aggs += [F.sum(w if w is not None else F.lit(1.0)).alias("wsum"), F.count(F.lit(1)).alias("n")]
     g = resp.groupingSets([["u"], ["s"]], "u", "s").agg(F.grouping("s").alias("_gs"), *aggs)
-    keep = [f"m{t}" for _, _, t in _qcols(ks)] + [f"ll{j}" for j in range(len(ks))] + ["wsum", "n"]
+    keep = _all(members, "m") + [f"ll{m.j}" for m in members] + ["wsum", "n"]
     return g.select(F.when(F.col("_gs") == 1, "u").otherwise("s").alias("side"), "u", "s", *keep)
 
 
-def _many_step(spark: SparkSession, state: DataFrame, ks: list[int], with_ll: bool, tag: str):
-    """Write the joint state; observe class totals and log-likelihood sums; return wide tables + scalars."""
+def _many_metrics(members: list[_Member]) -> list:
     side_u, side_s = F.col("side") == "u", F.col("side") == "s"
-    metrics = ([F.sum(F.when(side_s, F.col(f"m{t}"))).alias(f"m{t}") for _, _, t in _qcols(ks)]
-               + [F.sum(F.when(side_u, F.col(f"ll{j}"))).alias(f"ll{j}") for j in range(len(ks))]
-               + [F.sum(F.when(side_u, F.col("wsum"))).alias("wsum"),
-                  F.sum(F.when(side_u, 1).otherwise(0)).alias("nu"),
-                  F.sum(F.when(side_s, 1).otherwise(0)).alias("ns")] + _key_metrics())
-    path = scratch_path(spark, tag)
-    obs = Observation(f"latentcf_{uuid.uuid4().hex[:8]}")
-    state.observe(obs, *metrics).write.partitionBy("side").parquet(path)
-    r = obs.get
+    return ([F.sum(F.when(side_s, F.col(c))).alias(c) for c in _all(members, "m")]
+            + [F.sum(F.when(side_u, F.col(f"ll{m.j}"))).alias(f"ll{m.j}") for m in members]
+            + [F.sum(F.when(side_u, F.col("wsum"))).alias("wsum"),
+               F.sum(F.when(side_u, 1).otherwise(0)).alias("nu"),
+               F.sum(F.when(side_s, 1).otherwise(0)).alias("ns")] + _key_metrics())
+
+
+@dataclass
+class _JointState:
+    """A written joint state: normalised tables of its members, their log-likelihoods, and sizes."""
+
+    users: DataFrame
+    items: DataFrame
+    members: list[_Member]
+    lls: dict[int, float | None]  # by place
+    stats: StateStats
+
+
+def _joint_state(spark: SparkSession, path: str, members: list[_Member], r) -> _JointState:
     st = spark.read.parquet(path)
-    counts = [[f"m{j}_{z}" for z in range(k)] for j, k in enumerate(ks)]
-    users = _user_table(st.where(side_u), counts, [[f"pu{j}_{z}" for z in range(k)] for j, k in enumerate(ks)], 0.0)
-    flat = [c for cs in counts for c in cs]
-    items = _item_table(st.where(side_s), flat, [f"ps{c[1:]}" for c in flat], [r[c] for c in flat], 0, 0.0)
+    counts = [m.cols("m") for m in members]
+    users = _user_table(st.where("side = 'u'"), counts, [m.cols("pu") for m in members], 0.0)
+    flat = _all(members, "m")
+    items = _item_table(st.where("side = 's'"), flat, _all(members, "ps"), [r[c] for c in flat], 0, 0.0)
     wsum = float(r["wsum"] or 0.0)
-    lls = [(r[f"ll{j}"] / wsum) if (with_ll and wsum and r[f"ll{j}"] is not None) else None for j in range(len(ks))]
+    lls = {m.j: (r[f"ll{m.j}"] / wsum) if wsum and r[f"ll{m.j}"] is not None else None for m in members}
     stats = StateStats(int(r["nu"] or 0), int(r["ns"] or 0), [], None, wsum, 0, int(r["ku"] or 0), int(r["ks"] or 0), path)
-    return users, items, stats, lls
+    return _JointState(users, items, members, lls, stats)
 
 
-def _many_responsibilities(P: DataFrame, U: DataFrame, S: DataFrame, ks: list[int]) -> DataFrame:
+def _many_step(spark: SparkSession, state: DataFrame, members: list[_Member], tag: str, path: str | None) -> _JointState:
+    """Write the joint state; its scalars are observed in the same job."""
+    path = path or scratch_path(spark, tag)
+    obs = Observation(f"latentcf_{uuid.uuid4().hex[:8]}")
+    state.observe(obs, *_many_metrics(members)).write.mode("overwrite").partitionBy("side").parquet(path)
+    return _joint_state(spark, path, members, obs.get)
+
+
+def _many_load(spark: SparkSession, path: str, members: list[_Member]) -> _JointState:
+    return _joint_state(spark, path, members, spark.read.parquet(path).agg(*_many_metrics(members)).first())
+
+
+def _many_responsibilities(P: DataFrame, U: DataFrame, S: DataFrame, members: list[_Member]) -> DataFrame:
     keep = P.columns
     joined = P.join(U, "u").join(S, "s")
-    w = joined.select(*keep, *[(F.col(f"pu{t}") * F.col(f"ps{t}")).alias(f"w{t}") for _, _, t in _qcols(ks)])
-    ev = w.select("*", *[F.greatest(row_sum([f"w{j}_{z}" for z in range(k)]), F.lit(EVIDENCE_FLOOR)).alias(f"ev{j}")
-                         for j, k in enumerate(ks)])
-    return ev.select(*keep, *[(F.col(f"w{t}") / F.col(f"ev{j}")).alias(f"q{t}") for j, _, t in _qcols(ks)],
-                     *[F.log(f"ev{j}").alias(f"lnev{j}") for j in range(len(ks))])
+    w = joined.select(*keep, *[(F.col(f"pu{c[1:]}") * F.col(f"ps{c[1:]}")).alias(c) for c in _all(members, "w")])
+    ev = w.select("*", *[F.greatest(row_sum(m.cols("w")), F.lit(EVIDENCE_FLOOR)).alias(f"ev{m.j}") for m in members])
+    return ev.select(*keep, *[(F.col(c) / F.col(f"ev{m.j}")).alias(f"q{c[1:]}") for m in members for c in m.cols("w")],
+                     *[F.log(f"ev{m.j}").alias(f"lnev{m.j}") for m in members])
+
+
+def _settled(trace: list, tol: float | None) -> bool:
+    """Whether the last two log-likelihoods differ by less than ``tol``."""
+    return tol is not None and len(trace) > 1 and None not in trace[-2:] and abs(trace[-1] - trace[-2]) < tol
 
 
 def _fit_many(layout: PairLayout, ks: list[int], max_iter: int, seed: int, weight_col: str | None,
-              broadcast_bytes: int | None) -> JointModels:
+              broadcast_bytes: int | None, tol: float | None, run_dir: str | None) -> JointModels:
     P = layout.df
     spark = P.sparkSession
     limit = broadcast_bytes if broadcast_bytes is not None else broadcast_limit(spark)
-    width = sum(ks)
-    # shared initialisation: draw z depends on (u, s, z, seed) only, so every model reuses it
-    draws = {z: keyed_unit_open(F.col("u"), F.col("s"), F.lit(z), F.lit(seed)) for z in range(max(ks))}
-    init = P.select("*", *[draws[z].alias(f"q{t}") for _, z, t in _qcols(ks)])
-    users, items, stats, _ = _many_step(spark, _many_aggregate(init, ks, weight_col, False), ks, False, "em-many-init")
-    grid = _grid_of(layout, *_sizes(stats.n_users, stats.n_items, width, stats), limit)
-    labels = [[f"{j}_{z}" for z in range(k)] for j, k in enumerate(ks)]
-    ll_names = [f"ll{j}" for j in range(len(ks))]
-    logliks: list[list] = []
-    seconds: list[float] = []
-    for t in range(1, max_iter + 1):
+    run = run_dir.rstrip("/") if run_dir else None
+    if run:
+        _check_manifest(spark, run, _manifest(layout, ks, seed, weight_col, 0.0, 0.0, tol))
+
+    def state_path(t: int) -> str | None:
+        return f"{run}/state-{t:05d}" if run else None
+
+    active = [_Member(j, k) for j, k in enumerate(ks)]
+    traces: dict[int, list] = {m.j: [] for m in active}
+    seconds: list = []
+    final: dict[int, _JointState] = {}  # the state whose parameters a stopped model has
+
+    def advance(before: _JointState, lls: dict[int, float | None], last: bool) -> list[_Member]:
+        """Notes a pass; the members that go on."""
+        on = []
+        for m in before.members:
+            traces[m.j].append(lls[m.j])
+            if last or _settled(traces[m.j], tol):
+                final[m.j] = before
+            else:
+                on.append(m)
+        return on
+
+    t = 1
+    if run and committed(spark, state_path(0)):
+        state = _many_load(spark, state_path(0), active)
+        while t < max_iter and active and committed(spark, state_path(t)):
+            after = _many_load(spark, state_path(t), active)
+            active = advance(state, after.lls, False)
+            seconds.append(None)
+            state, t = _joint_state_of(after, active), t + 1
+    else:
+        # shared initialisation: draw z depends on (u, s, z, seed) only, so every model reuses it
+        draws = [keyed_unit_open(F.col("u"), F.col("s"), F.lit(z), F.lit(seed)) for z in range(max(ks))]
+        init = P.select("*", *[draws[z].alias(c) for m in active for z, c in enumerate(m.cols("q"))])
+        state = _many_step(spark, _many_aggregate(init, active, weight_col, False), active, "em-many-init", state_path(0))
+    width = sum(m.k for m in active)
+    grid = _grid_of(layout, *_sizes(state.stats.n_users, state.stats.n_items, width, state.stats), limit) if active else None
+    while active:
         t0 = time.time()
+        names = [f"ll{m.j}" for m in active]
         if grid is not None:
-            resp, state = None, grid_aggregate(grid, users, items, labels, ll_names, weight_col)
+            labels = [[c[1:] for c in m.cols("m")] for m in active]
+            resp, sums = None, grid_aggregate(grid, state.users, state.items, labels, names, weight_col)
         else:
-            resp = _many_responsibilities(P, F.broadcast(users), F.broadcast(items), ks)
-            state = _many_aggregate(resp, ks, weight_col, True)
+            resp = _many_responsibilities(P, F.broadcast(state.users), F.broadcast(state.items), active)
+            sums = _many_aggregate(resp, active, weight_col, True)
         if t < max_iter:
-            last = stats.path
-            users, items, stats, lls = _many_step(spark, state, ks, True, f"em-many{t}")
-            remove_path(spark, last)
+            after = _many_step(spark, sums, active, f"em-many{t}", state_path(t))
+            active = advance(state, after.lls, False)
         else:
-            lls = _last_loglik(resp, state, [f"lnev{j}" for j in range(len(ks))], ll_names, weight_col)
-        logliks.append(lls)
+            after, found = None, _last_loglik(resp, sums, [f"lnev{m.j}" for m in active], names, weight_col)
+            active = advance(state, dict(zip((m.j for m in active), found)), True)
         seconds.append(time.time() - t0)
-    out = {}
+        if not run:  # nothing reads a pass's state any more once the next is written, but models that stopped there
+            kept = {id(s) for s in final.values()}
+            for s in (state, None if active else after):
+                if s is not None and id(s) not in kept:
+                    remove_path(spark, s.stats.path)
+        if after is not None and active:
+            if len(active) < len(after.members):  # those that stopped leave the state
+                after = _joint_state_of(after, active)
+            state = after
+        t += 1
+    return _joint_models(spark, ks, traces, seconds, final, None if run else [s.stats.path for s in final.values()])
+
+
+def _joint_state_of(state: _JointState, members: list[_Member]) -> _JointState:
+    return _JointState(state.users.select("u", *_all(members, "pu")), state.items.select("s", *_all(members, "ps")), members,
+                       {m.j: state.lls[m.j] for m in members}, state.stats)
+
+
+def _joint_models(spark: SparkSession, ks: list[int], traces: dict[int, list], seconds: list, final: dict[int, _JointState],
+                  paths: list[str] | None) -> JointModels:
+    models = {}
     for j, k in enumerate(ks):
-        lj = [row[j] for row in logliks]
+        m, state = _Member(j, k), final[j]
         trace = spark.createDataFrame(
-            [(i + 1, float(v) if v is not None and not math.isnan(v) else None, float(s))
-             for i, (v, s) in enumerate(zip(lj, seconds))], TRACE_SCHEMA)
-        out[k] = LatentClassModel(
+            [(i + 1, float(v) if v is not None and not math.isnan(v) else None, None if x is None else float(x))
+             for i, (v, x) in enumerate(zip(traces[j], seconds))], TRACE_SCHEMA)
+        models[k] = LatentClassModel(
             k=k,
-            users=users.select("u", *[F.col(f"pu{j}_{z}").alias(f"pu{z}") for z in range(k)]),
-            items=items.select("s", *[F.col(f"ps{j}_{z}").alias(f"ps{z}") for z in range(k)]),
-            trace=trace, passes=len(lj), n_users=stats.n_users, n_items=stats.n_items, logliks=lj, seconds=list(seconds),
-            user_key_bytes=stats.user_key_bytes, item_key_bytes=stats.item_key_bytes)
-    return JointModels(out, users, items, stats.path)
+            users=state.users.select("u", *[F.col(c).alias(f"pu{z}") for z, c in enumerate(m.cols("pu"))]),
+            items=state.items.select("s", *[F.col(c).alias(f"ps{z}") for z, c in enumerate(m.cols("ps"))]),
+            trace=trace, passes=len(traces[j]), n_users=state.stats.n_users, n_items=state.stats.n_items, logliks=traces[j],
+            seconds=seconds[: len(traces[j])], user_key_bytes=state.stats.user_key_bytes,
+            item_key_bytes=state.stats.item_key_bytes)
+    states = {id(s): s for s in final.values()}
+    users = items = None
+    for s in states.values():  # models that stopped at the same pass share a state
+        own = [_Member(j, k) for j, k in enumerate(ks) if final[j] is s]
+        u, i = s.users.select("u", *_all(own, "pu")), s.items.select("s", *_all(own, "ps"))
+        users, items = (u, i) if users is None else (users.join(u, "u"), items.join(i, "s"))
+    order = [_Member(j, k) for j, k in enumerate(ks)]
+    return JointModels(models, users.select("u", *_all(order, "pu")), items.select("s", *_all(order, "ps")), paths)

@@ -23,7 +23,7 @@ are left out before the shuffle (:func:`_reachable`).
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Callable, Iterator
 
 import numpy as np
@@ -188,6 +188,8 @@ def _reachable(p: Params, rows: int, cols: int, threshold: float) -> _Plan:
     for j, cs in enumerate(p.ps):
         can = can | (_greatest(cs) * F.lit(float(sums[f"t{j}"] or 0.0) * margin) >= F.lit(threshold))
     items = p.items.where(can)
+    if rows * cols < INDEX_TILES:  # an index would cost more than the tiles it spares
+        return _by_hash(replace(p, items=items), rows, cols)
     widest = max(range(len(p.pu)), key=lambda j: len(p.pu[j]))
     users, n_rows, u_max = _blocked(p.users, "u", "x", p.pu, widest, rows)
     items, n_cols, s_max = _blocked(items, "s", "y", p.ps, widest, cols)
@@ -203,6 +205,8 @@ def _greatest(cols: list[str]):
     return F.greatest(*cols) if len(cols) > 1 else F.col(cols[0])
 
 
+# Fewer tiles than this are built without an index.
+INDEX_TILES = 64
 # Levels of strength a class is cut into where it has several blocks.
 LEVELS = 6
 
@@ -212,8 +216,11 @@ def _blocked(df: DataFrame, key: str, block: str, names: list[list[str]], widest
     dominant class of one model and, with several blocks a class, by powers of four of its strength;
     a large group is cut into several blocks by hash."""
     cols = names[widest]
-    top = _greatest(cols)
+    df = df.withColumn("_top", _greatest(cols))  # a column of its own: used once per class
+    top = F.col("_top")
     group = F.coalesce(*[F.when(F.col(c) == top, F.lit(z)) for z, c in enumerate(cols)], F.lit(0))
+    if blocks < len(cols):  # neighbouring classes share a block
+        group, cols = F.floor(group * blocks / len(cols)), cols[:blocks]
     levels = LEVELS if blocks > 2 * len(cols) else 1
     if levels > 1:
         best = df.agg(F.max(top)).first()[0] or 1.0

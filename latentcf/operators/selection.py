@@ -8,20 +8,16 @@ from pyspark.sql import functions as F
 from latentcf.operators import em
 
 
-def k_sweep(pairs: DataFrame, ks: list[int], passes: int, seed: int = 42, tol: float | None = None) -> DataFrame:
-    """Long (k, iteration, loglik, seconds): EM for every k over one written pair table."""
-    P = em.prepare_layout(pairs)
+def k_sweep(pairs: DataFrame, ks: list[int], passes: int, seed: int = 42, tol: float | None = None,
+            run_dir: str | None = None) -> DataFrame:
+    """Long (k, iteration, loglik, seconds): EM for every k in one set of passes over one written pair
+    table; with ``tol`` each k stops on its own, with ``run_dir`` a restarted sweep resumes."""
+    models = em.fit_many(pairs, list(ks), max_iter=passes, seed=seed, tol=tol, run_dir=run_dir)
     out = None
-    try:
-        if tol is None:  # fixed passes: all k advance together, one scan of the pairs per pass
-            models = em.fit_many(P, list(ks), max_iter=passes, seed=seed)
-        else:  # each k stops on its own
-            models = {k: em.fit(P, k=k, max_iter=passes, seed=seed, tol=tol) for k in ks}
-        for k in ks:
-            t = models[k].trace.select(F.lit(k).cast("int").alias("k"), "iteration", "loglik", "seconds")
-            out = t if out is None else out.unionByName(t)
-    finally:
-        P.drop()
+    for k in ks:
+        t = models[int(k)].trace.select(F.lit(int(k)).cast("int").alias("k"), "iteration", "loglik", "seconds")
+        out = t if out is None else out.unionByName(t)
+    models.release()  # the traces are all that is asked for
     return out
 
 

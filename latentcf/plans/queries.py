@@ -3,8 +3,7 @@
 Every query reads the given tables (orders ⋈ lineitem purchases, documents,
 events) in full. Doubles are returned as ``*_q`` fingerprints
 (floor(x*1e9+0.5), bigint) so that two engines summing in different orders
-still compare equal. Queries without SQL (LDA, convergence) are checked on
-rows only and by the property tests in ``tests/``.
+still compare equal.
 """
 
 from __future__ import annotations
@@ -38,6 +37,11 @@ LDA_ETA = 0.1
 LDA_THRESHOLD = 1e-5
 TOL = 0.005
 TOL_MAX_ITER = 10
+TOL_KS = [1, 2, 3, 5]
+AUC_SHIP_BYTES = 24 * 100
+LIST_ITEMS = 8
+PREVIEW = 20
+METADATA_RUNS = [(2, 3), (3, 2)]
 # every user x event-type score is exactly this on the full grid with one class
 EVENT_THRESHOLD = 0.2
 
@@ -316,6 +320,13 @@ def q_auc(spark, d):
     return evaluation.auc(m, train, test).select(q9("auc"), "n_pos", F.col("n_neg").cast("bigint").alias("n_neg"))
 
 
+def q_auc_ranges(spark, d):
+    """The same with the positives cut into ranges, as beyond the broadcast bound."""
+    m, train, test = _fit(spark, d)
+    return evaluation.auc(m, train, test, ship_bytes=AUC_SHIP_BYTES).select(
+        q9("auc"), "n_pos", F.col("n_neg").cast("bigint").alias("n_neg"))
+
+
 def q_recommend_top5(spark, d):
     m, train, _ = _fit(spark, d)
     return scoring.recommend(m, TOPN, train).select("u", "rank", "s", q9("score"))
@@ -327,6 +338,17 @@ def q_user_items(spark, d):
         "u", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
 
 
+def q_user_item_chunks(spark, d):
+    """The users' lists in pieces of bounded length."""
+    train, _ = _split(spark, d)
+    return topics.user_item_chunks(train, LIST_ITEMS).select(
+        "u", "chunk", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
+
+
+def q_preview(spark, d):
+    return tables.preview(_pairs(spark, d), PREVIEW, ["u", "s"])
+
+
 def q_max_item(spark, d):
     train, _ = _split(spark, d)
     return topics.max_item(train)
@@ -382,6 +404,55 @@ def q_csv_round_trip(spark, d):
     return ratings.interactions(ratings.read_ratings(spark, path, item_type="long"), weighted=True)
 
 
+def _csv_with_bad_lines(spark, d):
+    """Purchases as ratings CSV; by user and item some lines have one field, an empty id or a word for a number."""
+    rows = tables.purchase_rows(spark, d)
+    u, s = F.col("u").cast("string"), F.col("s").cast("string")
+    kind = (F.col("u") * 31 + F.col("s")) % 10
+    line = (F.when(kind == 0, u).when(kind == 1, F.concat(F.lit(" ,"), s, F.lit(",1.0,0")))
+            .when(kind == 2, F.concat(u, F.lit(","))).when(kind == 3, F.concat(F.lit("u"), u, F.lit(","), s, F.lit(",1.0,0")))
+            .when(kind == 4, F.concat(u, F.lit(",s"), s)).when(kind == 5, F.concat(u, F.lit(","), s))
+            .otherwise(F.concat(F.lit(" "), u, F.lit(" ,"), s, F.lit(" ,4.5,7"))))
+    path = scratch_path(spark, "csv-bad")
+    lines = rows.select(line.alias("userId,movieId,rating,timestamp")).repartition(4)
+    (lines.write.option("header", True).option("quote", "\u0000").option("sep", "\u0001")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return ratings.read_ratings_checked(spark, path)
+
+
+def q_csv_rejects(spark, d):
+    """The lines set aside, by text and reason."""
+    rejects = _csv_with_bad_lines(spark, d).rejects
+    return rejects.groupBy("line", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_csv_accepted(spark, d):
+    """The clicks of the same files: every line is in one of the two."""
+    return ratings.interactions(_csv_with_bad_lines(spark, d).clicks, weighted=True)
+
+
+def q_trace_csv(spark, d):
+    """A fit's trace through its CSV sink and back; every pass has a time."""
+    m, _, _ = _fit(spark, d)
+    path = scratch_path(spark, "csv-trace")
+    sinks.write_trace(m.trace, path)
+    return sinks.read_trace(spark, path).select("iteration", q6("loglik"), (F.col("seconds") > 0).alias("timed"))
+
+
+def q_run_metadata(spark, d):
+    """Two runs recorded one after the other and read back."""
+    train, _ = _split(spark, d)
+    path = scratch_path(spark, "run-metadata")
+    for k, passes in METADATA_RUNS:
+        m = em.fit(train, k=k, max_iter=passes, seed=SEED, prepared=True)
+        sinks.write_run_metadata(spark, path, total_seconds=sum(m.seconds), iterations=m.passes, logliks=m.logliks,
+                                 seconds=m.seconds, extra={"k": k})
+    runs = sinks.read_run_metadata(spark, path, "k int")
+    each = runs.select("k", "iterations", F.size("iteration_seconds").alias("n_seconds"),
+                       F.posexplode("logliks").alias("at", "loglik"))
+    return each.select("k", "iterations", "n_seconds", (F.col("at") + 1).cast("int").alias("iteration"), q6("loglik"))
+
+
 def q_csv_sweep(spark, d):
     """The k sweep through its ';' separated table and back."""
     path = scratch_path(spark, "csv-sweep")
@@ -403,6 +474,12 @@ def q_k_sweep(spark, d):
     return selection.k_sweep(train, K_SWEEP, PASSES, SEED).select("k", "iteration", q6("loglik"))
 
 
+def q_k_sweep_tol(spark, d):
+    """Every k stops on its own, out of one joint state."""
+    train, _ = _split(spark, d)
+    return selection.k_sweep(train, TOL_KS, TOL_MAX_ITER, SEED, tol=TOL).select("k", "iteration", q6("loglik"))
+
+
 def q_weighted_m_step(spark, d):
     wp = tables.purchase_pairs(spark, d, weighted=True)
     users, items, _ = em.m_step(spark, em.initial_responsibilities(wp, K, SEED), K, "w", "wm")
@@ -725,6 +802,10 @@ def o_auc():
                   f"CAST(n AS BIGINT) AS n_neg FROM cnt")
 
 
+def o_auc_ranges():
+    return o_auc()
+
+
 def o_recommend_top5():
     ch, tr, _, pu, ps, _ = _o_fit()
     a = O.all_scores(ch, pu, ps, K)
@@ -739,6 +820,21 @@ def o_user_items():
     return ch.sql(f"SELECT u, string_agg(CAST(s AS VARCHAR), ',' ORDER BY s) AS items FROM {tr} GROUP BY u")
 
 
+def o_user_item_chunks():
+    ch, _, tr, _, _ = _o_split()
+    ix = _o_index(ch, tr)
+    ch.add("counts", f"SELECT u, idx // {LIST_ITEMS} AS r, count(*) AS n FROM {tr} JOIN {ix} USING (s) GROUP BY u, r")
+    ch.add("pieces", f"SELECT u, r, (sum(n) OVER (PARTITION BY u ORDER BY r) - n) // {LIST_ITEMS} AS c FROM counts")
+    ch.add("lists", f"SELECT t.u, c, string_agg(CAST(t.s AS VARCHAR), ',' ORDER BY t.s) AS items FROM {tr} t JOIN {ix} i ON t.s = i.s "
+                    f"JOIN pieces p ON p.u = t.u AND p.r = i.idx // {LIST_ITEMS} GROUP BY t.u, c")
+    return ch.sql("SELECT u, CAST(row_number() OVER (PARTITION BY u ORDER BY c) - 1 AS INTEGER) AS chunk, items FROM lists")
+
+
+def o_preview():
+    ch = O.Chain()
+    return ch.sql(f"SELECT u, s FROM {O.purchase_pairs(ch)} ORDER BY u, s LIMIT {PREVIEW}")
+
+
 def o_max_item():
     ch, _, tr, _, _ = _o_split()
     return ch.sql(f"SELECT max(s) AS max_s FROM {tr}")
@@ -797,6 +893,41 @@ def o_csv_round_trip():
     return ch.sql(f"SELECT u, s, w FROM {O.weighted_pairs(ch)}")
 
 
+def _o_bad_lines():
+    ch = O.Chain()
+    return ch, ch.add("lines", f"SELECT u, s, (u * 31 + s) % 10 AS kind FROM {O.purchase_rows(ch)}")
+
+
+def o_csv_rejects():
+    ch, rows = _o_bad_lines()
+    return ch.sql(f"""SELECT line, reason, count(*) AS n FROM (SELECT
+        CASE kind WHEN 0 THEN u::VARCHAR WHEN 1 THEN ',' || s || ',1.0,0' WHEN 2 THEN u || ','
+                  WHEN 3 THEN 'u' || u || ',' || s || ',1.0,0' ELSE u || ',s' || s END AS line,
+        CASE kind WHEN 0 THEN 'one field' WHEN 1 THEN 'empty user' WHEN 2 THEN 'empty item'
+                  WHEN 3 THEN 'user is no whole number' ELSE 'item is no whole number' END AS reason
+        FROM {rows} WHERE kind < 5) GROUP BY line, reason""")
+
+
+def o_csv_accepted():
+    ch, rows = _o_bad_lines()
+    return ch.sql(f"SELECT u, s, count(*) AS w FROM {rows} WHERE kind >= 5 GROUP BY u, s")
+
+
+def o_trace_csv():
+    ch, _, _, _, _, lls = _o_fit()
+    return ch.sql(f"SELECT *, true AS timed FROM ({O.trace_sql(lls)})")
+
+
+def o_run_metadata():
+    ch, _, tr, _, _ = _o_split()
+    parts = []
+    for k, passes in METADATA_RUNS:
+        _, _, lls = O.em(ch, tr, k, passes, SEED, tag=f"k{k}_")
+        parts.append(f"SELECT CAST({k} AS INTEGER) AS k, CAST({passes} AS INTEGER) AS iterations, "
+                     f"CAST({passes} AS INTEGER) AS n_seconds, * FROM ({O.trace_sql(lls)})")
+    return ch.sql(" UNION ALL ".join(parts))
+
+
 def o_csv_sweep():
     return _o_sweep([2, 3])
 
@@ -809,6 +940,20 @@ def o_k_sweep():
     return _o_sweep(K_SWEEP)
 
 
+def o_k_sweep_tol():
+    """All passes unrolled for every k, cut after its first pass with |delta loglik| < TOL."""
+    ch, _, tr, _, _ = _o_split()
+    parts = []
+    for k in TOL_KS:
+        _, _, lls = O.em(ch, tr, k, TOL_MAX_ITER, SEED, tag=f"k{k}_")
+        parts += [f"SELECT CAST({k} AS INTEGER) AS k, CAST({i + 1} AS INTEGER) AS iteration, {x} AS ll" for i, x in enumerate(lls)]
+    ch.add("tr_", " UNION ALL ".join(parts))
+    ch.add("d_", "SELECT *, abs(ll - lag(ll) OVER (PARTITION BY k ORDER BY iteration)) AS delta FROM tr_")
+    ch.add("stop_", f"SELECT k, min(iteration) AS last_pass FROM d_ WHERE delta < {O.dbl(TOL)} GROUP BY k")
+    return ch.sql(f"SELECT k, iteration, {O.qz('ll', 6)} AS loglik_q FROM d_ LEFT JOIN stop_ USING (k) "
+                  f"WHERE iteration <= coalesce(last_pass, {TOL_MAX_ITER})")
+
+
 def _o_sweep(ks):
     ch, _, tr, _, _ = _o_split()
     parts = []

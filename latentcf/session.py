@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -49,10 +52,63 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+class Scratch:
+    """The tables written in the shared folder since a scope was opened."""
+
+    def __init__(self, spark: SparkSession, outer: "Scratch | None" = None):
+        self.spark, self.outer, self.paths, self.tables = spark, outer, [], []
+
+    def note(self, path: str) -> None:
+        self.paths.append(path)
+
+    def release(self) -> None:
+        """Remove them: results that read them are done with."""
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in self.paths:
+            remove_path(self.spark, path)
+        self.paths, self.tables = [], []
+
+    def keep(self) -> None:
+        """Hand them to the scope around this one (or to nobody)."""
+        if self.outer is not None:
+            self.outer.paths += self.paths
+            self.outer.tables += self.tables
+        self.paths, self.tables = [], []
+
+
+_SCOPE: ContextVar[Scratch | None] = ContextVar("latentcf_scratch", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Scratch]:
+    """Everything written to the scratch folder inside the block is removed at its end.
+
+    Results are lazy and read what was written, so consume (write, collect) them inside, or call
+    ``keep`` on the scope. Models to be used later belong in ``LatentClassModel.save``."""
+    outer = _SCOPE.get()
+    scope = Scratch(spark, outer)
+    token = _SCOPE.set(scope)
+    try:
+        yield scope
+    finally:
+        _SCOPE.reset(token)
+        scope.release()
+
+
+def note_table(name: str) -> None:
+    """A table in the catalog that belongs to the open scope."""
+    if _SCOPE.get() is not None:
+        _SCOPE.get().tables.append(name)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the checkpoint root for a written table."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPE.get() is not None:
+        _SCOPE.get().note(path)
+    return path
 
 
 def remove_path(spark: SparkSession, path: str | None) -> None:

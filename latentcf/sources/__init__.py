@@ -1,6 +1,6 @@
 """Sources (ratings logs, driver tables) and sinks (scores, traces, run metadata)."""
 
-from latentcf.sources.ratings import RATINGS_SCHEMA, interactions, read_ratings
+from latentcf.sources.ratings import RATINGS_SCHEMA, RatingsRead, interactions, read_ratings, read_ratings_checked
 from latentcf.sources.tables import (
     event_pairs,
     load_table,
@@ -13,7 +13,9 @@ from latentcf.sources.tables import (
 
 __all__ = [
     "RATINGS_SCHEMA",
+    "RatingsRead",
     "read_ratings",
+    "read_ratings_checked",
     "interactions",
     "load_table",
     "purchase_rows",

@@ -28,6 +28,11 @@ def write_trace(trace: DataFrame, path: str, mode: str = "overwrite") -> None:
     write_csv(trace.orderBy("iteration"), path, mode=mode)
 
 
+def read_trace(spark: SparkSession, path: str) -> DataFrame:
+    """(iteration, loglik, seconds) as :func:`write_trace` wrote it."""
+    return spark.read.schema("iteration int, loglik double, seconds double").option("header", True).csv(path)
+
+
 def write_run_metadata(spark: SparkSession, path: str, *, total_seconds: float, iterations: int,
                        logliks: list, seconds: list, extra: dict | None = None) -> None:
     """Append one JSON record per run: runtime, passes, trace, timings."""
@@ -42,6 +47,13 @@ def write_run_metadata(spark: SparkSession, path: str, *, total_seconds: float,
     spark.createDataFrame([(json.dumps(rec),)], "value string").coalesce(1).write.mode("append").text(path)
 
 
+def read_run_metadata(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
+    """One row per recorded run; ``extra`` names the further fields, e.g. ``k int``."""
+    kind = ("written_at timestamp, total_seconds double, iterations int, logliks array<double>, "
+            "iteration_seconds array<double>" + (f", {extra}" if extra else ""))
+    return spark.read.schema(kind).option("mode", "FAILFAST").json(path)
+
+
 def read_sweep_csv(spark: SparkSession, path: str) -> DataFrame:
     """Wide ';' table ``Iteration;2_cluster;3_cluster;...`` -> long (k, iteration, loglik)."""
     wide = spark.read.option("header", True).option("sep", ";").option("inferSchema", False).csv(path)

@@ -312,3 +312,71 @@ def test_scores_invariant_under_class_relabelling(spark, sf_pairs):
     a, b = run([0, 1, 2]), run([2, 0, 1])
     d = a.join(b, ["u", "s"]).agg(F.max(F.abs(F.col("sc0") - F.col("sc2"))), F.count(F.lit(1))).first()
     assert d[1] == sf_pairs.count() and d[0] < 1e-12
+
+
+def _same_models(a, b, tol=1e-12):
+    assert a.passes == b.passes and a.logliks == pytest.approx(b.logliks, abs=tol)
+    for side, key in (("users", "u"), ("items", "s")):
+        x, y = (getattr(m, side).orderBy(key).toPandas().to_numpy() for m in (a, b))
+        assert x.shape == y.shape and abs(x - y).max() < tol
+
+
+def test_fit_many_with_own_stops_equals_separate_fits(spark, sf_pairs):
+    many = em.fit_many(sf_pairs, [1, 2, 3, 5], max_iter=8, prepared=True, tol=4e-3)
+    alone = {k: em.fit(sf_pairs, k=k, max_iter=8, prepared=True, tol=4e-3) for k in many}
+    assert len({m.passes for m in alone.values()}) > 1  # they leave at different passes
+    for k in many:
+        _same_models(many[k], alone[k])
+    # the joint tables hold every model's final parameters
+    joint = many.users.orderBy("u").toPandas()
+    for j, k in enumerate(many):
+        own = many[k].users.orderBy("u").toPandas()
+        assert all((joint[f"pu{j}_{z}"] == own[f"pu{z}"]).all() for z in range(k))
+    many.release()
+
+
+def test_fit_many_resumes(spark, sf_pairs, tmp_path, monkeypatch):
+    run = f"{tmp_path}/run"
+    whole = em.fit_many(sf_pairs, [1, 2, 4], max_iter=6, prepared=True, tol=4e-3)
+    steps, step = [], em._many_step
+
+    def failing(*a):
+        if len(steps) == 2:
+            raise RuntimeError("the driver is lost")
+        steps.append(1)
+        return step(*a)
+
+    monkeypatch.setattr(em, "_many_step", failing)
+    with pytest.raises(RuntimeError):
+        em.fit_many(sf_pairs, [1, 2, 4], max_iter=6, prepared=True, tol=4e-3, run_dir=run)
+    monkeypatch.setattr(em, "_many_step", step)
+    again = em.fit_many(sf_pairs, [1, 2, 4], max_iter=6, prepared=True, tol=4e-3, run_dir=run)
+    for k in whole:
+        _same_models(again[k], whole[k])
+    assert any(x is None for x in again[4].seconds) and again[4].seconds[-1] is not None
+    with pytest.raises(ValueError, match="another fit"):
+        em.fit_many(sf_pairs, [1, 2, 4], max_iter=6, prepared=True, tol=1e-3, run_dir=run)
+
+
+def test_scratch_scope_leaves_nothing(spark, sf_pairs):
+    from latentcf import session
+    from latentcf.plans import queries
+    from tests.conftest import SF0001
+
+    def held():
+        root = session.checkpoint_root(spark)
+        fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        return {str(f.getPath().getName()) for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(root))}
+
+    before, tables = held(), len(spark.catalog.listTables())
+    for name in ("split_test", "em_trace", "em_grid_trace", "auc_ranges", "user_item_chunks", "k_sweep_tol", "csv_rejects"):
+        with session.scratch_scope(spark) as scope:
+            queries.QUERIES[name](spark, SF0001).collect()
+            assert name == "csv_rejects" or scope.paths
+        assert held() == before, name
+    assert len(spark.catalog.listTables()) == tables
+    with session.scratch_scope(spark), session.scratch_scope(spark) as inner:
+        kept = em.prepare_pairs(sf_pairs)
+        inner.keep()
+        assert kept.count() == sf_pairs.count()
+    assert held() == before

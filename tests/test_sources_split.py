@@ -121,3 +121,28 @@ def test_two_column_click_log_and_bad_ids(spark, tmpdir_path):
         ratings.interactions(ratings.read_ratings(spark, q)).collect()
     text = ratings.interactions(ratings.read_ratings(spark, q, item_type="string"))
     assert sorted((r.u, r.s) for r in text.collect()) == [(1, "10"), (1, "tt99"), (2, "10"), (2, "x7")]
+
+
+def test_rejected_lines_are_kept_apart(spark, tmpdir_path):
+    lines = ["userId,movieId,rating,timestamp", "1,10,4.5,7", "2", " 3 , 30 ", ",40,1,1", "5,,1,1", "x,60,1,1", "7,y", "", "8,80,1,1,9,9", "   "]
+    with open(f"{tmpdir_path}/a.csv", "w") as f:
+        f.write("\n".join(lines) + "\n")
+    with open(f"{tmpdir_path}/b.csv", "w") as f:
+        f.write("userId,movieId,rating,timestamp\n1,11,2.0,3\n")
+    read = ratings.read_ratings_checked(spark, tmpdir_path)
+    assert sorted((r.userId, r.movieId, r.rating) for r in read.clicks.collect()) == [
+        (1, 10, 4.5), (1, 11, 2.0), (3, 30, None), (8, 80, 1.0)]
+    rejects = {(r.line.strip(), r.reason) for r in read.rejects.collect()}
+    assert {("2", "one field"), ("x,60,1,1", "user is no whole number"), ("7,y", "item is no whole number")} <= rejects
+    assert {reason for _, reason in rejects} == {"one field", "empty user", "empty item", "user is no whole number", "item is no whole number"}
+    assert all(r.file.endswith("a.csv") for r in read.rejects.collect())
+    counts = read.counts()
+    assert counts[""] == 4 and sum(counts.values()) == 9 + (1 if ("", "one field") in rejects else 0)
+    text = ratings.read_ratings_checked(spark, tmpdir_path, item_type="string", user_type="string")
+    assert text.clicks.count() == 6 and {r.reason for r in text.rejects.collect()} == {"one field", "empty user", "empty item"}
+
+
+def test_four_line_file_loses_nothing(spark, tmpdir_path):
+    with open(f"{tmpdir_path}/a.csv", "w") as f:
+        f.write("userId,movieId\n1,10\n2\n,30\n4,40\n")
+    assert ratings.read_ratings_checked(spark, tmpdir_path).counts() == {"": 2, "one field": 1, "empty user": 1}
