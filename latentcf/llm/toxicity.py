@@ -6,11 +6,19 @@ and stems and the exception phrases in a single pass. Weights of the matches
 outside exception phrases are summed and normalised by length; a logistic
 curve over these two figures gives the score.
 
-The lexicon, its weights, the learned exception phrases and the curve are
-fitted on labelled rows, at most ``MAX_LABELLED`` of them (the first by a hash
-of doc_id), so all that the driver holds is bounded by parameters. Labels are
-used only where crc32(doc_id as text) mod 5 is not 0; the score itself sees
-the text alone.
+The unit of the lexicon is the whole word. A word is kept if it stands in
+``LEAST_TEXTS`` toxic texts of the sample and is sure enough there; a stem only
+if ``STEM_WORDS`` different words of it lean to toxic texts and no word of it
+leans to clean ones. The weight of either is the log of its share of toxic texts
+over its share of all other texts of the corpus, labelled or not, so what is
+common outside the sample weighs nothing and is left out. Exception phrases (a lexicon word with
+the word before or after it) are learned from clean texts; further ones can be
+given.
+
+Lexicon, phrases and curve are fitted on labelled rows, at most ``MAX_LABELLED``
+of them (the first by a hash of doc_id): the words of these texts bound what the
+driver holds. Labels are used only where crc32(doc_id as text) mod 5 is not 0;
+the score itself sees the text alone.
 
 Defined cases: a null or empty text scores like any text without matches; a
 doc_id labelled more than once counts as toxic if any of its labels is; with
@@ -33,13 +41,18 @@ from latentcf.llm.common import release, settle, table, whole_text
 
 FOLDS = 5
 MAX_LABELLED = 20_000
-MAX_TERMS = 4_096
-#: A term is kept if it stands in this many toxic texts of the sample, whatever its
-#: size, and the lower bound of its toxic share is over the least one
-#: (stems stand for unseen words as well, so they must be surer than words).
-LEAST_TEXTS = 5
-LEAST_SHARE_WORD, LEAST_SHARE_STEM = 0.6, 0.9
-STEM = (4, 6)
+#: A word is kept if it stands in this many toxic texts of the sample, whatever its size, and the
+#: lower bound of its toxic share is over the least one.
+LEAST_TEXTS, LEAST_SHARE_WORD = 5, 0.5
+#: A stem of so many letters is kept if so many different words of it lean to toxic texts, and the
+#: lower bound of their common share is over the least one (it stands for unseen words as well).
+STEM, STEM_WORDS, LEAST_SHARE_STEM = (5, 9), 4, 0.6
+#: Texts in which a word must stand to lean either way.
+LEAN_TEXTS = 3
+#: A term must be this much likelier in toxic texts than in all others of the corpus.
+LEAST_RATIO = 2.0
+#: Clean texts (and no toxic one) in which an exception phrase must stand.
+PHRASE_TEXTS = 3
 
 # Letters of other scripts and digits that are drawn like a Latin letter.
 LOOK_ALIKE = {
@@ -50,8 +63,6 @@ LOOK_ALIKE = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "|": "i",
     "l": "i",
 }
-# Phrases in which a word of the lexicon is harmless.
-EXCEPTIONS = ("clown fish", "trash can", "trash bin", "pond scum", "white trash bag")
 
 
 class _Fold(dict):
@@ -78,16 +89,6 @@ def fold(text: str) -> str:
     return f" {' '.join(text.translate(_FOLD).split())} "
 
 
-def features(folded: str) -> set[str]:
-    """Lexicon candidates of a text: " word " and, as stems, " pref"."""
-    out = set()
-    for w in set(folded.split()):
-        if 3 <= len(w) <= 40:
-            out.add(f" {w} ")
-            out.update(f" {w[:n]}" for n in range(STEM[0], min(STEM[1], len(w) - 1) + 1))
-    return out
-
-
 @dataclass
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
@@ -118,6 +119,10 @@ class _Matcher:
         if len(self.machine):
             self.machine.make_automaton()
 
+    def terms(self, folded: str) -> set[str]:
+        """The words and stems that stand in a text."""
+        return {found[2] for _, found in self.machine.iter(folded)} if len(self.machine) else set()
+
     def matches(self, folded: str) -> list[tuple[int, int, float, str]]:
         """(start, end, weight, term) of each matched word outside exception phrases; the
         heaviest term counts where several match at the same word."""
@@ -130,8 +135,16 @@ class _Matcher:
                 free.append((start, end))
             elif start not in found or found[start][2] < weight:
                 found[start] = (start, end, weight, term)
-        # starts come in order of ends; phrases are few, so is this scan
-        return [m for m in found.values() if not any(a <= m[0] <= b - 1 for a, b in free)] if free else list(found.values())
+        if not free:
+            return list(found.values())
+        free.sort()
+        out, at, until = [], 0, -1  # until: where the phrases that began so far end
+        for start in sorted(found):
+            while at < len(free) and free[at][0] <= start:
+                until, at = max(until, free[at][1]), at + 1
+            if start > until - 1:
+                out.append(found[start])
+        return out
 
     def figures(self, text: str) -> tuple[float, float, int]:
         """log of 1 + summed weight, the same per length, matches."""
@@ -165,11 +178,11 @@ def _count_task(batches):
     toxic, clean = Counter(), Counter()
     for b in batches:
         for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            (toxic if label else clean).update(features(fold(text)))
-    # counts of one task, bounded by the sample; terms of clean texts alone are counter-evidence elsewhere
+            (toxic if label else clean).update(set(fold(text).split()))
+    # counts of one task, bounded by the sample
     names = list(toxic.keys() | clean.keys())
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[t] for t in names], pa.int64()),
-                                      pa.array([clean[t] for t in names], pa.int64())], names=["term", "toxic", "clean"])
+                                      pa.array([clean[t] for t in names], pa.int64())], names=["word", "toxic", "clean"])
 
 
 def _lower_share(k: int, n: int, z: float = 1.64) -> float:
@@ -178,46 +191,79 @@ def _lower_share(k: int, n: int, z: float = 1.64) -> float:
     return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def _terms(rows, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Weighted lexicon of the counted terms: the shortest stem or word that is sure enough
-    stands for all that it begins."""
-    sure = {}
-    for term, toxic, clean in rows:
-        least = LEAST_SHARE_WORD if term.endswith(" ") else LEAST_SHARE_STEM
-        if _lower_share(toxic, toxic + clean) >= least:
-            odds = ((toxic + 0.5) / (n_toxic + 1)) / ((clean + 0.5) / (n_clean + 1))
-            sure[term] = max(0.0, math.log(odds))
-    kept: dict[str, float] = {}
-    for term in sorted(sure, key=lambda t: (len(t.rstrip()), t)):
-        bare = term.rstrip()
-        if not any(bare[:n] in kept for n in range(STEM[0] + 1, len(bare) + (term != bare))):
-            kept[term] = sure[term]
-    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0]))[:MAX_TERMS])
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
-        exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Lexicon from labelled documents (see the module's text for what bounds it)."""
+def _candidates(counts: DataFrame) -> dict[str, int]:
+    """Words (" word ") and stems (" pref") that are sure enough in the sample, with their toxic texts (for
+    a stem: the sum over its words)."""
+    words = counts.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") > F.col("clean"))).collect()
+    out = {f" {r['word']} ": r["toxic"] for r in words if _lower_share(r["toxic"], r["toxic"] + r["clean"]) >= LEAST_SHARE_WORD}
+    letters = F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), F.length("word") - 1))
+    cut = counts.where(F.length("word") > STEM[0]).select("toxic", "clean", F.explode(F.transform(
+        letters, lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("stem"))
+    leans = lambda a, b, times: F.count_if((F.col(a) >= LEAN_TEXTS) & (F.col(a) > times * F.col(b)))
+    stems = cut.groupBy("stem").agg(leans("toxic", "clean", 2).alias("for"), leans("clean", "toxic", 1).alias("against"),
+                                    F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    for r in stems.where((F.col("for") >= STEM_WORDS) & (F.col("against") == 0)).orderBy(F.length("stem"), "stem").collect():
+        shorter = any(f" {r['stem'][:n]}" in out for n in range(STEM[0], len(r["stem"])))
+        if not shorter and _lower_share(r["toxic"], r["toxic"] + r["clean"]) >= LEAST_SHARE_STEM:
+            out[f" {r['stem']}"] = r["toxic"]
+    return out
+
+
+def _texts_with(rows: DataFrame, terms: list[str], where: str | None = None) -> dict[str, int]:
+    """In how many texts each term stands, over all ``rows`` (column text); '' counts the texts."""
+    lexicon = Lexicon(dict.fromkeys(terms, 1.0))
+
+    def task(batches):
+        import pyarrow as pa
+
+        matcher, count = lexicon.matcher(), Counter()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                count[""] += 1
+                count.update(matcher.terms(fold(text)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())],
+                                         names=["term", "n"])
+
+    picked = rows.where(where) if where else rows
+    found = picked.select("text").mapInArrow(task, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r["term"]: r["n"] for r in found.collect()}  # one row a term
+
+
+def _weighted(terms: list[str], toxic: dict[str, int], every: dict[str, int]) -> dict[str, float]:
+    """Log of a term's share of toxic texts over its share of all other texts of the corpus, labelled or
+    not; those of too small a ratio are left out."""
+    n_toxic, n = toxic.get("", 0), max(0, every.get("", 0) - toxic.get("", 0))
+    out = {}
+    for t in sorted(terms):
+        held = toxic.get(t, 0)
+        ratio = ((held + 0.5) / (n_toxic + 1)) / ((max(0, every.get(t, 0) - held) + 0.5) / (n + 1))
+        if ratio >= LEAST_RATIO:
+            out[t] = math.log(ratio)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """Lexicon from labelled documents (see the module's text for what bounds it), weighed against all of ``docs``."""
     rows = _training_rows(docs, labels, max_labelled)
-    counts = (rows.mapInArrow(_count_task, "term string, toxic long, clean long")
-              .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     sizes = rows.groupBy("toxic").count().collect()  # two rows
     n_toxic, n_clean = (sum(r["count"] for r in sizes if r["toxic"] == t) for t in (True, False))
-    enough = counts.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") > F.col("clean")))
-    found = [(r["term"], r["toxic"], r["clean"]) for r in
-             enough.orderBy(F.desc("toxic"), "term").limit(16 * MAX_TERMS).collect()]
     prior = math.log((n_toxic + 0.5) / (n_clean + 0.5)) if n_toxic + n_clean else -2.0
     if not n_toxic or not n_clean:
         return Lexicon(exceptions=exceptions, curve=(min(prior, -1e-3), 0.0, 0.0))
-    lexicon = Lexicon(_terms(found, n_toxic, n_clean), exceptions)
+    counts = settle(rows.mapInArrow(_count_task, "word string, toxic long, clean long")
+                    .groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "toxicity-words")
+    terms = sorted(_candidates(counts))
+    release(counts)
+    every = _texts_with(docs.select(whole_text().alias("text")), terms)
+    lexicon = Lexicon(_weighted(terms, _texts_with(rows, terms, "toxic"), every), exceptions)
     lexicon.exceptions += _learned_exceptions(rows, lexicon)
     lexicon.curve = _curve(rows, lexicon)
     release(rows)
     return lexicon
 
 
-def _learned_exceptions(rows: DataFrame, lexicon: Lexicon, least: int = 3) -> tuple[str, ...]:
-    """Two-word phrases with a lexicon match that stand in clean labelled documents only."""
+def _learned_exceptions(rows: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
+    """Lexicon words with the word before or after them that stand in clean labelled texts only."""
 
     def task(batches):
         import pyarrow as pa
@@ -230,8 +276,11 @@ def _learned_exceptions(rows: DataFrame, lexicon: Lexicon, least: int = 3) -> tu
                 for start, _, _, _ in matcher.matches(folded):
                     end = folded.index(" ", start + 1)
                     word = folded[start + 1 : end]
-                    phrases.add(f"{word} {folded[end + 1 :].split(' ', 1)[0][:40]}".strip() if end + 1 < len(folded) else word)
-                count.update((p, bool(label)) for p in phrases if " " in p)
+                    if end + 1 < len(folded):
+                        phrases.add(f"{word} {folded[end + 1 : folded.index(' ', end + 1)]}")
+                    if start > 0:
+                        phrases.add(f"{folded[folded.rindex(' ', 0, start) + 1 : start]} {word}")
+                count.update((p, bool(label)) for p in phrases)
         keys = list(count)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()),
                                           pa.array([count[k] * k[1] for k in keys], pa.int64()),
@@ -240,8 +289,7 @@ def _learned_exceptions(rows: DataFrame, lexicon: Lexicon, least: int = 3) -> tu
 
     kept = (rows.mapInArrow(task, "phrase string, toxic long, clean long").groupBy("phrase")
             .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-            .where((F.col("toxic") == 0) & (F.col("clean") >= least))
-            .orderBy(F.desc("clean"), "phrase").limit(MAX_TERMS))
+            .where((F.col("toxic") == 0) & (F.col("clean") >= PHRASE_TEXTS)).orderBy("phrase"))
     return tuple(r["phrase"] for r in kept.collect())
 
 

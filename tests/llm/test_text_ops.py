@@ -229,14 +229,75 @@ def test_passages_of_long_items_are_found(spark):
 
 # --- toxicity --------------------------------------------------------------------------------
 
-def test_op7_held_out_accuracy(spark):
-    got = toxicity.op7_toxicity(spark, SF001).collect()
-    toxic = {r.doc_id: r.toxic for r in table(spark, SF001, "labels").collect()}
-    assert len(got) == table(spark, SF001, "documents").count()
+PLAIN = ("We walked along the path to the worthy old town, and it was lovely.", "The pathologist wrote a worthwhile paper.",
+         "It is an idiomatic expression worth learning", "The clown fish hid in the reef; put it in the trash can.")
+
+
+def slow_score(text, lexicon):
+    """Word by word, from the lexicon's tables alone."""
+    words = toxicity.fold(text or "").split()
+    phrases = [tuple(toxicity.fold(p).split()) for p in lexicon.exceptions]
+    total = 0.0
+    for i, w in enumerate(words):
+        own = [x for t, x in lexicon.weights.items() if t == f" {w} " or (not t.endswith(" ") and w.startswith(t[1:]))]
+        free = any(tuple(words[i - j : i - j + len(p)]) == p for p in phrases for j in range(len(p)) if i >= j)
+        if own and not free:
+            total += max(own)
+    return lexicon.probability(math.log1p(total), math.log1p(100 * total / (1 + len(words) + 1)))
+
+
+def test_op7_held_out_recall_and_brute_force_score(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    lexicon = toxicity.fit(docs, labels)
+    got = toxicity.score(docs, lexicon).collect()
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    assert len(got) == docs.count()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     held = [r for r in got if r.held_out and r.doc_id in toxic]
-    assert sum(r.predicted == toxic[r.doc_id] for r in held) >= 0.9 * len(held)
+    marked = [r for r in held if r.predicted]
+    caught = sum(toxic[r.doc_id] for r in marked)
+    assert caught >= 0.9 * sum(toxic[r.doc_id] for r in held) and caught >= 0.95 * len(marked)
+    matcher = lexicon.matcher()
+    assert all(lexicon.probability(*matcher.figures(t)[:2]) < 0.1 for t in PLAIN[:3])
+    texts = {r.doc_id: r.text for r in docs.where("doc_id % 10 = 0").collect()}
+    scores = {r.doc_id: r.score for r in got}
+    for i, t in texts.items():
+        assert abs(slow_score(t, lexicon) - scores[i]) < 1e-9
+
+
+def test_words_common_outside_the_sample_weigh_nothing(spark):
+    """'path' stands in toxic labelled texts only, but in most texts of the corpus."""
+    n = 400
+    toxic = [f"you grulk, off the path with you {i}" for i in range(100)]
+    clean = [f"a kind and quiet word {i}" for i in range(100)]
+    rest = [f"the path went on {i}" for i in range(n)]
+    labels = spark.createDataFrame([(i + 1, int(i < 100)) for i in range(200)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(cases.documents(spark, toxic + clean + rest), labels)
+    assert " gruik " in lexicon.weights and " path " not in lexicon.weights
+    matcher = lexicon.matcher()
+    assert lexicon.probability(*matcher.figures("you grulk")[:2]) >= 0.5 > lexicon.probability(*matcher.figures(PLAIN[0])[:2])
+
+
+def test_stems_need_many_toxic_words_and_no_clean_one(spark):
+    ends = ["er", "ing", "ish", "ed", "ers", "ly"]
+    toxic = [f"such a vorbax{ends[i % 6]} and a pathetic one {i}" for i in range(120)]
+    clean = [f"the pathway and the vorb {ends[i % 6]} {i}" for i in range(120)]
+    labels = spark.createDataFrame([(i + 1, int(i < 120)) for i in range(240)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(cases.documents(spark, toxic + clean), labels)
+    stems = {t for t in lexicon.weights if not t.endswith(" ")}
+    assert stems and all(s.startswith(" vorba") for s in stems)
+    assert lexicon.matcher().figures("vorbaxness")[2] == 1 and lexicon.matcher().figures("pathfinder")[2] == 0
+
+
+def test_exception_phrases_are_learned(spark):
+    toxic = [f"you clown number {i}" for i in range(60)]
+    clean = [f"the {'clown fish' if i % 5 == 0 else 'garden'} of {i}" for i in range(60)]
+    labels = spark.createDataFrame([(i + 1, int(i < 60)) for i in range(120)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(cases.documents(spark, toxic + clean), labels)
+    assert "ciown fish" in lexicon.exceptions
+    assert lexicon.matcher().figures("see the Clown Fish there")[2] == 0 and lexicon.matcher().figures("a clown")[2] == 1
 
 
 def test_folding_and_exceptions():
