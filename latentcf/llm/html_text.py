@@ -13,10 +13,14 @@ part of the template, one whose texts vary is a slot.
 The slots are extracted: those under <article> or <main> if there are any,
 else those of the block container that holds most of the remaining text.
 Elements whose tag or name says that they are menus, headers, footers, notices,
-adverts, forms, comments and the like are left out on every host; names do not
+adverts, forms, comments and the like are left out on every host. Names that
+are sure (a class "comments", "ad", "newsletter"; not "has-comments") count
+whatever the element holds, an <article> of comments included; the others do not
 count on html, body, main and article, around <main> or the page's largest
-<article>, or on what holds over half of the page's prose. Paragraphs
-and headings directly in an article are always a slot, however often a text is
+<article>, or on what holds over half of the page's prose. An <article> inside
+one that has prose of its own is a reader's. Of a <header> in the article its
+headings are kept. Buttons and lists of choices in a line of text belong to it.
+Paragraphs and headings directly in an article are always a slot, however often a text is
 repeated, and where the template would leave nothing of an article, it is not
 applied: copied articles are not boilerplate.
 
@@ -36,6 +40,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from html import unescape
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +53,15 @@ LEAST_SHARE = 0.02
 FIXED_SHARE = 0.95
 
 # Elements by their role.
-RAW = frozenset("script style noscript template textarea title iframe svg math object".split())
+RAW = frozenset("script style noscript template textarea title iframe annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
                   "figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option "
                   "p pre search section select summary table tbody td tfoot th thead tr ul button label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEFT_OUT = frozenset("head nav footer aside form menu dialog select button search".split())
+#: within a line of text they belong to it
+CONTROLS = frozenset("button select option label".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr option".split())
 CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table tbody thead tr td th section".split())
 #: words in a class, id or role that name something beside the article
@@ -63,67 +71,104 @@ BESIDE = frozenset("ad ads adv advert advertisement advertising banner breadcrum
                    "share sharing sidebar social sponsor sponsored subscribe toolbar topbar widget alert complementary "
                    "contentinfo search".split())
 
+#: names of these mean what they say, however much the element holds, unless the class only speaks of them
+SURE = frozenset("ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent "
+                 "cookie cookies disqus footer gdpr masthead nav navbar navigation newsletter popup promo promoted respond "
+                 "sponsor sponsored".split())
+SPEAKS_OF = frozenset("has with without no non hide show open closed free enabled disabled allow single post page content main "
+                      "article entry layout category tag".split())
+
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                      r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
-#: elements whose names say nothing of what they hold
+#: elements whose names say nothing of what they hold (but an article that is a comment)
 WHOLE = frozenset("html body main article".split())
 #: blocks of fewer characters (menu entries, captions) are no prose
 PROSE = 40
+#: so many named elements (articles) inside one another decide; no text is lost by deeper ones
+NOTED = 64
 
 
-def _signature(tag: str, attributes: str) -> tuple[str, bool]:
-    """Element's part of a path, and whether its names say that it lies beside the article."""
+def _signature(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """Element's part of a path, whether its names say that it lies beside the article, and whether they are sure."""
     names = " ".join((m[2] or m[3] or m[4] or "") for m in _NAMES.finditer(attributes)) if attributes else ""
-    names = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names)
-    words = _WORD.findall(names.lower())
+    names = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names)
+    each = [_WORD.findall(token) for token in names.lower().split()]
+    words = [w for token in each for w in token]
+    sure = tag not in ("html", "body", "main") and any(not SURE.isdisjoint(t) and SPEAKS_OF.isdisjoint(t) for t in each)
     beside = tag not in WHOLE and any(w in BESIDE for w in words)
-    return (f"{tag}.{'.'.join(words[:6])}" if words else tag), beside
+    return (f"{tag}.{'.'.join(words[:6])}" if words else tag), beside or sure, sure
+
+
+class _Block(NamedTuple):
+    path: str
+    text: str
+    left_out: bool
+    named: tuple  # numbers of the elements around it whose names say that they lie beside the article
+    mains: tuple  # (number, named) of the <main> and <article> elements around it
+    articles: tuple
 
 
-def _kept_names(found) -> set[int]:
+def _kept_names(found: list[_Block], sure: set[int]) -> set[int]:
     """Named elements that are not beside the article all the same: those around <main> or the page's
-    largest <article>, and those with over half of its prose (of its articles' prose, where it has any)."""
+    largest <article>, and those with over half of its prose (of its articles' prose, where it has any).
+    Sure names are kept only around the page's only articles."""
     mains, articles = set(), Counter()
     prose, inside = Counter(), Counter()  # by whether in an article, and by element too
-    for _, text, left_out, named, main, article in found:
-        if left_out:
-            continue
-        mains.update(main)
-        for a in article:
-            articles[a] += len(text)
-        within = bool(main or article)
-        size = len(text) if len(text) >= PROSE else 0
+    free = [b for b in found if not b.left_out and not any(e in sure for e in b.named)]
+    if not any(b.mains or b.articles for b in free) and any(b.mains or b.articles for b in found if not b.left_out):
+        free = [b for b in found if not b.left_out and (b.mains or b.articles)]
+    for b in free:
+        mains.update(b.mains)
+        for a in b.articles:
+            articles[a] += len(b.text)
+        within = bool(b.mains or b.articles)
+        size = len(b.text) if len(b.text) >= PROSE else 0
         prose[within] += size
-        for e in named:
+        for e in b.named:
             inside[e, within] += size
     within = bool(mains or articles)  # where there are articles, only their prose counts
-    kept = {e for (e, w), n in inside.items() if w == within and 2 * n > prose[w]}
+    kept = {e for (e, w), n in inside.items() if w == within and 2 * n > prose[w] and e not in sure}
     largest = max(articles.items(), key=lambda x: (x[1], -x[0][0]))[0] if articles and not mains else None
     for whole in (*mains, *([largest] if largest else ())):
         kept.update(whole[1])
     return kept
 
 
+def _nested(found: list[_Block]) -> set[int]:
+    """Articles inside an article that has prose of its own: what readers wrote below it."""
+    own = Counter()
+    for b in found:
+        if b.articles and not b.left_out and not b.named:
+            own[b.articles[-1][0]] += len(b.text) if len(b.text) >= PROSE else 0
+    return {inner[0] for b in found for outer, inner in zip(b.articles, b.articles[1:]) if own[outer[0]]}
+
+
 def blocks(html: str) -> list[tuple[str, str, bool]]:
     """(path, text, beside) of every block of a page, in page order; inline elements and line
     breaks do not end a block, block elements do."""
-    out, text = [], []
-    # tag, path, left out, named elements, <main> and <article> elements (number, named elements around) it is in
-    stack: list[tuple[str, str, bool, tuple, tuple, tuple]] = []
+    out: list[_Block] = []
+    text: list[str] = []
+    # tag, path, left out, named elements, <main> and <article> elements (number, named elements around) it is in, in a header
+    stack: list[tuple[str, str, bool, tuple, tuple, tuple, bool]] = []
+    open_tags: Counter = Counter()
+    sure: set[int] = set()
     elements = 0
 
     def flush():
         joined = " ".join(unescape("".join(text)).split())
         if joined:
-            path, *where = stack[-1][1:] if stack else ("", False, (), (), ())
-            out.append((path, joined, *where))
+            path, left_out, named, mains, articles, header = stack[-1][1:] if stack else ("", False, (), (), (), False)
+            # of a header in the article its headings are kept
+            left_out = left_out or (header and not ((mains or articles) and stack[-1][0] in HEADINGS))
+            out.append(_Block(path, joined, left_out, named, mains, articles))
         text.clear()
 
     def close_to(depth):
+        open_tags.subtract(e[0] for e in stack[depth:])
         del stack[depth:]
 
     at, n = 0, len(html)
@@ -145,15 +190,19 @@ def blocks(html: str) -> list[tuple[str, str, bool]]:
                 at = end.end() if end else n
             continue
         if tag == "br" or tag not in BLOCK:
-            if tag in ("br", "img", "input", "wbr") and tag != "wbr":
+            if tag in ("br", "img", "input"):
                 text.append(" ")
             continue
+        if tag in CONTROLS and stack and stack[-1][0] in SINGLE and stack[-1][0] != tag:  # in a line of text
+            text.append(" ")
+            continue
         flush()
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    close_to(depth)
-                    break
+            if open_tags[tag] > 0:
+                depth = len(stack) - 1
+                while stack[depth][0] != tag:
+                    depth -= 1
+                close_to(depth)
             continue
         if tag in SINGLE:  # an open element of the same kind, or a paragraph, ends here
             for depth in range(len(stack) - 1, -1, -1):
@@ -167,20 +216,25 @@ def blocks(html: str) -> list[tuple[str, str, bool]]:
             close_to(len(stack) - 1)
         if tag in VOID:
             continue
-        part, beside = _signature(tag, m[3])
-        above, left_out, named, mains, articles = stack[-1][1:] if stack else ("", False, (), (), ())
-        if len(stack) < 200:  # deeper nesting stays on one path
-            elements += 1
-            if beside:
-                named = (*named, elements)
-            if tag == "main":
-                mains = (*mains, (elements, named))
-            if tag == "article":
-                articles = (*articles, (elements, named))
-            stack.append((tag, f"{above}/{part}" if len(above) < 2000 else above, left_out or tag in LEFT_OUT, named, mains, articles))
+        part, beside, certain = _signature(tag, m[3])
+        above, left_out, named, mains, articles, header = stack[-1][1:] if stack else ("", False, (), (), (), False)
+        elements += 1
+        if beside:
+            named = (*named, elements) if len(named) < NOTED else named
+            if certain:
+                sure.add(elements)
+        if tag == "main" and len(mains) < NOTED:
+            mains = (*mains, (elements, named))
+        if tag == "article" and len(articles) < NOTED:
+            articles = (*articles, (elements, named))
+        # very deep nesting stays on one path; the elements are kept apart all the same
+        stack.append((tag, f"{above}/{part}" if len(above) < 2000 else above, left_out or tag in LEFT_OUT, named, mains, articles,
+                      header or tag == "header"))
+        open_tags[tag] += 1
     flush()
-    kept = _kept_names(out) if any(b[3] for b in out) else ()
-    return [(path, t, left_out or any(e not in kept for e in named)) for path, t, left_out, named, _, _ in out]
+    kept = _kept_names(out, sure) if any(b.named for b in out) else set()
+    inner = _nested(out)
+    return [(b.path, b.text, b.left_out or any(e not in kept for e in b.named) or any(a[0] in inner for a in b.articles)) for b in out]
 
 
 def _is_article(path: str) -> bool:

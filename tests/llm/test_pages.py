@@ -162,3 +162,36 @@ def test_pages_odd_rows(spark):
     assert html_text.extract(pages(spark, [])).count() == 0
     assert [r[0] for r in spark.createDataFrame([("HTTP://u@Host.X:80/p",), ("x",), (None,)], "u string")
             .select(html_text.host_of(F.col("u"))).collect()] == ["host.x", "", ""]
+
+
+LONGER = "It holds more than forty characters of prose, so that it counts as such."
+
+
+@pytest.mark.parametrize("html, text", [
+    # comments, adverts and headers are out whatever their share
+    (f"<article><h1>T</h1><p>Short.</p><div class='comments'><p>{LONGER}</p><p>{LONGER}</p><p>{LONGER}</p></div></article>", "T\nShort."),
+    (f"<article><p>{LONGER}</p></article><section><article class='comment'><p>{LONGER} {LONGER}</p></article></section>", LONGER),
+    (f"<div><p>{LONGER}</p></div><div class='ad'><p>{LONGER} {LONGER}</p><p>{LONGER} {LONGER}</p></div>", LONGER),
+    (f"<article><p>{LONGER}</p><article><p>First! {LONGER}</p></article></article>", LONGER),
+    (f"<main><header>SITE MENU TEXT</header><p>{LONGER}</p></main>", LONGER),
+    (f"<article><header><h1>Title</h1><div>by someone</div></header><p>{LONGER}</p></article>", f"Title\n{LONGER}"),
+    # names that only speak of comments and adverts say nothing
+    (f"<div class='post has-comments'><article class='comments-open'><p>{LONGER}</p></article></div>", LONGER),
+    (f"<div class='comments'><article><p>{LONGER}</p></article></div>", LONGER),
+    # text that belongs to the article
+    (f"<article><p>{LONGER} <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>x+1</annotation></math> end</p></article>", f"{LONGER} x+1 end"),
+    (f"<article><p>Press <button>Start</button> now. {LONGER}</p></article>", f"Press Start now. {LONGER}"),
+    (f"<article><p>Pick <select><option>one</option><option>two</option></select>. {LONGER}</p></article>", f"Pick one two . {LONGER}"),
+    (f"<article><p>See <object data='x'>the film</object>. {LONGER}</p></article>", f"See the film. {LONGER}"),
+    (f"<article><figure><svg><style>a</style><text>Label</text></svg></figure><p>{LONGER}</p></article>", f"Label\n{LONGER}"),
+])
+def test_what_belongs_to_the_article(html, text):
+    assert html_text.main_text(f"<html><body>{html}</body></html>") == text
+
+
+@pytest.mark.parametrize("depth", [10, 250, 30_000])
+def test_any_depth_is_balanced(depth):
+    html = f"<div><article><p>START {LONGER}</p>{'<div>' * depth}deep{'</div>' * depth}<p>END {LONGER}</p></article></div>"
+    assert html_text.main_text(html) == f"START {LONGER}\ndeep\nEND {LONGER}"
+    html = f"<article><p>START {LONGER}</p>{'<div class=ad>' * depth}deep{'</div>' * depth}<p>END {LONGER}</p></article>"
+    assert html_text.main_text(html) == f"START {LONGER}\nEND {LONGER}"
