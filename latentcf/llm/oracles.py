@@ -45,12 +45,13 @@ base AS MATERIALIZED (
   UNION ALL SELECT rid, 2, 'hex', start, start + length(found) FROM hex_m WHERE length(found) >= 32),
 free AS MATERIALIZED (
   SELECT rid, found, start, start + length(found) AS past,
-    CASE WHEN regexp_full_match(found, '[0-9+/_=-]+') THEN NULL
+    CASE WHEN regexp_full_match(found, '[0-9+/_=-]+') THEN 3.2
          WHEN regexp_full_match(found, '[0-9a-f]+|[0-9A-F]+') THEN 3.0
-         WHEN regexp_full_match(found, '[A-Za-z/_=-]+') THEN NULL ELSE 3.8 END AS least
+         WHEN regexp_full_match(found, '[A-Za-z/_=-]+') THEN 4.0 ELSE 3.8 END AS least
   FROM candidate_m c
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = c.rid AND b.start < c.start + length(found) AND c.start < b.past)
-    AND NOT regexp_matches(lower(found), '^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$|example')
+    AND NOT regexp_matches(lower(found), '^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$')
+    AND NOT regexp_full_match(found, 'AKIA[A-Z0-9]{{9,}}EXAMPLE|wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY')
     AND length(replace(found, found[1], '')) > 0
     AND NOT regexp_full_match(found, '/?[A-Za-z_-]+(?:/[A-Za-z0-9_-]{{1,12}}){{2,16}}/?')),
 windows AS (SELECT rid, start, past, least, string_split(substr(found, p, 20), '') AS cs

@@ -6,7 +6,7 @@ character counts inside it are kept up to date as one character enters and one
 leaves, and with them the sum of c * log2(c), which gives the Shannon entropy.
 The highest window is held against the limit of the candidate's character
 class. Candidates on the allow-list, and those that touch a base span, add
-nothing.
+nothing. The work grows with the text and its matches, not with their product.
 
 Everything is one pass over each row: no shuffle, no Python. Offsets are code
 points, end exclusive.
@@ -35,24 +35,51 @@ BASE = {
 KINDS = (*BASE, "entropy")
 
 WINDOW = 20
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
+#: a character that stands for those of base spans while candidates are looked for
+MASK = "\x01"
+CANDIDATE = r"(?<![A-Za-z0-9+/_\x01-])[A-Za-z0-9+/_\x01-]{20,}={0,2}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 #: character class -> (pattern of the whole candidate, least entropy in bits), first match decides
 CLASSES = {
-    "digits": (r"^[0-9+/_=-]+$", math.inf),
+    "digits": (r"^[0-9+/_=-]+$", 3.2),
     "hex": (r"^(?:[0-9a-f]+|[0-9A-F]+)$", 3.0),
-    "letters": (r"^[A-Za-z/_=-]+$", math.inf),
+    "letters": (r"^[A-Za-z/_=-]+$", 4.0),
     "base64": (r"", 3.8),
 }
 #: candidates that are no secrets: UUIDs, documented example keys, one character repeated, paths of words
 ALLOWED = (
     r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    r"(?i)example",
+    r"^(?:AKIA[A-Z0-9]{9,}EXAMPLE|wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY)$",
     r"^(.)\1+$",
     r"^/?[A-Za-z_-]+(?:/[A-Za-z0-9_-]{1,12}){2,16}/?$",
 )
 
 
+#: entries of an array that one fold goes through; folds of folds keep long arrays linear
+STRIDE = 64
+
+
+def running(items: Column, measure, combine, zero: int = 0) -> Column:
+    """For each entry of an array, ``combine`` over the ``measure`` of all entries before it (whole
+    numbers), in two levels: totals of strides first, then each stride from its own start."""
+    none = F.expr("cast(array() as array<int>)")
+
+    def each(array):
+        n = F.size(array)
+        strides = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / STRIDE).cast("int"))).otherwise(none)
+        places = lambda c: F.sequence(c * STRIDE + 1, F.least(n, (c + 1) * STRIDE))
+        value = lambda i: measure(F.element_at(array, i)).cast("int")
+        start = lambda at: F.struct(at.cast("int").alias("at"), none.alias("out"))
+        noted = lambda acc, v: F.struct(combine(acc["at"], v).cast("int").alias("at"),
+                                        F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        totals = F.transform(strides, lambda c: F.aggregate(places(c), F.lit(zero), lambda a, i: combine(a, value(i)).cast("int")))
+        firsts = F.aggregate(totals, start(F.lit(zero)), noted, lambda acc: acc["out"])
+        return let(firsts, lambda first: F.flatten(F.transform(strides, lambda c: F.aggregate(
+            places(c), start(F.element_at(first, c + 1)), lambda acc, i: noted(acc, value(i)), lambda acc: acc["out"]))))
+
+    return let(items, each)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array of struct(start, end, found): the leftmost non-overlapping matches, with their
     places from the lengths of what lies between them."""
@@ -61,14 +88,48 @@ def matches(text: Column, pattern: str) -> Column:
     zipped = let(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)),
                  lambda found: F.arrays_zip(found.alias("found"), F.slice(between, 1, F.size(found)).alias("before")))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["found"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(z):
+        ahead = running(z, lambda x: F.length(x["before"]) + F.length(x["found"]), lambda a, b: a + b)
+
+        def one(x, at):
+            start = at + F.length(x["before"])
+            return F.struct(start.alias("start"), (start + F.length(x["found"])).alias("end"), x["found"].alias("found"))
+
+        return F.zip_with(z, ahead, one)
+
+    return F.when(text.rlike(pattern), let(zipped, placed)).otherwise(nothing)
+
 
-    folded = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), folded).otherwise(nothing)
+#: code points of a piece of text, when parts of it are taken out
+PIECE = 1024
+
+
+def replaced(text: Column, spans: Column, mark) -> Column:
+    """``text`` with each span (struct with start and end, in order of their starts; overlapping ones as one
+    place) written as ``mark(its code points)``. Parts are taken from pieces of the text, so that their cost
+    does not grow with their place in it."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{PIECE}}})"), F.lit(1))
+
+    def part(cut, start, end):
+        """Code points from start to before end."""
+        first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+        chunk = lambda i: F.element_at(cut, i + 1).substr(
+            F.greatest(start - i * PIECE, F.lit(0)) + 1, F.least(end, (i + 1) * PIECE) - F.greatest(start, i * PIECE))
+        return F.when(end > start, F.array_join(F.transform(F.sequence(first, F.greatest(first, last)), chunk), "")).otherwise("")
+
+    def joined(cut, ordered):
+        until = running(ordered, lambda s: s["end"], F.greatest)
+
+        def written_out(s, at):
+            # what lies ahead of the span, and the part of the span that no earlier one covers
+            covered = s["end"] - F.greatest(s["start"], at)
+            return F.when(s["end"] <= at, "").otherwise(F.concat(
+                F.when(s["start"] >= at, part(cut, at, s["start"])).otherwise(""), mark(covered, s["start"] >= at)))
+
+        done = F.array_join(F.zip_with(ordered, until, written_out), "")
+        return F.concat(done, part(cut, F.array_max(F.transform(ordered, lambda s: s["end"])), F.length(text)))
+
+    return F.when(F.size(spans) > 0, let(pieces, lambda cut: let(spans, lambda o: joined(cut, o)))).otherwise(text)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -111,13 +172,13 @@ def max_entropy(candidate: Column, window: int = WINDOW) -> Column:
 
 
 def _is_secret(candidate: Column) -> Column:
-    limit = F.lit(math.inf)
+    limit = F.lit(None)
     for pattern, least in reversed(CLASSES.values()):
         limit = F.when(candidate.rlike(pattern), F.lit(least)).otherwise(limit) if pattern else F.lit(least)
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | candidate.rlike(pattern)
-    return F.when((limit == math.inf) | allowed, False).otherwise(max_entropy(candidate) >= limit)
+    return F.when(allowed, False).otherwise(max_entropy(candidate) >= limit)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -131,8 +192,11 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole_text().alias("_text"))
     rows = rows.withColumns({f"_{k}": base_spans(F.col("_text"), k) for k in BASE})
     rows = rows.withColumn("_base", F.array_sort(F.concat(*[typed(F.col(f"_{k}"), k) for k in BASE])))
-    free = F.filter(matches(F.col("_text"), CANDIDATE),
-                    lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    # base spans are masked: a run of candidate characters that touches one holds the mask
+    clear = F.translate(F.col("_text"), MASK, " ")
+    rows = rows.withColumn("_masked", F.when(F.col("_text").rlike(CANDIDATE), replaced(
+        clear, F.col("_base"), lambda n, _: F.repeat(F.lit(MASK), n))).otherwise(""))
+    free = F.filter(matches(F.col("_masked"), CANDIDATE), lambda m: ~F.contains(m["found"], F.lit(MASK)))
     rows = rows.withColumn("_entropy", F.filter(free, lambda m: _is_secret(m["found"])))
     return rows.select("row", "_text",
                        *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS], "_base",
@@ -149,16 +213,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     (overlapping spans as one) and n_chars, where there is such a column, set to the new length."""
     names = docs.columns
     found = scan(docs)
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-
-    def step(acc, s):
-        ahead = F.substring(F.col("_text"), acc["at"] + 1, s["start"] - acc["at"])
-        apart = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(apart, F.concat(acc["out"], F.array(ahead, F.lit(mark)))).otherwise(acc["out"]).alias("out"))
-
-    new = F.aggregate("_spans", start, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(F.col("_text"), acc["at"] + 1, F.length("_text") - acc["at"])))
+    new = replaced(F.col("_text"), F.col("_spans"), lambda _, apart: F.when(apart, F.lit(mark)).otherwise(""))
     hit = F.size("_spans") > 0
     found = found.withColumn("_new", F.when(hit, new))
     changed = {"text": F.coalesce("_new", F.col("row.text"))}

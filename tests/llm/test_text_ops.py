@@ -227,6 +227,60 @@ def test_passages_of_long_items_are_found(spark):
     assert pairs[0].coverage < 0.5
 
 
+def slow_redact(text, spans, mark="[SECRET]"):
+    out, at = [], 0
+    for start, end in sorted(spans):
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:] if spans else text
+
+
+def spans_of(text, written):
+    return [tuple(map(int, x.split(":")[1:])) for x in written.split(",")] if written else []
+
+
+def test_keys_of_letters_or_digits_and_keys_that_hold_a_common_word(spark):
+    rng = random.Random(8)
+    letters, lower = ("".join(rng.sample(string, 26)) for string in
+                      ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    holds = "qX7example9fT2mWz4Rk8Lp0"
+    plain = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "Rindfleischetikettierungsgesetz",
+             "2024-05-01/2024-06-01/2024", "path/to/some/longer/place"]
+    texts = [f"see {t} there" for t in (letters, lower, holds, "73920184650918273645")] + [f"see {t} there" for t in plain]
+    rows = secrets.scan(cases.documents(spark, texts)).select("row.doc_id", "n_entropy").collect()
+    assert {r.doc_id: r.n_entropy for r in rows} == {i + 1: int(i < 4) for i in range(len(texts))}
+
+
+def test_redaction_over_pieces_and_overlaps(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 7)
+    monkeypatch.setattr(secrets, "STRIDE", 3)
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("abcdef0123456789") for _ in range(32 + rng.randrange(9)))
+    texts = ["", "no secret é日😀", key(), f"token={key()}", f"é{key()}日 {key()}", *(
+        " ".join(rng.choice([key(), "word", "é日😀", f'password: "{key()}"', "AKIA" + "Q7" * 8]) for _ in range(n)) for n in range(1, 40))]
+    docs = cases.documents(spark, texts)
+    spans = {r.doc_id: r.spans for r in secrets.scan(docs).select("row.doc_id", secrets.written(F.col("_spans")).alias("spans")).collect()}
+    got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(docs).collect()}
+    for i, t in enumerate(texts, 1):
+        want = slow_redact(t, spans_of(t, spans[i]))
+        assert got[i] == (want, len(want))
+
+
+def test_very_many_matches_in_one_text(spark):
+    import time
+
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdef0123456789") for _ in range(40)) for _ in range(32_000))
+    docs = cases.documents(spark, [text, "short"])
+    start = time.time()
+    rows = {r.doc_id: (r.n_hex, r.last) for r in secrets.scan(docs).select(
+        "row.doc_id", "n_hex", F.expr("try_element_at(_spans, -1).end").alias("last")).collect()}
+    assert rows == {1: (32_000, len(text)), 2: (0, None)}
+    assert {r.text for r in secrets.redact(docs).collect()} == {" ".join(["[SECRET]"] * 32_000), "short"}
+    assert time.time() - start < 30
+
+
 # --- toxicity --------------------------------------------------------------------------------
 
 PLAIN = ("We walked along the path to the worthy old town, and it was lovely.", "The pathologist wrote a worthwhile paper.",
