@@ -46,8 +46,8 @@ def main():
 
     t = time.time()
     train, test = hash_split(pairs, 0.1, 42)
-    train = em.prepare_pairs(train)
-    test = em.prepare_pairs(test)
+    train = em.prepare_pairs(train, distinct=True)
+    test = em.prepare_pairs(test, distinct=True)
     info["train"], info["test"] = train.count(), test.count()
     times["split"] = time.time() - t
 
@@ -101,7 +101,7 @@ def main():
     t = time.time()
     words = em.prepare_pairs(tables.word_pairs(spark, SF_DIR))
     wtrain, wtest = hash_split(words, 0.1, 42)
-    wtrain, wtest = em.prepare_pairs(wtrain), em.prepare_pairs(wtest)
+    wtrain, wtest = em.prepare_pairs(wtrain, distinct=True), em.prepare_pairs(wtest, distinct=True)
     info["words_pairs"] = words.count()
     times["words_pairs_split"] = time.time() - t
     t = time.time()

@@ -31,6 +31,7 @@ def _parser() -> argparse.ArgumentParser:
     f.add_argument("--seed", type=int, default=42)
     f.add_argument("--top-n", type=int, default=10)
     f.add_argument("--threshold", type=float)
+    f.add_argument("--rejects", help="folder for lines that are no clicks; without it such an id is an error")
     e = sub.add_parser("evaluate", help="split, fit, threshold sweep and AUC on held-out pairs")
     e.add_argument("--input", required=True)
     e.add_argument("--k", type=int, default=3)
@@ -49,6 +50,8 @@ def _parser() -> argparse.ArgumentParser:
     ks.add_argument("--ks", type=int, nargs="+", default=[2, 3, 4, 5, 6, 10, 15, 20])
     ks.add_argument("--passes", type=int, default=30)
     ks.add_argument("--csv")
+    ks.add_argument("--tol", type=float, help="each k stops once its log-likelihood moves by less")
+    ks.add_argument("--run-dir", help="shared folder from which a restarted sweep resumes")
     return p
 
 
@@ -59,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName(f"latentcf-{a.cmd}").getOrCreate()
     if a.cmd == "fit":
         m = jobs.cluster_em_job(spark, a.input, a.output, a.metadata, k=a.k, passes=a.passes, seed=a.seed,
-                                    top_n=a.top_n, threshold=a.threshold)
+                                    top_n=a.top_n, threshold=a.threshold, rejects_path=a.rejects)
         print(json.dumps({"passes": m.passes, "logliks": m.logliks, "seconds": m.seconds}))
     elif a.cmd == "evaluate":
         run = jobs.notebook_run(spark, a.input, k=a.k, passes=a.passes, alpha=a.alpha, seed=a.seed,
@@ -71,7 +74,7 @@ def main(argv: list[str] | None = None) -> int:
         run = jobs.lda_run(spark, a.input, k=a.k, max_iter=a.passes, threshold=a.threshold)
         print(json.dumps(run["metrics"].first().asDict(), default=int))
     elif a.cmd == "ksweep":
-        df = jobs.k_selection(spark, a.input, ks=a.ks, passes=a.passes, sweep_csv=a.csv)
+        df = jobs.k_selection(spark, a.input, ks=a.ks, passes=a.passes, sweep_csv=a.csv, tol=a.tol, run_dir=a.run_dir)
         for r in df.orderBy("k", "iteration").collect():
             print(json.dumps(r.asDict(), default=int))
     return 0

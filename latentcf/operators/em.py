@@ -475,26 +475,27 @@ def grid_aggregate(grid: PairGrid, users: DataFrame, items: DataFrame, names: li
 # ---------------------------------------------------------------- fit
 
 
-def prepare_pairs(pairs: DataFrame, weight_col: str | None = None) -> DataFrame:
+def prepare_pairs(pairs: DataFrame, weight_col: str | None = None, distinct: bool = False) -> DataFrame:
     """Write the distinct pairs once to the shared folder and read them back (weights of equal
-    pairs add up; a pair given twice would otherwise count twice in every sum).
+    pairs add up; a pair given twice would otherwise count twice in every sum). ``distinct``: they are
+    known to be distinct already, as both sides of a split are.
 
     Writing cuts the source lineage (the orders ⋈ lineitem join and the
     distinct) and makes a lost executor cost a re-read, not a recompute
     from the raw logs.
     """
-    return _write_pairs(pairs, weight_col)[0]
+    return _write_pairs(pairs, weight_col, distinct)[0]
 
 
-def _write_pairs(pairs: DataFrame, weight_col: str | None) -> tuple[DataFrame, str]:
+def _write_pairs(pairs: DataFrame, weight_col: str | None, distinct: bool = False) -> tuple[DataFrame, str]:
     spark = pairs.sparkSession
     path = scratch_path(spark, "pairs")
     if weight_col:
-        distinct = pairs.groupBy("u", "s").agg(F.sum(weight_col).alias(weight_col))
+        one_each = pairs.groupBy("u", "s").agg(F.sum(weight_col).alias(weight_col))
     else:
-        distinct = pairs.select("u", "s").distinct()
-    distinct.write.parquet(path)
-    return spark.read.schema(distinct.schema).parquet(path), path
+        one_each = pairs.select("u", "s") if distinct else pairs.select("u", "s").distinct()
+    one_each.write.parquet(path)
+    return spark.read.schema(one_each.schema).parquet(path), path
 
 
 def prepare_layout(pairs: DataFrame, weight_col: str | None = None, prepared: bool = False) -> PairLayout:

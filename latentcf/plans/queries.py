@@ -71,8 +71,8 @@ def _split(spark, d, pairs=None):
     """Train and test, each written once: queries use them several times."""
     pairs = em.prepare_pairs(_pairs(spark, d) if pairs is None else pairs)
     train, test = split.raw_split(pairs, ALPHA, SEED)
-    train = em.prepare_pairs(train)
-    return train, em.prepare_pairs(split.restrict_to_vocabulary(test, train))
+    train = em.prepare_pairs(train, distinct=True)
+    return train, em.prepare_pairs(split.restrict_to_vocabulary(test, train), distinct=True)
 
 
 def _fit(spark, d, k=K, passes=PASSES):
