@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from latentcf.operators import scoring
@@ -71,6 +72,19 @@ def test_cluster_job_and_notebook_run(spark, tmpdir_path):
     assert run["sweep"].count() == 2 and run["auc"].first()["auc"] > 0.7
 
 
+def test_cluster_job_keeps_rejected_lines(spark, tmpdir_path):
+    src, out, bad = (os.path.join(tmpdir_path, x) for x in ("ratings", "out", "rejects"))
+    _write(src, "r.csv", [(r.u, r.s, 1) for r in planted_blocks(spark).collect()])
+    with open(os.path.join(src, "s.csv"), "w") as f:
+        f.write("userId,movieId\n1,1000\nx,1001\n7\n")
+    with pytest.raises(Exception, match="no whole number"):
+        jobs.cluster_em_job(spark, src, out, k=2, passes=1, top_n=None)
+    m = jobs.cluster_em_job(spark, src, out, k=2, passes=1, top_n=None, rejects_path=bad)
+    assert m.n_users == 60
+    assert {(r.line, r.reason) for r in spark.read.parquet(bad).collect()} == {
+        ("x,1001", "user is no whole number"), ("7", "one field")}
+
+
 def test_lda_run(spark, tmpdir_path):
     run = jobs.lda_run(spark, planted_blocks(spark), k=3, max_iter=5, threshold=1e-5)
     r = run["metrics"].first()
