@@ -75,25 +75,32 @@ def _plain(word: Column) -> Column:
     return F.when(_is_slot(word), F.substring(word, 2, 2**31 - 1)).otherwise(word)
 
 
-def window_hashes(words: Column, size: Column) -> Column:
+def window_hashes(words: Column, size: Column | int) -> Column:
     """array of struct(place, hash, raw) of every run of ``size`` words: the hash of its template and
     that of its words themselves, which are equal where the run holds no placeholder."""
+    n = F.lit(size) if isinstance(size, int) else size
+
+    def run(hashes, i):
+        if isinstance(size, int):  # equal to the hash of the slice, without a copy of the array per window
+            return F.xxhash64(*[F.element_at(hashes, i + j) for j in range(size)])
+        return F.xxhash64(F.slice(hashes, i, n))
 
     def runs(hashes):
-        starts = F.when(F.size(words) >= F.greatest(size, F.lit(1)), F.sequence(F.lit(1), F.size(words) - size + 1))
-        return F.transform(starts, lambda i: F.struct((i - 1).alias("place"), F.xxhash64(F.slice(hashes["t"], i, size)).alias("hash"),
-                                                      F.xxhash64(F.slice(hashes["r"], i, size)).alias("raw")))
+        starts = F.when(F.size(words) >= F.greatest(n, F.lit(1)), F.sequence(F.lit(1), F.size(words) - n + 1))
+        return F.transform(starts, lambda i: F.struct((i - 1).alias("place"), run(hashes["t"], i).alias("hash"),
+                                                      run(hashes["r"], i).alias("raw")))
 
     return let(F.struct(F.transform(words, lambda w: F.xxhash64(_template(w))).alias("t"),
                         F.transform(words, lambda w: F.xxhash64(_plain(w))).alias("r")), runs)
 
 
-def _windows(texts: DataFrame, keys: list[str], size: Column, slots: bool) -> DataFrame:
+def _windows(texts: DataFrame, keys: list[str], size: Column | int, slots: bool) -> DataFrame:
     """(keys, place, hash, raw [, slots, literals, length]) of every window; ``texts`` has the keys and column words."""
+    n = F.lit(size) if isinstance(size, int) else size
     kept = texts.select(*keys, "words", F.explode(window_hashes(F.col("words"), size)).alias("w")).select(*keys, "words", "w.*")
     if not slots:
         return kept.drop("words")
-    run = F.slice("words", F.col("place") + 1, size)
+    run = F.slice("words", F.col("place") + 1, n)
     return kept.select(*keys, "place", "hash", "raw", F.filter(run, _is_slot).alias("slots"),
                        F.size(F.filter(run, lambda w: ~_is_slot(w))).alias("literals"), F.size(run).alias("length"))
 
@@ -138,7 +145,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
                                     template_words(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("words"))
 
     def windows(texts, slots):
-        parts = [_windows(texts, keys, F.lit(n), slots) for n in lengths]
+        parts = [_windows(texts, keys, n, slots) for n in lengths]
         return reduce(DataFrame.unionByName, parts)
 
     either = F.when(F.col("hash") == F.col("raw"), F.array("hash")).otherwise(F.array("hash", "raw"))
