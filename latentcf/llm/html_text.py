@@ -38,7 +38,8 @@ their row; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from functools import lru_cache
 from html import unescape
 from typing import NamedTuple
 
@@ -92,6 +93,7 @@ PROSE = 40
 NOTED = 64
 
 
+@lru_cache(maxsize=16_384)
 def _signature(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """Element's part of a path, whether its names say that it lies beside the article, and whether they are sure."""
     names = " ".join((m[2] or m[3] or m[4] or "") for m in _NAMES.finditer(attributes)) if attributes else ""
@@ -154,7 +156,7 @@ def blocks(html: str) -> list[tuple[str, str, bool]]:
     text: list[str] = []
     # tag, path, left out, named elements, <main> and <article> elements (number, named elements around) it is in, in a header
     stack: list[tuple[str, str, bool, tuple, tuple, tuple, bool]] = []
-    open_tags: Counter = Counter()
+    open_tags: dict[str, int] = defaultdict(int)
     sure: set[int] = set()
     elements = 0
 
@@ -168,7 +170,8 @@ def blocks(html: str) -> list[tuple[str, str, bool]]:
         text.clear()
 
     def close_to(depth):
-        open_tags.subtract(e[0] for e in stack[depth:])
+        for e in stack[depth:]:
+            open_tags[e[0]] -= 1
         del stack[depth:]
 
     at, n = 0, len(html)
@@ -233,7 +236,7 @@ def blocks(html: str) -> list[tuple[str, str, bool]]:
         open_tags[tag] += 1
     flush()
     kept = _kept_names(out, sure) if any(b.named for b in out) else set()
-    inner = _nested(out)
+    inner = _nested(out) if any(len(b.articles) > 1 for b in out) else ()
     return [(b.path, b.text, b.left_out or any(e not in kept for e in b.named) or any(a[0] in inner for a in b.articles)) for b in out]
 
 
