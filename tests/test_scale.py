@@ -34,3 +34,27 @@ def test_all_pairs_in_sorted_cells_send_positives_to_the_tiles(spark, monkeypatc
     assert list(got) == want
     rows, cols = scoring._tile_shape(scoring.params_of(m), None, ranks.TILE)
     assert out[0].columns == ["sign", "gt", "eq"]
+
+
+def test_tiles_are_cut_on_both_sides(spark):
+    """900,000 users by 1,200,000 items: copies of both tables grow with the root of the tiles."""
+    p = scoring.Params(spark.range(1), spark.range(1), [["a"] * 3], [["b"] * 3], 900_000, 1_200_000, 5_000_000, 8_000_000)
+    rows, cols = scoring._tile_shape(p, None)
+    tiles = 900_000 * 1_200_000 / scoring.TILE_CELLS
+    assert tiles <= rows * cols < 1.1 * tiles
+    assert rows * 1_200_000 + cols * 900_000 < 2.2 * math.sqrt(tiles * 900_000 * 1_200_000)
+    rows, cols = scoring._tile_shape(p, None, scoring.COUNT_CELLS)
+    assert rows * 1_200_000 + cols * 900_000 < 25_000_000
+    rows, cols = scoring._tile_shape(p, None, None)  # the best items: as few item blocks as their bytes make
+    assert cols == 2 and rows * cols <= 4 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("n, m, k", [(1, 1, 1), (70, 5000, 3), (4097, 300, 2), (600, 700, 12)])
+def test_counts_by_groups_equal_brute_force(n, m, k):
+    rng = np.random.default_rng(n)
+    a, b = np.round(rng.random((n, k)), 2), np.round(rng.gamma(2, 1, (m, k)), 1)
+    full = scoring.block_scores(a, b)
+    ths = [0.0, float(full[0, 0]), float(np.median(full)), 1e-3, float(full.max()), 1e9]
+    for inclusive in (True, False):
+        want = np.stack([((full >= t) if inclusive else (full > t)).sum(axis=1) for t in ths], axis=1)
+        assert (scoring.reaching(a, b, ths, inclusive) == want).all()
