@@ -58,3 +58,34 @@ def test_counts_by_groups_equal_brute_force(n, m, k):
     for inclusive in (True, False):
         want = np.stack([((full >= t) if inclusive else (full > t)).sum(axis=1) for t in ths], axis=1)
         assert (scoring.reaching(a, b, ths, inclusive) == want).all()
+
+
+def test_large_tables_are_not_broadcast_by_default():
+    """60 times sf0.1: tables of 900,000 users and 1,200,000 items of three classes go by the grid."""
+    from latentcf.operators import em
+
+    assert em.param_bytes(900_000, 3) > em.DEFAULT_BROADCAST_BYTES
+    assert em._bins([2, 3, 4, 5, 6, 10, 15, 20], 20) == [[7], [3, 6], [2, 4, 5], [0, 1]]
+
+
+def test_wide_joint_fit_goes_in_groups_sized_for_the_widest(spark):
+    """Several groups of models, ids beyond 2^53, and the first M-step inside the cells."""
+    from pyspark.sql import functions as F
+
+    from latentcf.operators import em
+
+    big = (1 << 53) + 1
+    pairs = spark.range(6000).select((F.pmod(F.xxhash64("id"), F.lit(90)) * 2 + F.lit(big)).alias("u"),
+                                     (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(70)) * 2 + F.lit(big)).alias("s")).distinct()
+    ks = [1, 2, 3, 5]
+    a, b = (em.fit_many(pairs, ks, max_iter=3, seed=3, broadcast_bytes=n) for n in (None, 0))
+    for k in ks:
+        assert b[k].logliks == pytest.approx(a[k].logliks, abs=1e-12)
+    for side, key in (("users", "u"), ("items", "s")):
+        left, right = (getattr(m, side).orderBy(key).collect() for m in (a, b))
+        assert [r[key] for r in left] == [r[key] for r in right]
+        assert abs(np.array([r[1:] for r in left]) - np.array([r[1:] for r in right])).max() < 1e-12
+    layout = em.prepare_layout(pairs)
+    grid = em._grid_ahead(layout, ks, 0)
+    assert grid.width == 5 and grid.df.count() == layout.n_pairs
+    layout.drop()
