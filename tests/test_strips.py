@@ -81,6 +81,18 @@ def test_large_tables_go_by_strips():
     assert em.param_bytes(900_000, 10) + em.param_bytes(1_200_000, 10) > em.STRIP_BYTES
 
 
+def test_pairs_are_scored_by_block(spark, by_strips):
+    from latentcf.operators import scoring
+
+    pairs = even_and_hot(spark, 4000)
+    m = em.fit(pairs, k=3, max_iter=2, broadcast_bytes=0, alpha=1.0, eta=0.1)
+    some = pairs.where("s % 2 = 0").union(spark.createDataFrame([(10**9, 1), (1, 10**9)], "u long, s long"))
+    df = scoring.score_pairs(m, some, broadcast_bytes=0)
+    assert not any("Join" in x for x in _tree(_plan(df)))
+    want = scoring.score_pairs(m, some, broadcast_bytes=1 << 30)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("n, with_seen", [(1, False), (5, True)])
 def test_best_items_of_even_classes_by_groups(monkeypatch, n, with_seen):
     """Classes that differ little: few cells are scored, and the best are those of brute force."""
