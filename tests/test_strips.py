@@ -115,3 +115,39 @@ def test_best_items_of_even_classes_by_groups(monkeypatch, n, with_seen):
     order = np.lexsort((k, r))
     assert (c[order].reshape(700, n) == best).all()
     assert (v[order].reshape(700, n) == np.take_along_axis(full, best, axis=1)).all()
+
+
+def test_joint_models_are_scored_and_counted_by_block(spark, by_strips):
+    """No class column is in the plan of the counts: those of five wide models did not fit a small driver."""
+    from latentcf.operators import evaluation, scoring
+
+    pairs = even_and_hot(spark, 0)
+    train, test = pairs.where("(u + s) % 7 > 0"), pairs.where("(u + s) % 7 = 0")
+    ths = [2e-2, 4e-3, 3e-3]
+    want, got = (em.fit_many(train, [2, 3, 5], max_iter=2, broadcast_bytes=n) for n in (1 << 30, 0))
+    assert want.blocks is None and got.blocks is not None
+    one, other = (evaluation.confusion(m, train, test, ths, broadcast_bytes=n) for m, n in ((want, 1 << 30), (got, 4000)))
+    assert [tuple(r) for r in other.collect()] == [tuple(r) for r in one.collect()]
+    for df in (other, scoring.score_pairs(got, test, broadcast_bytes=0)):
+        plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert "pu0_0" not in plan and "m0_0" not in plan
+
+
+@pytest.mark.parametrize("inclusive", [True, False])
+def test_counts_in_single_precision_are_exact(inclusive):
+    """Thresholds that are scores, or a rounding off them, with rows left over in the last groups."""
+    from latentcf.operators import scoring
+
+    rng = np.random.default_rng(11)
+    hit = np.greater_equal if inclusive else np.greater
+    for n, m, k, scale in ((700, 333, 20, 1e-7), (65, 129, 3, 1e-3), (1, 1, 1, 1.0), (130, 70, 4, 1e-36)):
+        a, b = rng.random((n, k)), scale * rng.random((m, k))
+        a /= a.sum(axis=1, keepdims=True)
+        full = scoring.block_scores(a, b)
+        some = rng.choice(full.ravel(), 3)
+        ths = [0.0, *some, *np.nextafter(some, 1), float(full.mean())]
+        assert (scoring.reaching(a, b, ths, inclusive) == np.stack([hit(full, t).sum(axis=1) for t in ths], axis=1)).all()
+        rough = scoring._Rough(a, b, 64, np.array(ths[1:]))
+        x = rough.scores(*(i.ravel() for i in np.indices((-(-n // 64), -(-m // 64)))))
+        # cells in single precision: most are decided by it
+        assert x.dtype == np.float32 and (rough.near.all() or (rough.high >= rough.low).all())
