@@ -151,3 +151,26 @@ def test_counts_in_single_precision_are_exact(inclusive):
         x = rough.scores(*(i.ravel() for i in np.indices((-(-n // 64), -(-m // 64)))))
         # cells in single precision: most are decided by it
         assert x.dtype == np.float32 and (rough.near.all() or (rough.high >= rough.low).all())
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_best_items_by_block(spark, by_strips, monkeypatch, text):
+    """The state is read by block: neither users nor items are copied to tiles, only seen pairs move."""
+    from latentcf.operators import scoring
+
+    pairs = even_and_hot(spark, 4000)
+    if text:
+        pairs = pairs.select("u", F.concat(F.lit("ü"), F.col("s")).alias("s"))
+    m = em.fit(pairs, k=3, max_iter=2, broadcast_bytes=0)
+    assert m.blocks is not None and m.blocks[2] > 3
+    by_tiles = m.__class__(**{**m.__dict__, "blocks": None})
+    unknown = spark.createDataFrame([(10**9, 1), (1, 10**9), (None, 1)], "u long, s long").select("u", F.col("s").cast(pairs.schema["s"].dataType))
+    for seen in (None, pairs.union(unknown)):
+        small = 4000
+        got = scoring.recommend(m, 3, seen, broadcast_bytes=small)
+        want = scoring.recommend(by_tiles, 3, seen)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        tree = " ".join(_tree(_plan(got)))
+        assert "Window" not in tree and "Generate" not in tree and "Join" not in tree
+    summary = [sorted(map(tuple, scoring.user_summary(x).collect())) for x in (m, by_tiles)]
+    assert summary[0] == summary[1]
