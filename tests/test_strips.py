@@ -174,3 +174,44 @@ def test_best_items_by_block(spark, by_strips, monkeypatch, text):
         assert "Window" not in tree and "Generate" not in tree and "Join" not in tree
     summary = [sorted(map(tuple, scoring.user_summary(x).collect())) for x in (m, by_tiles)]
     assert summary[0] == summary[1]
+
+
+def test_draws_inside_a_task_are_those_of_spark(spark):
+    """Text of many lengths, over one block of the hash too, and whole numbers."""
+    from latentcf.functions.hashing import keyed_unit_open, unit_open_draws
+
+    whole = [0, -1, 7, 10**6, -(2**63), 2**63 - 1]
+    text = ["", "|", "x|y", "ä\u0000", "日本語", *["w" * n for n in (9, 26, 27, 48, 49, 54, 55, 56, 70)]]
+    rng = np.random.default_rng(2)
+    for left, right, types in ((whole, whole, "a long, b long"), (whole, text, "a long, b string"), (text, text, "a string, b string")):
+        i, j = (x.ravel() for x in np.indices((len(left), len(right))))
+        i, j = (np.concatenate([x, rng.integers(0, n, 20_000)]) for x, n in ((i, len(left)), (j, len(right))))
+        rows = [(left[a], right[b]) for a, b in zip(i[:200], j[:200])]
+        numbers = [0, 9, 10, 123]
+        df = spark.createDataFrame(rows, types).coalesce(1).select(*[keyed_unit_open(F.col("a"), F.col("b"), F.lit(z), F.lit(42)) for z in numbers])
+        want, got = np.array([tuple(r) for r in df.collect()]), [np.stack(d, axis=1) for _, d in unit_open_draws(left, i, right, j, numbers, 42)]
+        got = np.concatenate(got)
+        assert len(got) == len(i) and (got[: len(want)] == want).all()
+
+
+@pytest.mark.parametrize("hot", [0, 4000])
+def test_tasks_read_their_strips(spark, by_strips, hot):
+    """No pair comes through Spark's rows in a pass, and the first M-step hashes inside the tasks."""
+    layout = em.prepare_layout(even_and_hot(spark, hot))
+    grid = em._grid_ahead(layout, [3], 0)
+    for side in (grid.users, grid.items):
+        got = {n: len(strips._read_strip(files, n, ["u", "s"])) for n, files in side.files.items()}
+        assert got == {r["strip"]: r["count"] for r in side.df.groupBy("strip").count().collect()}
+    drawn = strips.strips_drawn(grid, 3, 42, ["ll"], None)
+    names = [["0", "1", "2"]]
+    state = strips.strips_aggregate(grid, strips.BlockState("file:/none", names, dict.fromkeys("012", 1.0), 1), [[0]], ["ll"], None)
+    for df in (drawn, state):
+        plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+        assert "MapInPandas" in plan and "FileScan" not in plan and "FlatMapGroupsInPandas" not in plan and "md5" not in plan
+    from latentcf.functions.hashing import keyed_unit_open
+
+    want = strips.strips_first(grid, {f"m{z}": keyed_unit_open(F.col("u"), F.col("s"), F.lit(z), F.lit(42)) for z in range(3)}, ["ll"], None)
+    a, b = (sorted((r["side"], r["block"], r["u"] or 0, r["s"] or 0, r["n"], r["wsum"], *(round(r[f"m{z}"], 9) for z in range(3))) for r in df.collect())
+            for df in (drawn, want))
+    assert a == b
+    layout.drop()
