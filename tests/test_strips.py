@@ -215,3 +215,25 @@ def test_tasks_read_their_strips(spark, by_strips, hot):
             for df in (drawn, want))
     assert a == b
     layout.drop()
+
+
+def test_rank_sums_look_few_positives_up(monkeypatch):
+    """Cells are sorted in groups that span few of the positives; the sums are those of brute force, ties too."""
+    from latentcf.operators import ranks, scoring
+
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(ranks, "ALIKE", 16)
+    monkeypatch.setattr(ranks, "NEAR", 128)
+    for digits in (None, 2):
+        a, b = rng.gamma(20, 1, (900, 3)), rng.gamma(4, 1, (2_000, 3))
+        a, b = a / a.sum(axis=1, keepdims=True), b / b.sum(axis=0)
+        if digits:
+            a, b = np.round(a, digits), np.round(b * 1000, 1)
+        full = scoring.block_scores(a, b).ravel()
+        positives = rng.choice(full, 3_000)
+        table = scoring._positive_table(positives)
+        looked, sums = [], ranks._sorted_sums
+        monkeypatch.setattr(ranks, "_sorted_sums", lambda t, x: looked.append(np.searchsorted(t[0], x[-1]) - np.searchsorted(t[0], x[0])) or sums(t, x))
+        assert ranks.cell_sums(table, a, b) == scoring._pos_sums(table, full)
+        monkeypatch.setattr(ranks, "_sorted_sums", sums)
+        assert np.mean(looked) < len(table[0]) / 4
